@@ -50,7 +50,7 @@ class Questions:
 
 def prepare(questions: DataFrame, limit: int = MAX_SENT_QUESTIONS) -> Questions:
     """Read at most ``limit`` + 1 questions to learn whether the batch may be broadcast."""
-    frame = questions.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    frame = questions.select("query_id", "embedding")
     head = frame.limit(limit + 1).toArrow()
     if head.num_rows > limit or head.nbytes > MAX_SENT_BYTES:
         return Questions(frame, None, None)
@@ -59,8 +59,8 @@ def prepare(questions: DataFrame, limit: int = MAX_SENT_QUESTIONS) -> Questions:
 
 
 def _question_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("query_id").to_numpy().astype(np.int64)
-    return ids, _matrix(table.column("embedding").combine_chunks())
+    asked = table.filter(table.column("embedding").is_valid())
+    return asked.column("query_id").to_numpy().astype(np.int64), _matrix(asked.column("embedding"))
 
 
 def _matrix(lists) -> np.ndarray:
@@ -76,6 +76,12 @@ def _matrix(lists) -> np.ndarray:
     return flat.reshape(n, len(flat) // n)
 
 
+def _with_vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that have a vector. A filter in Spark would make it compute a derived vector twice."""
+    vectors = batch.column("embedding")
+    return batch.filter(vectors.is_valid()) if vectors.null_count else batch
+
+
 def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Row-by-row distance, computed without the cancellation of the matrix form."""
     if metric == "l2":
@@ -197,6 +203,7 @@ def _sign_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe
 def _scan(batches: Iterable[pa.RecordBatch], q_ids, q_vectors, k, metric, score, probe) -> Iterator[pa.RecordBatch]:
     best = _Best(len(q_ids), k)
     for batch in batches:
+        batch = _with_vectors(batch)
         if batch.num_rows == 0 or len(q_ids) == 0:
             continue
         vectors = _matrix(batch.column("embedding"))
@@ -256,11 +263,10 @@ def _spread(questions: Questions, chunks: DataFrame, k: int, metric: str, score,
 def _best(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe) -> DataFrame:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    rows = chunks.filter(F.col("embedding").isNotNull())
     if questions.bounded:
-        local = _sent(questions, rows, k, metric, score, make_probe(questions.vectors))
+        local = _sent(questions, chunks, k, metric, score, make_probe(questions.vectors))
     else:
-        local = _spread(questions, rows, k, metric, score, make_probe)
+        local = _spread(questions, chunks, k, metric, score, make_probe)
     return _merge(local, max(k, 1))
 
 
@@ -300,10 +306,10 @@ def _cell_distance(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def assign_cells(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Each chunk with its nearest cell. Written partitioned by ``cell``, this is the stored index."""
     held = chunks.sparkSession.sparkContext.broadcast(centroids)
-    columns = chunks.select("item_id", "chunk_ix", "embedding").filter(F.col("embedding").isNotNull())
+    columns = chunks.select("item_id", "chunk_ix", "embedding")
 
     def with_cell(batches):
-        for batch in batches:
+        for batch in map(_with_vectors, batches):
             if batch.num_rows:
                 near = _cell_distance(_matrix(batch.column("embedding")), held.value).argmin(axis=1)
                 yield batch.append_column("cell", pa.array(near.astype(np.int32)))

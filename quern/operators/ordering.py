@@ -14,6 +14,15 @@ BUCKET_ROWS = 16384
 SALTS = 64
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a scan with fewer splits than cores over all cores, before heavy work per row.
+
+    For frames read straight from files; a table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def position_bucket(position: Column, rows: int = BUCKET_ROWS) -> Column:
     """Bucket of a unique long position; holds at most ``rows`` rows per group."""
     return F.floor(position / F.lit(rows)).cast("long")

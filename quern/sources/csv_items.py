@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import normalize, strip
 from quern.operators.ordering import dense_index, position_bucket
@@ -62,7 +63,7 @@ def first_by_text(rows: DataFrame) -> DataFrame:
     return dense_index(kept, ["kind"], ["_b"], ["row_ix"], "_ix").select("kind", F.col("_ix").alias("row_ix"), "body")
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _records(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([list(csv.reader(io.StringIO(text, newline=""))) for text in batch], dtype=object)

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import strip
 
-ROWS = "array<map<string,string>>"
+ROW = T.MapType(T.StringType(), T.StringType())
+ROWS = T.ArrayType(ROW)
 
 
 @F.pandas_udf(ROWS)
@@ -38,7 +40,7 @@ def payload_rows(payload: Column) -> Column:
     text = strip(payload)
     options = {"mode": "PERMISSIVE"}
     listed = F.when(text.startswith("["), F.from_json(text, ROWS, options))
-    single = F.when(text.startswith("{"), F.from_json(text, "map<string,string>", options))
+    single = F.when(text.startswith("{"), F.from_json(text, ROW, options))
     as_csv = _csv_rows(F.when(listed.isNull() & single.isNull(), text))
     return F.coalesce(listed, F.when(single.isNotNull(), F.array(single)), as_csv)
 

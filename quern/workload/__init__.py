@@ -1,2 +1,2 @@
-from quern.workload import retrieval_queries, text_queries  # noqa: F401
+from quern.workload import retrieval_queries, store_queries, text_queries  # noqa: F401
 from quern.workload.registry import ORACLES, QUERIES  # noqa: F401

@@ -17,6 +17,9 @@ SQL_CANDS = "query_id, item_id, kind, name, chunk_ix, CAST(cand_ix AS INTEGER) A
 SQL_RANKED = "query_id, item_id, kind, name, chunk_ix, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score"
 
 
+COSINE = Knobs(metric="cosine")
+
+
 def _shown(df):
     return df.select(*CAND_COLUMNS, F.round("dist", 6).alias("dist"), F.round("sim", 6).alias("sim"))
 
@@ -68,19 +71,19 @@ def retrieve_dataset(spark, sf):
 
 @query(
     "retrieve_min_sim",
-    f"WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()} SELECT {SQL_CANDS} FROM cands WHERE sim >= 0.45",
+    f"WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)} SELECT {SQL_CANDS} FROM cands WHERE sim >= 0.7",
 )
 def retrieve_min_sim(spark, sf):
-    return _shown(retrieve.above(_text_candidates(spark, sf), 0.45))
+    return _shown(retrieve.above(_text_candidates(spark, sf, COSINE), 0.7))
 
 
 @query(
     "retrieve_answer_context",
-    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()}
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)}
     SELECT {SQL_CANDS} FROM cands WHERE sim > 0.6 AND kind IN ('info', 'example')""",
 )
 def retrieve_answer_context(spark, sf):
-    return _shown(retrieve.answer_candidates(_text_candidates(spark, sf), ["info", "example"]))
+    return _shown(retrieve.answer_candidates(_text_candidates(spark, sf, COSINE), ["info", "example"]))
 
 
 @query("mmr_rerank", f"WITH {t.SQL_VECTOR_STORE}, {t.sql_candidates()}, {t.sql_mmr()} SELECT {SQL_RANKED} FROM final")
@@ -99,27 +102,27 @@ def mmr_kind_cap(spark, sf):
 
 @query(
     "retrieve_funnel",
-    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()},
-    kept AS (SELECT * FROM cands WHERE sim >= 0.45), {t.sql_mmr(source='kept')}
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)},
+    kept AS (SELECT * FROM cands WHERE sim >= 0.7), {t.sql_mmr(source='kept')}
     SELECT c.query_id, c.candidates, c.after_threshold, coalesce(f.n, 0) AS final
-    FROM (SELECT query_id, count(*) AS candidates, count(*) FILTER (sim >= 0.45) AS after_threshold FROM cands GROUP BY 1) c
+    FROM (SELECT query_id, count(*) AS candidates, count(*) FILTER (sim >= 0.7) AS after_threshold FROM cands GROUP BY 1) c
     LEFT JOIN (SELECT query_id, count(*) AS n FROM final GROUP BY 1) f USING (query_id)""",
 )
 def retrieve_funnel(spark, sf):
-    knobs = Knobs(min_sim=0.45)
+    knobs = Knobs(min_sim=0.7, metric="cosine")
     return retrieve.funnel(_text_candidates(spark, sf, knobs), knobs)
 
 
 @query(
     "retrieve_two_contexts",
-    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()},
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)},
     strong AS (SELECT * FROM cands WHERE sim > 0.6 AND kind IN ('info', 'example')),
     {t.sql_mmr(out='forsql', topk=6, cap=8, kind_cap=('example', 2))},
     {t.sql_mmr(source='strong', out='foranswer', topk=12, cap=8, kind_cap=('example', 2))}
     SELECT 'sql' AS context, {SQL_RANKED} FROM forsql UNION ALL SELECT 'answer' AS context, {SQL_RANKED} FROM foranswer""",
 )
 def retrieve_two_contexts(spark, sf):
-    both = retrieve.two_contexts(_text_candidates(spark, sf), ["info", "example"])
+    both = retrieve.two_contexts(_text_candidates(spark, sf, COSINE), ["info", "example"])
     return both.select("context", "query_id", "item_id", "kind", "name", "chunk_ix", "rank", F.round("score", 6).alias("score"))
 
 
@@ -187,7 +190,7 @@ def sql_prompt(spark, sf):
 
 @query(
     "answer_prompt",
-    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()},
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)},
     strong AS (SELECT * FROM cands WHERE sim > 0.6 AND kind IN ('info', 'example')),
     {t.sql_mmr(source='strong', cap=8, kind_cap=('example', 2))}, {_CONTEXT_ONLY},
     shown AS (SELECT {_sql_text('The following data was retrieved from the database:' + chr(10) + chr(10))}
@@ -210,7 +213,7 @@ def answer_prompt(spark, sf):
     shown = results.rows_text(results.numbered(rows, [F.col("r_regionkey")])).first()["rows_text"]
     batch = ann.prepare(t.questions(spark, sf))
     chunks = t.chunks(spark, sf)
-    scored = retrieve.candidates(batch, t.items(spark, sf), chunks, Knobs())
+    scored = retrieve.candidates(batch, t.items(spark, sf), chunks, COSINE)
     strong = retrieve.answer_candidates(scored, ["info", "example"])
     ranked = mmr(strong, retrieve.TOPK, 0.5, retrieve.CONTEXT_PER_ITEM_CAP, retrieve.KIND_CAPS)
     context = prompts.context_prompt(retrieve.with_text(batch, chunks, ranked), None, None, mark=False)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.vectors import DIMS, hash_embedding
 from quern.operators.chunks import chunk_items, embed_hashed
+from quern.operators.ordering import spread_out
 
 NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -57,7 +58,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return embed_hashed(chunk_items(items(spark, sf)))
+    return embed_hashed(chunk_items(spread_out(items(spark, sf), "id")))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions import vectors as vx
 from quern.operators.chunks import chunk_items, complete_with
+from quern.operators.ordering import spread_out
 from quern.workload import tables as t
 from quern.workload.registry import query
 
 
 @query("normalize_text", f"SELECT doc_id, {t.sql_normalize('text')} AS norm FROM documents")
 def normalize_text(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
+    return spread_out(t.table(spark, sf, "documents"), "doc_id").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
 
 @query("chunk_docs", f"WITH {t.SQL_ITEMS}, {t.sql_chunks()} SELECT item_id, chunk_ix, chunk_text FROM chunks")
 def chunk_docs(spark, sf):
-    return chunk_items(t.items(spark, sf))
+    return chunk_items(spread_out(t.items(spark, sf), "id"))
 
 
 @query(
