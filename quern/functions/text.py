@@ -76,9 +76,15 @@ def split_list(col: Column) -> Column:
 
 
 def clean_sql(col: Column) -> Column:
-    """A model's reply reduced to its statement: no code fence, no ``sql:`` prefix."""
-    bare = strip(F.regexp_replace(strip(col), r"^`+|`+\z", ""))
-    return strip(F.regexp_replace(bare, r"^(?i)sql(?:[ \t\r\n]*:|[ \t\r\n])", ""))
+    """A model's reply reduced to its statement: no code fence, no ``sql:`` prefix.
+
+    Backticks around the whole reply go; one that closes a quoted name at the end stays.
+    """
+    text = strip(col)
+    bare = F.when(text.startswith("`"), F.regexp_replace(text, r"^`+|`+\z", "")).otherwise(
+        F.regexp_replace(text, r"```\z", "")
+    )
+    return strip(F.regexp_replace(strip(bare), r"^(?i)sql(?:[ \t\r\n]*:|[ \t\r\n])", ""))
 
 
 def first_select(col: Column) -> Column:

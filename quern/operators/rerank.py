@@ -25,7 +25,8 @@ def mmr(
     if not 0 < lam <= 1:
         raise ValueError("lam must lie in (0, 1]")
     by_item = W.partitionBy("query_id", "item_id").orderBy("cand_ix")
-    rows = candidates.withColumn("_in_item", F.row_number().over(by_item))
+    # One shuffle by question serves every window below.
+    rows = candidates.repartition("query_id").withColumn("_in_item", F.row_number().over(by_item))
     if per_item_cap:
         rows = rows.filter(F.col("_in_item") <= per_item_cap)
     repeated = (F.col("_in_item") > 1).cast("double")

@@ -10,10 +10,10 @@ from quern.operators.chunks import chunk_items, embed_hashed
 from quern.operators.ordering import dense_index, position_bucket, spread_out
 from quern.plans import audit, sync
 from quern.plans.commit import commit_entries
-from quern.session import scratch_path
+from quern.session import durable, scratch_path
 from quern.sinks.files import write_item_files
 from quern.sources.csv_items import first_by_text, ragged_entries, read_item_files, read_ragged
-from quern.sources.store import items_of
+from quern.sources.store import items_of, load, save_chunks, save_items
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -115,14 +115,22 @@ def sync_counts(spark, sf):
 
 
 def applied(spark, sf):
-    desired, items, current = sides(spark, sf)
-    chunks = embed_hashed(chunk_items(items))
-    return sync.apply_sync(sync.plan_sync(desired, current), desired, items, chunks, DATASET, embed_hashed, _now())
+    """The saved store after one sync: the plan is kept, then applied to the snapshot it was made from."""
+    path = scratch_path(spark, "store")
+    old = spread_out(stored_items(spark, sf), "id")
+    save_items(old, f"{path}/items")
+    items = load(spark, f"{path}/items")
+    save_chunks(embed_hashed(chunk_items(items)), f"{path}/chunks")
+    chunks = load(spark, f"{path}/chunks")
+    desired = durable(sync.desired_rows(positions(spark, sf)))
+    current = sync.current_rows(items_of(items, t.KINDS, DATASET))
+    plan = durable(sync.plan_sync(desired, current))
+    return desired, sync.apply_sync(plan, desired, items, chunks, DATASET, embed_hashed, _now())
 
 
 @query("sync_apply", f"WITH {SQL_SIDES}, {SQL_APPLIED} SELECT kind, name, body, version, created_at, updated_at, meta_row FROM applied")
 def sync_apply(spark, sf):
-    items, _ = applied(spark, sf)
+    _, (items, _) = applied(spark, sf)
     stamp = "yyyy-MM-dd HH:mm:ss"
     return items.select(
         "kind",
@@ -141,7 +149,7 @@ def sync_apply(spark, sf):
     SELECT item_id AS name, chunk_ix, chunk_text FROM chunks""",
 )
 def sync_apply_chunks(spark, sf):
-    items, chunks = applied(spark, sf)
+    _, (items, chunks) = applied(spark, sf)
     names = items.select(F.col("id").alias("item_id"), "name")
     return chunks.join(names, "item_id").select("name", "chunk_ix", "chunk_text")
 
@@ -152,8 +160,7 @@ def sync_apply_chunks(spark, sf):
 )
 def sync_replan(spark, sf):
     """A second plan after applying the first has nothing left to do."""
-    items, _ = applied(spark, sf)
-    desired = sync.desired_rows(positions(spark, sf))
+    desired, (items, _) = applied(spark, sf)
     return sync.plan_sync(desired, sync.current_rows(items_of(items, t.KINDS, DATASET)))
 
 
