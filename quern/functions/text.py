@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The blank characters that trimming removes, and the defaults of the data model.
-BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-BLANK_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CHUNK_CHARS = 1500
 ROW_NAME = r"^([^:]+)::([^:]+)::row::([0-9]+)$"
 ELLIPSIS = "…"
@@ -19,13 +21,20 @@ def let(value: Column, body) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    """Without blanks at either end; looks at the ends only."""
+    return F.btrim(col, F.lit(BLANKS))
+
+
+def has_text(col: Column) -> Column:
+    """Whether anything is left after stripping, found at the first character that is not blank."""
+    return col.rlike(f"[^{BLANKS}]")
 
 
 def normalize(col: Column) -> Column:
     """Line ends to LF, no blanks at line ends, no blanks around the text."""
     unix = F.replace(F.replace(strip(col), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return strip(F.regexp_replace(unix, rf"[{BLANK_IN_LINE}]+\n", "\n"))
+    lines = F.transform(F.split(unix, "\n"), lambda line: F.rtrim(line, F.lit(BLANKS)))
+    return strip(F.array_join(lines, "\n"))
 
 
 def pieces(col: Column, size: int = CHUNK_CHARS, keep_empty: bool = False) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from quern.session import durable
 
-BUCKET_ROWS = 16384
+RUN_ROWS = 1024
+SPAN_RUNS = 4096
 SALTS = 64
 
 
@@ -23,30 +24,43 @@ def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def position_bucket(position: Column, rows: int = BUCKET_ROWS) -> Column:
-    """Bucket of a unique long position; holds at most ``rows`` rows per group."""
-    return F.floor(position / F.lit(rows)).cast("long")
+def _offsets(counts: DataFrame, groups: Sequence[str], runs: Sequence[str]) -> DataFrame:
+    """For each run of a group, the rows in the runs before it, in ``_before``."""
+    before = W.partitionBy(*groups).orderBy(*runs).rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
-def dense_index(
-    df: DataFrame,
-    groups: Sequence[str],
-    buckets: Sequence[str],
-    within: Sequence[str],
-    out: str,
-) -> DataFrame:
+def _index_within(df: DataFrame, keys: Sequence[str], within: Sequence[str], offsets: DataFrame, out: str) -> DataFrame:
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*within)))
+    return ranked.join(offsets, list(keys)).withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
+
+
+def dense_index(df: DataFrame, groups: Sequence[str], runs: Sequence[str], within: Sequence[str], out: str) -> DataFrame:
     """0, 1, 2, … within each group, for groups of any size.
 
-    ``buckets`` are columns that grow with the wanted order and cut a group into bounded runs. Rows
-    are ranked inside a run; the run's offset comes from the run counts, which are few.
+    ``runs`` are columns that grow with the wanted order and cut a group into bounded runs, such as
+    the blocks of a file. Rows are ranked inside a run; a run's offset comes from the run counts,
+    one small row per run.
     """
-    keys = [*groups, *buckets]
+    keys = [*groups, *runs]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # A running total over the run counts: one small row per run, not per input row.
-    before = W.partitionBy(*groups).orderBy(*buckets).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*within)))
-    return ranked.join(offsets, keys).withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
+    return _index_within(df, keys, within, _offsets(counts, groups, runs).drop("_n"), out)
+
+
+def dense_index_by(df: DataFrame, groups: Sequence[str], position: str, out: str) -> DataFrame:
+    """``dense_index`` by a long column that is unique within its group.
+
+    Runs and spans of runs are cut from the position itself, so every window is bounded: rows of a
+    run, runs of a span, and the spans, each a few million positions wide.
+    """
+    run = F.floor(F.col(position) / RUN_ROWS).cast("long")
+    rows = df.withColumn("_run", run).withColumn("_span", F.floor(F.col("_run") / SPAN_RUNS).cast("long"))
+    counts = rows.groupBy(*groups, "_span", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    spans = _offsets(counts.groupBy(*groups, "_span").agg(F.sum("_n").alias("_n")), groups, ["_span"])
+    spans = spans.select(*groups, "_span", F.col("_before").alias("_before_span"))
+    local = _offsets(counts, [*groups, "_span"], ["_run"]).drop("_n").join(spans, [*groups, "_span"])
+    offsets = local.withColumn("_before", F.col("_before") + F.col("_before_span")).drop("_before_span")
+    return _index_within(rows, [*groups, "_span", "_run"], [position], offsets, out).drop("_span", "_run")
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_ix") -> DataFrame:

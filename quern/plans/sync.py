@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import normalize, row_name
 from quern.operators.chunks import chunk_items
-from quern.operators.ordering import BUCKET_ROWS
+from quern.operators.ordering import RUN_ROWS
 from quern.operators.upsert import delete_items, replace_chunks, upsert_items
 
 CREATE, UPDATE, DELETE, KEEP = "CREATE", "UPDATE", "DELETE", "KEEP"
@@ -98,10 +98,10 @@ def export_rows(current: DataFrame) -> DataFrame:
     """
     highest = current.groupBy("kind").agg(F.max("row_ix").alias("_max"))
     runs = highest.select(
-        "kind", "_max", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_max") / BUCKET_ROWS))).alias("_run")
+        "kind", "_max", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_max") / RUN_ROWS))).alias("_run")
     ).repartition("kind", "_run")
-    last = F.least(F.col("_max"), (F.col("_run") + 1) * BUCKET_ROWS - 1)
-    positions = runs.select("kind", F.explode(F.sequence(F.col("_run") * BUCKET_ROWS, last)).alias("row_ix"))
+    last = F.least(F.col("_max"), (F.col("_run") + 1) * RUN_ROWS - 1)
+    positions = runs.select("kind", F.explode(F.sequence(F.col("_run") * RUN_ROWS, last)).alias("row_ix"))
     return positions.join(current, ["kind", "row_ix"], "left").select(
         "kind", "row_ix", F.coalesce("body", F.lit("")).alias("body")
     )

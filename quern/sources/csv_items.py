@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import normalize, strip
-from quern.operators.ordering import dense_index, position_bucket
+from quern.operators.ordering import dense_index, dense_index_by
 
 
 def read_item_files(
@@ -59,8 +59,8 @@ def first_by_text(rows: DataFrame) -> DataFrame:
     """
     digest = F.sha2(normalize(F.col("body")), 256).alias("_digest")
     first = rows.groupBy("kind", digest).agg(F.min("row_ix").alias("row_ix")).select("kind", "row_ix")
-    kept = rows.join(first, ["kind", "row_ix"], "left_semi").withColumn("_b", position_bucket(F.col("row_ix")))
-    return dense_index(kept, ["kind"], ["_b"], ["row_ix"], "_ix").select("kind", F.col("_ix").alias("row_ix"), "body")
+    kept = rows.join(first, ["kind", "row_ix"], "left_semi")
+    return dense_index_by(kept, ["kind"], "row_ix", "_ix").select("kind", F.col("_ix").alias("row_ix"), "body")
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.text import csv_cell, row_name, strip, utc_stamp
+from quern.functions.text import csv_cell, has_text, row_name, utc_stamp
 from quern.operators import upsert
 from quern.operators.chunks import chunk_items, embed_hashed
-from quern.operators.ordering import dense_index, position_bucket, spread_out
+from quern.operators.ordering import dense_index_by, spread_out
 from quern.plans import audit, sync
 from quern.plans.commit import commit_entries
 from quern.session import durable, scratch_path
@@ -33,8 +33,7 @@ def positions(spark, sf):
     docs = t.table(spark, sf, "documents").select(
         t.kind_of_lang(F.col("lang")).alias("kind"), "doc_id", F.col("text").alias("body")
     )
-    rows = docs.filter(strip(F.col("body")) != "").withColumn("_b", position_bucket(F.col("doc_id")))
-    return dense_index(rows, ["kind"], ["_b"], ["doc_id"], "row_ix").drop("_b")
+    return dense_index_by(docs.filter(has_text(F.col("body"))), ["kind"], "doc_id", "row_ix")
 
 
 def stored_items(spark, sf):
