@@ -12,10 +12,14 @@ from quern.functions.text import CHUNK_CHARS, pieces
 from quern.functions.vectors import hash_embedding
 
 
-def chunk_items(items: DataFrame, size: int = CHUNK_CHARS, keep_empty: bool = False) -> DataFrame:
-    """(item_id, chunk_ix, chunk_text) from items' bodies, without a shuffle."""
+def chunk_items(items: DataFrame, size: int = CHUNK_CHARS, keep_empty: bool = False, with_kind: bool = False) -> DataFrame:
+    """(item_id, chunk_ix, chunk_text) from items' bodies, without a shuffle.
+
+    ``with_kind`` carries the item's kind and dataset along, which spares searches a join.
+    """
     cut = F.posexplode(pieces(F.col("body"), size, keep_empty)).alias("chunk_ix", "chunk_text")
-    return items.select(F.col("id").alias("item_id"), cut)
+    own = [F.col("kind"), F.element_at("metadata", F.lit("dataset")).alias("dataset")] if with_kind else []
+    return items.select(F.col("id").alias("item_id"), *own, cut)
 
 
 def embed_hashed(df: DataFrame, text: str = "chunk_text", out: str = "embedding") -> DataFrame:

@@ -24,7 +24,8 @@ from quern.operators.ordering import top_per_group
 # A question batch up to this many rows and bytes is sent to every task; larger ones are spread.
 MAX_SENT_QUESTIONS = 8192
 MAX_SENT_BYTES = 128 << 20
-GRID_CHUNKS = 100_000
+MAX_KEPT_PAIRS = 2_000_000
+GRID_CHUNKS = 20_000
 BLOCK_ROWS = 4096
 BLOCK_QUESTIONS = 1024
 PAIR_SLICE = 65_536
@@ -43,9 +44,9 @@ class Questions:
     ids: np.ndarray | None
     vectors: np.ndarray | None
 
-    @property
-    def bounded(self) -> bool:
-        return self.ids is not None
+    def bounded(self, k: int) -> bool:
+        """Whether the batch, and ``k`` results for each question, may be held by every task."""
+        return self.ids is not None and len(self.ids) * max(k, 1) <= MAX_KEPT_PAIRS
 
 
 def prepare(questions: DataFrame, limit: int = MAX_SENT_QUESTIONS) -> Questions:
@@ -185,6 +186,20 @@ def _cell_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe
             _score_block(best, rows, items, chunk_ixs, vectors, asking, q_vectors, metric)
 
 
+def _shared_signs(asked: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Question and row numbers of the pairs that share a signature, found by sorted lookup."""
+    shared = np.zeros((len(asked), len(block)), bool)
+    for table in range(block.shape[1]):
+        order = np.argsort(block[:, table], kind="stable")
+        held = block[order, table]
+        first = np.searchsorted(held, asked[:, table], "left")
+        sizes = np.searchsorted(held, asked[:, table], "right") - first
+        question = np.repeat(np.arange(len(asked)), sizes)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+        shared[question, order[place]] = True
+    return np.nonzero(shared)
+
+
 def _sign_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe) -> None:
     """A pair is scored when the two share the signature of at least one table."""
     planes, q_signs = probe
@@ -192,11 +207,7 @@ def _sign_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe
     for at in range(0, len(items), BLOCK_ROWS):
         block = signs[at : at + BLOCK_ROWS]
         for qat in range(0, len(q_vectors), BLOCK_QUESTIONS):
-            asked = q_signs[qat : qat + BLOCK_QUESTIONS]
-            shared = np.zeros((len(asked), len(block)), bool)
-            for table in range(block.shape[1]):
-                shared |= asked[:, table][:, None] == block[:, table][None, :]
-            qi, ci = np.nonzero(shared)
+            qi, ci = _shared_signs(q_signs[qat : qat + BLOCK_QUESTIONS], block)
             _add_pairs(best, qi + qat, ci + at, items, chunk_ixs, vectors, q_vectors, metric)
 
 
@@ -240,7 +251,8 @@ def _spread(questions: Questions, chunks: DataFrame, k: int, metric: str, score,
     A chunk is repeated once per question slice and a question once per chunk slice, so each grid
     cell is bounded whatever the keys look like.
     """
-    slices = max(1, math.ceil(questions.frame.count() / MAX_SENT_QUESTIONS))
+    per_slice = max(1, min(MAX_SENT_QUESTIONS, MAX_KEPT_PAIRS // max(k, 1)))
+    slices = max(1, math.ceil(questions.frame.count() / per_slice))
     cuts = max(1, math.ceil(chunks.count() / GRID_CHUNKS))
     left = chunks.withColumn("_cut", F.pmod(F.xxhash64("item_id", "chunk_ix"), F.lit(cuts))).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
@@ -263,11 +275,12 @@ def _spread(questions: Questions, chunks: DataFrame, k: int, metric: str, score,
 def _best(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe) -> DataFrame:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    if questions.bounded:
+    k = max(k, 1)
+    if questions.bounded(k):
         local = _sent(questions, chunks, k, metric, score, make_probe(questions.vectors))
     else:
         local = _spread(questions, chunks, k, metric, score, make_probe)
-    return _merge(local, max(k, 1))
+    return _merge(local, k)
 
 
 def nearest(questions: Questions, chunks: DataFrame, k: int = 80, metric: str = "l2") -> DataFrame:
@@ -285,7 +298,11 @@ def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int
     total = chunks.count()
     if total > train_rows:
         vectors = vectors.sample(train_rows / total, seed=seed)
-    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vectors)
+    vectors = vectors.persist()
+    try:
+        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vectors)
+    finally:
+        vectors.unpersist()
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
@@ -332,7 +349,7 @@ def nearest_by_cells(
         return mask
 
     columns = indexed.select("item_id", "chunk_ix", "embedding", "cell")
-    if questions.bounded:
+    if questions.ids is not None:
         wanted = np.flatnonzero(probed(questions.vectors).any(axis=0))
         if len(wanted) < len(centroids):
             columns = columns.filter(F.col("cell").isin([int(c) for c in wanted]))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quern.operators.sizes import is_small, sent_if_small
+
 ITEM_COLUMNS = ["id", "kind", "name", "body", "metadata", "version", "created_at", "updated_at"]
 ID_BUCKETS = 4096
 
@@ -27,42 +29,63 @@ def assign_ids(rows: DataFrame, keys: Sequence[str], after: int) -> DataFrame:
     )
 
 
-def upsert_items(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Insert or update by (kind, name); each arrival of an existing item raises its version by one.
+def split_upsert(current: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Items that no arrival touches, and items updated or inserted by (kind, name).
+
+    Each arrival of an existing item raises its version by one; the last in ``seq`` order gives body
+    and metadata. ``incoming`` has kind, name, body, metadata and seq. Arrivals of one item are
+    combined before any join, so an item that arrives very often does not pile up.
 
-    ``incoming`` has kind, name, body, metadata and ``seq``, the order of arrival. Arrivals of one
-    item are combined before the join, so an item that arrives very often does not pile up.
+    When few items arrive, only their keys travel and the store is not shuffled; otherwise both
+    sides meet in one full outer join.
     """
     last = F.max_by(F.struct("body", "metadata"), F.col("seq")).alias("_new")
     arrived = incoming.groupBy("kind", "name").agg(last, F.count(F.lit(1)).cast("int").alias("_times"))
-    joined = current.join(arrived, ["kind", "name"], "full_outer")
-    came, known = F.col("_times").isNotNull(), F.col("id").isNotNull()
-    merged = joined.select(
+    keys = incoming.select("kind", "name").distinct()
+    if is_small(keys):
+        kept = current.join(F.broadcast(keys), ["kind", "name"], "left_anti")
+        touched = current.join(F.broadcast(keys), ["kind", "name"], "left_semi")
+        joined = touched.join(arrived, ["kind", "name"], "full_outer")
+    else:
+        everything = current.join(arrived, ["kind", "name"], "full_outer")
+        kept = everything.filter(F.col("_times").isNull())
+        joined = everything.filter(F.col("_times").isNotNull())
+    known = F.col("id").isNotNull()
+    changed = joined.select(
         "id",
         "kind",
         "name",
-        F.when(came, F.col("_new.body")).otherwise(F.col("body")).alias("body"),
-        F.when(came, F.col("_new.metadata")).otherwise(F.col("metadata")).alias("metadata"),
-        F.when(known, F.col("version") + F.coalesce("_times", F.lit(0))).otherwise(F.col("_times")).alias("version"),
+        F.col("_new.body").alias("body"),
+        F.col("_new.metadata").alias("metadata"),
+        (F.coalesce("version", F.lit(0)) + F.col("_times")).alias("version"),
         F.when(known, F.col("created_at")).otherwise(now).alias("created_at"),
-        F.when(came, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        now.alias("updated_at"),
     )
     after = current.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = assign_ids(merged.filter(F.col("id").isNull()).drop("id"), ["kind", "name"], after)
-    return merged.filter(F.col("id").isNotNull()).unionByName(fresh.select(*merged.columns))
+    fresh = assign_ids(changed.filter(~known).drop("id"), ["kind", "name"], after)
+    return kept.select(*ITEM_COLUMNS), changed.filter(known).unionByName(fresh.select(*ITEM_COLUMNS))
+
+
+def upsert_items(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """The store's items after the arrivals."""
+    kept, changed = split_upsert(current, incoming, now)
+    return kept.unionByName(changed)
 
 
 def replace_chunks(chunks: DataFrame, changed_ids: DataFrame, fresh: DataFrame) -> DataFrame:
     """Drop all chunks of the changed items, then add the new ones."""
-    kept = chunks.join(changed_ids.select("item_id").distinct(), "item_id", "left_anti")
-    return kept.unionByName(fresh.select(*kept.columns))
+    return without_items(chunks, changed_ids).unionByName(fresh.select(*chunks.columns))
+
+
+def without_items(chunks: DataFrame, gone_ids: DataFrame) -> DataFrame:
+    return chunks.join(sent_if_small(gone_ids.select("item_id").distinct()), "item_id", "left_anti").select(*chunks.columns)
 
 
 def delete_items(items: DataFrame, chunks: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove items by (kind, name), and with them their chunks."""
-    names = doomed.select("kind", "name").distinct()
+    names = sent_if_small(doomed.select("kind", "name").distinct())
     gone = items.join(names, ["kind", "name"], "left_semi").select(F.col("id").alias("item_id"))
-    return items.join(names, ["kind", "name"], "left_anti"), chunks.join(gone, "item_id", "left_anti")
+    return items.join(names, ["kind", "name"], "left_anti").select(*items.columns), without_items(chunks, gone)
 
 
 def replace_kinds(
@@ -71,7 +94,5 @@ def replace_kinds(
     """Replace every item of the given kinds, and their chunks, by a new snapshot."""
     old = F.col("kind").isin(list(kinds))
     gone = items.filter(old).select(F.col("id").alias("item_id"))
-    return (
-        items.filter(~old).unionByName(new_items.select(*items.columns)),
-        chunks.join(gone, "item_id", "left_anti").unionByName(new_chunks.select(*chunks.columns)),
-    )
+    kept = items.filter(~old)
+    return kept.unionByName(new_items.select(*items.columns)), replace_chunks(chunks, gone, new_chunks)

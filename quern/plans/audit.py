@@ -35,6 +35,17 @@ def nested_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def stitched_segments(chunks: DataFrame, segment_chunks: int = 1024) -> DataFrame:
+    """(item_id, segment, text, chunk_count): texts end to end in segments of bounded length.
+
+    For sequences that were never one row, so that an item with very many chunks stays in many groups.
+    """
+    segment = F.floor(F.col("chunk_ix") / segment_chunks).cast("long").alias("segment")
+    grouped = chunks.groupBy("item_id", segment).agg(F.array_sort(F.collect_list(F.struct("chunk_ix", "chunk_text"))).alias("_c"))
+    text = F.array_join(F.transform("_c", lambda x: x["chunk_text"]), "")
+    return grouped.select("item_id", "segment", text.alias("text"), F.size("_c").alias("chunk_count"))
+
+
 def full_texts(items: DataFrame, chunks: DataFrame) -> DataFrame:
     stitched = nested_chunks(chunks).select("id", "full_text", "chunk_count")
     return (

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.chunks import chunk_items
-from quern.operators.upsert import replace_chunks, upsert_items
+from quern.operators.upsert import replace_chunks, split_upsert
 
 
 def commit_entries(
     entries: DataFrame, items: DataFrame, chunks: DataFrame, embed, now: Column
 ) -> tuple[DataFrame, DataFrame]:
     """The store after the entries arrived in ``seq`` order; an empty body still gets one chunk."""
-    new_items = upsert_items(items, entries, now)
-    touched = new_items.join(entries.select("kind", "name").distinct(), ["kind", "name"], "left_semi")
-    fresh = embed(chunk_items(touched, keep_empty=True))
-    return new_items, replace_chunks(chunks, touched.select(F.col("id").alias("item_id")), fresh)
+    kept, changed = split_upsert(items, entries, now)
+    fresh = embed(chunk_items(changed, keep_empty=True, with_kind="kind" in chunks.columns))
+    return kept.unionByName(changed), replace_chunks(chunks, changed.select(F.col("id").alias("item_id")), fresh)

@@ -17,6 +17,7 @@ from quern.sinks.files import flat
 
 # Wording of the texts.
 NO_DATA = "No data found for the query."
+TEXT_PART_ROWS = 1000
 ROWS_HEAD = "The following data was retrieved from the database:\n\n"
 
 
@@ -42,15 +43,18 @@ def row_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("row_ix", F.concat(head, *lines, F.lit("\n")).alias("block"))
 
 
-def rows_text(rows: DataFrame) -> DataFrame:
-    """One row with the whole text, for results bounded by a row limit; see ``row_blocks`` for others."""
-    parts = F.array_sort(F.collect_list(F.struct("row_ix", "block")))
-    text = F.array_join(F.transform("_parts", lambda x: x["block"]), "")
-    return (
-        row_blocks(rows)
-        .agg(parts.alias("_parts"))
-        .select(F.when(F.size("_parts") == 0, F.lit(NO_DATA)).otherwise(F.concat(F.lit(ROWS_HEAD), text)).alias("rows_text"))
-    )
+def rows_text(rows: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
+    """(part, rows_text): the whole text in parts of bounded length, to be read one after another.
+
+    A result under a row limit has one part. An empty result has one part that says so.
+    """
+    part = F.floor((F.col("row_ix") - 1) / part_rows).cast("long").alias("part")
+    blocks = F.array_sort(F.collect_list(F.struct("row_ix", "block")))
+    text = F.array_join(F.transform("_blocks", lambda x: x["block"]), "")
+    head = F.when(F.col("part") == 0, F.lit(ROWS_HEAD)).otherwise(F.lit(""))
+    texts = row_blocks(rows).groupBy(part).agg(blocks.alias("_blocks")).select("part", F.concat(head, text).alias("rows_text"))
+    empty = rows.limit(1).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
+    return texts.unionByName(empty.select(F.lit(0).cast("long").alias("part"), F.lit(NO_DATA).alias("rows_text")))
 
 
 def draft_answer(rows: DataFrame) -> DataFrame:

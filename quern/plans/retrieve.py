@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.nearest import Questions, nearest, prepare
 from quern.operators.rerank import mmr
+from quern.operators.sizes import sent_if_small
 from quern.plans.prompts import context_prompt
 from quern.sources.store import dataset_filter, kind_filter
 
@@ -38,36 +39,43 @@ class Knobs:
 
 
 def eligible_chunks(items: DataFrame, chunks: DataFrame, knobs: Knobs) -> DataFrame:
-    """Chunks of the items that the filters admit; without filters the chunks as they are."""
-    wanted = items
+    """Chunks of the items that the filters admit; without filters the chunks as they are.
+
+    Chunks stored with their item's kind and dataset are filtered where they are read. Otherwise
+    the admitted ids are joined, sent to every task when they are proven few.
+    """
+    if knobs.kinds is None and not knobs.dataset:
+        return chunks
+    own = {"kind", "dataset"} <= set(chunks.columns)
+    wanted = chunks if own else items
     if knobs.kinds is not None:
         wanted = wanted.filter(kind_filter(knobs.kinds))
     if knobs.dataset:
-        wanted = wanted.filter(dataset_filter(knobs.dataset))
-    if wanted is items:
-        return chunks
-    return chunks.join(wanted.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+        wanted = wanted.filter(dataset_filter(knobs.dataset, own))
+    if own:
+        return wanted
+    return chunks.join(sent_if_small(wanted.select(F.col("id").alias("item_id"))), "item_id", "left_semi")
 
 
-def _small(questions: Questions, df: DataFrame) -> DataFrame:
-    """Results hold at most the candidates of each question: broadcast when the batch is bounded."""
-    return F.broadcast(df) if questions.bounded else df
+def _small(questions: Questions, k: int, df: DataFrame) -> DataFrame:
+    """Results hold at most ``k`` rows per question: broadcast when that is within bounds."""
+    return F.broadcast(df) if questions.bounded(k) else df
 
 
 def candidates(questions: Questions, items: DataFrame, chunks: DataFrame, knobs: Knobs) -> DataFrame:
     """The nearest chunks per question with kind and name; texts are joined only to final rows."""
     found = nearest(questions, eligible_chunks(items, chunks, knobs), knobs.candidates, knobs.metric)
-    return with_item(questions, items, found)
+    return with_item(questions, items, found, knobs.candidates)
 
 
-def with_item(questions: Questions, items: DataFrame, found: DataFrame) -> DataFrame:
+def with_item(questions: Questions, items: DataFrame, found: DataFrame, k: int = CANDIDATES) -> DataFrame:
     meta = items.select(F.col("id").alias("item_id"), "kind", "name")
-    return meta.join(_small(questions, found), "item_id")
+    return meta.join(_small(questions, k, found), "item_id")
 
 
-def with_text(questions: Questions, chunks: DataFrame, ranked: DataFrame) -> DataFrame:
+def with_text(questions: Questions, chunks: DataFrame, ranked: DataFrame, k: int = CANDIDATES) -> DataFrame:
     texts = chunks.select("item_id", "chunk_ix", "chunk_text")
-    return texts.join(_small(questions, ranked), ["item_id", "chunk_ix"])
+    return texts.join(_small(questions, k, ranked), ["item_id", "chunk_ix"])
 
 
 def above(scored: DataFrame, min_sim: float | None) -> DataFrame:
@@ -82,7 +90,7 @@ def retrieve(questions: DataFrame, items: DataFrame, chunks: DataFrame, knobs: K
     """Final ranked chunks per question, with their texts."""
     batch = prepare(questions)
     ranked = rerank(candidates(batch, items, chunks, knobs), knobs)
-    return with_text(batch, chunks, ranked)
+    return with_text(batch, chunks, ranked, knobs.candidates)
 
 
 def retrieve_prompts(questions: DataFrame, items: DataFrame, chunks: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:

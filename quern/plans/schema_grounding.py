@@ -137,4 +137,5 @@ def refresh_schema(
     fresh = assign_ids(schema_items(spark, tables, declared), ["kind", "name"], after).select(
         "*", F.lit(1).alias("version"), now.alias("created_at"), now.alias("updated_at")
     ).select(*ITEM_COLUMNS)
-    return replace_kinds(items, chunks, SCHEMA_KINDS, fresh, embed(chunk_items(fresh, keep_empty=True)))
+    cut = chunk_items(fresh, keep_empty=True, with_kind="kind" in chunks.columns)
+    return replace_kinds(items, chunks, SCHEMA_KINDS, fresh, embed(cut))

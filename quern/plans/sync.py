@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import normalize, row_name
 from quern.operators.chunks import chunk_items
 from quern.operators.ordering import RUN_ROWS
-from quern.operators.upsert import delete_items, replace_chunks, upsert_items
+from quern.operators.upsert import delete_items, replace_chunks, split_upsert
 
 CREATE, UPDATE, DELETE, KEEP = "CREATE", "UPDATE", "DELETE", "KEEP"
 
@@ -85,10 +85,10 @@ def apply_sync(
         "kind", row_name(F.col("kind"), lit_dataset, F.col("row_ix")).alias("name")
     )
     left_items, left_chunks = delete_items(items, chunks, doomed)
-    new_items = upsert_items(left_items, incoming, now)
-    touched = new_items.join(incoming.select("kind", "name"), ["kind", "name"], "left_semi")
-    fresh = embed(chunk_items(touched))
-    return new_items, replace_chunks(left_chunks, touched.select(F.col("id").alias("item_id")), fresh)
+    kept, changed = split_upsert(left_items, incoming, now)
+    fresh = embed(chunk_items(changed, with_kind="kind" in chunks.columns))
+    ids = changed.select(F.col("id").alias("item_id"))
+    return kept.unionByName(changed), replace_chunks(left_chunks, ids, fresh)
 
 
 def export_rows(current: DataFrame) -> DataFrame:

@@ -59,8 +59,9 @@ def first_by_text(rows: DataFrame) -> DataFrame:
     """
     digest = F.sha2(normalize(F.col("body")), 256).alias("_digest")
     first = rows.groupBy("kind", digest).agg(F.min("row_ix").alias("row_ix")).select("kind", "row_ix")
-    kept = rows.join(first, ["kind", "row_ix"], "left_semi")
-    return dense_index_by(kept, ["kind"], "row_ix", "_ix").select("kind", F.col("_ix").alias("row_ix"), "body")
+    # Numbered without the texts, which then move once.
+    places = dense_index_by(first, ["kind"], "row_ix", "_ix")
+    return rows.join(places, ["kind", "row_ix"]).select("kind", F.col("_ix").alias("row_ix"), "body")
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

@@ -16,8 +16,13 @@ def save_items(items: DataFrame, path: str) -> None:
 
 
 def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Sorted by item inside each file, so that a lookup by item skips row groups."""
-    chunks.sortWithinPartitions("item_id", "chunk_ix").write.mode("errorifexists").parquet(path)
+    """Sorted by item inside each file, so that a lookup by item skips row groups.
+
+    Chunks that carry their item's kind are cut by it, so a search by kind reads only those files.
+    """
+    sorted_chunks = chunks.sortWithinPartitions(*[c for c in ("kind", "item_id", "chunk_ix") if c in chunks.columns])
+    by_kind = ["kind"] if "kind" in chunks.columns else []
+    sorted_chunks.write.mode("errorifexists").partitionBy(*by_kind).parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +39,7 @@ def kind_filter(kinds: Sequence[str]) -> Column:
     return F.col("kind").isin([k.strip() for k in kinds if k.strip()])
 
 
-def dataset_filter(dataset: str) -> Column:
+def dataset_filter(dataset: str, own_column: bool = False) -> Column:
     """The dataset must match, but only for items of kind ``info``."""
-    return (F.col("kind") != "info") | (F.element_at("metadata", F.lit("dataset")) == dataset)
+    held = F.col("dataset") if own_column else F.element_at("metadata", F.lit("dataset"))
+    return (F.col("kind") != "info") | (held == dataset)

@@ -246,8 +246,7 @@ def _sql_probed(probes):
 
 def _source_centroids(spark, sf):
     """Mean chunk vector of every source, as cells 0, 1, … in source order."""
-    source = t.items(spark, sf).select(F.col("id").alias("item_id"), F.element_at("metadata", F.lit("dataset")).alias("dataset"))
-    parts = t.chunks(spark, sf).join(source, "item_id").select("dataset", F.posexplode("embedding").alias("pos", "x"))
+    parts = t.chunks(spark, sf).select("dataset", F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("dataset", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     vectors = means.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
     ordered = vectors.select("dataset", F.transform("v", lambda p: p["x"]).alias("embedding")).orderBy("dataset")

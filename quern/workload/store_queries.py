@@ -258,7 +258,8 @@ def bulk_commit(spark, sf):
     items = t.items(spark, sf)
     new_items, new_chunks = commit_entries(entries, items, t.chunks(spark, sf), embed_hashed, _now())
     named = new_items.select(F.col("id").alias("item_id"), "kind", "name", "version")
-    return new_chunks.join(named, "item_id").select("kind", "name", "version", "chunk_ix", "chunk_text")
+    listed = new_chunks.select("item_id", "chunk_ix", "chunk_text")
+    return listed.join(named, "item_id").select("kind", "name", "version", "chunk_ix", "chunk_text")
 
 
 # --- store changes ------------------------------------------------------------------------------
@@ -438,13 +439,17 @@ def embedding_width(spark, sf):
     return audit.embedding_width(t.table(spark, sf, "embeddings"))
 
 
+SEGMENT_TURNS = 8
+
+
 @query(
     "stitch_conversations",
-    """SELECT conv_id, string_agg(text, '' ORDER BY turn) AS full_text, CAST(count(*) AS INTEGER) AS chunk_count
-    FROM conversations GROUP BY conv_id""",
+    f"""SELECT conv_id, turn // {SEGMENT_TURNS} AS segment, string_agg(text, '' ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS chunk_count
+    FROM conversations GROUP BY ALL""",
 )
 def stitch_conversations(spark, sf):
+    """Turns of each conversation end to end, a few turns to a segment."""
     turns = t.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("item_id"), F.col("turn").cast("int").alias("chunk_ix"), F.col("text").alias("chunk_text")
+        F.col("conv_id").alias("item_id"), F.col("turn").alias("chunk_ix"), F.col("text").alias("chunk_text")
     )
-    return audit.nested_chunks(turns).select(F.col("id").alias("conv_id"), "full_text", "chunk_count")
+    return audit.stitched_segments(turns, SEGMENT_TURNS).withColumnRenamed("item_id", "conv_id")

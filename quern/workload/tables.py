@@ -58,7 +58,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return embed_hashed(chunk_items(spread_out(items(spark, sf), "id")))
+    return embed_hashed(chunk_items(spread_out(items(spark, sf), "id"), with_kind=True))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ def test_payloads(spark):
 
 
 def _land(folder, name, rows):
+    """Files arrive in the order of their names."""
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("".join(json.dumps(dict(zip(("k", "seq", "v"), r))) + "\n" for r in rows))
+    os.utime(folder / name, (1_700_000_000 + int(name[0]),) * 2)
 
 
 def _present(spark, path, table="typed"):

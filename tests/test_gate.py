@@ -103,7 +103,9 @@ def test_result_forms(spark):
     assert cells.orderBy("row_ix").first().cells == ["0", 'a"b,0', "[0]"]
     text = results.rows_text(rows).first().rows_text
     assert text.startswith(results.ROWS_HEAD + '--- Row 1 ---\nk: 0\nname: a"b,0\nlist: [0]\n\n--- Row 2 ---\nk: 1\nname: null\n')
-    assert results.rows_text(_numbered(spark, 0)).first().rows_text == results.NO_DATA
+    assert [tuple(r) for r in results.rows_text(_numbered(spark, 0)).collect()] == [(0, results.NO_DATA)]
+    parts = [r.rows_text for r in results.rows_text(rows, 7).orderBy("part").collect()]
+    assert len(parts) == 4 and "".join(parts) == text
     assert results.draft_answer(rows.select("row_ix", "k")).first().answer == 'Found 25 rows. Example: {"k":0}'
     assert results.draft_answer(_numbered(spark, 0)).first().answer == "Found 0 rows. Example: {}"
 

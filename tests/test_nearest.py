@@ -48,7 +48,7 @@ def test_exact_with_a_third_of_the_chunks_equal(spark, metric, monkeypatch):
     chunks, questions = _vectors(600, 1, copies=200), _vectors(9, 2)
     questions[0] = chunks[0]
     batch = ann.prepare(_questions(spark, questions))
-    assert batch.bounded
+    assert batch.bounded(25)
     got = _got(ann.nearest(batch, _chunks(spark, chunks), 25, metric))
     assert got == _brute(chunks, questions, 25, metric)
 
@@ -59,13 +59,21 @@ def test_large_question_batches_take_the_grid(spark, monkeypatch):
     monkeypatch.setattr(ann, "GRID_CHUNKS", 90)
     monkeypatch.setattr(ann, "MAX_SENT_QUESTIONS", 25)
     batch = ann.prepare(_questions(spark, questions), limit=25)
-    assert not batch.bounded
+    assert not batch.bounded(10)
     assert _got(ann.nearest(batch, _chunks(spark, chunks), 10)) == want
     centroids = _vectors(5, 9).astype(float)
     indexed = ann.assign_cells(_chunks(spark, chunks), centroids)
     assert _got(ann.nearest_by_cells(batch, indexed, centroids, 5, 10)) == want
 
 
+def test_deep_searches_take_the_grid_too(spark, monkeypatch):
+    chunks, questions = _vectors(300, 3), _vectors(30, 4)
+    monkeypatch.setattr(ann, "MAX_KEPT_PAIRS", 400)
+    batch = ann.prepare(_questions(spark, questions))
+    assert batch.bounded(10) and not batch.bounded(40)
+    assert _got(ann.nearest(batch, _chunks(spark, chunks), 40)) == _brute(chunks, questions, 40, "l2")
+
+
 def test_cells_find_more_with_more_probes_and_all_with_all(spark):
     chunks, questions = _vectors(800, 5), _vectors(20, 6)
     want = _brute(chunks, questions, 10, "l2")

@@ -58,6 +58,19 @@ def test_commit_gives_an_empty_body_one_chunk(spark):
     assert [(r.item_id, r.chunk_ix, r.chunk_text) for r in chunks.collect()] == [(1, 0, "")]
 
 
+def test_chunks_that_carry_their_kind(spark, tmp_path):
+    items = _items(spark, [(1, "table", "t", "x"), (2, "info", "i", "y"), (3, "info", "j", "z")])
+    items = items.withColumn("metadata", F.create_map(F.lit("dataset"), F.concat(F.lit("d"), F.col("id").cast("string"))))
+    with_kind, plain = chunk_items(items, with_kind=True), chunk_items(items)
+    knobs = retrieve.Knobs(kinds=["info", "table"], dataset="d2")
+    for chunks in (with_kind, plain):
+        assert sorted(r.item_id for r in retrieve.eligible_chunks(items, chunks, knobs).collect()) == [1, 2]
+    _, chunks = commit_entries(_incoming(spark, [("info", "i", "new", {"dataset": "d9"}, 0)]), items, embed_hashed(with_kind), embed_hashed, now())
+    assert {(r.item_id, r.kind, r.dataset) for r in chunks.collect()} == {(1, "table", "d1"), (2, "info", "d9"), (3, "info", "d3")}
+    store.save_chunks(chunks, str(tmp_path / "chunks"))
+    assert sorted(p.name for p in (tmp_path / "chunks").glob("kind=*")) == ["kind=info", "kind=table"]
+
+
 def test_save_and_load(spark, tmp_path):
     items = _items(spark, [(1, "table", "t", "x"), (2, "info", "i", "y")])
     store.save_items(items, str(tmp_path / "items"))
