@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.operators.sizes import is_small, sent_if_small
+from quern.session import staged
 
 ITEM_COLUMNS = ["id", "kind", "name", "body", "metadata", "version", "created_at", "updated_at"]
 ID_BUCKETS = 4096
@@ -63,7 +64,9 @@ def split_upsert(current: DataFrame, incoming: DataFrame, now: Column) -> tuple[
     )
     after = current.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = assign_ids(changed.filter(~known).drop("id"), ["kind", "name"], after)
-    return kept.select(*ITEM_COLUMNS), changed.filter(known).unionByName(fresh.select(*ITEM_COLUMNS))
+    written = changed.filter(known).unionByName(fresh.select(*ITEM_COLUMNS))
+    # Items, chunks and ids are all read from the changed rows.
+    return kept.select(*ITEM_COLUMNS), staged(written, "changed-items")
 
 
 def upsert_items(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:

@@ -58,3 +58,13 @@ def durable(df):
     """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df, label: str):
+    """The frame written once to the shared folder and read back, for results that are read many times.
+
+    Unlike a checkpoint, later readings touch only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -116,10 +116,9 @@ def sync_counts(spark, sf):
 def applied(spark, sf):
     """The saved store after one sync: the plan is kept, then applied to the snapshot it was made from."""
     path = scratch_path(spark, "store")
-    old = spread_out(stored_items(spark, sf), "id")
-    save_items(old, f"{path}/items")
+    save_items(stored_items(spark, sf), f"{path}/items")
     items = load(spark, f"{path}/items")
-    save_chunks(embed_hashed(chunk_items(items)), f"{path}/chunks")
+    save_chunks(embed_hashed(chunk_items(spread_out(items, "id"))), f"{path}/chunks")
     chunks = load(spark, f"{path}/chunks")
     desired = durable(sync.desired_rows(positions(spark, sf)))
     current = sync.current_rows(items_of(items, t.KINDS, DATASET))
