@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import normalize, row_name
 from quern.operators.chunks import chunk_items
 from quern.operators.ordering import RUN_ROWS
+from quern.operators.sizes import sent_if_small
 from quern.operators.upsert import delete_items, replace_chunks, split_upsert
 
 CREATE, UPDATE, DELETE, KEEP = "CREATE", "UPDATE", "DELETE", "KEEP"
@@ -71,8 +72,8 @@ def apply_sync(
 ) -> tuple[DataFrame, DataFrame]:
     """The new items and chunks. Only created and updated rows are chunked and embedded."""
     lit_dataset = F.lit(dataset)
-    changes = plan.filter(F.col("action").isin(CREATE, UPDATE)).select("kind", "row_ix")
-    incoming = desired.join(changes, ["kind", "row_ix"]).select(
+    changes = sent_if_small(plan.filter(F.col("action").isin(CREATE, UPDATE)).select("kind", "row_ix"))
+    incoming = desired.join(changes, ["kind", "row_ix"], "left_semi").select(
         "kind",
         row_name(F.col("kind"), lit_dataset, F.col("row_ix")).alias("name"),
         "body",
