@@ -105,3 +105,8 @@ def first_select(col: Column) -> Column:
 def utc_stamp(ts: Column) -> Column:
     """Compact UTC stamp of a zone-free timestamp that already holds UTC."""
     return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def utc_time(ts: Column) -> Column:
+    """The same in the longer form."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

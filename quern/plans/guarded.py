@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,35 +18,44 @@ class Refused(ValueError):
     """The statement does not pass the gate, or Spark cannot resolve it."""
 
 
+def _run(spark: SparkSession, clean_sql: str, limit: int | None) -> DataFrame:
+    """The rows of a statement that passed the gate.
+
+    The text is placed inside FROM, where only a query can stand, so nothing else parses.
+    """
+    text = clean_sql.rstrip().rstrip(";")
+    try:
+        rows = spark.sql(f"SELECT * FROM (\n{text}\n)")
+    except (ParseException, AnalysisException) as error:
+        raise Refused(str(error)) from error
+    return rows if limit is None else rows.limit(limit)
+
+
 def run_guarded(spark: SparkSession, sql: str, limit: int | None = None) -> tuple[DataFrame, list[str]]:
     """The rows of one gated SELECT, and the gate's warnings.
 
-    The text is placed inside FROM, where only a query can stand, so nothing else parses. ``limit``
-    applies the default row limit that a caller may ask for.
+    ``limit`` applies the default row limit that a caller may ask for.
     """
     verdict = gate(spark.range(1).select(F.col("id").alias("stmt_id"), F.lit(sql).alias("sql"))).first()
     if not verdict["allowed"]:
         raise Refused(verdict["reason"])
-    text = verdict["clean_sql"].rstrip().rstrip(";")
-    try:
-        rows = spark.sql(f"SELECT * FROM (\n{text}\n)")
-    except (ParseException, AnalysisException) as error:
-        raise Refused(str(error)) from error
-    return (rows if limit is None else rows.limit(limit)), list(verdict["warnings"])
+    return _run(spark, verdict["clean_sql"], limit), list(verdict["warnings"])
 
 
-def run_all(spark: SparkSession, statements: DataFrame, limit: int | None = DEFAULT_LIMIT):
+def run_all(
+    spark: SparkSession, statements: DataFrame, limit: int | None = DEFAULT_LIMIT
+) -> Iterator[tuple[object, DataFrame | None, list[str], str | None]]:
     """(stmt_id, rows or None, warnings, refusal) for each statement, as each is its own Spark query.
 
     Statements pass the driver one by one; their rows do not.
     """
-    for verdict in gate(statements).select("stmt_id", "sql", "allowed", "reason").toLocalIterator():
+    for verdict in gate(statements).drop("sql").toLocalIterator():
         if not verdict["allowed"]:
             yield verdict["stmt_id"], None, [], verdict["reason"]
             continue
         try:
-            rows, warnings = run_guarded(spark, verdict["sql"], limit)
+            rows = _run(spark, verdict["clean_sql"], limit)
         except Refused as refusal:
             yield verdict["stmt_id"], None, [], str(refusal)
         else:
-            yield verdict["stmt_id"], rows, warnings, None
+            yield verdict["stmt_id"], rows, list(verdict["warnings"]), None

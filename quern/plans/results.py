@@ -26,6 +26,11 @@ def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return number_rows(flat(rows), order)
 
 
+def numbered_head(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows as the query returned them, numbered from 1; a limit has one partition."""
+    return flat(rows).limit(limit).withColumn("row_ix", F.monotonically_increasing_id() + 1)
+
+
 def _values(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c != "row_ix"]
 
@@ -36,11 +41,11 @@ def result_rows(rows: DataFrame) -> tuple[list[str], DataFrame]:
     return headers, rows.select("row_ix", F.array(*[F.col(h).cast("string") for h in headers]).alias("cells"))
 
 
-def row_blocks(rows: DataFrame) -> DataFrame:
+def row_blocks(rows: DataFrame, *more: Column) -> DataFrame:
     """(row_ix, block): the text of each numbered row, one ``column: value`` line per column."""
     lines = [F.concat(F.lit(f"{h}: "), F.coalesce(F.col(h).cast("string"), F.lit("null")), F.lit("\n")) for h in _values(rows)]
     head = F.concat(F.lit("--- Row "), F.col("row_ix").cast("string"), F.lit(" ---\n"))
-    return rows.select("row_ix", F.concat(head, *lines, F.lit("\n")).alias("block"))
+    return rows.select("row_ix", F.concat(head, *lines, F.lit("\n")).alias("block"), *more)
 
 
 def rows_text(rows: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
@@ -66,6 +71,20 @@ def draft_answer(rows: DataFrame) -> DataFrame:
     )
 
 
+def worded_head(rows: DataFrame, limit: int) -> DataFrame:
+    """One row with text and draft of the first ``limit`` rows, from a single run of the query."""
+    head = numbered_head(rows, limit)
+    values = _values(head)
+    shown = row_blocks(head, F.to_json(F.struct(*values)).alias("json"))
+    blocks = F.array_sort(F.collect_list(F.struct("row_ix", "block"))).alias("_blocks")
+    first = F.coalesce(F.min_by("json", "row_ix"), F.lit("{}")).alias("_first")
+    text = F.array_join(F.transform("_blocks", lambda x: x["block"]), "")
+    return shown.agg(blocks, first).select(
+        F.when(F.size("_blocks") == 0, F.lit(NO_DATA)).otherwise(F.concat(F.lit(ROWS_HEAD), text)).alias("rows_text"),
+        F.concat(F.lit("Found "), F.size("_blocks").cast("string"), F.lit(" rows. Example: "), F.col("_first")).alias("draft"),
+    )
+
+
 def _meta(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(
         [(0, i, line) for i, line in enumerate(lines)], "section int, line_ix long, line string"

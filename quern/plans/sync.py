@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import normalize, row_name
+from quern.functions.text import CHUNK_CHARS, normalize, row_name
 from quern.operators.chunks import chunk_items
 from quern.operators.ordering import RUN_ROWS
 from quern.operators.sizes import sent_if_small
 from quern.operators.upsert import delete_items, replace_chunks, split_upsert
+from quern.sinks.files import write_json
 
 CREATE, UPDATE, DELETE, KEEP = "CREATE", "UPDATE", "DELETE", "KEEP"
 
@@ -67,6 +68,28 @@ def sync_record(plan: DataFrame, dataset: str, stamp: Column, model: str, applie
     )
 
 
+def sync_actions(plan: DataFrame, desired: DataFrame, dataset: str, applied: bool, size: int = CHUNK_CHARS) -> DataFrame:
+    """(kind, row_ix, name, action, chunks) for every position that changes, as the audit lists them."""
+    suffix = "_APPLIED" if applied else ""
+    changes = plan.filter(F.col("action") != KEEP)
+    lengths = desired.select("kind", "row_ix", F.length("body").alias("_length"))
+    listed = changes.join(lengths, ["kind", "row_ix"], "left")
+    upserted = F.col("action") != DELETE
+    return listed.select(
+        "kind",
+        "row_ix",
+        row_name(F.col("kind"), F.lit(dataset), F.col("row_ix")).alias("name"),
+        F.when(upserted, F.lit(f"UPSERT{suffix}")).otherwise(F.lit(f"DELETE{suffix}")).alias("action"),
+        F.when(upserted, F.ceil(F.col("_length") / size).cast("int")).alias("chunks"),
+    )
+
+
+def write_sync_audit(record: DataFrame, actions: DataFrame, path: str) -> None:
+    """The record's rows and the list of actions, as JSON."""
+    write_json(record, f"{path}/record", ["kind"])
+    write_json(actions, f"{path}/actions", ["kind", "action", "row_ix"])
+
+
 def apply_sync(
     plan: DataFrame, desired: DataFrame, items: DataFrame, chunks: DataFrame, dataset: str, embed, now: Column
 ) -> tuple[DataFrame, DataFrame]:

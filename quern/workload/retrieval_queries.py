@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quern.functions.vectors import DIMS
 from quern.operators import nearest as ann
 from quern.operators.rerank import mmr
+from quern.operators.gate import REFUSED
+from quern.plans import answer as answering
 from quern.plans import prompts, retrieve
 from quern.plans.retrieve import Knobs
 from quern.workload import tables as t
@@ -221,6 +223,45 @@ def answer_prompt(spark, sf):
     return asked.select("query_id", prompts.answer_prompt(F.col("question"), F.lit(shown), F.col("context")).alias("prompt"))
 
 
+# --- questions to answers ------------------------------------------------------------------------
+
+_PROPOSED = """proposed AS (
+  SELECT query_id, CASE length(question) % 6 WHEN 5 THEN 'DROP TABLE nation'
+    ELSE 'SELECT count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = ' || (length(question) % 6) END AS clean_sql,
+    length(question) % 6 AS r FROM asked)"""
+
+
+def _model():
+    """Stands in for a model: it proposes a statement by the question's length, and answers by quoting."""
+
+    def reply(prompt: str) -> str:
+        if prompt.startswith(prompts.ANSWER_INSTRUCTIONS):
+            return " " + prompt.split("--- Row 1 ---\n")[1].split("\n\n")[0]
+        question = prompt.split(prompts.SQL_QUESTION)[1].split(prompts.SQL_SCHEMA)[0]
+        region = len(question) % 6
+        if region == 5:
+            return "DROP TABLE nation"
+        return f"```sql\nSELECT count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = {region}\n```"
+
+    return lambda texts: [reply(text) for text in texts]
+
+
+@query(
+    "answer_questions",
+    f"""WITH asked AS (SELECT item_id AS query_id, text AS question FROM benchmark), {_PROPOSED},
+    counted AS (SELECT n_regionkey AS r, count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+    SELECT query_id, clean_sql, CASE WHEN r = 5 THEN '{REFUSED}' END AS reason,
+      'Found 1 rows. Example: {{"n":' || n || ',"first":"' || first || '"}}' AS draft, 'n: ' || n || chr(10) || 'first: ' || first AS answer
+    FROM proposed LEFT JOIN counted USING (r)""",
+)
+def answer_questions(spark, sf):
+    for name in ("customer", "nation"):
+        t.table(spark, sf, name).createOrReplaceTempView(name)
+    grounded = answering.contexts(t.questions(spark, sf), t.items(spark, sf), t.chunks(spark, sf), ["info", "example"], COSINE)
+    proposed = answering.propose(grounded, None, lambda: _model())
+    return answering.answer(proposed, lambda: _model()).select("query_id", "clean_sql", "reason", "draft", "answer")
+
+
 # --- approximate forms ---------------------------------------------------------------------------
 
 PROBES = 4

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.text import csv_cell, has_text, row_name, utc_stamp
+from quern.functions.text import csv_cell, has_text, row_name, utc_time
 from quern.operators import upsert
 from quern.operators.chunks import chunk_items, embed_hashed
 from quern.operators.ordering import dense_index_by, spread_out
@@ -101,7 +101,7 @@ def sync_plan(spark, sf):
 
 @query(
     "sync_counts",
-    f"""WITH {SQL_SIDES} SELECT '{DATASET}' AS dataset, '20240601T000000Z' AS ts_utc, kind,
+    f"""WITH {SQL_SIDES} SELECT '{DATASET}' AS dataset, '2024-06-01T00:00:00Z' AS ts_utc, kind,
       count(*) FILTER (action <> 'DELETE') AS desired, count(*) FILTER (action <> 'CREATE') AS current,
       count(*) FILTER (action = 'CREATE') AS creates, count(*) FILTER (action = 'UPDATE') AS updates,
       count(*) FILTER (action = 'DELETE') AS deletes
@@ -109,10 +109,22 @@ def sync_plan(spark, sf):
 )
 def sync_counts(spark, sf):
     desired, _, current = sides(spark, sf)
-    record = sync.sync_record(sync.plan_sync(desired, current), DATASET, utc_stamp(_now()), "hashed", False)
+    record = sync.sync_record(sync.plan_sync(desired, current), DATASET, utc_time(_now()), "hashed", False)
     return record.drop("embedding_model", "apply")
 
 
+@query(
+    "sync_actions",
+    f"""WITH {SQL_SIDES} SELECT kind, row_ix, kind || '::{DATASET}::row::' || row_ix AS name,
+      CASE WHEN action = 'DELETE' THEN 'DELETE' ELSE 'UPSERT' END AS action,
+      CASE WHEN action <> 'DELETE' THEN CAST(ceil(length(want) / 1500.0) AS INTEGER) END AS chunks
+    FROM plan WHERE action <> 'KEEP'""",
+)
+def sync_actions(spark, sf):
+    desired, _, current = sides(spark, sf)
+    return sync.sync_actions(sync.plan_sync(desired, current), desired, DATASET, False)
+
+
 def applied(spark, sf):
     """The saved store after one sync: the plan is kept, then applied to the snapshot it was made from."""
     path = scratch_path(spark, "store")
