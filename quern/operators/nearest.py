@@ -96,8 +96,8 @@ def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 class _Best:
     """The best ``k`` pairs per question seen so far by one task.
 
-    New pairs wait until there are about as many as kept ones, so sorting stays cheap per pair;
-    ``worst`` is the distance of a question's ``k``-th kept pair and only ever falls.
+    New pairs wait until there are about as many as kept ones, so sorting stays cheap per pair. The
+    ``k``-th kept pair of a question bounds what may still enter; the bound only ever falls.
     """
 
     def __init__(self, n_questions: int, k: int):
@@ -107,11 +107,17 @@ class _Best:
         self.parts = [empty]
         self.waiting = 0
         self.worst = np.full(n_questions, np.inf)
+        self.worst_item = np.full(n_questions, np.iinfo(np.int64).max)
+        self.worst_chunk = np.full(n_questions, np.iinfo(np.int32).max, np.int32)
 
     def add(self, question, item, chunk, dist) -> None:
-        if len(question):
-            self.parts.append((question, item, chunk, dist))
-            self.waiting += len(question)
+        """Take the pairs that precede their question's bound by distance, item and chunk."""
+        worst, tie = self.worst[question], self.worst_item[question]
+        before = (item < tie) | ((item == tie) & (chunk < self.worst_chunk[question]))
+        enter = (dist < worst) | ((dist == worst) & before)
+        if enter.any():
+            self.parts.append((question[enter], item[enter], chunk[enter], dist[enter]))
+            self.waiting += int(enter.sum())
             if self.waiting >= self.room:
                 self.settle()
 
@@ -123,22 +129,54 @@ class _Best:
         sizes = np.diff(starts, append=len(asked))
         rank = np.arange(len(asked)) - np.repeat(starts, sizes)
         full = starts[sizes >= self.k]
-        self.worst[asked[full]] = dist[order[full + self.k - 1]]
+        last = order[full + self.k - 1]
+        self.worst[asked[full]] = dist[last]
+        self.worst_item[asked[full]] = item[last]
+        self.worst_chunk[asked[full]] = chunk[last]
         keep = order[rank < self.k]
         kept = question[keep], item[keep], chunk[keep], dist[keep]
         self.parts, self.waiting = [kept], 0
         return kept
 
 
-def _add_pairs(best: _Best, qi, ci, items, chunk_ixs, vectors, q_vectors, metric) -> None:
+class _Asked:
+    """A task's questions, shaped so that one matrix product per block gives rough scores."""
+
+    def __init__(self, vectors: np.ndarray, metric: str):
+        self.vectors, self.metric = vectors, metric
+        self.squares = np.square(vectors).sum(axis=1)
+        if metric == "l2":
+            self.left = np.hstack([-2.0 * vectors, np.ones((len(vectors), 1))])
+        else:
+            self.left = -_unit(vectors, self.squares)
+
+    def rough(self, questions: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, float]:
+        """Scores that order like distances, and the largest square among the rows."""
+        squares = np.square(block).sum(axis=1)
+        right = np.hstack([block, squares[:, None]]) if self.metric == "l2" else _unit(block, squares)
+        return self.left[questions] @ right.T, squares.max()
+
+    def limit(self, questions: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """The rough score that stands for a distance."""
+        return np.square(worst) - self.squares[questions] if self.metric == "l2" else worst - 1.0
+
+    def margin(self, questions: np.ndarray, largest: float) -> np.ndarray:
+        """More than the rounding error of a rough score."""
+        return 1e-9 * (1.0 + self.squares[questions] + largest) if self.metric == "l2" else np.full(len(questions), 1e-9)
+
+
+def _unit(vectors: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    norms = np.sqrt(squares)[:, None]
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def _add_pairs(best: _Best, qi, ci, items, chunk_ixs, vectors, asked: _Asked) -> None:
     for at in range(0, len(qi), PAIR_SLICE):
         q, c = qi[at : at + PAIR_SLICE], ci[at : at + PAIR_SLICE]
-        dist = _pair_distance(vectors[c], q_vectors[q], metric)
-        near = dist <= best.worst[q]
-        best.add(q[near], items[c][near], chunk_ixs[c][near], dist[near])
+        best.add(q, items[c], chunk_ixs[c], _pair_distance(vectors[c], asked.vectors[q], asked.metric))
 
 
-def _score_block(best: _Best, rows, items, chunk_ixs, vectors, questions, q_vectors, metric) -> None:
+def _score_block(best: _Best, rows, items, chunk_ixs, vectors, questions, asked: _Asked) -> None:
     """Score the given rows against the given questions.
 
     The matrix product only preselects, with a margin above its rounding error; the distance that
@@ -147,33 +185,24 @@ def _score_block(best: _Best, rows, items, chunk_ixs, vectors, questions, q_vect
     block = vectors[rows]
     for at in range(0, len(questions), BLOCK_QUESTIONS):
         qs = questions[at : at + BLOCK_QUESTIONS]
-        q = q_vectors[qs]
-        worst = best.worst[qs]
-        dots = q @ block.T
-        q2, v2 = np.square(q).sum(axis=1), np.square(block).sum(axis=1)
-        if metric == "l2":
-            rough = q2[:, None] + v2[None, :] - 2.0 * dots
-            bound = np.square(worst)
-            margin = 1e-9 * (1.0 + q2 + v2.max())
-        else:
-            norms = np.sqrt(q2)[:, None] * np.sqrt(v2)[None, :]
-            rough = 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-            bound = worst
-            margin = np.full(len(qs), 1e-9)
-        if rough.shape[1] > best.k:
-            bound = np.minimum(bound, np.partition(rough, best.k - 1, axis=1)[:, best.k - 1])
-        qi, ci = np.nonzero(rough <= (bound + margin)[:, None])
-        _add_pairs(best, qs[qi], rows[ci], items, chunk_ixs, vectors, q_vectors, metric)
-
-
-def _exact_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe) -> None:
-    everyone = np.arange(len(q_vectors))
+        rough, largest = asked.rough(qs, block)
+        bound = asked.limit(qs, best.worst[qs])
+        # A question with fewer than k pairs so far takes at most this block's k best, and ties.
+        fresh = np.flatnonzero(np.isinf(bound))
+        if len(fresh) and rough.shape[1] > best.k:
+            bound[fresh] = np.partition(rough[fresh], best.k - 1, axis=1)[:, best.k - 1]
+        qi, ci = np.nonzero(rough <= (bound + asked.margin(qs, largest))[:, None])
+        _add_pairs(best, qs[qi], rows[ci], items, chunk_ixs, vectors, asked)
+
+
+def _exact_batch(best, items, chunk_ixs, vectors, asked, extra, probe) -> None:
+    everyone = np.arange(len(asked.vectors))
     for at in range(0, len(items), BLOCK_ROWS):
         rows = np.arange(at, min(at + BLOCK_ROWS, len(items)))
-        _score_block(best, rows, items, chunk_ixs, vectors, everyone, q_vectors, metric)
+        _score_block(best, rows, items, chunk_ixs, vectors, everyone, asked)
 
 
-def _cell_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe) -> None:
+def _cell_batch(best, items, chunk_ixs, vectors, asked, extra, probe) -> None:
     """Each cell's rows meet only the questions that probe the cell."""
     order = np.argsort(extra, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(extra[order]) != 0, True])
@@ -183,7 +212,7 @@ def _cell_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe
             continue
         for at in range(start, end, BLOCK_ROWS):
             rows = order[at : min(at + BLOCK_ROWS, end)]
-            _score_block(best, rows, items, chunk_ixs, vectors, asking, q_vectors, metric)
+            _score_block(best, rows, items, chunk_ixs, vectors, asking, asked)
 
 
 def _shared_signs(asked: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,30 +229,51 @@ def _shared_signs(asked: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.
     return np.nonzero(shared)
 
 
-def _sign_batch(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe) -> None:
+def _sign_batch(best, items, chunk_ixs, vectors, asked, extra, probe) -> None:
     """A pair is scored when the two share the signature of at least one table."""
     planes, q_signs = probe
     signs = _signatures(vectors, planes)
     for at in range(0, len(items), BLOCK_ROWS):
         block = signs[at : at + BLOCK_ROWS]
-        for qat in range(0, len(q_vectors), BLOCK_QUESTIONS):
+        for qat in range(0, len(asked.vectors), BLOCK_QUESTIONS):
             qi, ci = _shared_signs(q_signs[qat : qat + BLOCK_QUESTIONS], block)
-            _add_pairs(best, qi + qat, ci + at, items, chunk_ixs, vectors, q_vectors, metric)
+            _add_pairs(best, qi + qat, ci + at, items, chunk_ixs, vectors, asked)
+
+
+def _useful_copies(vectors: np.ndarray, items: np.ndarray, chunk_ixs: np.ndarray, k: int) -> np.ndarray:
+    """Rows to score: of equal vectors only the ``k`` first by id can be among the ``k`` nearest.
+
+    Rows meet by a hash of their bits; a row is left out only when it equals its group's first row.
+    """
+    bits = np.ascontiguousarray(vectors).view(np.uint64)
+    odd = np.arange(1, 2 * bits.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, group, sizes = np.unique((bits * odd).sum(axis=1, dtype=np.uint64), return_inverse=True, return_counts=True)
+    if sizes.max() <= k:
+        return np.arange(len(items))
+    order = np.lexsort((chunk_ixs, items, group))
+    starts = np.cumsum(sizes) - sizes
+    rank = np.arange(len(order)) - np.repeat(starts, sizes)
+    late = np.flatnonzero(rank >= k)
+    first = order[np.repeat(starts, sizes)[late]]
+    copies = (vectors[order[late]] == vectors[first]).all(axis=1)
+    return np.delete(order, late[copies])
 
 
 def _scan(batches: Iterable[pa.RecordBatch], q_ids, q_vectors, k, metric, score, probe) -> Iterator[pa.RecordBatch]:
     best = _Best(len(q_ids), k)
+    asked = _Asked(q_vectors, metric) if len(q_ids) else None
     for batch in batches:
         batch = _with_vectors(batch)
-        if batch.num_rows == 0 or len(q_ids) == 0:
+        if batch.num_rows == 0 or asked is None:
             continue
         vectors = _matrix(batch.column("embedding"))
         if vectors.shape[1] != q_vectors.shape[1]:
             raise ValueError(f"chunk width {vectors.shape[1]} differs from question width {q_vectors.shape[1]}")
         items = batch.column("item_id").to_numpy()
         chunk_ixs = batch.column("chunk_ix").to_numpy()
-        extra = batch.column("cell").to_numpy() if "cell" in batch.schema.names else None
-        score(best, items, chunk_ixs, vectors, q_vectors, metric, extra, probe)
+        rows = _useful_copies(vectors, items, chunk_ixs, k)
+        extra = batch.column("cell").to_numpy()[rows] if "cell" in batch.schema.names else None
+        score(best, items[rows], chunk_ixs[rows], vectors[rows], asked, extra, probe)
     question, item, chunk, dist = best.settle()
     columns = [q_ids[question], item, chunk, dist]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=ARROW_SCORED)

@@ -116,6 +116,23 @@ def test_zero_vectors_have_no_similarity(spark):
     assert (found.dist, found.sim) == (1.0, 0.0)
 
 
+def test_copies_beyond_k_are_not_scored():
+    vectors = np.repeat(np.array([[1.0, 2.0], [3.0, 4.0], [0.0, -0.0]]), [5, 2, 4], axis=0)
+    items = np.array([9, 1, 8, 2, 7, 1, 1, 4, 3, 2, 1])
+    chunks = np.zeros(11, np.int32)
+    kept = ann._useful_copies(vectors, items, chunks, 2)
+    assert sorted(zip(vectors[kept, 0], items[kept])) == [(0.0, 1), (0.0, 2), (1.0, 1), (1.0, 2), (3.0, 1), (3.0, 1)]
+    assert len(ann._useful_copies(vectors, items, chunks, 5)) == 11
+
+
+def test_questions_that_are_copies_themselves(spark):
+    chunks = _vectors(900, 11, copies=300)
+    questions = np.concatenate([chunks[:1], chunks[:1], _vectors(3, 12)])
+    batch = ann.prepare(_questions(spark, questions))
+    for metric in ("l2", "cosine"):
+        assert _got(ann.nearest(batch, _chunks(spark, chunks), 20, metric)) == _brute(chunks, questions, 20, metric)
+
+
 def test_no_questions(spark):
     batch = ann.prepare(_questions(spark, _vectors(1, 2)).filter("query_id < 0"))
     assert ann.nearest(batch, _chunks(spark, _vectors(10, 1))).count() == 0
