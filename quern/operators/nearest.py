@@ -23,8 +23,8 @@ from quern.operators.ordering import top_per_group
 
 # A question batch up to this many rows and bytes is sent to every task; larger ones are spread.
 MAX_SENT_QUESTIONS = 8192
-MAX_SENT_BYTES = 128 << 20
-MAX_KEPT_PAIRS = 2_000_000
+MAX_SENT_BYTES = 32 << 20
+MAX_KEPT_PAIRS = 1_000_000
 GRID_CHUNKS = 20_000
 BLOCK_ROWS = 4096
 BLOCK_QUESTIONS = 1024

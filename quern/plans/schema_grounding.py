@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.operators.chunks import chunk_items
 from quern.operators.keys import check_foreign_key, check_primary_key
 from quern.operators.upsert import ITEM_COLUMNS, assign_ids, replace_kinds
+from quern.session import durable
 from quern.sources.catalog import SYSTEM_SCHEMAS, catalog_columns
 
 SCHEMA_KINDS = ["table", "column", "key"]
@@ -134,7 +135,9 @@ def refresh_schema(
     ``embed`` takes chunks and adds their ``embedding``.
     """
     after = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = assign_ids(schema_items(spark, tables, declared), ["kind", "name"], after).select(
+    # The key checks run once; the result has one row per table, column and key.
+    found = durable(schema_items(spark, tables, declared))
+    fresh = assign_ids(found, ["kind", "name"], after).select(
         "*", F.lit(1).alias("version"), now.alias("created_at"), now.alias("updated_at")
     ).select(*ITEM_COLUMNS)
     cut = chunk_items(fresh, keep_empty=True, with_kind="kind" in chunks.columns)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import CHUNK_CHARS, normalize, row_name
+from quern.functions.text import CHUNK_CHARS, normalize, row_name, utc_time
 from quern.operators.chunks import chunk_items
 from quern.operators.ordering import RUN_ROWS
 from quern.operators.sizes import sent_if_small
 from quern.operators.upsert import delete_items, replace_chunks, split_upsert
-from quern.sinks.files import write_json
+from quern.session import durable, staged
+from quern.sinks.files import write_item_files, write_json
+from quern.sources.csv_items import read_item_files
+from quern.sources.store import items_of
 
 CREATE, UPDATE, DELETE, KEEP = "CREATE", "UPDATE", "DELETE", "KEEP"
 
@@ -129,3 +134,34 @@ def export_rows(current: DataFrame) -> DataFrame:
     return positions.join(current, ["kind", "row_ix"], "left").select(
         "kind", "row_ix", F.coalesce("body", F.lit("")).alias("body")
     )
+
+
+def run_sync(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    items: DataFrame,
+    chunks: DataFrame,
+    dataset: str,
+    embed,
+    now: Column,
+    *,
+    has_header: bool = False,
+    dedupe: bool = False,
+    apply: bool = False,
+    export_path: str | None = None,
+    audit_path: str | None = None,
+    model: str = "",
+) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """The whole job over one file or folder per kind: the plan, and the new store when applied.
+
+    A dry run reads and compares only; nothing is embedded.
+    """
+    desired = staged(desired_rows(read_item_files(spark, paths, has_header, dedupe)), "desired-rows")
+    current = current_rows(items_of(items, list(paths), dataset))
+    if export_path:
+        write_item_files(export_rows(current), export_path)
+    plan = durable(plan_sync(desired, current))
+    if audit_path:
+        record = sync_record(plan, dataset, utc_time(now), model, apply)
+        write_sync_audit(record, sync_actions(plan, desired, dataset, apply), audit_path)
+    return plan, apply_sync(plan, desired, items, chunks, dataset, embed, now) if apply else None
