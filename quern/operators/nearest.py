@@ -356,13 +356,11 @@ def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
-def centroid_matrix(centroids: DataFrame, limit: int = MAX_SENT_QUESTIONS) -> np.ndarray:
-    """Centroids of a (cell, embedding) table, where cells count from 0."""
-    table = centroids.select("cell", "embedding").orderBy("cell").limit(limit + 1).toArrow()
+def centroid_matrix(centroids: DataFrame, order: str, limit: int = MAX_SENT_QUESTIONS) -> np.ndarray:
+    """The ``embedding`` rows of a small table as cells 0, 1, … in the given column's order."""
+    table = centroids.select(order, "embedding").orderBy(order).limit(limit + 1).toArrow()
     if table.num_rows > limit:
         raise ValueError("too many cells to send to every task")
-    if table.column("cell").to_pylist() != list(range(table.num_rows)):
-        raise ValueError("cells must count from 0")
     return _matrix(table.column("embedding"))
 
 

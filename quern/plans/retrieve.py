@@ -12,6 +12,7 @@ from quern.operators.nearest import Questions, nearest, prepare
 from quern.operators.rerank import mmr
 from quern.operators.sizes import sent_if_small
 from quern.plans.prompts import context_prompt
+from quern.session import durable
 from quern.sources.store import dataset_filter, kind_filter
 
 # Default knobs.
@@ -78,6 +79,11 @@ def with_text(questions: Questions, chunks: DataFrame, ranked: DataFrame, k: int
     return texts.join(_small(questions, k, ranked), ["item_id", "chunk_ix"])
 
 
+def kept_once(scored: DataFrame) -> DataFrame:
+    """Candidates that are read more than once: few rows, which took a reading of all vectors to find."""
+    return durable(scored)
+
+
 def above(scored: DataFrame, min_sim: float | None) -> DataFrame:
     return scored if min_sim is None else scored.filter(F.col("sim") >= min_sim)
 
@@ -100,6 +106,7 @@ def retrieve_prompts(questions: DataFrame, items: DataFrame, chunks: DataFrame,
 
 def funnel(scored: DataFrame, knobs: Knobs) -> DataFrame:
     """Candidates, rows above the threshold and final rows per question."""
+    scored = kept_once(scored)
     kept = F.lit(True) if knobs.min_sim is None else F.col("sim") >= knobs.min_sim
     seen = scored.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("after_threshold")
@@ -116,10 +123,8 @@ def answer_candidates(scored: DataFrame, kinds: Sequence[str], min_sim: float =
 def two_contexts(
     scored: DataFrame, answer_kinds: Sequence[str], min_sim: float = ANSWER_MIN_SIM, knobs: Knobs = Knobs()
 ) -> DataFrame:
-    """One candidate pass, two rankings: ``sql`` context of 6 and ``answer`` context of 12 rows.
-
-    Both branches read the same candidate shuffle, which Spark computes once.
-    """
+    """One candidate pass, two rankings: ``sql`` context of 6 and ``answer`` context of 12 rows."""
+    scored = kept_once(scored)
     caps = knobs.kind_caps or KIND_CAPS
     for_sql = mmr(scored, SQL_TOPK, knobs.lam, CONTEXT_PER_ITEM_CAP, caps)
     for_answer = mmr(answer_candidates(scored, answer_kinds, min_sim), TOPK, knobs.lam, CONTEXT_PER_ITEM_CAP, caps)

@@ -290,9 +290,7 @@ def _source_centroids(spark, sf):
     parts = t.chunks(spark, sf).select("dataset", F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("dataset", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     vectors = means.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    ordered = vectors.select("dataset", F.transform("v", lambda p: p["x"]).alias("embedding")).orderBy("dataset")
-    table = ordered.limit(ann.MAX_SENT_QUESTIONS).toArrow()
-    return ann._matrix(table.column("embedding"))
+    return ann.centroid_matrix(vectors.select("dataset", F.transform("v", lambda p: p["x"]).alias("embedding")), "dataset")
 
 
 def _by_cells(spark, sf, probes):

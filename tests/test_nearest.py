@@ -133,6 +133,23 @@ def test_questions_that_are_copies_themselves(spark):
         assert _got(ann.nearest(batch, _chunks(spark, chunks), 20, metric)) == _brute(chunks, questions, 20, metric)
 
 
+def test_centroids_in_order_and_not_too_many(spark):
+    df = spark.createDataFrame([("b", [2.0]), ("a", [1.0])], "name string, embedding array<float>")
+    assert ann.centroid_matrix(df, "name").tolist() == [[1.0], [2.0]]
+    with pytest.raises(ValueError):
+        ann.centroid_matrix(df, "name", limit=1)
+
+
+def test_stored_cells_are_pruned_at_the_scan(spark, tmp_path):
+    table = _chunks(spark, _vectors(300, 13))
+    centroids = ann.train_cells(table, 6)
+    ann.assign_cells(table, centroids).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    found = ann.nearest_by_cells(ann.prepare(_questions(spark, _vectors(1, 14))), stored, centroids, 2, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and found.count() == 10
+
+
 def test_no_questions(spark):
     batch = ann.prepare(_questions(spark, _vectors(1, 2)).filter("query_id < 0"))
     assert ann.nearest(batch, _chunks(spark, _vectors(10, 1))).count() == 0
