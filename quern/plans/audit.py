@@ -23,6 +23,11 @@ def missing_items(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return items.select("id", "kind", "name").join(held, "id", "left_anti")
 
 
+def missing_head(items: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
+    """The first missing items by kind and name."""
+    return missing_items(items, chunks).orderBy("kind", "name").limit(n)
+
+
 def nested_chunks(chunks: DataFrame) -> DataFrame:
     """(id, chunks, full_text, chunk_count): chunks in order, and their texts end to end."""
     entry = F.struct("chunk_ix", "chunk_text", F.length("chunk_text").alias("chars"))

@@ -121,6 +121,18 @@ def schema_ddl(columns: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: the first line of the schema text.
+DDL_HEAD = "-- Tables and columns (sample snapshot)\n"
+
+
+def ddl_snapshot(columns: DataFrame) -> DataFrame:
+    """One row with the schema text of all tables, as large as their metadata."""
+    tables = F.array_sort(F.collect_list(F.struct("table_schema", "table_name", "ddl")))
+    listed = schema_ddl(columns).agg(tables.alias("_tables"))
+    lines = F.array_join(F.transform("_tables", lambda x: x["ddl"]), "\n")
+    return listed.select(F.concat(F.lit(DDL_HEAD), lines).alias("schema_text"))
+
+
 def refresh_schema(
     spark: SparkSession,
     tables: Mapping[tuple[str, str], DataFrame],

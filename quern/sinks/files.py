@@ -21,7 +21,9 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_audit_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    flat(df).orderBy(*order).write.option("header", True).option("escape", '"').csv(path)
+    """Header and rows; no header when there are no rows."""
+    rows = flat(df).orderBy(*order)
+    rows.write.option("header", not df.isEmpty()).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

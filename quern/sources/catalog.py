@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Schemas that hold no user tables.
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema", "pg_toast", "rag"]
@@ -40,11 +41,16 @@ def catalog_columns(spark: SparkSession, tables: Mapping[tuple[str, str], DataFr
 
 
 def column_nulls(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
-    """Whether each column holds a null: what a constraint would state, read from the data."""
+    """Whether each column holds a null: what a constraint would state, read from the data.
 
-    def of_table(schema: str, table: str, df: DataFrame) -> DataFrame:
-        held = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in df.columns]))
+    Only rows with a null are asked for, so file statistics let Spark skip row groups without any.
+    Nested columns have no such statistics and are read apart.
+    """
+
+    def of_columns(schema: str, table: str, df: DataFrame, columns: list[str]) -> DataFrame:
+        some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+        held = df.filter(some_null).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in columns]))
         return held.select(pairs.alias("x")).select(
             F.lit(schema).alias("table_schema"),
             F.lit(table).alias("table_name"),
@@ -52,4 +58,9 @@ def column_nulls(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
             (F.col("x.n") > 0).alias("has_nulls"),
         )
 
-    return reduce(DataFrame.unionByName, [of_table(s, t, df) for (s, t), df in tables.items()])
+    frames = []
+    for (schema, table), df in tables.items():
+        nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        plain = [c for c in df.columns if c not in nested]
+        frames += [of_columns(schema, table, df, part) for part in (plain, nested) if part]
+    return reduce(DataFrame.unionByName, frames)

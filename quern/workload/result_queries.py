@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quern.operators import gate as g
 from quern.plans import results
-from quern.plans.guarded import DEFAULT_LIMIT, run_guarded
+from quern.plans.guarded import DEFAULT_LIMIT, run_all, run_guarded
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -111,10 +113,6 @@ def guarded_limit(spark, sf):
 )
 def guarded_verdicts(spark, sf):
     """One statement per order status found in the data, each gated and run."""
-    from functools import reduce
-
-    from quern.plans.guarded import run_all
-
     _views(spark, sf, "orders")
     status = F.col("o_orderstatus")
     text = F.concat(F.lit("SELECT '"), status, F.lit("' AS status, count(*) AS n FROM orders WHERE o_orderstatus = '"), status, F.lit("'"))

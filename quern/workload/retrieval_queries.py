@@ -9,8 +9,10 @@ from quern.operators import nearest as ann
 from quern.operators.rerank import mmr
 from quern.operators.gate import REFUSED
 from quern.plans import answer as answering
-from quern.plans import prompts, retrieve
+from quern.plans import prompts, results, retrieve
 from quern.plans.retrieve import Knobs
+from quern.plans.schema_grounding import ddl_snapshot
+from quern.sources.catalog import catalog_columns
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -169,7 +171,7 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_DDL = "'customer(c_custkey bigint)' || chr(10) || 'customer(c_name string)' || chr(10) || 'customer(c_nationkey int)' || chr(10) || 'customer(c_acctbal double)' || chr(10) || 'customer(c_mktsegment string)'"
+_DDL = "'-- Tables and columns (sample snapshot)' || chr(10) || 'customer(c_custkey bigint)' || chr(10) || 'customer(c_name string)' || chr(10) || 'customer(c_nationkey int)' || chr(10) || 'customer(c_acctbal double)' || chr(10) || 'customer(c_mktsegment string)'"
 
 
 @query(
@@ -180,12 +182,9 @@ _DDL = "'customer(c_custkey bigint)' || chr(10) || 'customer(c_name string)' ||
     FROM asked a LEFT JOIN contexts x USING (query_id)""",
 )
 def sql_prompt(spark, sf):
-    from quern.plans.schema_grounding import schema_ddl
-    from quern.sources.catalog import catalog_columns
-
     context = _context(spark, sf, retrieve.SQL_TOPK).withColumnRenamed("prompt", "context")
     customer = {("main", "customer"): t.table(spark, sf, "customer")}
-    ddl = schema_ddl(catalog_columns(spark, customer)).select("ddl").first()["ddl"]
+    ddl = ddl_snapshot(catalog_columns(spark, customer)).first()["schema_text"]
     asked = t.questions(spark, sf).select("query_id", "question").join(context, "query_id", "left")
     return asked.select("query_id", prompts.sql_prompt(F.col("question"), F.lit(ddl), F.col("context")).alias("prompt"))
 
@@ -204,8 +203,6 @@ def sql_prompt(spark, sf):
     FROM asked a LEFT JOIN contexts x USING (query_id), shown s""",
 )
 def answer_prompt(spark, sf):
-    from quern.plans import results
-
     t.table(spark, sf, "customer").createOrReplaceTempView("customer")
     t.table(spark, sf, "nation").createOrReplaceTempView("nation")
     rows = spark.sql(

@@ -380,6 +380,14 @@ def audit_missing(spark, sf):
     return audit.missing_items(*audited(spark, sf))
 
 
+@query(
+    "audit_missing_head",
+    f"WITH {SQL_AUDITED} SELECT id, kind, name FROM items WHERE id NOT IN (SELECT item_id FROM chunks) ORDER BY kind, name LIMIT 10",
+)
+def audit_missing_head(spark, sf):
+    return audit.missing_head(*audited(spark, sf))
+
+
 @query(
     "audit_full_text",
     f"""WITH {SQL_AUDITED} SELECT id, kind, name, coalesce(string_agg(chunk_text, '' ORDER BY chunk_ix), '') AS full_text,

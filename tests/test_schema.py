@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quern.operators.chunks import chunk_items, embed_hashed
 from quern.operators.keys import check_foreign_key, check_primary_key
 from quern.plans.examples import column_examples
-from quern.plans.schema_grounding import Key, refresh_schema, schema_ddl, schema_items
+from quern.plans.schema_grounding import DDL_HEAD, Key, ddl_snapshot, refresh_schema, schema_ddl, schema_items
 from quern.sources.catalog import catalog_columns, session_tables
 
 def now():
@@ -38,6 +38,8 @@ def test_items_of_a_schema(spark):
 def test_ddl_text(spark):
     ddl = {r.table_name: r.ddl for r in schema_ddl(catalog_columns(spark, _tables(spark))).collect()}
     assert ddl == {"people": "people(id bigint)\npeople(name string)\npeople(town int)", "towns": "towns(town_id int)\ntowns(town string)"}
+    text = ddl_snapshot(catalog_columns(spark, _tables(spark))).first().schema_text
+    assert text == DDL_HEAD + ddl["people"] + "\n" + ddl["towns"]
     with pytest.raises(ValueError):
         catalog_columns(spark, {})
 
