@@ -26,6 +26,8 @@ MAX_SENT_QUESTIONS = 8192
 MAX_SENT_BYTES = 32 << 20
 MAX_KEPT_PAIRS = 1_000_000
 GRID_CHUNKS = 20_000
+FEWEST_TASKS = 256
+TASKS_PER_CORE = 4
 BLOCK_ROWS = 4096
 BLOCK_QUESTIONS = 1024
 PAIR_SLICE = 65_536
@@ -292,7 +294,19 @@ def _sent(questions: Questions, chunks: DataFrame, k: int, metric: str, score, p
         ids, vectors, prepared = held.value
         yield from _scan(batches, ids, vectors, k, metric, score, prepared)
 
-    return chunks.mapInArrow(best_of_partition, SCORED)
+    return _longer_tasks(chunks).mapInArrow(best_of_partition, SCORED)
+
+
+def _longer_tasks(chunks: DataFrame) -> DataFrame:
+    """Several file splits to a task, without a shuffle: every task hands on up to k rows per question.
+
+    Tables with fewer splits stay as they are. With executors that come and go the number of cores
+    is not known, and nothing is changed.
+    """
+    context = chunks.sparkSession.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return chunks
+    return chunks.coalesce(max(FEWEST_TASKS, TASKS_PER_CORE * context.defaultParallelism))
 
 
 def _spread(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe) -> DataFrame:

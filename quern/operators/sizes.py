@@ -9,8 +9,8 @@ SMALL_ROWS = 500_000
 SMALL_BYTES = 64 << 20
 
 
-def is_small(keys: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
-    """Whether the key table is proven small; reads at most ``rows`` + 1 of its rows."""
+def is_small(keys: DataFrame) -> bool:
+    """Whether the key table is proven small; counts at most ``SMALL_ROWS`` + 1 of its rows."""
     widths = [
         F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)
         for f in keys.schema.fields
@@ -18,8 +18,8 @@ def is_small(keys: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -
     total = widths[0]
     for width in widths[1:]:
         total = total + width
-    seen = keys.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
-    return seen["n"] <= rows and seen["size"] <= size
+    seen = keys.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
+    return seen["n"] <= SMALL_ROWS and seen["size"] <= SMALL_BYTES
 
 
 def sent_if_small(keys: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import upsert
+from quern.operators import sizes, upsert
 from quern.operators.chunks import chunk_items, complete_with, embed_hashed, embed_with
 from quern.plans import audit, prompts, retrieve
 from quern.plans.commit import commit_entries
@@ -35,6 +35,33 @@ def test_upsert_counts_every_arrival(spark):
     assert str(got["a"].created_at) == "2024-01-01 00:00:00" and str(got["a"].updated_at) == "2024-06-01 00:00:00"
 
 
+def test_large_key_sets_give_the_same_store(spark, monkeypatch):
+    items = _items(spark, [(i, "info" if i % 3 else "key", f"n{i}", f"body {i}") for i in range(1, 200)])
+    chunks = chunk_items(items)
+    arrivals = _incoming(spark, [("info", f"n{i}", f"new {i}", {}, i) for i in range(100, 260) for _ in range(2)])
+
+    def changed():
+        new_items, new_chunks = commit_entries(arrivals, items, embed_hashed(chunks), embed_hashed, now())
+        less_items, less_chunks = upsert.delete_items(new_items, new_chunks, items.filter("id < 50"))
+        rows = sorted((r.kind, r.name, r.body, r.version) for r in less_items.collect())
+        texts = sorted((n.name, c.chunk_text) for c, n in [(c, by_id[c.item_id]) for by_id in [{r.id: r for r in less_items.collect()}] for c in less_chunks.collect()])
+        return rows, texts
+
+    sent = changed()
+    monkeypatch.setattr(sizes, "SMALL_ROWS", 0)
+    assert changed() == sent and len(sent[0]) == len(sent[1])
+
+
+def test_size_check(spark, monkeypatch):
+    keys = spark.range(10).select(F.col("id").cast("string").alias("k"), "id")
+    assert sizes.is_small(keys)
+    monkeypatch.setattr(sizes, "SMALL_ROWS", 9)
+    assert not sizes.is_small(keys)
+    monkeypatch.setattr(sizes, "SMALL_ROWS", 10)
+    monkeypatch.setattr(sizes, "SMALL_BYTES", 89)
+    assert not sizes.is_small(keys)
+
+
 def test_new_ids_are_unique_and_follow_the_highest(spark):
     items = _items(spark, [(10, "info", "a", "x")])
     arrivals = _incoming(spark, [("info", f"n{i}", "b", {}, 0) for i in range(3000)])
