@@ -36,7 +36,8 @@ def _parser() -> argparse.ArgumentParser:
         return made
 
     schema = job("schema", "replace the schema items by the present tables", out=True)
-    schema.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table; else the session's tables")
+    about = "a Parquet table; the session's tables when none is given"
+    schema.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help=about)
     schema.add_argument("--key", action="append", default=[], metavar="TABLE(COLUMNS)", help="a primary key to verify")
     made = job("sync", "plan or apply the difference between CSV files and the store", out=True)
     made.add_argument("--dataset", default="ragdb")
@@ -84,7 +85,7 @@ def _embedder(model: str | None):
 
 
 def _now():
-    return F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
 
 
 def _save(store: tuple[DataFrame, DataFrame], out: str) -> None:
@@ -102,7 +103,9 @@ def _schema(spark, args, items, chunks) -> None:
     for key in args.key:
         table, columns = key.rstrip(")").split("(")
         keys.append(schema_grounding.Key("main", table, tuple(_names(columns))))
-    store = schema_grounding.refresh_schema(spark, tables or session_tables(spark), keys, items, chunks, _embedder(args.model), _now())
+    tables = tables or session_tables(spark)
+    embed = _embedder(args.model)
+    store = schema_grounding.refresh_schema(spark, tables, keys, items, chunks, embed, _now())
     _save(store, args.out)
 
 

@@ -27,7 +27,10 @@ def embed_hashed(df: DataFrame, text: str = "chunk_text", out: str = "embedding"
 
 
 def embed_with(
-    df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "chunk_text", out: str = "embedding"
+    df: DataFrame,
+    load_model: Callable[[], Callable[[list[str]], list[list[float]]]],
+    text: str = "chunk_text",
+    out: str = "embedding",
 ) -> DataFrame:
     """Embed a text column with a caller's model, loaded once per task and fed batch by batch.
 

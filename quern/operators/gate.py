@@ -10,7 +10,10 @@ from quern.functions.text import clean_sql, strip
 # Refusal and warning texts, statements refused, words a query may begin with.
 REFUSED = "Only SELECT queries are allowed by the guardrail."
 NO_SELECT = "No SELECT found; query may not return rows."
-DENIED = ["insert", "update", "delete", "drop", "alter", "truncate", "create", "execute", "merge", "copy", "grant", "revoke", "into"]
+DENIED = [
+    "insert", "update", "delete", "drop", "alter", "truncate", "create", "execute",
+    "merge", "copy", "grant", "revoke", "into",
+]
 OPENERS = ["select", "with", "values", "table"]
 # Functions that reach into the JVM, and file formats that can be read by path.
 DENIED_CALLS = ["reflect", "java_method", "try_reflect"]

@@ -18,7 +18,8 @@ def is_small(keys: DataFrame) -> bool:
     total = widths[0]
     for width in widths[1:]:
         total = total + width
-    seen = keys.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
+    head = keys.limit(SMALL_ROWS + 1)
+    seen = head.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
     return seen["n"] <= SMALL_ROWS and seen["size"] <= SMALL_BYTES
 
 

@@ -17,7 +17,11 @@ from quern.session import durable
 
 
 def contexts(
-    questions: DataFrame, items: DataFrame, chunks: DataFrame, answer_kinds: Sequence[str], knobs: retrieve.Knobs = retrieve.Knobs()
+    questions: DataFrame,
+    items: DataFrame,
+    chunks: DataFrame,
+    answer_kinds: Sequence[str],
+    knobs: retrieve.Knobs = retrieve.Knobs(),
 ) -> DataFrame:
     """(query_id, question, sql_context, answer_context) from one candidate pass; null when nothing fits."""
     batch = prepare(questions)

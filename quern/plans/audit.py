@@ -46,7 +46,8 @@ def stitched_segments(chunks: DataFrame, segment_chunks: int = 1024) -> DataFram
     For sequences that were never one row, so that an item with very many chunks stays in many groups.
     """
     segment = F.floor(F.col("chunk_ix") / segment_chunks).cast("long").alias("segment")
-    grouped = chunks.groupBy("item_id", segment).agg(F.array_sort(F.collect_list(F.struct("chunk_ix", "chunk_text"))).alias("_c"))
+    entries = F.array_sort(F.collect_list(F.struct("chunk_ix", "chunk_text"))).alias("_c")
+    grouped = chunks.groupBy("item_id", segment).agg(entries)
     text = F.array_join(F.transform("_c", lambda x: x["chunk_text"]), "")
     return grouped.select("item_id", "segment", text.alias("text"), F.size("_c").alias("chunk_count"))
 

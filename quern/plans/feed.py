@@ -23,7 +23,13 @@ def raw_form(records: DataFrame, keys: Sequence[str], seq: Sequence[str], ingest
 
 
 def ingest_batch(
-    records: DataFrame, batch: int, typed: Callable[[DataFrame], DataFrame], path: str, keys: Sequence[str], seq: Sequence[str], ingested: Column
+    records: DataFrame,
+    batch: int,
+    typed: Callable[[DataFrame], DataFrame],
+    path: str,
+    keys: Sequence[str],
+    seq: Sequence[str],
+    ingested: Column,
 ) -> None:
     """Write one batch to both tables."""
     kept = records.persist()

@@ -74,7 +74,10 @@ def key_items(keys: DataFrame) -> DataFrame:
         F.concat_ws(".", "table_schema", "table_name", "constraint_type", "column_name").alias("name"),
         F.concat(F.col("constraint_type"), F.lit(" on "), table, F.lit(" column "), F.col("column_name"), F.lit(".")).alias("body"),
         _metadata(
-            schema=F.col("table_schema"), table=F.col("table_name"), column=F.col("column_name"), type=F.col("constraint_type")
+            schema=F.col("table_schema"),
+            table=F.col("table_name"),
+            column=F.col("column_name"),
+            type=F.col("constraint_type"),
         ).alias("metadata"),
     )
 

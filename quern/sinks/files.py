@@ -36,7 +36,13 @@ def write_item_files(rows: DataFrame, path: str) -> None:
     Line feeds inside a body are quoted, and an empty body is written as an empty quoted cell.
     """
     placed = rows.repartitionByRange("kind", "row_ix").sortWithinPartitions("kind", "row_ix")
-    options = {"escape": '"', "quoteAll": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = {
+        "escape": '"',
+        "quoteAll": True,
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
     placed.select("kind", "body").write.partitionBy("kind").options(**options).csv(path)
 
 
