@@ -13,6 +13,7 @@ from quern.plans import prompts, results, retrieve
 from quern.plans.retrieve import Knobs
 from quern.plans.schema_grounding import ddl_snapshot
 from quern.sources.catalog import catalog_columns
+from quern.session import staged
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -282,17 +283,18 @@ def _sql_probed(probes):
     {t.sql_candidates(pairs='probed q JOIN placed c ON q.cell = c.cell')} SELECT {SQL_CANDS} FROM cands"""
 
 
-def _source_centroids(spark, sf):
+def _source_centroids(chunks):
     """Mean chunk vector of every source, as cells 0, 1, … in source order."""
-    parts = t.chunks(spark, sf).select("dataset", F.posexplode("embedding").alias("pos", "x"))
+    parts = chunks.select("dataset", F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("dataset", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     vectors = means.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
     return ann.centroid_matrix(vectors.select("dataset", F.transform("v", lambda p: p["x"]).alias("embedding")), "dataset")
 
 
 def _by_cells(spark, sf, probes):
-    centroids = _source_centroids(spark, sf)
-    indexed = ann.assign_cells(t.chunks(spark, sf), centroids)
+    chunks = staged(t.chunks(spark, sf).drop("chunk_text"), "chunks")
+    centroids = _source_centroids(chunks)
+    indexed = ann.assign_cells(chunks, centroids)
     batch = ann.prepare(t.questions(spark, sf))
     found = ann.nearest_by_cells(batch, indexed, centroids, len(centroids) if probes is None else probes)
     return _shown(retrieve.with_item(batch, t.items(spark, sf), found))

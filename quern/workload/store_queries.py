@@ -10,10 +10,10 @@ from quern.operators.chunks import chunk_items, embed_hashed
 from quern.operators.ordering import dense_index_by, spread_out
 from quern.plans import audit, sync
 from quern.plans.commit import commit_entries
-from quern.session import durable, scratch_path
+from quern.session import durable, scratch_path, staged
 from quern.sinks.files import write_item_files
 from quern.sources.csv_items import first_by_text, ragged_entries, read_item_files, read_ragged
-from quern.sources.store import items_of, load, save_chunks, save_items
+from quern.sources.store import items_of, load, save_items
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -126,13 +126,12 @@ def sync_actions(spark, sf):
 
 
 def applied(spark, sf):
-    """The saved store after one sync: the plan is kept, then applied to the snapshot it was made from."""
-    path = scratch_path(spark, "store")
-    save_items(stored_items(spark, sf), f"{path}/items")
-    items = load(spark, f"{path}/items")
-    save_chunks(embed_hashed(chunk_items(spread_out(items, "id"))), f"{path}/chunks")
-    chunks = load(spark, f"{path}/chunks")
-    desired = durable(sync.desired_rows(positions(spark, sf)))
+    """The store after one sync: the plan is kept, then applied to the saved items it was made from."""
+    path = scratch_path(spark, "items")
+    save_items(stored_items(spark, sf), path)
+    items = load(spark, path)
+    chunks = embed_hashed(chunk_items(spread_out(items, "id")))
+    desired = staged(sync.desired_rows(positions(spark, sf)), "desired-rows")
     current = sync.current_rows(items_of(items, t.KINDS, DATASET))
     plan = durable(sync.plan_sync(desired, current))
     return desired, sync.apply_sync(plan, desired, items, chunks, DATASET, embed_hashed, _now())
