@@ -35,6 +35,8 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     rows = [tuple(r[c] for c in columns) for r in got.select(*columns).collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in ORACLES:
         assert rows
         return
