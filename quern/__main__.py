@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.chunks import embed_hashed, embed_with
+from quern.operators.nearest import CellIndex, build_cells
 from quern.plans import audit, commit, prompts, retrieve, schema_grounding, sync
 from quern.sinks.files import write_json, write_prompts
 from quern.sources.catalog import session_tables
@@ -60,8 +61,13 @@ def _parser() -> argparse.ArgumentParser:
     made.add_argument("--mmr", type=float, default=0.5)
     made.add_argument("--min-sim", type=float)
     made.add_argument("--metric", default="l2", choices=["l2", "cosine"])
+    made.add_argument("--index", help="cells made by the index job")
+    made.add_argument("--ivf-probes", type=int, help="cells to probe")
+    made.add_argument("--sign-tables", type=int, help="tables of signatures to compare, instead of cells")
     made.add_argument("--save-prompt")
     made.add_argument("--save-json")
+    made = job("index", "cut the chunks into cells for approximate search", out=True)
+    made.add_argument("--cells", type=int, required=True)
     made = job("audit", "write the store's audit files")
     made.add_argument("--outdir", required=True)
     made = job("feed", "ingest new files of a landing folder", store=False, out=True)
@@ -131,9 +137,11 @@ def _retrieve(spark, args, items, chunks) -> None:
     knobs = retrieve.Knobs(
         kinds=_names(args.kinds), dataset=args.dataset, candidates=args.candidates, topk=args.topk,
         per_item_cap=args.per_item_cap, lam=args.mmr, min_sim=args.min_sim, metric=args.metric,
+        probes=args.ivf_probes, sign_tables=args.sign_tables,
     )
     questions = _embedder(args.model)(spark.read.parquet(args.questions), "question")
-    ranked = retrieve.retrieve(questions, items, chunks, knobs)
+    index = CellIndex.load(spark, args.index) if args.index else None
+    ranked = retrieve.retrieve(questions, items, chunks, knobs, index)
     if args.save_json:
         write_json(retrieve.final_json(ranked), args.save_json, ["query_id", "rank"])
     if args.save_prompt:
@@ -142,6 +150,10 @@ def _retrieve(spark, args, items, chunks) -> None:
         ranked.orderBy("query_id", "rank").select("query_id", "rank", "sim", "dist", "kind", "name", "chunk_ix").show()
 
 
+def _index(spark, args, items, chunks) -> None:
+    build_cells(chunks, args.cells).save(args.out)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = _parser()
     args = parser.parse_args(argv)
@@ -156,7 +168,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.job == "audit":
         audit.write_audit(items, chunks, args.outdir, _now())
         return
-    {"schema": _schema, "sync": _sync, "commit": _commit, "retrieve": _retrieve}[args.job](spark, args, items, chunks)
+    {"schema": _schema, "sync": _sync, "commit": _commit, "retrieve": _retrieve, "index": _index}[args.job](spark, args, items, chunks)
 
 
 if __name__ == "__main__":

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators.ordering import top_per_group
 
@@ -383,9 +384,10 @@ def _cell_distance(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def assign_cells(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Each chunk with its nearest cell. Written partitioned by ``cell``, this is the stored index."""
+    """Chunks that have a vector, with their nearest cell; texts are left behind."""
     held = chunks.sparkSession.sparkContext.broadcast(centroids)
-    columns = chunks.select("item_id", "chunk_ix", "embedding")
+    columns = chunks.drop("chunk_text", "cell")
+    schema = T.StructType([*columns.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def with_cell(batches):
         for batch in map(_with_vectors, batches):
@@ -393,24 +395,50 @@ def assign_cells(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
                 near = _cell_distance(_matrix(batch.column("embedding")), held.value).argmin(axis=1)
                 yield batch.append_column("cell", pa.array(near.astype(np.int32)))
 
-    return columns.mapInArrow(with_cell, "item_id long, chunk_ix int, embedding array<float>, cell int")
+    return columns.mapInArrow(with_cell, schema)
 
 
-def nearest_by_cells(
-    questions: Questions, indexed: DataFrame, centroids: np.ndarray, probes: int, k: int = 80, metric: str = "l2"
-) -> DataFrame:
+@dataclass
+class CellIndex:
+    """Chunks by cell, and the cells' centroids."""
+
+    chunks: DataFrame
+    centroids: np.ndarray
+
+    def save(self, path: str) -> None:
+        """Chunks in one folder per cell, so that a search reads only the cells it probes."""
+        spark = self.chunks.sparkSession
+        self.chunks.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/chunks")
+        rows = [(cell, vector.tolist()) for cell, vector in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell int, embedding array<double>").write.parquet(f"{path}/centroids")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CellIndex:
+        centroids = centroid_matrix(spark.read.parquet(f"{path}/centroids"), "cell")
+        return CellIndex(spark.read.parquet(f"{path}/chunks"), centroids)
+
+
+def build_cells(chunks: DataFrame, n_cells: int) -> CellIndex:
+    centroids = train_cells(chunks, n_cells)
+    return CellIndex(assign_cells(chunks, centroids), centroids)
+
+
+def nearest_by_cells(questions: Questions, index: CellIndex, probes: int, k: int = 80, metric: str = "l2") -> DataFrame:
     """Approximate search in the ``probes`` cells nearest to each question; all cells make it exact.
 
     Cells that no question probes are filtered out at the scan.
     """
+    centroids = index.centroids
 
     def probed(vectors: np.ndarray) -> np.ndarray:
+        if not len(vectors):
+            return np.zeros((0, len(centroids)), bool)
         order = np.argsort(_cell_distance(vectors, centroids), axis=1, kind="stable")[:, :probes]
         mask = np.zeros((len(vectors), len(centroids)), bool)
         np.put_along_axis(mask, order, True, axis=1)
         return mask
 
-    columns = indexed.select("item_id", "chunk_ix", "embedding", "cell")
+    columns = index.chunks.select("item_id", "chunk_ix", "embedding", "cell")
     if questions.ids is not None:
         wanted = np.flatnonzero(probed(questions.vectors).any(axis=0))
         if len(wanted) < len(centroids):
@@ -434,14 +462,20 @@ def sign_planes(dims: int, tables: int, bits: int) -> np.ndarray:
 def _signatures(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """One integer per table: bit ``b`` is set when the vector lies on plane ``b``'s positive side."""
     tables, bits, dims = planes.shape
+    if not len(vectors):
+        return np.empty((0, tables), np.int64)
     sides = vectors @ planes.reshape(tables * bits, dims).T >= 0
     return sides.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def nearest_by_signs(
-    questions: Questions, chunks: DataFrame, tables: int = 8, bits: int = 6, k: int = 80, metric: str = "l2", dims: int = 64
+    questions: Questions, chunks: DataFrame, tables: int = 8, bits: int = 6, k: int = 80, metric: str = "l2"
 ) -> DataFrame:
     """Approximate search among chunks that share a signature; more tables find more."""
+    if questions.vectors is None:
+        dims = questions.frame.select(F.size("embedding")).first()[0]
+    else:
+        dims = questions.vectors.shape[1]
     planes = sign_planes(dims, tables, bits)
     columns = chunks.select("item_id", "chunk_ix", "embedding")
     return _best(questions, columns, k, metric, _sign_batch, lambda vectors: (planes, _signatures(vectors, planes)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.nearest import Questions, nearest, prepare
+from quern.operators.nearest import CellIndex, Questions, nearest, nearest_by_cells, nearest_by_signs, prepare
 from quern.operators.rerank import mmr
 from quern.operators.sizes import sent_if_small
 from quern.plans.prompts import context_prompt
@@ -37,6 +37,9 @@ class Knobs:
     min_sim: float | None = None
     metric: str = "l2"
     kind_caps: Mapping[str, int] = field(default_factory=dict)
+    # Approximate search: cells to probe in a given index, or tables of signatures to compare.
+    probes: int | None = None
+    sign_tables: int | None = None
 
 
 def eligible_chunks(items: DataFrame, chunks: DataFrame, knobs: Knobs) -> DataFrame:
@@ -63,10 +66,21 @@ def _small(questions: Questions, k: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if questions.bounded(k) else df
 
 
-def candidates(questions: Questions, items: DataFrame, chunks: DataFrame, knobs: Knobs) -> DataFrame:
+def candidates(
+    questions: Questions, items: DataFrame, chunks: DataFrame, knobs: Knobs, index: CellIndex | None = None
+) -> DataFrame:
     """The nearest chunks per question with kind and name; texts are joined only to final rows."""
-    found = nearest(questions, eligible_chunks(items, chunks, knobs), knobs.candidates, knobs.metric)
-    return with_item(questions, items, found, knobs.candidates)
+    k, metric = knobs.candidates, knobs.metric
+    if knobs.probes:
+        if index is None:
+            raise ValueError("probing cells needs an index")
+        cells = CellIndex(eligible_chunks(items, index.chunks, knobs), index.centroids)
+        found = nearest_by_cells(questions, cells, knobs.probes, k, metric)
+    elif knobs.sign_tables:
+        found = nearest_by_signs(questions, eligible_chunks(items, chunks, knobs), knobs.sign_tables, k=k, metric=metric)
+    else:
+        found = nearest(questions, eligible_chunks(items, chunks, knobs), k, metric)
+    return with_item(questions, items, found, k)
 
 
 def with_item(questions: Questions, items: DataFrame, found: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -92,10 +106,12 @@ def rerank(scored: DataFrame, knobs: Knobs) -> DataFrame:
     return mmr(above(scored, knobs.min_sim), knobs.topk, knobs.lam, knobs.per_item_cap, knobs.kind_caps or None)
 
 
-def retrieve(questions: DataFrame, items: DataFrame, chunks: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+def retrieve(
+    questions: DataFrame, items: DataFrame, chunks: DataFrame, knobs: Knobs = Knobs(), index: CellIndex | None = None
+) -> DataFrame:
     """Final ranked chunks per question, with their texts."""
     batch = prepare(questions)
-    ranked = rerank(candidates(batch, items, chunks, knobs), knobs)
+    ranked = rerank(candidates(batch, items, chunks, knobs, index), knobs)
     return with_text(batch, chunks, ranked, knobs.candidates)
 
 

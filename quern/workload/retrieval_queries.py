@@ -13,7 +13,7 @@ from quern.plans import prompts, results, retrieve
 from quern.plans.retrieve import Knobs
 from quern.plans.schema_grounding import ddl_snapshot
 from quern.sources.catalog import catalog_columns
-from quern.session import staged
+from quern.session import scratch_path, staged
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -292,12 +292,11 @@ def _source_centroids(chunks):
 
 
 def _by_cells(spark, sf, probes):
-    chunks = staged(t.chunks(spark, sf).drop("chunk_text"), "chunks")
+    chunks = staged(t.chunks(spark, sf), "chunks")
     centroids = _source_centroids(chunks)
-    indexed = ann.assign_cells(chunks, centroids)
+    index = ann.CellIndex(ann.assign_cells(chunks, centroids), centroids)
     batch = ann.prepare(t.questions(spark, sf))
-    found = ann.nearest_by_cells(batch, indexed, centroids, len(centroids) if probes is None else probes)
-    return _shown(retrieve.with_item(batch, t.items(spark, sf), found))
+    return _shown(retrieve.candidates(batch, t.items(spark, sf), chunks, Knobs(probes=probes or len(centroids)), index))
 
 
 @query("retrieve_ivf", _sql_probed(PROBES))
@@ -313,10 +312,10 @@ def retrieve_ivf_all_cells(spark, sf):
 @query("retrieve_ivf_kmeans")
 def retrieve_ivf_kmeans(spark, sf):
     chunks = t.vector_chunks(spark, sf)
-    centroids = ann.train_cells(chunks, 16)
+    path = scratch_path(spark, "cells")
+    ann.build_cells(chunks, 16).save(path)
     batch = ann.prepare(t.vector_questions(spark, sf))
-    found = ann.nearest_by_cells(batch, ann.assign_cells(chunks, centroids), centroids, 8)
-    return _shown(retrieve.with_item(batch, t.vector_items(spark, sf), found))
+    return _shown(retrieve.candidates(batch, t.vector_items(spark, sf), chunks, Knobs(probes=8), ann.CellIndex.load(spark, path)))
 
 
 TABLES, BITS = 8, 6
@@ -345,6 +344,4 @@ _MATCHED = """matched AS (
     SELECT {SQL_CANDS} FROM cands""",
 )
 def retrieve_lsh(spark, sf):
-    batch = ann.prepare(t.questions(spark, sf))
-    found = ann.nearest_by_signs(batch, t.chunks(spark, sf), TABLES, BITS)
-    return _shown(retrieve.with_item(batch, t.items(spark, sf), found))
+    return _shown(_text_candidates(spark, sf, Knobs(sign_tables=TABLES)))

@@ -64,6 +64,12 @@ def test_commit_retrieve_audit_and_schema(spark, store):
     assert "[table:main.old#0]\nTable old" in _texts(store / "prompt/query_id=2", "*.txt")
     main(["retrieve", *_at(store / "s1"), "--questions", str(store / "q")])
 
+    main(["index", *_at(store / "s1"), "--cells", "2", "--out", str(store / "cells")])
+    for name, more in {"all": ["--index", str(store / "cells"), "--ivf-probes", "2"], "signs": ["--sign-tables", "64"]}.items():
+        main(["retrieve", *_at(store / "s1"), "--questions", str(store / "q"), "--topk", "1", "--save-json", str(store / name), *more])
+        found = [json.loads(json.loads(line)["json"])["name"] for line in _texts(store / name, "*.json").splitlines()]
+        assert found == ["info::ds::row::1", "main.old"]
+
     main(["audit", *_at(store / "s1"), "--outdir", str(store / "audit")])
     assert json.loads(_texts(store / "audit/totals", "*.json"))["items"] == 4
 

@@ -62,8 +62,9 @@ def test_large_question_batches_take_the_grid(spark, monkeypatch):
     assert not batch.bounded(10)
     assert _got(ann.nearest(batch, _chunks(spark, chunks), 10)) == want
     centroids = _vectors(5, 9).astype(float)
-    indexed = ann.assign_cells(_chunks(spark, chunks), centroids)
-    assert _got(ann.nearest_by_cells(batch, indexed, centroids, 5, 10)) == want
+    index = ann.CellIndex(ann.assign_cells(_chunks(spark, chunks), centroids), centroids)
+    assert _got(ann.nearest_by_cells(batch, index, 5, 10)) == want
+    assert _got(ann.nearest_by_signs(batch, _chunks(spark, chunks), 64, 1, 10)) == want
 
 
 def test_deep_searches_take_the_grid_too(spark, monkeypatch):
@@ -78,12 +79,11 @@ def test_cells_find_more_with_more_probes_and_all_with_all(spark):
     chunks, questions = _vectors(800, 5), _vectors(20, 6)
     want = _brute(chunks, questions, 10, "l2")
     table = _chunks(spark, chunks)
-    centroids = ann.train_cells(table, 8)
-    indexed = ann.assign_cells(table, centroids)
+    index = ann.build_cells(table, 8)
     batch = ann.prepare(_questions(spark, questions))
     recall = []
     for probes in (1, 4, 8):
-        pairs = {x[:3] for x in _got(ann.nearest_by_cells(batch, indexed, centroids, probes, 10))}
+        pairs = {x[:3] for x in _got(ann.nearest_by_cells(batch, index, probes, 10))}
         recall.append(len(pairs & {x[:3] for x in want}) / len(want))
     assert recall == sorted(recall) and recall[0] > 0.1 and recall[-1] == 1.0
 
@@ -94,7 +94,7 @@ def test_signs_find_more_with_more_tables(spark):
     batch = ann.prepare(_questions(spark, questions))
     recall = []
     for tables in (1, 4, 32):
-        found = ann.nearest_by_signs(batch, _chunks(spark, chunks), tables, 4, 10, dims=DIMS)
+        found = ann.nearest_by_signs(batch, _chunks(spark, chunks), tables, 4, 10)
         recall.append(len({x[:3] for x in _got(found)} & want) / len(want))
     assert recall == sorted(recall) and recall[0] > 0.1 and recall[-1] > 0.85
 
@@ -142,14 +142,17 @@ def test_centroids_in_order_and_not_too_many(spark):
 
 def test_stored_cells_are_pruned_at_the_scan(spark, tmp_path):
     table = _chunks(spark, _vectors(300, 13))
-    centroids = ann.train_cells(table, 6)
-    ann.assign_cells(table, centroids).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
-    stored = spark.read.parquet(str(tmp_path / "cells"))
-    found = ann.nearest_by_cells(ann.prepare(_questions(spark, _vectors(1, 14))), stored, centroids, 2, 10)
+    ann.build_cells(table, 6).save(str(tmp_path / "cells"))
+    index = ann.CellIndex.load(spark, str(tmp_path / "cells"))
+    found = ann.nearest_by_cells(ann.prepare(_questions(spark, _vectors(1, 14))), index, 2, 10)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan and found.count() == 10
 
 
 def test_no_questions(spark):
     batch = ann.prepare(_questions(spark, _vectors(1, 2)).filter("query_id < 0"))
-    assert ann.nearest(batch, _chunks(spark, _vectors(10, 1))).count() == 0
+    chunks = _chunks(spark, _vectors(10, 1))
+    index = ann.CellIndex(ann.assign_cells(chunks, np.zeros((1, DIMS))), np.zeros((1, DIMS)))
+    assert ann.nearest(batch, chunks).count() == 0
+    assert ann.nearest_by_signs(batch, chunks).count() == 0
+    assert ann.nearest_by_cells(batch, index, 1).count() == 0
