@@ -68,11 +68,13 @@ def _question_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matrix(lists) -> np.ndarray:
-    """Equally long float lists as a matrix of doubles."""
+    """Equally long lists as a matrix: floats as they are, anything else as doubles."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     n = len(lists)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype != np.float32:
+        flat = flat.astype(np.float64)
     if n == 0:
         return flat.reshape(0, 0)
     if len(flat) % n or len(set(lists.value_lengths().unique().to_pylist())) != 1:
@@ -87,7 +89,8 @@ def _with_vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Row-by-row distance, computed without the cancellation of the matrix form."""
+    """Row-by-row distance in doubles, computed without the cancellation of the matrix form."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     if metric == "l2":
         return np.sqrt(np.square(a - b).sum(axis=1))
     norms = np.sqrt(np.square(a).sum(axis=1)) * np.sqrt(np.square(b).sum(axis=1))
@@ -143,33 +146,41 @@ class _Best:
 
 
 class _Asked:
-    """A task's questions, shaped so that one matrix product per block gives rough scores."""
+    """A task's questions, shaped so that one matrix product per block gives rough scores.
 
-    def __init__(self, vectors: np.ndarray, metric: str):
+    Products run in the width of the stored vectors. ``margin`` is above the rounding error of a
+    product of that width, so no pair is lost to it.
+    """
+
+    def __init__(self, vectors: np.ndarray, metric: str, width: np.dtype):
         self.vectors, self.metric = vectors, metric
-        self.squares = np.square(vectors).sum(axis=1)
+        self.squares = np.square(vectors.astype(np.float64)).sum(axis=1)
+        self.error = (vectors.shape[1] + 8) * float(np.finfo(width).eps)
+        narrow = vectors.astype(width)
         if metric == "l2":
-            self.left = np.hstack([-2.0 * vectors, np.ones((len(vectors), 1))])
+            self.left = np.hstack([-2 * narrow, np.ones((len(narrow), 1), width)])
         else:
-            self.left = -_unit(vectors, self.squares)
+            self.left = -_unit(narrow, self.squares)
 
     def rough(self, questions: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, float]:
         """Scores that order like distances, and the largest square among the rows."""
-        squares = np.square(block).sum(axis=1)
+        squares = np.einsum("ij,ij->i", block, block)
         right = np.hstack([block, squares[:, None]]) if self.metric == "l2" else _unit(block, squares)
-        return self.left[questions] @ right.T, squares.max()
+        return self.left[questions] @ right.T, float(squares.max())
 
     def limit(self, questions: np.ndarray, worst: np.ndarray) -> np.ndarray:
         """The rough score that stands for a distance."""
         return np.square(worst) - self.squares[questions] if self.metric == "l2" else worst - 1.0
 
     def margin(self, questions: np.ndarray, largest: float) -> np.ndarray:
-        """More than the rounding error of a rough score."""
-        return 1e-9 * (1.0 + self.squares[questions] + largest) if self.metric == "l2" else np.full(len(questions), 1e-9)
+        if self.metric == "cosine":
+            return np.full(len(questions), 1e-12 + 2 * self.error)
+        squares = self.squares[questions]
+        return 1e-12 * (1.0 + squares + largest) + 2 * self.error * (2.0 * np.sqrt(squares * largest) + largest)
 
 
 def _unit(vectors: np.ndarray, squares: np.ndarray) -> np.ndarray:
-    norms = np.sqrt(squares)[:, None]
+    norms = np.sqrt(squares).astype(vectors.dtype)[:, None]
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
@@ -194,7 +205,9 @@ def _score_block(best: _Best, rows, items, chunk_ixs, vectors, questions, asked:
         fresh = np.flatnonzero(np.isinf(bound))
         if len(fresh) and rough.shape[1] > best.k:
             bound[fresh] = np.partition(rough[fresh], best.k - 1, axis=1)[:, best.k - 1]
-        qi, ci = np.nonzero(rough <= (bound + asked.margin(qs, largest))[:, None])
+        # Rounded up, so that narrowing the bound to the product's width loses nothing.
+        bound = np.nextafter((bound + asked.margin(qs, largest)).astype(rough.dtype), rough.dtype.type(np.inf))
+        qi, ci = np.nonzero(rough <= bound[:, None])
         _add_pairs(best, qs[qi], rows[ci], items, chunk_ixs, vectors, asked)
 
 
@@ -248,7 +261,7 @@ def _useful_copies(vectors: np.ndarray, items: np.ndarray, chunk_ixs: np.ndarray
 
     Rows meet by a hash of their bits; a row is left out only when it equals its group's first row.
     """
-    bits = np.ascontiguousarray(vectors).view(np.uint64)
+    bits = np.ascontiguousarray(vectors).view(f"u{vectors.itemsize}")
     odd = np.arange(1, 2 * bits.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     _, group, sizes = np.unique((bits * odd).sum(axis=1, dtype=np.uint64), return_inverse=True, return_counts=True)
     if sizes.max() <= k:
@@ -264,12 +277,13 @@ def _useful_copies(vectors: np.ndarray, items: np.ndarray, chunk_ixs: np.ndarray
 
 def _scan(batches: Iterable[pa.RecordBatch], q_ids, q_vectors, k, metric, score, probe) -> Iterator[pa.RecordBatch]:
     best = _Best(len(q_ids), k)
-    asked = _Asked(q_vectors, metric) if len(q_ids) else None
+    asked = None
     for batch in batches:
         batch = _with_vectors(batch)
-        if batch.num_rows == 0 or asked is None:
+        if batch.num_rows == 0 or not len(q_ids):
             continue
         vectors = _matrix(batch.column("embedding"))
+        asked = asked or _Asked(q_vectors, metric, vectors.dtype)
         if vectors.shape[1] != q_vectors.shape[1]:
             raise ValueError(f"chunk width {vectors.shape[1]} differs from question width {q_vectors.shape[1]}")
         items = batch.column("item_id").to_numpy()
@@ -380,6 +394,7 @@ def centroid_matrix(centroids: DataFrame, order: str, limit: int = MAX_SENT_QUES
 
 
 def _cell_distance(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     return np.square(vectors).sum(axis=1)[:, None] + np.square(centroids).sum(axis=1) - 2.0 * vectors @ centroids.T
 
 
@@ -464,7 +479,7 @@ def _signatures(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     tables, bits, dims = planes.shape
     if not len(vectors):
         return np.empty((0, tables), np.int64)
-    sides = vectors @ planes.reshape(tables * bits, dims).T >= 0
+    sides = vectors.astype(np.float64) @ planes.reshape(tables * bits, dims).T >= 0
     return sides.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 

@@ -53,6 +53,26 @@ def test_exact_with_a_third_of_the_chunks_equal(spark, metric, monkeypatch):
     assert got == _brute(chunks, questions, 25, metric)
 
 
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1.0), (100.0, 1000.0)])
+def test_close_distances_far_from_zero(spark, scale, shift, monkeypatch):
+    """Differences far below the rounding error of a narrow product still rank the pairs."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    chunks, questions = _vectors(700, 21) * np.float32(scale) + np.float32(shift), _vectors(6, 22) * np.float32(scale) + np.float32(shift)
+    batch = ann.prepare(_questions(spark, questions))
+    assert _got(ann.nearest(batch, _chunks(spark, chunks), 30)) == _brute(chunks, questions, 30, "l2")
+
+
+def test_double_vectors(spark):
+    chunks, questions = _vectors(200, 23), _vectors(3, 24)
+    wide = _chunks(spark, chunks).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    batch = ann.prepare(_questions(spark, questions))
+    assert _got(ann.nearest(batch, wide, 10)) == _brute(chunks, questions, 10, "l2")
+    asked = _questions(spark, questions).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + 1e-9))
+    found = ann.nearest(ann.prepare(asked), _chunks(spark, chunks), 10)
+    exact = np.sqrt(((chunks.astype(float) - (questions[0].astype(float) + 1e-9)) ** 2).sum(axis=1)).min()
+    assert found.filter("query_id = 100 AND cand_ix = 1").first().dist == pytest.approx(exact, abs=1e-13)
+
+
 def test_large_question_batches_take_the_grid(spark, monkeypatch):
     chunks, questions = _vectors(500, 3, copies=150), _vectors(60, 4)
     want = _brute(chunks, questions, 10, "l2")
