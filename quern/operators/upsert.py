@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from quern.operators.sizes import is_small, sent_if_small
 from quern.session import staged
+from quern.sources.store import id_folder
 
 ITEM_COLUMNS = ["id", "kind", "name", "body", "metadata", "version", "created_at", "updated_at"]
 ID_BUCKETS = 4096
@@ -77,6 +78,8 @@ def upsert_items(current: DataFrame, incoming: DataFrame, now: Column) -> DataFr
 
 def replace_chunks(chunks: DataFrame, changed_ids: DataFrame, fresh: DataFrame) -> DataFrame:
     """Drop all chunks of the changed items, then add the new ones."""
+    if "id_folder" in chunks.columns:
+        fresh = fresh.withColumn("id_folder", id_folder(F.col("item_id")))
     return without_items(chunks, changed_ids).unionByName(fresh.select(*chunks.columns))
 
 

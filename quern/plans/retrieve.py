@@ -13,7 +13,7 @@ from quern.operators.rerank import mmr
 from quern.operators.sizes import sent_if_small
 from quern.plans.prompts import context_prompt
 from quern.session import durable
-from quern.sources.store import dataset_filter, kind_filter
+from quern.sources.store import dataset_filter, id_folder, kind_filter
 
 # Default knobs.
 CANDIDATES = 80
@@ -89,8 +89,13 @@ def with_item(questions: Questions, items: DataFrame, found: DataFrame, k: int =
 
 
 def with_text(questions: Questions, chunks: DataFrame, ranked: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    texts = chunks.select("item_id", "chunk_ix", "chunk_text")
-    return texts.join(_small(questions, k, ranked), ["item_id", "chunk_ix"])
+    """Texts of ranked rows. Chunks stored in folders by id are read from the rows' folders alone."""
+    keys = ["item_id", "chunk_ix"]
+    if "id_folder" in chunks.columns:
+        ranked = ranked.withColumn("id_folder", id_folder(F.col("item_id")))
+        keys = ["id_folder", *keys]
+    texts = chunks.select(*keys, "chunk_text")
+    return texts.join(_small(questions, k, ranked), keys).drop("id_folder")
 
 
 def kept_once(scored: DataFrame) -> DataFrame:

@@ -10,19 +10,31 @@ from pyspark.sql import functions as F
 from quern.functions.text import row_index
 
 
+ID_FOLDERS = 1024
+
+
 def save_items(items: DataFrame, path: str) -> None:
     """A new snapshot at a new path; a path that may be read is never overwritten."""
     items.write.mode("errorifexists").partitionBy("kind").parquet(path)
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Sorted by item inside each file, so that a lookup by item skips row groups.
+def id_folder(item_id: Column) -> Column:
+    return F.pmod(item_id, F.lit(ID_FOLDERS)).cast("int")
+
+
+def save_chunks(chunks: DataFrame, path: str, by_id: bool = False) -> None:
+    """Chunks sorted by item, cut by their item's kind when they carry it.
 
-    Chunks that carry their item's kind are cut by it, so a search by kind reads only those files.
+    A search by kind then reads only those files. With ``by_id``, for large stores, folders by id as
+    well: the texts of a search's final rows are read from those rows' folders alone. The range
+    cut splits an item with very many chunks over several tasks.
     """
-    sorted_chunks = chunks.sortWithinPartitions(*[c for c in ("kind", "item_id", "chunk_ix") if c in chunks.columns])
-    by_kind = ["kind"] if "kind" in chunks.columns else []
-    sorted_chunks.write.mode("errorifexists").partitionBy(*by_kind).parquet(path)
+    by_id = by_id or "id_folder" in chunks.columns
+    rows = chunks.withColumn("id_folder", id_folder(F.col("item_id"))) if by_id else chunks
+    folders = [c for c in ("kind", "id_folder") if c in rows.columns]
+    order = [*folders, "item_id", "chunk_ix"]
+    placed = rows.repartitionByRange(*order) if by_id else rows
+    placed.sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(*folders).parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

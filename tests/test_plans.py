@@ -40,6 +40,17 @@ def test_scoring_reads_only_vectors_of_the_wanted_kinds(spark, store):
     assert plan.count("hashpartitioning(query_id") == plan.count("hashpartitioning(") == 2
 
 
+def test_texts_are_read_from_the_final_rows_folders(spark, store, tmp_path):
+    items, chunks = store
+    save_chunks(chunks, str(tmp_path / "by-id"), by_id=True)
+    stored = load(spark, str(tmp_path / "by-id"))
+    asked = t.questions(spark, SF).filter("query_id = 3")
+    found = retrieve.retrieve(asked, items, stored)
+    want = retrieve.retrieve(asked, items, chunks)
+    assert "dynamicpruningexpression" in _plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect()))
+
+
 def test_rerank_shuffles_once(spark):
     df = spark.range(100).selectExpr("id % 5 AS query_id", "id % 7 AS item_id", "'info' AS kind", "rand() AS sim", "int(id) AS cand_ix")
     assert len(re.findall(r"Exchange hashpartitioning", _plan(mmr(df, kind_caps={"info": 2})))) == 1

@@ -98,6 +98,16 @@ def test_chunks_that_carry_their_kind(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "chunks").glob("kind=*")) == ["kind=info", "kind=table"]
 
 
+def test_a_store_in_id_folders_can_be_changed(spark, tmp_path):
+    items = _items(spark, [(1, "info", "a", "x"), (2000, "info", "b", "y" * 4000)])
+    store.save_chunks(embed_hashed(chunk_items(items, with_kind=True)), str(tmp_path / "c0"), by_id=True)
+    chunks = store.load(spark, str(tmp_path / "c0"))
+    _, changed = commit_entries(_incoming(spark, [("info", "a", "new", {}, 0), ("key", "c", "z", {}, 1)]), items, chunks, embed_hashed, now())
+    store.save_chunks(changed, str(tmp_path / "c1"))
+    got = store.load(spark, str(tmp_path / "c1"))
+    assert sorted((r.item_id, r.chunk_ix, r.id_folder) for r in got.collect()) == [(1, 0, 1), (2000, 0, 976), (2000, 1, 976), (2000, 2, 976), (2001, 0, 977)]
+
+
 def test_save_and_load(spark, tmp_path):
     items = _items(spark, [(1, "table", "t", "x"), (2, "info", "i", "y")])
     store.save_items(items, str(tmp_path / "items"))
