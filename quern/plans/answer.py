@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.chunks import complete_with, stand_in_model
@@ -13,7 +13,7 @@ from quern.operators.gate import gate
 from quern.operators.nearest import prepare
 from quern.plans import prompts, results, retrieve
 from quern.plans.guarded import DEFAULT_LIMIT, run_all
-from quern.session import durable
+from quern.session import durable, scratch_path
 
 
 def contexts(
@@ -44,6 +44,26 @@ def propose(grounded: DataFrame, schema_text: str | None, load_model=stand_in_mo
     return gate(replies.drop("prompt"))
 
 
+def _outcomes(spark: SparkSession, accepted: DataFrame, limit: int) -> DataFrame:
+    """(clean_sql, rows_text, draft, refusal) of each statement; every run adds its row to one folder."""
+    path = scratch_path(spark, "outcomes")
+    schema = "clean_sql string, rows_text string, draft string, refusal string"
+    # The folder exists even when nothing runs.
+    spark.createDataFrame([], schema).write.parquet(path)
+    for sql, rows, _, refusal in run_all(spark, accepted, limit):
+        if refusal is None:
+            named = (F.lit(sql).alias("clean_sql"), "*", F.lit(None).cast("string").alias("refusal"))
+            worded = results.worded_head(rows, limit).select(*named)
+            try:
+                worded.write.mode("append").parquet(path)
+            except PySparkException as error:
+                # A statement may also fail on the data; the others still run.
+                refusal = str(error).splitlines()[0]
+        if refusal is not None:
+            spark.createDataFrame([(sql, None, None, refusal)], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def answer(proposed: DataFrame, load_model=stand_in_model, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(query_id, question, clean_sql, reason, warnings, draft, answer) for every proposed statement.
 
@@ -54,15 +74,8 @@ def answer(proposed: DataFrame, load_model=stand_in_model, limit: int = DEFAULT_
     # Kept, so that the model is asked once.
     kept = durable(proposed)
     accepted = kept.filter("allowed").select(F.col("clean_sql").alias("stmt_id"), F.col("clean_sql").alias("sql")).distinct()
-    schema = "clean_sql string, rows_text string, draft string, refusal string"
-    outcomes = [spark.createDataFrame([], schema)]
-    for sql, rows, _, refusal in run_all(spark, accepted, limit):
-        if refusal is not None:
-            outcomes.append(spark.createDataFrame([(sql, None, None, refusal)], schema))
-            continue
-        once = durable(results.worded_head(rows, limit))
-        outcomes.append(once.select(F.lit(sql).alias("clean_sql"), "*", F.lit(None).cast("string").alias("refusal")))
-    worded = kept.join(reduce(DataFrame.unionByName, outcomes), "clean_sql", "left")
+    outcomes = _outcomes(spark, accepted, limit)
+    worded = kept.join(outcomes, "clean_sql", "left")
     worded = worded.withColumn("reason", F.coalesce("reason", "refusal"))
     prompt = prompts.answer_prompt(F.col("question"), F.col("rows_text"), F.col("answer_context"))
     asked = worded.filter(F.col("reason").isNull()).withColumn("prompt", prompt)

@@ -18,6 +18,8 @@ def test_questions_to_answers(spark):
                 out.append("DELETE FROM users")
             elif "missing" in text:
                 out.append("SELECT nope FROM users")
+            elif "broken" in text:
+                out.append("SELECT name, 1 / length(substr(name, 2)) AS r FROM users")
             elif "nobody" in text:
                 out.append("SELECT name FROM users WHERE name = 'z'")
             else:
@@ -25,7 +27,7 @@ def test_questions_to_answers(spark):
         return out
 
     spark.createDataFrame([("a",), ("b",), ("c",)], "name string").repartition(3).createOrReplaceTempView("users")
-    texts = ["who uses this", "please delete them", "a missing column", "is nobody here", "who uses that"]
+    texts = ["who uses this", "please delete them", "a missing column", "is nobody here", "who uses that", "something broken"]
     questions = spark.createDataFrame(list(enumerate(texts)), "query_id long, question string")
     questions = questions.withColumn("embedding", hash_embedding(F.col("question")))
     items = spark.createDataFrame([(1, "info", "who", "who uses this"), (2, "table", "t", "Table t")], "id long, kind string, name string, body string")
@@ -39,6 +41,7 @@ def test_questions_to_answers(spark):
     assert got[4].clean_sql == got[0].clean_sql == "SELECT name FROM users ORDER BY name DESC"
     assert got[1].reason.startswith("Only SELECT") and got[1].answer is None
     assert "nope" in got[2].reason and got[2].answer is None
+    assert "DIVIDE_BY_ZERO" in got[5].reason and got[5].answer is None
     assert got[3].answer == "No model answer was produced." and got[3].draft == "Found 0 rows. Example: {}"
 
 
