@@ -12,6 +12,10 @@ from quern.functions.text import CHUNK_CHARS, pieces
 from quern.functions.vectors import hash_embedding
 
 
+# Adds ``embedding`` to chunks.
+Embed = Callable[[DataFrame], DataFrame]
+
+
 def chunk_items(items: DataFrame, size: int = CHUNK_CHARS, keep_empty: bool = False, with_kind: bool = False) -> DataFrame:
     """(item_id, chunk_ix, chunk_text) from items' bodies, without a shuffle.
 

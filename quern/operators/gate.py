@@ -34,13 +34,14 @@ def _words(words: list[str]) -> str:
 def refusal(sql: Column, plain: Column) -> Column:
     """Why a cleaned statement is refused, or null when it may run."""
     statements = F.filter(F.split(plain, ";"), lambda part: strip(part) != "")
-    by_path = rf"(?i)\b(?:{'|'.join(PATH_FORMATS)})[ \t\r\n]*\.[ \t\r\n]*[`\"]"
+    by_path = rf"(?i)\b(?:{'|'.join(PATH_FORMATS)})`?\s*\.\s*[`\"]"
     return (
         F.when(F.size(statements) == 0, F.lit("The statement is empty."))
         .when(F.size(statements) > 1, F.lit("Only a single statement is allowed."))
         .when(plain.rlike(_words(DENIED)), F.lit(REFUSED))
         .when(~plain.rlike(rf"^[\s(;]*{_words(OPENERS)}"), F.lit(REFUSED))
-        .when(plain.rlike(rf"{_words(DENIED_CALLS)}\s*\("), F.lit("A function of the statement is not allowed."))
+        # In the raw text: no way of quoting may hide such a name.
+        .when(sql.rlike(rf"(?i){_words(DENIED_CALLS)}"), F.lit("A function of the statement is not allowed."))
         .when(sql.rlike(by_path), F.lit("Reading files by path is not allowed."))
     )
 

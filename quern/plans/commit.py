@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.chunks import chunk_items
+from quern.operators.chunks import Embed, chunk_items
 from quern.operators.upsert import replace_chunks, split_upsert
 
 
 def commit_entries(
-    entries: DataFrame, items: DataFrame, chunks: DataFrame, embed, now: Column
+    entries: DataFrame, items: DataFrame, chunks: DataFrame, embed: Embed, now: Column
 ) -> tuple[DataFrame, DataFrame]:
     """The store after the entries arrived in ``seq`` order; an empty body still gets one chunk."""
     kept, changed = split_upsert(items, entries, now)

@@ -12,6 +12,7 @@ from quern.operators.gate import gate
 
 # Fixed value: rows returned unless exact results are asked for.
 DEFAULT_LIMIT = 100
+FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
 
 
 class Refused(ValueError):
@@ -21,13 +22,18 @@ class Refused(ValueError):
 def _run(spark: SparkSession, clean_sql: str, limit: int | None) -> DataFrame:
     """The rows of a statement that passed the gate.
 
-    The text is placed inside FROM, where only a query can stand, so nothing else parses.
+    The text is placed inside FROM, where only a query can stand, so nothing else parses; while it is
+    resolved, Spark does not take a path for a table.
     """
     text = clean_sql.rstrip().rstrip(";")
+    before = spark.conf.get(FILES_AS_TABLES)
+    spark.conf.set(FILES_AS_TABLES, "false")
     try:
         rows = spark.sql(f"SELECT * FROM (\n{text}\n)")
     except (ParseException, AnalysisException) as error:
         raise Refused(str(error)) from error
+    finally:
+        spark.conf.set(FILES_AS_TABLES, before)
     return rows if limit is None else rows.limit(limit)
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.chunks import chunk_items
+from quern.operators.chunks import Embed, chunk_items
 from quern.operators.keys import check_foreign_key, check_primary_key
 from quern.operators.upsert import ITEM_COLUMNS, assign_ids, replace_kinds
 from quern.session import durable
@@ -142,13 +142,10 @@ def refresh_schema(
     declared: Sequence[Key],
     items: DataFrame,
     chunks: DataFrame,
-    embed,
+    embed: Embed,
     now: Column,
 ) -> tuple[DataFrame, DataFrame]:
-    """The store with its schema kinds replaced by the tables' present state.
-
-    ``embed`` takes chunks and adds their ``embedding``.
-    """
+    """The store with its schema kinds replaced by the tables' present state."""
     after = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # The key checks run once; the result has one row per table, column and key.
     found = durable(schema_items(spark, tables, declared))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import CHUNK_CHARS, normalize, row_name, utc_time
-from quern.operators.chunks import chunk_items
+from quern.operators.chunks import Embed, chunk_items
 from quern.operators.ordering import RUN_ROWS
 from quern.operators.sizes import sent_if_small
 from quern.operators.upsert import delete_items, replace_chunks, split_upsert
@@ -96,7 +96,7 @@ def write_sync_audit(record: DataFrame, actions: DataFrame, path: str) -> None:
 
 
 def apply_sync(
-    plan: DataFrame, desired: DataFrame, items: DataFrame, chunks: DataFrame, dataset: str, embed, now: Column
+    plan: DataFrame, desired: DataFrame, items: DataFrame, chunks: DataFrame, dataset: str, embed: Embed, now: Column
 ) -> tuple[DataFrame, DataFrame]:
     """The new items and chunks. Only created and updated rows are chunked and embedded."""
     lit_dataset = F.lit(dataset)
@@ -142,7 +142,7 @@ def run_sync(
     items: DataFrame,
     chunks: DataFrame,
     dataset: str,
-    embed,
+    embed: Embed,
     now: Column,
     *,
     has_header: bool = False,

@@ -41,7 +41,11 @@ REJECTED = [
     " ; ",
     "I do not know",
     "SELECT reflect('java.lang.Math', 'max', 1, 2)",
+    "SELECT `reflect`('java.lang.Math', 'max', 1, 2)",
+    "SELECT '\\'', reflect('java.lang.Math', 'max', 1, 2)",
+    "SELECT java_method /* x */ ('a', 'b')",
     "SELECT * FROM parquet.`/etc/x`",
+    "SELECT * FROM `parquet`.`/etc/x`",
     "SELECT * FROM  csv . `x`",
 ]
 
@@ -80,6 +84,15 @@ def test_run(spark):
     assert spark.catalog.tableExists("t")
 
 
+def test_paths_are_no_tables_however_they_are_written(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    text = f"SELECT * FROM parquet./* hidden */`{tmp_path}/p`"
+    assert spark.sql(text).count() == 3
+    with pytest.raises(Refused):
+        run_guarded(spark, text)
+    assert spark.sql(text).count() == 3
+
+
 def test_run_all(spark):
     spark.range(3).createOrReplaceTempView("t")
     statements = spark.createDataFrame([(1, "SELECT count(*) AS n FROM t"), (2, "DELETE FROM t"), (3, "SELECT nope FROM t")], "stmt_id long, sql string")
