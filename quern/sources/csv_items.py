@@ -27,7 +27,8 @@ def read_item_files(
 
     Rows are numbered per kind after blank rows are dropped, in file order. Files of a folder follow
     each other by name; a shorter name comes first, so numbered part files keep their order. Without
-    quoted line feeds, ``multiline=False`` lets Spark split large files.
+    quoted line feeds, ``multiline=False`` lets Spark split large files. Line ends inside a cell may be
+    read as LF, which is what a sync compares and stores.
     """
     frames = []
     for kind, path in paths.items():
