@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.chunks import Embed, chunk_items
-from quern.operators.keys import check_foreign_key, check_primary_key
+from quern.operators.keys import check_foreign_keys, check_primary_keys
 from quern.operators.upsert import ITEM_COLUMNS, assign_ids, replace_kinds
 from quern.session import durable
 from quern.sources.catalog import SYSTEM_SCHEMAS, catalog_columns
@@ -84,24 +84,24 @@ def key_items(keys: DataFrame) -> DataFrame:
 
 def verified_keys(tables: Mapping[tuple[str, str], DataFrame], declared: Sequence[Key]) -> DataFrame:
     """Columns of the declared keys that hold on the data; files carry no enforced constraints."""
-    frames = []
-    for key in declared:
-        if key.schema in SYSTEM_SCHEMAS:
-            continue
+    checked = [key for key in declared if key.schema not in SYSTEM_SCHEMAS]
+    primary, foreign, columns = {}, {}, []
+    for key in checked:
         df = tables[(key.schema, key.table)]
+        name = f"{key.schema}.{key.table}.{key.type}.{','.join(key.columns)}"
         if key.parent:
-            verdict = check_foreign_key(df, key.columns, tables[key.parent], key.parent_columns)
+            foreign[name] = (df, key.columns, tables[key.parent], key.parent_columns)
         else:
-            verdict = check_primary_key(df, key.columns)
-        frames.append(
-            verdict.filter("valid").select(
-                F.lit(key.schema).alias("table_schema"),
-                F.lit(key.table).alias("table_name"),
-                F.explode(F.array(*[F.lit(c) for c in key.columns])).alias("column_name"),
-                F.lit(key.type).alias("constraint_type"),
-            )
-        )
-    return reduce(DataFrame.unionByName, frames)
+            primary[name] = (df, key.columns)
+        columns += [(name, key.schema, key.table, c, key.type) for c in key.columns]
+    schema = "key string, table_schema string, table_name string, column_name string, constraint_type string"
+    named = next(iter(tables.values())).sparkSession.createDataFrame(columns, schema)
+    checks = ((check_primary_keys, primary), (check_foreign_keys, foreign))
+    verdicts = [check(keys).select("key", "valid") for check, keys in checks if keys]
+    if not verdicts:
+        return named.drop("key")
+    held = reduce(DataFrame.unionByName, verdicts).filter("valid")
+    return named.join(held, "key", "left_semi").drop("key")
 
 
 def schema_items(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.chunks import chunk_items, embed_hashed
-from quern.operators.keys import check_foreign_key, check_primary_key
+from quern.operators.keys import check_foreign_keys, check_primary_keys
 from quern.operators.ordering import spread_out
 from quern.plans.examples import column_examples
 from quern.plans.schema_grounding import FOREIGN, PRIMARY, Key, refresh_schema, schema_items
@@ -116,23 +116,28 @@ def _union(frames):
     return reduce(DataFrame.unionByName, frames)
 
 
-def _named(df, key):
-    return df.select(F.lit(key.table).alias("table_name"), F.lit(", ".join(key.columns)).alias("key_columns"), "*")
+def _named(verdicts):
+    """The name of a check, as table and columns."""
+    table = F.split_part(F.col("key"), F.lit(":"), F.lit(1)).alias("table_name")
+    columns = F.split_part(F.col("key"), F.lit(":"), F.lit(2)).alias("key_columns")
+    return verdicts.select(table, columns, "*").drop("key")
+
+
+def _name(key):
+    return f"{key.table}:{', '.join(key.columns)}"
 
 
 @query("key_check_pk", SQL_PK)
 def key_check_pk(spark, sf):
-    return _union([_named(check_primary_key(t.table(spark, sf, k.table), k.columns), k) for k in _PKS])
+    return _named(check_primary_keys({_name(k): (t.table(spark, sf, k.table), k.columns) for k in _PKS}))
 
 
 @query("key_check_fk", SQL_FK)
 def key_check_fk(spark, sf):
-    return _union(
-        [
-            _named(check_foreign_key(t.table(spark, sf, k.table), k.columns, t.table(spark, sf, k.parent[1]), k.parent_columns), k)
-            for k in _FKS
-        ]
-    )
+    def tables(key):
+        return t.table(spark, sf, key.table), key.columns, t.table(spark, sf, key.parent[1]), key.parent_columns
+
+    return _named(check_foreign_keys({_name(k): tables(k) for k in _FKS}))
 
 
 @query("schema_items", f"WITH {SQL_SCHEMA_ITEMS} SELECT kind, name, body FROM schema_items")
