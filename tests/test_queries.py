@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quern.workload import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 def _plain(value):
