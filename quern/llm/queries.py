@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.llm import licenses, mixing, pii, sharding
 from quern.llm import quality_rules as rules
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -12,3 +13,27 @@ from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 def op1(spark, sf):
     trusted = table(spark, sf, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
     return rules.quality_rules(table(spark, sf, "documents"), trusted)
+
+
+@query("op9_license_scans")
+def op9(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@query("op10_mix_sources")
+def op10(spark, sf):
+    mixed = mixing.mix_documents(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_sampled_splitters")
+def op3(spark, sf):
+    found = sharding.shard_digests(table(spark, sf, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_pii_weak_supervision")
+def op2(spark, sf):
+    found = pii.find_pii(table(spark, sf, "documents"))
+    counts = [pii.kind_count(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("found")).alias("spans"))
