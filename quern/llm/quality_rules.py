@@ -117,11 +117,12 @@ def _names(docs: DataFrame, keep) -> list[str]:
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id with the base counts, base_failed, the score and the verdict `kept` of every document.
 
-    docs: doc_id, text. trusted: doc_ids of the trusted target texts; those texts are found by a join on
-    doc_id, from which Spark leaves out other texts by a runtime filter when the inputs are large.
+    docs: doc_id, text. trusted: doc_ids of the trusted target texts; those texts are found by a
+    shuffled join on doc_id, the only step that moves texts.
     """
     body = docs.select("doc_id", "text")
-    target = body.join(trusted.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")
+    # One plan at every size: the texts are dealt out by doc_id once, whatever the number of trusted ids.
+    target = body.join(trusted.select("doc_id").where("doc_id IS NOT NULL").hint("shuffle_merge"), "doc_id", "left_semi")
     model = ratios(bucket_counts(body), bucket_counts(target))
     held = body.select("doc_id", "text", model.scalar().alias("_ratios"))
     found = base_counts(held, "text", "doc_id", mean_ratio(whole_text(), F.col("_ratios")).alias("score"))
