@@ -117,6 +117,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_hashes_at(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """span_hashes of spans that all have the same small size and may overlap."""
+    up, _, table = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(size):
+        out += table[data[starts + k]] * up[k]
+    return mix(out ^ np.uint64((size * 0xD6E8FEB86659FD93) & (1 << 64) - 1))
+
+
 def run_hashes(words: np.ndarray, counts: np.ndarray, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words within rows, and the number of runs before each row.
 
@@ -147,15 +156,22 @@ def run_hashes(words: np.ndarray, counts: np.ndarray, size: int, short: bool = F
     return out, before
 
 
+def sort_in_rows(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The values of each row in rising order."""
+    values = values.copy()
+    for row in np.flatnonzero(np.diff(before) > 1):
+        values[before[row] : before[row + 1]].sort()
+    return values
+
+
 def distinct_in_rows(values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each row in rising order, and the number of them before each row."""
-    rows = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
+    values = sort_in_rows(values, before)
     new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    values, rows = values[new], rows[new]
-    return values, np.searchsorted(rows, np.arange(len(before)))
+    new[1:] = values[1:] != values[:-1]
+    firsts = before[:-1]
+    new[firsts[firsts < len(values)]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[before]
 
 
 def row_sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import licenses, mixing, pii, sharding
+from quern.llm import language_id, licenses, mixing, pii, quality_ranking, sharding
 from quern.llm import quality_rules as rules
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -37,3 +37,13 @@ def op2(spark, sf):
     found = pii.find_pii(table(spark, sf, "documents"))
     counts = [pii.kind_count(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("found")).alias("spans"))
+
+
+@query("op4_language_id")
+def op4(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+@query("op5_quality_ranking")
+def op5(spark, sf):
+    return quality_ranking.rank_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
