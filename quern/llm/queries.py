@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import language_id, licenses, mixing, pii, quality_ranking, sharding
+from quern.llm import decontamination, language_id, language_model, licenses, mixing, pii, quality_ranking, sharding
 from quern.llm import quality_rules as rules
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -47,3 +47,16 @@ def op4(spark, sf):
 @query("op5_quality_ranking")
 def op5(spark, sf):
     return quality_ranking.rank_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_backoff_automaton")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    fold = language_model.held_out(F.col("doc_id"))
+    found = language_model.score_texts(docs, docs.where(~fold))
+    return found.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_simhash_decontamination")
+def op8(spark, sf):
+    return decontamination.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
