@@ -1,10 +1,51 @@
-"""The corpus pipeline: quality, near copies, benchmark passages, mixing, sharding."""
+"""The corpus pipeline: quality, near copies, benchmark passages, mixing, sharding.
+
+Each stage takes all documents that its predecessor kept and returns the columns of documents; the last
+adds size, text_crc32, shard and slot. run() writes every stage to the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import decontamination, mixing, ngram_jaccard, quality_ranking, sharding
+from quern.llm.registry import table
+from quern.session import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier rejects."""
+    return quality_ranking.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_jaccard.drop_near_copies(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often, and as far, as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and their number in it."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark", benchmark), ("mixing", mix), ("sharding", shard)]
+
+#: Classifier, shingle hashes and fingerprints have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

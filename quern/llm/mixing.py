@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.columns import BREAKS, whole_text
+from quern.llm.columns import BREAKS, let, whole_text
 from quern.session import staged
 
 WEIGHTS = (5, 2, 1)
@@ -174,3 +174,35 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     key = placed.withColumn("_key", F.when(~empty, F.col("start")))
     out = key.join(taken.withColumnRenamed("start", "_key"), ["source_no", "_key"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source_no", "start", "tie")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, weights=WEIGHTS) -> DataFrame:
+    """The mix as documents: a row for every round in which words of a document are taken.
+
+    A round that takes all of a document's words has its text as it is; one that takes a part has the words of
+    the taken blocks, parted by spaces, and n_chars (where there is such a column) of that text. All other columns are
+    as they were. Rows that are equal in doc_id, text and source are told apart by number only. Documents
+    without words are not taken.
+    """
+    placed, segments, slots = mix_plan(docs, block_words, shards, weights)
+    uses = segments.join(slots, ["source_no", "block"]).groupBy("source_no", "start", "first", "words").agg(F.count("*").cast("int").alias("uses"))
+    parts = uses.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("parts"))
+    taken = placed.where("size > 0").join(parts, ["source_no", "start"])
+    rounds = F.array(*[F.lit(r) for r in range(1, MOST_ROUNDS + 1)])
+    of_round = F.transform(rounds, lambda r: F.filter("parts", lambda p: p["uses"] >= r))
+    outputs = F.filter(of_round, lambda o: F.size(o) > 0)
+    whole = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    # A whole text needs no list of its parts.
+    short = F.transform(outputs, lambda o: F.when(whole(o), F.array().cast("array<struct<first:bigint,words:bigint>>")).otherwise(F.transform(o, lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words")))))
+    listed = taken.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.col("source").alias("_s"), short.alias("_out"))
+    listed = listed.groupBy("_id", "_t", "_s").agg(F.flatten(F.collect_list("_out")).alias("_out"))
+    keyed = docs.withColumns({"_doc": F.col("doc_id"), "_text": F.xxhash64("text"), "_source": F.col("source").cast("string")})
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & F.col("_source").eqNullSafe(F.col("_s"))
+    found = keyed.join(listed.hint("shuffle_merge"), same).dropDuplicates(["_doc", "_text", "_source"])
+    each = found.select(*[found[f"`{c}`"] for c in docs.columns], F.explode("_out").alias("_o"))
+    cut = let(F.filter(F.split(F.col("text"), BREAKS), lambda w: w != ""), lambda w: F.array_join(F.flatten(F.transform("_o", lambda p: F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int")))), " "))
+    partial = F.size("_o") > 0
+    made = each.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(partial, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return made.select(*[made[f"`{c}`"] for c in docs.columns])

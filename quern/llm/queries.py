@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, language_id, language_model, licenses, mixing, pii, quality_ranking, sharding
+from quern.llm import decontamination, language_id, language_model, licenses, mixing, ngram_jaccard, pii, quality_ranking, sharding
 from quern.llm import quality_rules as rules
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -60,3 +60,8 @@ def op7(spark, sf):
 @query("op8_simhash_decontamination")
 def op8(spark, sf):
     return decontamination.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op6_signature_trees")
+def op6(spark, sf):
+    return ngram_jaccard.link_groups(table(spark, sf, "documents"))
