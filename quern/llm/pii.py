@@ -158,7 +158,7 @@ def labeled(x: Column, text: Column) -> Column:
     letters = m.rlike("[A-Za-z]")
     strict = _by_kind(
         k,
-        email=_vote(m.rlike("^" + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+" + "$")),
+        email=_vote(m.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")),
         ip=_vote(_octets(m)),
         card=_vote(luhn(digits)),
         phone=_vote(m.rlike(r"^(\+|\()") & many.between(9, 15)),
