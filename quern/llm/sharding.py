@@ -142,7 +142,13 @@ def place(rows: DataFrame, bounds, totals: dict[int, tuple[int, int]], shards: i
 def with_slots(placed: DataFrame) -> DataFrame:
     """Adds slot: the record's number within its shard, from 0 without gaps."""
     firsts = placed.groupBy("shard").agg(F.min("_row").alias("_shard_row"))
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_row") - F.col("_shard_row")).drop("_row", "_shard_row", "_key", "_sub")
+    return _numbered(placed, firsts)
+
+
+def _numbered(placed: DataFrame, firsts: DataFrame) -> DataFrame:
+    kept = [c for c in placed.columns if c not in ("shard", "_row", "_key", "_sub")]
+    slot = (F.col("_row") - F.col("_shard_row")).alias("slot")
+    return placed.join(F.broadcast(firsts), "shard").select(*[placed[f"`{c}`"] for c in kept], "shard", slot)
 
 
 def shard_digests(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -160,8 +166,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     bounds, totals = splitters(digest, shards)
     firsts = place(digest, bounds, totals, shards).groupBy("shard").agg(F.min("_row").alias("_shard_row"))
     firsts = docs.sparkSession.createDataFrame(firsts.collect(), firsts.schema)  # a row per shard
-    placed = place(rows, bounds, totals, shards).join(F.broadcast(firsts), "shard")
-    return placed.withColumn("slot", F.col("_row") - F.col("_shard_row")).drop("_row", "_shard_row", "_key", "_sub")
+    return _numbered(place(rows, bounds, totals, shards), firsts)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
