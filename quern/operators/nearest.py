@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.ordering import top_per_group
+from quern.session import durable, scratch_path
 
-# A question batch up to this many rows and bytes is sent to every task; larger ones are spread.
+# So many questions, bytes of them, and results for them, are sent to every task at once; more go in slices.
 MAX_SENT_QUESTIONS = 8192
 MAX_SENT_BYTES = 32 << 20
 MAX_KEPT_PAIRS = 1_000_000
-GRID_CHUNKS = 20_000
-FEWEST_TASKS = 256
-TASKS_PER_CORE = 4
 BLOCK_ROWS = 4096
 BLOCK_QUESTIONS = 1024
 PAIR_SLICE = 65_536
@@ -309,57 +307,44 @@ def _sent(questions: Questions, chunks: DataFrame, k: int, metric: str, score, p
         ids, vectors, prepared = held.value
         yield from _scan(batches, ids, vectors, k, metric, score, prepared)
 
-    return _longer_tasks(chunks).mapInArrow(best_of_partition, SCORED)
+    return chunks.mapInArrow(best_of_partition, SCORED)
 
 
-def _longer_tasks(chunks: DataFrame) -> DataFrame:
-    """Several file splits to a task, without a shuffle: every task hands on up to k rows per question.
-
-    Tables with fewer splits stay as they are. With executors that come and go the number of cores
-    is not known, and nothing is changed.
-    """
-    context = chunks.sparkSession.sparkContext
-    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
-        return chunks
-    return chunks.coalesce(max(FEWEST_TASKS, TASKS_PER_CORE * context.defaultParallelism))
+def _slices(questions: Questions, k: int):
+    """A question batch as batches of bounded size, read one after another."""
+    if questions.bounded(k):
+        yield questions
+        return
+    per_slice = max(1, min(MAX_SENT_QUESTIONS, MAX_KEPT_PAIRS // max(k, 1)))
+    parts = max(1, 2 * math.ceil(questions.frame.count() / per_slice))
+    for part in range(parts):
+        table = questions.frame.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        ids, vectors = _question_arrays(table)
+        for at in range(0, len(ids), per_slice):
+            yield Questions(questions.frame, ids[at : at + per_slice], vectors[at : at + per_slice])
 
 
-def _spread(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe) -> DataFrame:
-    """Both sides cut by hash into a grid of bounded cells, for question batches too large to send.
+def _best(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe, only=None) -> DataFrame:
+    """The k best of every question. only(vectors): the chunks that a slice of questions needs.
 
-    A chunk is repeated once per question slice and a question once per chunk slice, so each grid
-    cell is bounded whatever the keys look like.
+    A slice is sent to the tasks and the chunks are read where they lie; a batch of several slices reads
+    them once a slice, each slice adding its survivors to one folder, so nothing but survivors moves.
     """
-    per_slice = max(1, min(MAX_SENT_QUESTIONS, MAX_KEPT_PAIRS // max(k, 1)))
-    slices = max(1, math.ceil(questions.frame.count() / per_slice))
-    cuts = max(1, math.ceil(chunks.count() / GRID_CHUNKS))
-    left = chunks.withColumn("_cut", F.pmod(F.xxhash64("item_id", "chunk_ix"), F.lit(cuts))).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    right = questions.frame.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")).withColumn(
-        "_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long")))
-    )
-
-    def best_of_cell(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
-        if chunk_table.num_rows == 0 or question_table.num_rows == 0:
-            return ARROW_SCORED.empty_table()
-        ids, vectors = _question_arrays(question_table)
-        probe = make_probe(vectors)
-        found = _scan(chunk_table.combine_chunks().to_batches(), ids, vectors, k, metric, score, probe)
-        return pa.Table.from_batches(found, schema=ARROW_SCORED)
-
-    return left.groupBy("_cut", "_slice").cogroup(right.groupBy("_cut", "_slice")).applyInArrow(best_of_cell, SCORED)
-
-
-def _best(questions: Questions, chunks: DataFrame, k: int, metric: str, score, make_probe) -> DataFrame:
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     k = max(k, 1)
+
+    def local(part: Questions) -> DataFrame:
+        needed = chunks if only is None else only(part.vectors)
+        return _sent(part, needed, k, metric, score, make_probe(part.vectors))
+
     if questions.bounded(k):
-        local = _sent(questions, chunks, k, metric, score, make_probe(questions.vectors))
-    else:
-        local = _spread(questions, chunks, k, metric, score, make_probe)
-    return _merge(local, k)
+        return _merge(local(questions), k)
+    path = scratch_path(chunks.sparkSession, "survivors")
+    chunks.sparkSession.createDataFrame([], SCORED).write.parquet(path)
+    for part in _slices(questions, k):
+        local(part).write.mode("append").parquet(path)
+    return _merge(chunks.sparkSession.read.schema(SCORED).parquet(path), k)
 
 
 def nearest(questions: Questions, chunks: DataFrame, k: int = 80, metric: str = "l2") -> DataFrame:
@@ -371,26 +356,20 @@ def nearest(questions: Questions, chunks: DataFrame, k: int = 80, metric: str =
 # --- approximate: inverted lists ---------------------------------------------------------------
 
 
-def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7, train_rows: int = 1_000_000) -> np.ndarray:
-    """Centroids by k-means. Training reads a sample; every chunk is still assigned to a cell."""
-    vectors = chunks.select(array_to_vector("embedding").alias("features"))
-    total = chunks.count()
-    if total > train_rows:
-        vectors = vectors.sample(train_rows / total, seed=seed)
-    vectors = vectors.persist()
-    try:
-        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vectors)
-    finally:
-        vectors.unpersist()
+def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7) -> np.ndarray:
+    """Centroids by k-means over all chunks that have a vector."""
+    vectors = chunks.filter(F.col("embedding").isNotNull()).select(array_to_vector("embedding").alias("features"))
+    # Kept in the shared folder, as training reads them again and again.
+    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(durable(vectors))
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
-def centroid_matrix(centroids: DataFrame, order: str, limit: int = MAX_SENT_QUESTIONS) -> np.ndarray:
-    """The ``embedding`` rows of a small table as cells 0, 1, … in the given column's order."""
-    table = centroids.select(order, "embedding").orderBy(order).limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        raise ValueError("too many cells to send to every task")
-    return _matrix(table.column("embedding"))
+def centroid_matrix(centroids: DataFrame, order: str) -> np.ndarray:
+    """The ``embedding`` rows of a table as cells 0, 1, … in the given column's order.
+
+    The caller chose the number of cells when the index was built; every task holds them all.
+    """
+    return _matrix(centroids.select(order, "embedding").orderBy(order).toArrow().column("embedding"))
 
 
 def _cell_distance(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -421,9 +400,12 @@ class CellIndex:
     centroids: np.ndarray
 
     def save(self, path: str) -> None:
-        """Chunks in one folder per cell, so that a search reads only the cells it probes."""
+        """Chunks in one folder per cell, so that a search reads only the cells it probes.
+
+        A range cut by cell gives a folder few files, and a large cell several.
+        """
         spark = self.chunks.sparkSession
-        self.chunks.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/chunks")
+        self.chunks.repartitionByRange("cell", "item_id").write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/chunks")
         rows = [(cell, vector.tolist()) for cell, vector in enumerate(self.centroids)]
         spark.createDataFrame(rows, "cell int, embedding array<double>").write.parquet(f"{path}/centroids")
 
@@ -454,11 +436,12 @@ def nearest_by_cells(questions: Questions, index: CellIndex, probes: int, k: int
         return mask
 
     columns = index.chunks.select("item_id", "chunk_ix", "embedding", "cell")
-    if questions.ids is not None:
-        wanted = np.flatnonzero(probed(questions.vectors).any(axis=0))
-        if len(wanted) < len(centroids):
-            columns = columns.filter(F.col("cell").isin([int(c) for c in wanted]))
-    return _best(questions, columns, k, metric, _cell_batch, probed)
+
+    def wanted(vectors: np.ndarray) -> DataFrame:
+        cells = np.flatnonzero(probed(vectors).any(axis=0))
+        return columns if len(cells) == len(centroids) else columns.filter(F.col("cell").isin([int(c) for c in cells]))
+
+    return _best(questions, columns, k, metric, _cell_batch, probed, wanted)
 
 
 # --- approximate: hashed signs -----------------------------------------------------------------

@@ -69,7 +69,12 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_ix") ->
     Spark's range sort orders the rows; the sorted rows are kept in the shared folder once, so the
     partition that each row number is counted from cannot change between the two readings.
     """
-    placed = durable(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return number_returned(df.orderBy(*order), out)
+
+
+def number_returned(df: DataFrame, out: str = "row_ix") -> DataFrame:
+    """1, 2, 3, … in the order in which the frame returns its rows, a sorted one in its order."""
+    placed = durable(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_at"), 33).alias("_part")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from quern.operators.chunks import complete_with, stand_in_model
 from quern.operators.gate import gate
 from quern.operators.nearest import prepare
 from quern.plans import prompts, results, retrieve
-from quern.plans.guarded import DEFAULT_LIMIT, run_all
+from quern.plans.guarded import run_all
 from quern.session import durable, scratch_path
 
 
@@ -44,44 +45,87 @@ def propose(grounded: DataFrame, schema_text: str | None, load_model=stand_in_mo
     return gate(replies.drop("prompt"))
 
 
-def _outcomes(spark: SparkSession, accepted: DataFrame, limit: int) -> DataFrame:
-    """(clean_sql, rows_text, draft, refusal) of each statement; every run adds its row to one folder."""
+_ROWS = "clean_sql string, headers array<string>, row_ix long, cells array<string>, block string, json string"
+#: Statements that run side by side.
+AT_ONCE = 4
+
+
+def run_statements(spark: SparkSession, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all statements, (clean_sql, headers, row_ix, cells, block, json), and (clean_sql, refusal).
+
+    A statement that ran has a row 0 with its headers. Every statement writes a folder of its own; rows do
+    not pass the driver. accepted: stmt_id (the statement), sql.
+    """
     path = scratch_path(spark, "outcomes")
-    schema = "clean_sql string, rows_text string, draft string, refusal string"
-    # The folder exists even when nothing runs.
-    spark.createDataFrame([], schema).write.parquet(path)
-    for sql, rows, _, refusal in run_all(spark, accepted, limit):
-        if refusal is None:
-            named = (F.lit(sql).alias("clean_sql"), "*", F.lit(None).cast("string").alias("refusal"))
-            worded = results.worded_head(rows, limit).select(*named)
-            try:
-                worded.write.mode("append").parquet(path)
-            except PySparkException as error:
-                # A statement may also fail on the data; the others still run.
-                refusal = str(error).splitlines()[0]
-        if refusal is not None:
-            spark.createDataFrame([(sql, None, None, refusal)], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def answer(proposed: DataFrame, load_model=stand_in_model, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(query_id, question, clean_sql, reason, warnings, draft, answer) for every proposed statement.
+    spark.createDataFrame([], _ROWS).write.parquet(f"{path}/s=-1")  # the folder exists even when nothing runs
+
+    def run(number: int, sql: str, rows: DataFrame) -> tuple[str, str | None]:
+        try:
+            found = results.packaged(results.returned(rows))
+            head = spark.createDataFrame([(rows.columns, 0, None, None, None)], _ROWS.split(", ", 1)[1])
+            found.unionByName(head).withColumn("clean_sql", F.lit(sql)).write.parquet(f"{path}/s={number}")
+        except PySparkException as error:
+            # A statement may also fail on the data; the others still run.
+            return sql, str(error).splitlines()[0]
+        return sql, None
 
+    refusals, running = [], []
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for number, (sql, rows, _, refusal) in enumerate(run_all(spark, accepted)):
+            if refusal is not None:
+                refusals.append((sql, refusal))
+                continue
+            running.append(pool.submit(run, number, sql, rows))
+            if len(running) > 2 * AT_ONCE:
+                refusals.append(running.pop(0).result())
+        refusals += [job.result() for job in running]
+    refused = spark.createDataFrame([r for r in refusals if r[1] is not None], "clean_sql string, refusal string")
+    return spark.read.schema(_ROWS).parquet(path), refused
+
+
+def worded(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(clean_sql, rows_text, draft) of every statement that ran; rows: as of run_statements.
+
+    The draft counts all rows and shows the first. The text words all rows, or the first ``limit`` where the
+    caller bounds what a model is to read; the draft then says so. Texts are put together in parts of
+    TEXT_PART_ROWS rows.
+    """
+    counts = rows.groupBy("clean_sql").agg(
+        F.count_if(F.col("row_ix") > 0).alias("n"), F.min_by("json", F.when(F.col("row_ix") > 0, F.col("row_ix"))).alias("first")
+    )
+    shown = rows.filter("row_ix > 0" if limit is None else f"row_ix BETWEEN 1 AND {int(limit)}")
+    part = F.floor((F.col("row_ix") - 1) / results.TEXT_PART_ROWS).alias("part")
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), "")
+    parts = shown.groupBy("clean_sql", part).agg(joined("block", "row_ix").alias("text"))
+    texts = parts.groupBy("clean_sql").agg(joined("text", "part").alias("text"))
+    number = F.col("n").cast("string")
+    if limit is not None:
+        number = F.when(F.col("n") > limit, F.concat(F.lit(f"first {limit} of "), number)).otherwise(number)
+    return counts.join(texts, "clean_sql", "left").select(
+        "clean_sql",
+        F.when(F.col("n") == 0, F.lit(results.NO_DATA)).otherwise(F.concat(F.lit(results.ROWS_HEAD), F.coalesce("text", F.lit("")))).alias("rows_text"),
+        F.concat(F.lit("Found "), number, F.lit(" rows. Example: "), F.coalesce("first", F.lit("{}"))).alias("draft"),
+    )
+
+
+def answer_with_rows(proposed: DataFrame, load_model=stand_in_model, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The answers, and the rows of every statement that ran: (clean_sql, headers, row_ix, cells).
+
+    answers: (query_id, question, clean_sql, reason, warnings, draft, answer) for every proposed statement.
     Equal statements run once. A statement that is refused, by the gate or by Spark, has a reason and
-    no answer. Rows are worded under the row limit.
+    no answer. ``limit`` bounds the rows that a model reads, not those that are run, counted and returned.
     """
     spark = proposed.sparkSession
     # Kept, so that the model is asked once.
     kept = durable(proposed)
     accepted = kept.filter("allowed").select(F.col("clean_sql").alias("stmt_id"), F.col("clean_sql").alias("sql")).distinct()
-    outcomes = _outcomes(spark, accepted, limit)
-    worded = kept.join(outcomes, "clean_sql", "left")
-    worded = worded.withColumn("reason", F.coalesce("reason", "refusal"))
+    rows, refused = run_statements(spark, accepted)
+    outcomes = worded(rows, limit).join(refused, "clean_sql", "full")
+    known = kept.join(outcomes, "clean_sql", "left").withColumn("reason", F.coalesce("reason", "refusal"))
     prompt = prompts.answer_prompt(F.col("question"), F.col("rows_text"), F.col("answer_context"))
-    asked = worded.filter(F.col("reason").isNull()).withColumn("prompt", prompt)
+    asked = known.filter(F.col("reason").isNull()).withColumn("prompt", prompt)
     answered = complete_with(asked.select("query_id", "prompt"), load_model, "answer").select("query_id", "answer")
-    final = worded.join(answered, "query_id", "left")
-    return final.select(
+    final = known.join(answered, "query_id", "left").select(
         "query_id",
         "question",
         "clean_sql",
@@ -90,3 +134,9 @@ def answer(proposed: DataFrame, load_model=stand_in_model, limit: int = DEFAULT_
         "draft",
         F.when(F.col("reason").isNull(), prompts.final_answer(F.col("answer"))).alias("answer"),
     )
+    return final, rows.filter("row_ix > 0").select("clean_sql", "headers", "row_ix", "cells")
+
+
+def answer(proposed: DataFrame, load_model=stand_in_model, limit: int | None = None) -> DataFrame:
+    """The answers of answer_with_rows."""
+    return answer_with_rows(proposed, load_model, limit)[0]

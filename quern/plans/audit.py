@@ -14,7 +14,12 @@ from quern.sinks.files import write_audit_csv, write_json
 
 
 def chunk_listing(chunks: DataFrame) -> DataFrame:
-    return chunks.select("item_id", "chunk_ix", "chunk_text", F.length("chunk_text").alias("chars"))
+    return chunks.select("item_id", "chunk_ix", "chunk_text", F.length("chunk_text").alias("chars"), *_times(chunks))
+
+
+def _times(chunks: DataFrame) -> list[str]:
+    """The times that chunks carry, where their store keeps them."""
+    return [c for c in ("created_at", "updated_at") if c in chunks.columns]
 
 
 def missing_items(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,7 +35,7 @@ def missing_head(items: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
 
 def nested_chunks(chunks: DataFrame) -> DataFrame:
     """(id, chunks, full_text, chunk_count): chunks in order, and their texts end to end."""
-    entry = F.struct("chunk_ix", "chunk_text", F.length("chunk_text").alias("chars"))
+    entry = F.struct("chunk_ix", "chunk_text", F.length("chunk_text").alias("chars"), *_times(chunks))
     grouped = chunks.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("chunks"))
     return grouped.select(
         "id",
@@ -122,10 +127,18 @@ def embedding_width(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_audit(items: DataFrame, chunks: DataFrame, path: str, now: Column) -> None:
-    """Items and chunks as CSV, the nested snapshot and the missing items as JSON, and the totals."""
+def write_audit(items: DataFrame, chunks: DataFrame, outdir: str, now: Column) -> str:
+    """Items and chunks as CSV, the nested snapshot and the missing items as JSON, and the totals.
+
+    Every audit has a folder of its own in ``outdir``, named by its UTC time; the folder is returned.
+    """
+    stamp = items.sparkSession.range(1).select(utc_stamp(now)).first()[0]
+    path = f"{outdir}/audit-{stamp}"
     write_audit_csv(items, f"{path}/items", ["kind", "name"])
     write_audit_csv(chunk_listing(chunks), f"{path}/chunks", ["item_id", "chunk_ix"])
     write_json(snapshot(items, chunks), f"{path}/snapshot", ["kind", "name"])
     write_json(missing_items(items, chunks), f"{path}/missing", ["kind", "name"])
-    write_json(totals(items, chunks).withColumn("generated_at_utc", utc_stamp(now)), f"{path}/totals")
+    write_json(totals(items, chunks).withColumn("generated_at_utc", F.lit(stamp)), f"{path}/totals")
+    if "embedding" in chunks.columns:
+        write_json(embedding_width(chunks), f"{path}/embedding")
+    return path

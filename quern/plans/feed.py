@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quern.operators.ordering import first_per_key
 
 BATCH = "batch_id"
+#: Compacted rows stand before every batch, in a folder that no batch writes to.
+BASE_BATCH = -1
+CHECKPOINT = "checkpoint"
 
 
 def raw_form(records: DataFrame, keys: Sequence[str], seq: Sequence[str], ingested: Column) -> DataFrame:
@@ -31,13 +34,9 @@ def ingest_batch(
     seq: Sequence[str],
     ingested: Column,
 ) -> None:
-    """Write one batch to both tables."""
-    kept = records.persist()
-    try:
-        typed(kept).write.mode("overwrite").parquet(f"{path}/typed/{BATCH}={batch}")
-        raw_form(kept, keys, seq, ingested).write.mode("overwrite").parquet(f"{path}/raw/{BATCH}={batch}")
-    finally:
-        kept.unpersist()
+    """Write one batch to both tables; the records are read once for each."""
+    typed(records).write.mode("overwrite").parquet(f"{path}/typed/{BATCH}={batch}")
+    raw_form(records, keys, seq, ingested).write.mode("overwrite").parquet(f"{path}/raw/{BATCH}={batch}")
 
 
 def newest(records: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
@@ -52,9 +51,22 @@ def read_feed(spark: SparkSession, path: str, table: str, keys: Sequence[str], s
 
 
 def compact_feed(spark: SparkSession, path: str, target: str, keys: Sequence[str], seq: Sequence[str]) -> None:
-    """Both tables' present rows at a new path, as the first batch there."""
+    """Both tables' present rows at a new path, before any batch that is still to come there.
+
+    A stream's checkpoint is taken along, so that a feed that goes on at the new path neither takes a
+    file twice nor gives a batch a number that was used.
+    """
     for table in ("typed", "raw"):
-        read_feed(spark, path, table, keys, seq).write.parquet(f"{target}/{table}/{BATCH}=0")
+        read_feed(spark, path, table, keys, seq).write.parquet(f"{target}/{table}/{BATCH}={BASE_BATCH}")
+    _copy_folder(spark, f"{path}/{CHECKPOINT}", f"{target}/{CHECKPOINT}")
+
+
+def _copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """A folder with all it holds, through the file system that Spark uses for the path; none is no fault."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    if old.getFileSystem(conf).exists(old):
+        hadoop.FileUtil.copy(old.getFileSystem(conf), old, new.getFileSystem(conf), new, False, conf)
 
 
 def batch_totals(spark: SparkSession, path: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quern.operators.gate import gate
 
-# Fixed value: rows returned unless exact results are asked for.
-DEFAULT_LIMIT = 100
-FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
+# Fixed value: the row limit that a caller may ask for; without one all rows are returned.
+USUAL_LIMIT = 100
+# Expressions that reach into the JVM, however a statement names them.
+DENIED_EXPRESSIONS = ["org.apache.spark.sql.catalyst.expressions.CallMethodViaReflection"]
 
 
 class Refused(ValueError):
@@ -22,25 +23,24 @@ class Refused(ValueError):
 def _run(spark: SparkSession, clean_sql: str, limit: int | None) -> DataFrame:
     """The rows of a statement that passed the gate.
 
-    The text is placed inside FROM, where only a query can stand, so nothing else parses; while it is
-    resolved, Spark does not take a path for a table.
+    The text is placed inside FROM, where only a query can stand, so nothing else parses; the resolved
+    query is then searched for expressions that no statement may use.
     """
     text = clean_sql.rstrip().rstrip(";")
-    before = spark.conf.get(FILES_AS_TABLES)
-    spark.conf.set(FILES_AS_TABLES, "false")
     try:
         rows = spark.sql(f"SELECT * FROM (\n{text}\n)")
     except (ParseException, AnalysisException) as error:
         raise Refused(str(error)) from error
-    finally:
-        spark.conf.set(FILES_AS_TABLES, before)
+    resolved = rows._jdf.queryExecution().analyzed().toJSON()
+    if any(f'"class":"{name}"' in resolved for name in DENIED_EXPRESSIONS):
+        raise Refused("A function of the statement is not allowed.")
     return rows if limit is None else rows.limit(limit)
 
 
 def run_guarded(spark: SparkSession, sql: str, limit: int | None = None) -> tuple[DataFrame, list[str]]:
     """The rows of one gated SELECT, and the gate's warnings.
 
-    ``limit`` applies the default row limit that a caller may ask for.
+    All rows, unless the caller asks for a ``limit``.
     """
     verdict = gate(spark.range(1).select(F.col("id").alias("stmt_id"), F.lit(sql).alias("sql"))).first()
     if not verdict["allowed"]:
@@ -49,7 +49,7 @@ def run_guarded(spark: SparkSession, sql: str, limit: int | None = None) -> tupl
 
 
 def run_all(
-    spark: SparkSession, statements: DataFrame, limit: int | None = DEFAULT_LIMIT
+    spark: SparkSession, statements: DataFrame, limit: int | None = None
 ) -> Iterator[tuple[object, DataFrame | None, list[str], str | None]]:
     """(stmt_id, rows or None, warnings, refusal) for each statement, as each is its own Spark query.
 

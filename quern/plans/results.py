@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import csv_cell
-from quern.operators.ordering import number_rows
+from quern.operators.ordering import number_returned, number_rows
 from quern.sinks.files import flat
 
 # Wording of the texts.
@@ -26,9 +26,9 @@ def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return number_rows(flat(rows), order)
 
 
-def numbered_head(rows: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows as the query returned them, numbered from 1; a limit has one partition."""
-    return flat(rows).limit(limit).withColumn("row_ix", F.monotonically_increasing_id() + 1)
+def returned(rows: DataFrame) -> DataFrame:
+    """All rows as the query returned them, numbered from 1 in ``row_ix``, nested columns as JSON."""
+    return number_returned(flat(rows))
 
 
 def _values(rows: DataFrame) -> list[str]:
@@ -71,18 +71,12 @@ def draft_answer(rows: DataFrame) -> DataFrame:
     )
 
 
-def worded_head(rows: DataFrame, limit: int) -> DataFrame:
-    """One row with text and draft of the first ``limit`` rows, from a single run of the query."""
-    head = numbered_head(rows, limit)
-    values = _values(head)
-    shown = row_blocks(head, F.to_json(F.struct(*values)).alias("json"))
-    blocks = F.array_sort(F.collect_list(F.struct("row_ix", "block"))).alias("_blocks")
-    first = F.coalesce(F.min_by("json", "row_ix"), F.lit("{}")).alias("_first")
-    text = F.array_join(F.transform("_blocks", lambda x: x["block"]), "")
-    return shown.agg(blocks, first).select(
-        F.when(F.size("_blocks") == 0, F.lit(NO_DATA)).otherwise(F.concat(F.lit(ROWS_HEAD), text)).alias("rows_text"),
-        F.concat(F.lit("Found "), F.size("_blocks").cast("string"), F.lit(" rows. Example: "), F.col("_first")).alias("draft"),
-    )
+def packaged(rows: DataFrame) -> DataFrame:
+    """(headers, row_ix, cells, block, json) of numbered rows: every form of a result, a row per row."""
+    headers = _values(rows)
+    cells = F.array(*[F.col(h).cast("string") for h in headers]).alias("cells")
+    shown = row_blocks(rows, cells, F.to_json(F.struct(*headers)).alias("json"))
+    return shown.select(F.array(*[F.lit(h) for h in headers]).alias("headers"), "row_ix", "cells", "block", "json")
 
 
 def _meta(spark: SparkSession, lines: Sequence[str]) -> DataFrame:

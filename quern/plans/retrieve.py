@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,8 @@ class Knobs:
     lam: float = 0.5
     min_sim: float | None = None
     metric: str = "l2"
-    kind_caps: Mapping[str, int] = field(default_factory=dict)
+    # None leaves each ranking its own caps; an empty mapping switches them off.
+    kind_caps: Mapping[str, int] | None = None
     # Approximate search: cells to probe in a given index, or tables of signatures to compare.
     probes: int | None = None
     sign_tables: int | None = None
@@ -146,7 +147,7 @@ def two_contexts(
 ) -> DataFrame:
     """One candidate pass, two rankings: ``sql`` context of 6 and ``answer`` context of 12 rows."""
     scored = kept_once(scored)
-    caps = knobs.kind_caps or KIND_CAPS
+    caps = KIND_CAPS if knobs.kind_caps is None else knobs.kind_caps
     for_sql = mmr(scored, SQL_TOPK, knobs.lam, CONTEXT_PER_ITEM_CAP, caps)
     for_answer = mmr(answer_candidates(scored, answer_kinds, min_sim), TOPK, knobs.lam, CONTEXT_PER_ITEM_CAP, caps)
     return for_sql.withColumn("context", F.lit("sql")).unionByName(for_answer.withColumn("context", F.lit("answer")))

@@ -65,8 +65,13 @@ def first_by_text(rows: DataFrame) -> DataFrame:
     return rows.join(places, ["kind", "row_ix"]).select("kind", F.col("_ix").alias("row_ix"), "body")
 
 
+#: A cell may be as long as its text.
+LONGEST_CELL = 2**31 - 1
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _records(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    csv.field_size_limit(LONGEST_CELL)
     for batch in texts:
         yield pd.Series([list(csv.reader(io.StringIO(text, newline=""))) for text in batch], dtype=object)
 

@@ -19,6 +19,7 @@ ROWS = T.ArrayType(ROW)
 
 @F.pandas_udf(ROWS)
 def _csv_rows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as its text
     for batch in texts:
         yield pd.Series(
             [

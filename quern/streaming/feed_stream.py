@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from quern.plans.feed import ingest_batch
+from quern.plans.feed import CHECKPOINT, ingest_batch
 
 
 def run_feed(
@@ -36,7 +36,7 @@ def run_feed(
     query = (
         reader.load(landing)
         .writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{path}/checkpoint")
+        .option("checkpointLocation", f"{path}/{CHECKPOINT}")
         .trigger(availableNow=True)
         .start()
     )

@@ -112,6 +112,21 @@ def stream_feed(spark, sf):
     return feed.read_feed(spark, path, "typed", KEYS, SEQ).select("user_id", "event_id", "event_type", "k")
 
 
+@query("stream_feed_compacted", _SQL_TYPED)
+def stream_feed_compacted(spark, sf):
+    """The earlier events land and run, the tables are compacted, the later ones land and run there."""
+    path = scratch_path(spark, "feed")
+    events = t.table(spark, sf, "events")
+    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("ts")).first()["ts"]
+    late = F.col("ts") >= F.lit(middle).cast("timestamp_ntz")
+    for step, tables in ((~late, "tables"), (late, "compacted")):
+        events.filter(step).write.mode("append").json(f"{path}/landing")
+        run_feed(spark, f"{path}/landing", _SCHEMA, f"{path}/{tables}", _typed, KEYS, SEQ, t.moment(INGESTED), fmt="json")
+        if tables == "tables":
+            feed.compact_feed(spark, f"{path}/tables", f"{path}/compacted", KEYS, SEQ)
+    return feed.read_feed(spark, f"{path}/compacted", "typed", KEYS, SEQ).select("user_id", "event_id", "event_type", "k")
+
+
 @query("feed_totals", "SELECT 0 AS batch_id, count(*) AS n FROM events")
 def feed_totals(spark, sf):
     return feed.batch_totals(spark, _ingested(spark, sf))

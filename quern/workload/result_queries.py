@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import gate as g
 from quern.plans import results
-from quern.plans.guarded import DEFAULT_LIMIT, run_all, run_guarded
+from quern.plans.guarded import USUAL_LIMIT, run_all, run_guarded
 from quern.workload import tables as t
 from quern.workload.registry import query
 
@@ -98,11 +98,11 @@ def guarded_window(spark, sf):
     return run_guarded(spark, WINDOWED)[0]
 
 
-@query("guarded_limit", f"SELECT count(*) AS n FROM (SELECT * FROM lineitem WHERE l_quantity > 10 LIMIT {DEFAULT_LIMIT})")
+@query("guarded_limit", f"SELECT count(*) AS n FROM (SELECT * FROM lineitem WHERE l_quantity > 10 LIMIT {USUAL_LIMIT})")
 def guarded_limit(spark, sf):
     """The default limit, which takes any rows, hence the count."""
     _views(spark, sf, "lineitem")
-    rows, _ = run_guarded(spark, "SELECT * FROM lineitem WHERE l_quantity > 10", DEFAULT_LIMIT)
+    rows, _ = run_guarded(spark, "SELECT * FROM lineitem WHERE l_quantity > 10", USUAL_LIMIT)
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 

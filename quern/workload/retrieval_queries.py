@@ -223,43 +223,78 @@ def answer_prompt(spark, sf):
 
 # --- questions to answers ------------------------------------------------------------------------
 
-_PROPOSED = """proposed AS (
-  SELECT query_id, CASE length(question) % 6 WHEN 5 THEN 'DROP TABLE nation'
-    ELSE 'SELECT count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = ' || (length(question) % 6) END AS clean_sql,
-    length(question) % 6 AS r FROM asked)"""
+_SELECT = "SELECT count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = "
+
+
+def _sql_side(source: str, topk: int) -> str:
+    """(query_id, question, context) of one of the two contexts."""
+    strong = "strong AS (SELECT * FROM cands WHERE sim > 0.6 AND kind IN ('info', 'example')), " if source == "strong" else ""
+    return f"""(WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates(metric=t.COSINE)}, {strong}
+      {t.sql_mmr(source=source, topk=topk, cap=8, kind_cap=('example', 2))}, {_CONTEXT_ONLY}
+      SELECT a.query_id, a.question, coalesce(x.context, '(none)') AS context FROM asked a LEFT JOIN contexts x USING (query_id))"""
 
 
 def _model():
-    """Stands in for a model: it proposes a statement by the question's length, and answers by quoting."""
+    """Stands in for a model: what it proposes and answers depends on the question and on both contexts."""
 
     def reply(prompt: str) -> str:
         if prompt.startswith(prompts.ANSWER_INSTRUCTIONS):
-            return " " + prompt.split("--- Row 1 ---\n")[1].split("\n\n")[0]
-        question = prompt.split(prompts.SQL_QUESTION)[1].split(prompts.SQL_SCHEMA)[0]
-        region = len(question) % 6
-        if region == 5:
-            return "DROP TABLE nation"
-        return f"```sql\nSELECT count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = {region}\n```"
+            row = prompt.split("--- Row 1 ---\n")[1].split("\n\n")[0]
+            return f" {row}, context {len(prompt.split(chr(10) + 'Context: ', 1)[1])}"
+        question, rest = prompt.split(prompts.SQL_QUESTION)[1].split(prompts.SQL_SCHEMA)
+        schema, context = rest.split(prompts.SQL_CONTEXT)
+        if "lineitem(l_shipdate" not in schema or "region(r_name" not in schema:
+            return "no schema"
+        region = (len(question) + len(context[:-1])) % 6
+        return "DROP TABLE nation" if region == 5 else f"```sql\n{_SELECT}{region}\n```"
 
     return lambda texts: [reply(text) for text in texts]
 
 
 @query(
     "answer_questions",
-    f"""WITH asked AS (SELECT item_id AS query_id, text AS question FROM benchmark), {_PROPOSED},
+    f"""WITH sql_side AS {_sql_side('cands', 6)}, answer_side AS {_sql_side('strong', 12)},
+    proposed AS (SELECT query_id, (length(question) + length(context)) % 6 AS r FROM sql_side),
     counted AS (SELECT n_regionkey AS r, count(*) AS n, min(c_name) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-    SELECT query_id, clean_sql, CASE WHEN r = 5 THEN '{REFUSED}' END AS reason,
-      'Found 1 rows. Example: {{"n":' || n || ',"first":"' || first || '"}}' AS draft, 'n: ' || n || chr(10) || 'first: ' || first AS answer
-    FROM proposed LEFT JOIN counted USING (r)""",
+    SELECT query_id, CASE WHEN r = 5 THEN 'DROP TABLE nation' ELSE '{_SELECT}' || r END AS clean_sql, CASE WHEN r = 5 THEN '{REFUSED}' END AS reason,
+      'Found 1 rows. Example: {{"n":' || n || ',"first":"' || first || '"}}' AS draft,
+      'n: ' || n || chr(10) || 'first: ' || first || ', context ' || length(a.context) AS answer
+    FROM proposed LEFT JOIN counted USING (r) JOIN answer_side a USING (query_id)""",
 )
 def answer_questions(spark, sf):
     for name in ("customer", "nation"):
         t.table(spark, sf, name).createOrReplaceTempView(name)
     grounded = answering.contexts(t.questions(spark, sf), t.items(spark, sf), t.chunks(spark, sf), ["info", "example"], COSINE)
-    proposed = answering.propose(grounded, None, lambda: _model())
+    schema = ddl_snapshot(catalog_columns(spark, t.all_tables(spark, sf))).first()["schema_text"]
+    proposed = answering.propose(grounded, schema, lambda: _model())
     return answering.answer(proposed, lambda: _model()).select("query_id", "clean_sql", "reason", "draft", "answer")
 
 
+_MANY = [
+    ("SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12 ORDER BY c_custkey DESC", "c_custkey", "c_name", "customer WHERE c_nationkey < 12", "c_custkey DESC"),
+    ("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey", "o_orderkey", "o_orderpriority", "orders", "o_orderpriority, o_orderkey"),
+    ("SELECT p_partkey, p_name FROM part WHERE p_size > 1000 ORDER BY p_partkey", "p_partkey", "p_name", "part WHERE p_size > 1000", "p_partkey"),
+]
+
+
+def _sql_many(sql: str, key: str, value: str, source: str, order: str) -> str:
+    return f"""SELECT '{sql}' AS clean_sql, row_number() OVER (ORDER BY {order}) AS row_ix, {key} || '|' || {value} AS cells,
+      'Found ' || count(*) OVER () || ' rows. Example: {{"{key}":' || first_value({key}) OVER (ORDER BY {order}) || ',"{value}":"' || first_value({value}) OVER (ORDER BY {order}) || '"}}' AS draft
+    FROM {source}"""
+
+
+@query("answer_rows", " UNION ALL ".join(f"SELECT * FROM ({_sql_many(*m)})" for m in _MANY))
+def answer_rows(spark, sf):
+    """All rows of statements that return many, each with its statement's count and first row."""
+    for name in ("customer", "orders", "part"):
+        t.table(spark, sf, name).createOrReplaceTempView(name)
+    statements = spark.createDataFrame([(m[0], m[0]) for m in _MANY], "stmt_id string, sql string")
+    rows, _ = answering.run_statements(spark, statements)
+    drafts = answering.worded(rows).select("clean_sql", "draft")
+    shown = rows.filter("row_ix > 0").select("clean_sql", "row_ix", F.array_join("cells", "|").alias("cells"))
+    return shown.join(drafts, "clean_sql")
+
+
 # --- approximate forms ---------------------------------------------------------------------------
 
 PROBES = 4
@@ -309,13 +344,14 @@ def retrieve_ivf_all_cells(spark, sf):
     return _by_cells(spark, sf, None)
 
 
-@query("retrieve_ivf_kmeans")
+@query("retrieve_ivf_kmeans", f"WITH {t.SQL_VECTOR_STORE}, {t.sql_candidates()} SELECT {SQL_CANDS} FROM cands")
 def retrieve_ivf_kmeans(spark, sf):
+    """Trained cells, stored and read back; with all of them probed the search is exact, whatever they are."""
     chunks = t.vector_chunks(spark, sf)
     path = scratch_path(spark, "cells")
     ann.build_cells(chunks, 16).save(path)
     batch = ann.prepare(t.vector_questions(spark, sf))
-    return _shown(retrieve.candidates(batch, t.vector_items(spark, sf), chunks, Knobs(probes=8), ann.CellIndex.load(spark, path)))
+    return _shown(retrieve.candidates(batch, t.vector_items(spark, sf), chunks, Knobs(probes=16), ann.CellIndex.load(spark, path)))
 
 
 TABLES, BITS = 8, 6

@@ -37,7 +37,7 @@ def test_questions_to_answers(spark):
     assert first.sql_context.startswith("[info:who#0]\nwho uses this") and first.answer_context == "[info:who#0]\nwho uses this"
     proposed = answer.propose(grounded, "users(name string)", lambda: model)
     got = {r.query_id: r for r in answer.answer(proposed, lambda: model, limit=2).collect()}
-    assert got[0].answer == "read 2 rows" and got[0].draft == 'Found 2 rows. Example: {"name":"c"}'
+    assert got[0].answer == "read 2 rows" and got[0].draft == 'Found first 2 of 3 rows. Example: {"name":"c"}'
     assert got[4].clean_sql == got[0].clean_sql == "SELECT name FROM users ORDER BY name DESC"
     assert got[1].reason.startswith("Only SELECT") and got[1].answer is None
     assert "nope" in got[2].reason and got[2].answer is None
@@ -51,3 +51,19 @@ def test_the_stand_in_model(spark):
     row = answer.answer(answer.propose(grounded, None)).first()
     assert row.clean_sql == "SELECT name FROM users WHERE country = 'USA'"
     assert row.draft == 'Found 1 rows. Example: {"name":"x"}'
+
+
+def test_all_rows_are_counted_and_worded(spark):
+    spark.range(2500).repartition(7).createOrReplaceTempView("many")
+    sql = "SELECT id AS k, id % 7 AS r FROM many ORDER BY id DESC"
+    grounded = spark.createDataFrame([(1, "q", None, None)], "query_id long, question string, sql_context string, answer_context string")
+
+    def model(texts):
+        return [f"{t.count('--- Row')} rows" if t.startswith(prompts.ANSWER_INSTRUCTIONS) else sql for t in texts]
+
+    answers, rows = answer.answer_with_rows(answer.propose(grounded, None, lambda: model), lambda: model)
+    got = answers.first()
+    assert got.draft == 'Found 2500 rows. Example: {"k":2499,"r":0}' and got.answer == "2500 rows"
+    found = rows.orderBy("row_ix").collect()
+    assert [(r.row_ix, r.cells) for r in found] == [(i + 1, [str(2499 - i), str((2499 - i) % 7)]) for i in range(2500)]
+    assert found[0].headers == ["k", "r"]

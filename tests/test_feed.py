@@ -77,3 +77,21 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     assert _present(spark, str(tmp_path / "small")) == _present(spark, path)
     with pytest.raises(Exception, match="exist"):
         feed.compact_feed(spark, path, str(tmp_path / "small"), ["k"], ["seq"])
+
+
+def test_a_compacted_feed_goes_on(spark, tmp_path):
+    landing, path, small = tmp_path / "landing", str(tmp_path / "feed"), str(tmp_path / "small")
+
+    def run(to):
+        run_feed(spark, str(landing), SCHEMA, to, _typed, ["k"], ["seq"], now(), fmt="json")
+
+    _land(landing, "1.json", [(1, 1, "a"), (2, 2, "b")])
+    run(path)
+    feed.compact_feed(spark, path, small, ["k"], ["seq"])
+    _land(landing, "2.json", [(2, 3, "c"), (3, 4, "d")])
+    run(small)
+    run(small)
+    assert _present(spark, small) == [(1, 1, "A"), (2, 3, "C"), (3, 4, "D")]
+    assert {r.batch_id: r.n for r in feed.batch_totals(spark, small).collect()} == {-1: 2, 1: 2}
+    feed.ingest_batch(spark.createDataFrame([(1, 9, "z")], SCHEMA), 0, _typed, small, ["k"], ["seq"], now())
+    assert _present(spark, small)[0] == (1, 9, "Z")

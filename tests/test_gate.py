@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import gate as g
 from quern.plans import results
-from quern.plans.guarded import Refused, run_all, run_guarded
+from quern.plans.guarded import Refused, _run, run_all, run_guarded
 
 ACCEPTED = [
     "SELECT * FROM t",
@@ -17,6 +17,15 @@ ACCEPTED = [
     "VALUES (1)",
     "TABLE t",
     "SELECT 'it''s; drop' AS s",
+    "SELECT truncate(1.5, 0)",
+    "SELECT copy FROM t",
+    "SELECT t.update FROM t",
+    "FROM t SELECT a",
+    "SELECT 'reflect'",
+    "SELECT 'it\\'s; ok'",
+    "SELECT reflect FROM t -- reflect(",
+    "SELECT 'csv.`x`', \"reflect('a')\"",
+    "SELECT r'\\' AS a, ';' AS b",
 ]
 REJECTED = [
     "INSERT INTO t VALUES (1)",
@@ -47,6 +56,13 @@ REJECTED = [
     "SELECT * FROM parquet.`/etc/x`",
     "SELECT * FROM `parquet`.`/etc/x`",
     "SELECT * FROM  csv . `x`",
+    "SELECT IDENTIFIER('ref' || 'lect')('java.lang.Math', 'abs', -3)",
+    "SELECT identifier /* x */ ('a')",
+    "SELECT r'\\', reflect('java.lang.Math', 'abs', -3), '\\''",
+    "SELECT * FROM parquet./* hidden */`/etc/x`",
+    "SELECT * FROM `org.apache.spark.sql.execution.datasources.csv.CSVFileFormat`.`x`",
+    "SELECT 1 FROM (DELETE FROM t)",
+    "SELECT /* ' */ reflect('java.lang.Math', 'abs', -3) /* ' */",
 ]
 
 
@@ -86,11 +102,21 @@ def test_run(spark):
 
 def test_paths_are_no_tables_however_they_are_written(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p"))
-    text = f"SELECT * FROM parquet./* hidden */`{tmp_path}/p`"
-    assert spark.sql(text).count() == 3
-    with pytest.raises(Refused):
-        run_guarded(spark, text)
-    assert spark.sql(text).count() == 3
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    for text in (f"SELECT * FROM parquet./* hidden */`{tmp_path}/p`", f"SELECT * FROM `parquet`.`{tmp_path}/p`"):
+        assert spark.sql(text).count() == 3
+        with pytest.raises(Refused):
+            run_guarded(spark, text)
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == before
+
+
+def test_denied_expressions_are_found_after_resolution(spark):
+    spark.range(3).createOrReplaceTempView("t")
+    call = "reflect('java.lang.Math', 'abs', -3)"
+    for text in (f"SELECT {call}", f"SELECT (SELECT {call})", f"SELECT 1 FROM t WHERE EXISTS (SELECT {call})"):
+        with pytest.raises(Refused, match="function"):
+            _run(spark, text, None)
+    assert _run(spark, "SELECT 'org.apache.spark.sql.catalyst.expressions.CallMethodViaReflection' AS s", None).count() == 1
 
 
 def test_run_all(spark):

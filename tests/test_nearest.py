@@ -76,7 +76,6 @@ def test_double_vectors(spark):
 def test_large_question_batches_take_the_grid(spark, monkeypatch):
     chunks, questions = _vectors(500, 3, copies=150), _vectors(60, 4)
     want = _brute(chunks, questions, 10, "l2")
-    monkeypatch.setattr(ann, "GRID_CHUNKS", 90)
     monkeypatch.setattr(ann, "MAX_SENT_QUESTIONS", 25)
     batch = ann.prepare(_questions(spark, questions), limit=25)
     assert not batch.bounded(10)
@@ -153,11 +152,9 @@ def test_questions_that_are_copies_themselves(spark):
         assert _got(ann.nearest(batch, _chunks(spark, chunks), 20, metric)) == _brute(chunks, questions, 20, metric)
 
 
-def test_centroids_in_order_and_not_too_many(spark):
+def test_centroids_in_order(spark):
     df = spark.createDataFrame([("b", [2.0]), ("a", [1.0])], "name string, embedding array<float>")
     assert ann.centroid_matrix(df, "name").tolist() == [[1.0], [2.0]]
-    with pytest.raises(ValueError):
-        ann.centroid_matrix(df, "name", limit=1)
 
 
 def test_stored_cells_are_pruned_at_the_scan(spark, tmp_path):
@@ -176,3 +173,20 @@ def test_no_questions(spark):
     assert ann.nearest(batch, chunks).count() == 0
     assert ann.nearest_by_signs(batch, chunks).count() == 0
     assert ann.nearest_by_cells(batch, index, 1).count() == 0
+
+
+def test_an_index_of_a_store_with_missing_vectors(spark, tmp_path):
+    chunks = _chunks(spark, _vectors(400, 3))
+    gaps = chunks.withColumn("embedding", F.when(F.col("chunk_ix") % 7 != 0, F.col("embedding")))
+    index = ann.build_cells(gaps.repartition(16), 20)
+    index.save(str(tmp_path / "index"))
+    files = list((tmp_path / "index" / "chunks").glob("cell=*/part-*.parquet"))
+    assert len(files) <= 20 + spark.sparkContext.defaultParallelism * 4
+    loaded = ann.CellIndex.load(spark, str(tmp_path / "index"))
+    assert loaded.chunks.count() == gaps.filter("embedding IS NOT NULL").count()
+
+
+def test_any_number_of_cells_can_be_read_again(spark, tmp_path):
+    rows = [(i, [float(i), 0.0]) for i in range(9000)]
+    centroids = ann.centroid_matrix(spark.createDataFrame(rows, "cell int, embedding array<double>"), "cell")
+    assert centroids.shape == (9000, 2) and centroids[8999, 0] == 8999.0

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,11 +122,18 @@ def test_save_and_load(spark, tmp_path):
 
 def test_audit_files(spark, tmp_path):
     items = _items(spark, [(1, "info", "b", "x" * 1501), (2, "info", "a", "")])
-    audit.write_audit(items, chunk_items(items), str(tmp_path), now())
+    chunks = embed_hashed(chunk_items(items).withColumn("created_at", now()))
+    tmp_path = Path(audit.write_audit(items, chunks, str(tmp_path), now()))
+    assert tmp_path.name == "audit-20240601T000000Z"
+    later = now() + F.expr("INTERVAL 1 SECOND")
+    assert audit.write_audit(items, chunks, str(tmp_path.parent), later) != str(tmp_path)
     header, first, *_ = "".join(p.read_text() for p in sorted((tmp_path / "items").glob("*.csv"))).splitlines()
     assert header.startswith("id,kind,name") and '"{""a"":""1""}"' in first
     snapshot = [json.loads(line) for p in sorted((tmp_path / "snapshot").glob("*.json")) for line in p.read_text().splitlines()]
     assert [(s["name"], s["chunk_count"], len(s["full_text"])) for s in snapshot] == [("a", 0, 0), ("b", 2, 1501)]
+    assert [c["created_at"] for s in snapshot for c in s["chunks"]] == ["2024-06-01T00:00:00.000"] * 2
+    width = json.loads("".join(p.read_text() for p in (tmp_path / "embedding").glob("*.json")))
+    assert width["element_type"] == "float" and width["min_width"] == width["max_width"] and width["missing"] == 0
     totals = json.loads("".join(p.read_text() for p in (tmp_path / "totals").glob("*.json")))
     assert totals == {"items": 2, "chunks": 2, "missing_items": 1, "generated_at_utc": "20240601T000000Z"}
     assert [json.loads(x)["name"] for p in (tmp_path / "missing").glob("*.json") for x in p.read_text().splitlines()] == ["a"]
