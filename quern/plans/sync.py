@@ -14,6 +14,7 @@ from quern.operators.sizes import sent_if_small
 from quern.operators.upsert import delete_items, replace_chunks, split_upsert
 from quern.session import durable, staged
 from quern.sinks.files import write_item_files, write_json
+from quern.sources import changes
 from quern.sources.csv_items import read_item_files
 from quern.sources.store import items_of
 
@@ -95,13 +96,11 @@ def write_sync_audit(record: DataFrame, actions: DataFrame, path: str) -> None:
     write_json(actions, f"{path}/actions", ["kind", "action", "row_ix"])
 
 
-def apply_sync(
-    plan: DataFrame, desired: DataFrame, items: DataFrame, chunks: DataFrame, dataset: str, embed: Embed, now: Column
-) -> tuple[DataFrame, DataFrame]:
-    """The new items and chunks. Only created and updated rows are chunked and embedded."""
+def _arrivals(plan: DataFrame, desired: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """Created and updated rows as arriving items, and (kind, name) of the deleted ones."""
     lit_dataset = F.lit(dataset)
-    changes = sent_if_small(plan.filter(F.col("action").isin(CREATE, UPDATE)).select("kind", "row_ix"))
-    incoming = desired.join(changes, ["kind", "row_ix"], "left_semi").select(
+    touched = sent_if_small(plan.filter(F.col("action").isin(CREATE, UPDATE)).select("kind", "row_ix"))
+    incoming = desired.join(touched, ["kind", "row_ix"], "left_semi").select(
         "kind",
         row_name(F.col("kind"), lit_dataset, F.col("row_ix")).alias("name"),
         "body",
@@ -113,6 +112,14 @@ def apply_sync(
     doomed = plan.filter(F.col("action") == DELETE).select(
         "kind", row_name(F.col("kind"), lit_dataset, F.col("row_ix")).alias("name")
     )
+    return incoming, doomed
+
+
+def apply_sync(
+    plan: DataFrame, desired: DataFrame, items: DataFrame, chunks: DataFrame, dataset: str, embed: Embed, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """The new items and chunks. Only created and updated rows are chunked and embedded."""
+    incoming, doomed = _arrivals(plan, desired, dataset)
     left_items, left_chunks = delete_items(items, chunks, doomed)
     kept, changed = split_upsert(left_items, incoming, now)
     fresh = embed(chunk_items(changed, with_kind="kind" in chunks.columns))
@@ -120,6 +127,18 @@ def apply_sync(
     return kept.unionByName(changed), replace_chunks(left_chunks, ids, fresh)
 
 
+def change_store(
+    spark: SparkSession, path: str, plan: DataFrame, desired: DataFrame, dataset: str, embed: Embed, now: Column
+) -> int:
+    """Apply a plan to a store of change folders: only changed rows are written. Returns the new generation."""
+    items, chunks = changes.read(spark, path)
+    incoming, doomed = _arrivals(plan, desired, dataset)
+    _, changed = split_upsert(items, incoming, now)
+    fresh = embed(chunk_items(changed, with_kind="kind" in chunks.columns)).select(*chunks.columns)
+    removed = items.join(sent_if_small(doomed.distinct()), ["kind", "name"], "left_semi").select(F.col("id").alias("item_id"))
+    return changes.change(spark, path, changed, fresh, changed.select(F.col("id").alias("item_id")).union(removed))
+
+
 def export_rows(current: DataFrame) -> DataFrame:
     """(kind, row_ix, body) for every position from 0 to a kind's highest; gaps hold empty text.
 
@@ -151,12 +170,15 @@ def run_sync(
     export_path: str | None = None,
     audit_path: str | None = None,
     model: str = "",
+    multiline: bool = True,
+    store: str | None = None,
 ) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
     """The whole job over one file or folder per kind: the plan, and the new store when applied.
 
-    A dry run reads and compares only; nothing is embedded.
+    A dry run reads and compares only; nothing is embedded. With ``store``, the path of a store of change
+    folders that ``items`` and ``chunks`` were read from, the changes are added there and it is read again.
     """
-    desired = staged(desired_rows(read_item_files(spark, paths, has_header, dedupe)), "desired-rows")
+    desired = staged(desired_rows(read_item_files(spark, paths, has_header, dedupe, multiline)), "desired-rows")
     current = current_rows(items_of(items, list(paths), dataset))
     if export_path:
         write_item_files(export_rows(current), export_path)
@@ -164,4 +186,9 @@ def run_sync(
     if audit_path:
         record = sync_record(plan, dataset, utc_time(now), model, apply)
         write_sync_audit(record, sync_actions(plan, desired, dataset, apply), audit_path)
-    return plan, apply_sync(plan, desired, items, chunks, dataset, embed, now) if apply else None
+    if not apply:
+        return plan, None
+    if store is not None:
+        change_store(spark, store, plan, desired, dataset, embed, now)
+        return plan, changes.read(spark, store)
+    return plan, apply_sync(plan, desired, items, chunks, dataset, embed, now)

@@ -12,6 +12,7 @@ from quern.plans import audit, sync
 from quern.plans.commit import commit_entries
 from quern.session import durable, scratch_path, staged
 from quern.sinks.files import write_item_files
+from quern.sources import changes
 from quern.sources.csv_items import first_by_text, ragged_entries, read_item_files, read_ragged
 from quern.sources.store import items_of, load, save_items
 from quern.workload import tables as t
@@ -101,7 +102,7 @@ def sync_plan(spark, sf):
 
 @query(
     "sync_counts",
-    f"""WITH {SQL_SIDES} SELECT '{DATASET}' AS dataset, '2024-06-01T00:00:00Z' AS ts_utc, kind,
+    f"""WITH {SQL_SIDES} SELECT '{DATASET}' AS dataset, '2024-06-01T00:00:00Z' AS ts_utc, 'hashed' AS embedding_model, false AS apply, kind,
       count(*) FILTER (action <> 'DELETE') AS desired, count(*) FILTER (action <> 'CREATE') AS current,
       count(*) FILTER (action = 'CREATE') AS creates, count(*) FILTER (action = 'UPDATE') AS updates,
       count(*) FILTER (action = 'DELETE') AS deletes
@@ -109,8 +110,7 @@ def sync_plan(spark, sf):
 )
 def sync_counts(spark, sf):
     desired, _, current = sides(spark, sf)
-    record = sync.sync_record(sync.plan_sync(desired, current), DATASET, utc_time(_now()), "hashed", False)
-    return record.drop("embedding_model", "apply")
+    return sync.sync_record(sync.plan_sync(desired, current), DATASET, utc_time(_now()), "hashed", False)
 
 
 @query(
@@ -137,9 +137,28 @@ def applied(spark, sf):
     return desired, sync.apply_sync(plan, desired, items, chunks, DATASET, embed_hashed, _now())
 
 
-@query("sync_apply", f"WITH {SQL_SIDES}, {SQL_APPLIED} SELECT kind, name, body, version, created_at, updated_at, meta_row FROM applied")
+_SQL_SYNCED = f"WITH {SQL_SIDES}, {SQL_APPLIED} SELECT kind, name, body, version, created_at, updated_at, meta_row FROM applied"
+
+
+@query("sync_change_store", _SQL_SYNCED)
+def sync_change_store(spark, sf):
+    """The sync as a change to a stored base: only changed rows are written, and the present rows read."""
+    path = scratch_path(spark, "store")
+    stored = stored_items(spark, sf)
+    changes.create(stored, chunk_items(spread_out(stored, "id")), path)
+    items, _ = changes.read(spark, path)
+    desired = staged(sync.desired_rows(positions(spark, sf)), "desired-rows")
+    plan = durable(sync.plan_sync(desired, sync.current_rows(items_of(items, t.KINDS, DATASET))))
+    sync.change_store(spark, path, plan, desired, DATASET, lambda cut: cut, _now())
+    return _items_shown(changes.read(spark, path)[0])
+
+
+@query("sync_apply", _SQL_SYNCED)
 def sync_apply(spark, sf):
-    _, (items, _) = applied(spark, sf)
+    return _items_shown(applied(spark, sf)[1][0])
+
+
+def _items_shown(items):
     stamp = "yyyy-MM-dd HH:mm:ss"
     return items.select(
         "kind",

@@ -26,6 +26,7 @@ def test_payloads(spark):
         "[broken": [],
         "{broken\n1": [{"{broken": "1"}],
         "": [],
+        "a,b\n1," + "z" * 200_000: [{"a": "1", "b": "z" * 200_000}],
     }
     df = spark.createDataFrame(list(enumerate(payloads)) + [(99, None)], "i long, payload string")
     got = {}

@@ -8,6 +8,7 @@ from quern.operators.chunks import chunk_items, embed_hashed
 from quern.plans import sync
 from quern.sinks.files import write_item_files
 from quern.sources.csv_items import first_by_text, ragged_entries, read_item_files, read_ragged
+from quern.sources import changes
 from quern.sources.store import items_of
 
 ITEM = "id long, kind string, name string, body string, metadata map<string,string>, version int, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -106,6 +107,44 @@ def test_plan_apply_and_plan_again(spark):
     assert {r.action for r in again.collect()} == {"KEEP"}
 
 
+def test_a_change_writes_changed_rows_only(spark, tmp_path):
+    items, chunks = _store(spark, [(i, "info", i, f"text {i}") for i in range(50)])
+    path = str(tmp_path / "store")
+    changes.create(items, chunks, path)
+    now = F.lit("2024-06-01").cast("timestamp_ntz")
+
+    def step(wanted):
+        held, parts = changes.read(spark, path)
+        desired = sync.desired_rows(spark.createDataFrame(wanted, "kind string, row_ix long, body string"))
+        plan = sync.plan_sync(desired, sync.current_rows(items_of(held, ["info"], "ds")))
+        whole = sync.apply_sync(plan, desired, held, parts, "ds", embed_hashed, now)
+        number = sync.change_store(spark, path, plan, desired, "ds", embed_hashed, now)
+        after = changes.read(spark, path)
+        for got, want, key in zip(after, whole, (["name", "body", "version"], ["item_id", "chunk_ix", "chunk_text"])):
+            assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+        return number
+
+    rows = [("info", i, f"text {i}") for i in range(50)]
+    assert step(rows[:7] + [("info", 7, "other")] + rows[8:]) == 1
+    assert spark.read.parquet(f"{path}/items/gen=1").count() == spark.read.parquet(f"{path}/chunks/gen=1").count() == 1
+    assert step(rows[:7] + [("info", 7, "third"), ("info", 60, "new")] + rows[9:]) == 2
+    assert spark.read.parquet(f"{path}/items/gen=2").count() == 2 and spark.read.parquet(f"{path}/gone/gen=2").count() == 3
+    assert step(rows[:7] + [("info", 7, "third"), ("info", 60, "new")] + rows[9:]) == 3
+    changes.compact(spark, path, str(tmp_path / "small"))
+    for a, b in zip(changes.read(spark, path), changes.read(spark, str(tmp_path / "small"))):
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
+    # A change that broke off before its ids were written is not read, and its number is taken again.
+    items.write.parquet(f"{path}/items/gen=4")
+    assert changes.read(spark, path)[0].count() == 50 and changes.generations(spark, path)[-1] == 3
+
+
+def test_long_cells_and_payloads(spark, tmp_path):
+    cell = "y" * 200_000
+    (tmp_path / "long.csv").write_text(f"info,n,{cell}\n")
+    entries, _ = ragged_entries(read_ragged(spark, str(tmp_path / "long.csv")))
+    assert len(entries.first().body) == 200_000
+
+
 def test_other_datasets_and_odd_names_are_not_current(spark):
     rows = [(1, "info", "info::ds::row::0"), (2, "info", "info::ds2::row::0"), (3, "info", "info::ds::row::x"), (4, "key", "key::ds::row::1")]
     items = spark.createDataFrame([(i, k, n, "b", None, 1, None, None) for i, k, n in rows], ITEM)
