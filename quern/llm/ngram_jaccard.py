@@ -4,7 +4,7 @@ A text's set is its distinct three-word shingles; two texts link when the sets'
 least PERCENT / 100. The result gives every document the smallest doc_id that links lead to. It is exact:
 
 1. Equal sets become one, by a fingerprint and the size, so copies cost one row each and no pair.
-2. The shingles of a set are ordered, those counted as frequent last. Linked sets share one among their
+2. The shingles of a set are ordered, presumably rare ones first. Linked sets share one among their
    first shingles (prefix filter), which become the roots: under each root stand the sets that have it in
    their prefix. Sets whose size no other set under the root can match are dropped.
 3. The sets under a root form a signature tree: leaves of sets sorted by size and signature, whose nodes
@@ -18,8 +18,8 @@ central set per root; once these links are known, the traversal skips pairs that
 A frequent root, which may hold a third of all sets, is dealt out in blocks of about BLOCK sets; the sets
 outside its largest group visit every block, all others need not.
 
-What counts as frequent comes from a sample of the sets, kept to FREQUENT shingles; it only orders the
-shingles, any order gives the same result.
+How rare a shingle is, is judged by a sample of the sets: by how frequent its words are, and by whether it
+is among the FREQUENT most frequent ones. This only orders the shingles; any order gives the same result.
 
 Null text, empty text, text without words: no shingles, linked with nothing, a group of its own. Fewer
 than three words: the whole sequence is the one shingle. Null doc_ids never name a group that has another
@@ -43,22 +43,33 @@ SIGNATURE_BITS = 1024
 #: One set in this many is counted for the order of the shingles.
 SAMPLED = 32
 FREQUENT = 1 << 20
+FREQUENT_WORDS = 1 << 16
 #: Sets of a frequent root that one block holds, about; sets of a leaf; children of a node.
 BLOCK = 2048
 LEAF = 8
 FAN = 8
+#: Pairs that one cell of the verification holds, about.
+CELL_PAIRS = 512
 #: Bits of the map by which texts that no pair needs are passed over.
 WANTED_BITS = 1 << 26
 
 _WORD_BITS = 64
 _KEY_SHIFT = 58
+_FREQUENT_CLASS = np.uint64(48)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text in rising order, and the shingles before each text."""
+def shingles_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and shingle hashes (of _KEY_SHIFT bits) of all texts, with the numbers before each text."""
     data = flat.lower_ascii(data)
     starts, ends, before = flat.word_spans(data, bounds)
-    runs, runs_before = flat.run_hashes(flat.span_hashes(data, starts, ends), before, WORDS, short=True)
+    words = flat.span_hashes(data, starts, ends)
+    runs, runs_before = flat.run_hashes(words, before, WORDS, short=True)
+    return words, before, runs >> np.uint64(64 - _KEY_SHIFT), runs_before
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in rising order, and the shingles before each text."""
+    _, _, runs, runs_before = shingles_of(data, bounds)
     return flat.distinct_in_rows(runs, runs_before)
 
 
@@ -96,60 +107,77 @@ def index_length(n):
 
 def _set_batches(batches):
     for batch in flat.pieces(batches, "text"):
-        values, before = shingle_sets(*flat.column(batch.column("text")))
+        words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")))
+        values, before = flat.distinct_in_rows(runs, runs_before)
         prints = fingerprints(values, before)
         signed = signatures(values, before)
         bits = pa.array([s.tobytes() for s in signed], pa.binary())
         drawn = prints % SAMPLED == 0
-        lengths = np.where(drawn, np.diff(before), 0)
-        sample = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.signed(values[np.repeat(drawn, np.diff(before))])))
-        columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.diff(before)), pa.array(prints), bits, sample]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "f", "sig", "sample"])
+        samples = [_lists(values, before, drawn), _lists(words, words_before, drawn)]
+        columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.diff(before)), pa.array(prints), bits, *samples]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "f", "sig", "sample", "words"])
+
+
+def _lists(values: np.ndarray, before: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+    """The values of the chosen rows as lists; the other rows have empty ones."""
+    lengths = np.diff(before)
+    ends = np.concatenate([[0], np.cumsum(np.where(rows, lengths, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.signed(values[np.repeat(rows, lengths)])))
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), n (size), f (fingerprint), sig and, for sampled sets, the shingles; written once."""
+    """doc_id, t (hash of the text), n (size), f (fingerprint), sig and, for sampled sets, shingles and words; written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return staged(rows.mapInArrow(_set_batches, f"doc_id {kind}, t long, n long, f long, sig binary, sample array<long>"), "sets")
+    return staged(rows.mapInArrow(_set_batches, f"doc_id {kind}, t long, n long, f long, sig binary, sample array<long>, words array<long>"), "sets")
 
 
-def frequent_shingles(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of the sampled sets in rising order, and their classes (1 to 31)."""
-    once = sets.where("size(sample) > 0").groupBy("f", "n").agg(F.first("sample").alias("sample"))
-    counts = once.select(F.explode("sample").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c >= 3")
-    got = counts.orderBy(F.col("c").desc(), "v").limit(most).toArrow()
-    values, counts = flat.signed(got["v"].to_numpy()).view(np.uint64), got["c"].to_numpy()
-    order = np.argsort(values)
-    return values[order], np.minimum(31, np.floor(np.log2(counts[order])).astype(np.int64))
+def frequencies(sets: DataFrame) -> dict[str, np.ndarray]:
+    """From the sampled sets: the most frequent shingles and words, each in rising order with a class."""
+    once = sets.where("size(sample) > 0").groupBy("f", "n").agg(F.first("sample").alias("sample"), F.first("words").alias("words"))
+    out = {}
+    for name, least, most in (("sample", 3, FREQUENT), ("words", 2, FREQUENT_WORDS)):
+        counts = once.select(F.explode(name).alias("v")).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+        got = counts.orderBy(F.col("c").desc(), "v").limit(most).toArrow()
+        values, counts = np.ascontiguousarray(got["v"].to_numpy()).view(np.uint64), got["c"].to_numpy()
+        order = np.argsort(values)
+        out[name], out[f"{name}_class"] = values[order], np.floor(np.log2(counts[order])).astype(np.uint64)
+    return out
 
 
-def root_keys(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], maybe: np.ndarray) -> np.ndarray:
-    """The shingles as sortable keys: the class of their frequency, then their hash."""
-    keys = values >> np.uint64(64 - _KEY_SHIFT)
-    some = np.flatnonzero(maybe[(values >> np.uint64(42)).astype(np.int64)])
-    at = flat.lookup(frequent[0], values[some])
-    some, at = some[at >= 0], at[at >= 0]
-    keys[some] |= frequent[1][at].astype(np.uint64) << np.uint64(_KEY_SHIFT)
-    return keys
+def root_keys(words, words_before, runs, runs_before, known: dict) -> np.ndarray:
+    """The shingles as sortable keys, presumably rare ones first: a class above the hash.
+
+    The class adds up how frequent a shingle's words are; a shingle that is itself frequent stands above.
+    """
+    at = flat.lookup(known["words"], words)
+    word_class = np.where(at >= 0, np.minimum(known["words_class"][at] if len(known["words"]) else np.uint64(0), np.uint64(15)), np.uint64(0)).astype(np.uint64)
+    lengths = np.diff(runs_before)
+    first = np.repeat(words_before[:-1], lengths) + np.arange(len(runs)) - np.repeat(runs_before[:-1], lengths)
+    level = np.zeros(len(runs), np.uint64)
+    for k in range(WORDS):  # of a text shorter than a shingle, the order does not matter
+        level += word_class[np.minimum(first + k, max(0, len(words) - 1))]
+    maybe = np.zeros(1 << 22, bool)
+    maybe[(known["sample"] >> np.uint64(_KEY_SHIFT - 22)).astype(np.int64)] = True
+    some = np.flatnonzero(maybe[(runs >> np.uint64(_KEY_SHIFT - 22)).astype(np.int64)])
+    at = flat.lookup(known["sample"], runs[some])
+    level[some[at >= 0]] = _FREQUENT_CLASS + np.minimum(known["sample_class"][at[at >= 0]], np.uint64(15))
+    return runs | (level << np.uint64(_KEY_SHIFT))
 
 
 def _entry_batches(frequent):
     def run(batches):
-        known = frequent.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(known[0] >> np.uint64(42)).astype(np.int64)] = True
         seen: set[int] = set()
         for batch in flat.pieces(batches, "text"):
-            values, before = shingle_sets(*flat.column(batch.column("text")))
+            words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")))
+            keys, before = flat.distinct_in_rows(root_keys(words, words_before, runs, runs_before, frequent.value), runs_before)
             n = np.diff(before)
-            prints = fingerprints(values, before)
+            prints = fingerprints(keys & np.uint64((1 << _KEY_SHIFT) - 1), before)
             fresh = np.zeros(len(n), bool)
-            for row in np.flatnonzero(n >= 9):
+            for row in np.flatnonzero(n >= 9):  # smaller sets link with equal ones only
                 if prints[row] not in seen:
                     seen.add(int(prints[row]))
                     fresh[row] = True
-            keys = flat.sort_in_rows(root_keys(values, known, maybe), before)
             rows = np.flatnonzero(fresh)
             take = probe_length(n[rows])
             owner = np.repeat(np.arange(len(rows)), take)
@@ -163,8 +191,8 @@ def _entry_batches(frequent):
 
 def _blocks(root):
     """Blocks of a root, by the class of its frequency in the sample; 1 for all that are not frequent."""
-    level = F.shiftrightunsigned(root, _KEY_SHIFT)
-    return F.when(level == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.pow(F.lit(2.0), level) * SAMPLED / BLOCK).cast("int")))
+    level = F.shiftrightunsigned(root, _KEY_SHIFT) - int(_FREQUENT_CLASS)
+    return F.when(level < 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.pow(F.lit(2.0), level) * SAMPLED / BLOCK).cast("int")))
 
 
 def _groups(batches, columns):
@@ -192,14 +220,14 @@ def _matched_batches(batches):
         root, n, f = (table[c].to_numpy() for c in ("root", "n", "f"))
         follows = (root[1:] == root[:-1]) & (f[1:] != f[:-1]) & (n[:-1] >= least_size(n[1:].astype(np.int64)))
         again = (root[1:] == root[:-1]) & (f[1:] == f[:-1])
-        keep = root.view(np.uint64) >> np.uint64(_KEY_SHIFT) > 0
+        keep = root.view(np.uint64) >> np.uint64(_KEY_SHIFT) >= _FREQUENT_CLASS
         keep[1:] |= follows
         keep[:-1] |= follows
         keep[1:] &= ~again  # a copy read by another task
         yield from table.filter(pa.array(keep)).select(["root", "f", "n", "pos"]).to_batches()
 
 
-def rooted_sets(docs: DataFrame, frequent) -> DataFrame:
+def rooted_sets(docs: DataFrame, frequent: dict) -> DataFrame:
     """(root, f, n, pos): the sets under each root, without those that no size matches; written once."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     entries = docs.select("text").mapInArrow(_entry_batches(sent), "root long, f long, n int, pos int")
@@ -378,23 +406,50 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return staged(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
 
 
+def _verify_cell(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of a cell that link; sets: f, shingles of all sets that the pairs name."""
+    lists = sets["shingles"].combine_chunks() if sets.num_rows else None
+    place = {f: i for i, f in enumerate(sets["f"].to_pylist())}
+    held: dict[int, np.ndarray] = {}
+
+    def of(f: int) -> np.ndarray:
+        if f not in held:
+            held[f] = lists[place[f]].values.to_numpy()
+        return held[f]
+
+    found = []
+    for fa, fb in zip(pairs["fa"].to_pylist(), pairs["fb"].to_pylist()):
+        a, b = of(fa), of(fb)
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
+            found.append((fa, fb))
+    return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v): the pairs that link, by their whole sets. pairs: fa, fb."""
+    """(u, v): the pairs that link, by their whole sets. pairs: fa, fb.
+
+    The pairs are dealt into a square of cells by the hashes of both sides, about CELL_PAIRS to a cell, and
+    each set is sent once to every cell that names it. So a set with very many pairs is sent to one row and
+    one column of cells, not once per pair.
+    """
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).distinct().join(reps.select("f", "k"), "f")
     sets = whole_sets(docs, wanted)
-    side = lambda x: sets.select(F.col("f").alias(f"f{x}"), F.col("shingles").alias(f"s{x}"))
-    both = pairs.join(side("a"), "fa").join(side("b"), "fb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    sized = both.select("fa", "fb", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return staged(sized.where(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select(F.col("fa").alias("u"), F.col("fb").alias("v")), "links")
+    side = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5))
+    cell = [F.pmod(F.xxhash64(c), F.lit(side)).cast("int").alias(n) for c, n in (("fa", "row"), ("fb", "col"))]
+    dealt = pairs.select("fa", "fb", *cell)
+    named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
+    held = named.join(sets.hint("shuffle_merge"), "f").select("r", "c", "f", "shingles")
+    links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell, "u long, v long")
+    return staged(links, "links")
 
 
 def grouped_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of read_sets, and (f, n, group): a label for every distinct set, equal within a group."""
     sets = read_sets(docs)
     reps = staged(sets.where("n > 0").groupBy("f", "n").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).withColumn("k", F.xxhash64("least")), "reps")
-    rooted = rooted_sets(docs, frequent_shingles(sets))
+    rooted = rooted_sets(docs, frequencies(sets))
     first = verified(bounded_pairs(central_pairs(rooted), reps), docs, reps)
     labels = components(first).select(F.col("v").alias("f"), F.col("label").alias("comp"))
     second = verified(traversed_pairs(rooted, reps, labels), docs, reps)
