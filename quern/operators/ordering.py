@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from quern.session import durable
 
 RUN_ROWS = 1024
-SPAN_RUNS = 4096
 SALTS = 64
 
 
@@ -48,19 +47,16 @@ def dense_index(df: DataFrame, groups: Sequence[str], runs: Sequence[str], withi
 
 
 def dense_index_by(df: DataFrame, groups: Sequence[str], position: str, out: str) -> DataFrame:
-    """``dense_index`` by a long column that is unique within its group.
+    """``dense_index`` by a column that is unique within its group, dense or sparse.
 
-    Runs and spans of runs are cut from the position itself, so every window is bounded: rows of a
-    run, runs of a span, and the spans, each a few million positions wide.
+    Only groups and positions are sorted and numbered, over all groups at once; a group's numbers begin
+    at its first one. So no window holds a group, whatever its positions look like, and the other
+    columns move once, to meet their number.
     """
-    run = F.floor(F.col(position) / RUN_ROWS).cast("long")
-    rows = df.withColumn("_run", run).withColumn("_span", F.floor(F.col("_run") / SPAN_RUNS).cast("long"))
-    counts = rows.groupBy(*groups, "_span", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    spans = _offsets(counts.groupBy(*groups, "_span").agg(F.sum("_n").alias("_n")), groups, ["_span"])
-    spans = spans.select(*groups, "_span", F.col("_before").alias("_before_span"))
-    local = _offsets(counts, [*groups, "_span"], ["_run"]).drop("_n").join(spans, [*groups, "_span"])
-    offsets = local.withColumn("_before", F.col("_before") + F.col("_before_span")).drop("_before_span")
-    return _index_within(rows, [*groups, "_span", "_run"], [position], offsets, out).drop("_span", "_run")
+    places = number_rows(df.select(*groups, position), [*[F.col(g) for g in groups], F.col(position)], "_n")
+    firsts = places.groupBy(*groups).agg(F.min("_n").alias("_first"))
+    numbered = places.join(firsts, list(groups)).select(*groups, position, (F.col("_n") - F.col("_first")).alias(out))
+    return df.join(numbered, [*groups, position])
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_ix") -> DataFrame:

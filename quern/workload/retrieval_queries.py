@@ -16,6 +16,7 @@ from quern.sources.catalog import catalog_columns
 from quern.session import scratch_path, staged
 from quern.workload import tables as t
 from quern.workload.registry import query
+from quern.workload.schema_queries import sql_catalog
 
 CAND_COLUMNS = ["query_id", "item_id", "kind", "name", "chunk_ix", "cand_ix"]
 SQL_CANDS = "query_id, item_id, kind, name, chunk_ix, CAST(cand_ix AS INTEGER) AS cand_ix, round(dist, 6) AS dist, round(sim, 6) AS sim"
@@ -172,7 +173,8 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_DDL = "'-- Tables and columns (sample snapshot)' || chr(10) || 'customer(c_custkey bigint)' || chr(10) || 'customer(c_name string)' || chr(10) || 'customer(c_nationkey int)' || chr(10) || 'customer(c_acctbal double)' || chr(10) || 'customer(c_mktsegment string)'"
+_DDL = f"""(WITH {sql_catalog()} SELECT '-- Tables and columns (sample snapshot)' || chr(10)
+  || string_agg(table_name || '(' || column_name || ' ' || data_type || ')', chr(10) ORDER BY table_name, ordinal) FROM catalog)"""
 
 
 @query(
@@ -184,8 +186,7 @@ _DDL = "'-- Tables and columns (sample snapshot)' || chr(10) || 'customer(c_cust
 )
 def sql_prompt(spark, sf):
     context = _context(spark, sf, retrieve.SQL_TOPK).withColumnRenamed("prompt", "context")
-    customer = {("main", "customer"): t.table(spark, sf, "customer")}
-    ddl = ddl_snapshot(catalog_columns(spark, customer)).first()["schema_text"]
+    ddl = ddl_snapshot(catalog_columns(spark, t.all_tables(spark, sf))).first()["schema_text"]
     asked = t.questions(spark, sf).select("query_id", "question").join(context, "query_id", "left")
     return asked.select("query_id", prompts.sql_prompt(F.col("question"), F.lit(ddl), F.col("context")).alias("prompt"))
 

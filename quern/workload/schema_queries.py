@@ -52,7 +52,7 @@ _TYPES = {
 _TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " ELSE column_type END"
 
 
-def _sql_catalog() -> str:
+def sql_catalog() -> str:
     parts = [
         f"SELECT 'main' AS table_schema, '{n}' AS table_name, row_number() OVER () AS ordinal, column_name, {_TYPE_CASE} AS data_type "
         f"FROM (DESCRIBE {n})"
@@ -88,7 +88,7 @@ def _sql_fk(key: Key) -> str:
 _PKS, _FKS = [k for k in DECLARED if not k.parent], [k for k in DECLARED if k.parent]
 SQL_PK = " UNION ALL ".join(f"SELECT *, null_keys = 0 AND repeated_keys = 0 AS valid FROM ({_sql_pk(k)})" for k in _PKS)
 SQL_FK = " UNION ALL ".join(f"SELECT *, orphan_rows = 0 AS valid FROM ({_sql_fk(k)})" for k in _FKS)
-SQL_SCHEMA_ITEMS = f"""{_sql_catalog()}, held AS (
+SQL_SCHEMA_ITEMS = f"""{sql_catalog()}, held AS (
   SELECT table_name, unnest(string_split(key_columns, ', ')) AS column_name, '{PRIMARY}' AS type FROM ({SQL_PK}) WHERE valid
   UNION ALL SELECT table_name, key_columns, '{FOREIGN}' FROM ({SQL_FK}) WHERE valid),
 schema_items AS (
@@ -102,7 +102,7 @@ schema_items AS (
 
 @query(
     "catalog_columns",
-    f"""WITH {_sql_catalog()}, {_sql_nulls()} SELECT table_schema, table_name, CAST(ordinal AS INTEGER) AS ordinal, column_name, data_type, has_nulls
+    f"""WITH {sql_catalog()}, {_sql_nulls()} SELECT table_schema, table_name, CAST(ordinal AS INTEGER) AS ordinal, column_name, data_type, has_nulls
     FROM catalog JOIN nulls USING (table_name, column_name)""",
 )
 def catalog(spark, sf):
@@ -163,13 +163,22 @@ def kind_replace(spark, sf):
     return new_chunks.join(names, "item_id").select("kind", "name", "chunk_ix", "chunk_text")
 
 
+# Every column that is a whole number or a text.
 _EXAMPLES = [
-    ("orders", ["o_orderstatus", "o_orderpriority"]),
-    ("customer", ["c_mktsegment", "c_nationkey", "c_name"]),
-    ("part", ["p_brand", "p_type", "p_size"]),
-    ("events", ["event_type", "user_id", "props"]),
-    ("documents", ["lang", "source"]),
-    ("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"]),
+    ("region", ["r_regionkey", "r_name"]),
+    ("nation", ["n_nationkey", "n_name", "n_regionkey"]),
+    ("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]),
+    ("supplier", ["s_suppkey", "s_name", "s_nationkey"]),
+    ("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
+    ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
+    ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]),
+    ("events", ["event_id", "user_id", "event_type", "props"]),
+    ("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
+    ("embeddings", ["vec_id", "label"]),
+    ("pages", ["page_id", "url", "html"]),
+    ("benchmark", ["item_id", "text"]),
+    ("labels", ["doc_id", "quality", "toxic"]),
+    ("conversations", ["conv_id", "turn", "role", "text"]),
 ]
 
 

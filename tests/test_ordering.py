@@ -1,12 +1,12 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import ordering as o
 
 
-def test_dense_index_with_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(o, "RUN_ROWS", 10)
-    monkeypatch.setattr(o, "SPAN_RUNS", 3)
-    rows = [("hot" if i % 3 else f"g{i % 5}", i * i) for i in range(500)]
+@pytest.mark.parametrize("position", [lambda i: i * i, lambda i: hash((i, 7)) % (1 << 62) - (1 << 61)], ids=["rising", "hashed"])
+def test_dense_index_with_a_hot_group(spark, position):
+    rows = [("hot" if i % 3 else f"g{i % 5}", position(i)) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, p long").repartition(7)
     got = {(r.g, r.p): r.ix for r in o.dense_index_by(df, ["g"], "p", "ix").collect()}
     want = {}
