@@ -130,7 +130,7 @@ def _sync(spark, args, items, chunks) -> None:
 def _commit(spark, args, items, chunks) -> None:
     entries, rejects = ragged_entries(read_ragged(spark, args.file, multiline=True))
     _save(commit.commit_entries(entries, items, chunks, _embedder(args.model), _now()), args.out)
-    rejects.select("cells").show()
+    write_json(rejects.select("cells"), f"{args.out}/rejects")
 
 
 def _retrieve(spark, args, items, chunks) -> None:
@@ -147,7 +147,9 @@ def _retrieve(spark, args, items, chunks) -> None:
     if args.save_prompt:
         write_prompts(prompts.context_prompt(ranked), args.save_prompt)
     if not (args.save_json or args.save_prompt):
-        ranked.orderBy("query_id", "rank").select("query_id", "rank", "sim", "dist", "kind", "name", "chunk_ix").show()
+        shown = ranked.orderBy("query_id", "rank").select("query_id", "rank", "sim", "dist", "kind", "name", "chunk_ix")
+        for row in shown.toLocalIterator():
+            print(*row, sep="\t")
 
 
 def _index(spark, args, items, chunks) -> None:

@@ -35,7 +35,8 @@ DRAFT_INSTRUCTIONS = (
     "You are a data assistant. Given a natural language question, the SQL used, and the result rows (JSON), "
     "write a short, clear answer in one or two sentences.\n\n"
 )
-ROWS_JSON_CHARS = 4000
+# Fixed value: what stands in for a blank reply.
+NO_ANSWER = "No model answer was produced."
 
 
 def context_prompt(
@@ -85,17 +86,18 @@ def answer_prompt(question: Column, rows_text: Column, context: Column) -> Colum
     )
 
 
-def draft_prompt(question: Column, sql: Column, rows_json: Column) -> Column:
+def draft_prompt(question: Column, sql: Column, rows_json: Column, chars: int | None = None) -> Column:
+    """The prompt for a draft answer; ``chars`` bounds the rows' JSON where a model takes no more."""
     return F.concat(
         F.lit(DRAFT_INSTRUCTIONS + "Question: "),
         question,
         F.lit("\nSQL: "),
         sql,
         F.lit("\nRows JSON: "),
-        F.substring(rows_json, 1, ROWS_JSON_CHARS),
+        rows_json if chars is None else F.substring(rows_json, 1, chars),
     )
 
 
 def final_answer(answer: Column) -> Column:
     """A model's answer, or a fixed text when it is blank."""
-    return F.when(F.coalesce(strip(answer), F.lit("")) == "", F.lit("No model answer was produced.")).otherwise(strip(answer))
+    return F.when(F.coalesce(strip(answer), F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(strip(answer))

@@ -47,8 +47,8 @@ def write_item_files(rows: DataFrame, path: str) -> None:
 
 
 def write_prompts(prompts: DataFrame, path: str) -> None:
-    """One text per question, in a folder named by its id."""
-    prompts.select("query_id", F.col("prompt").alias("value")).write.partitionBy("query_id").text(path)
+    """(query_id, prompt) of all questions as JSON lines, by id: as few files as the prompts need."""
+    write_json(prompts.select("query_id", "prompt"), path, ["query_id"])
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

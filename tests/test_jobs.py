@@ -54,6 +54,7 @@ def test_commit_retrieve_audit_and_schema(spark, store):
     (store / "new.csv").write_text('info,extra,"line one\nline two, quoted",dataset,other,topic,x\nbad\n')
     main(["commit", *_at(store / "s0"), "--file", str(store / "new.csv"), "--out", str(store / "s1")])
     extra = load(spark, str(store / "s1/items")).filter("name = 'extra'").first()
+    assert [json.loads(x)["cells"] for x in _texts(store / "s1/rejects", "*.json").splitlines()] == [["bad"]]
     assert extra.body == "line one\nline two, quoted" and extra.metadata == {"dataset": "other", "topic": "x"}
 
     spark.createDataFrame([(1, "second fact"), (2, "Table old")], "query_id long, question string").write.parquet(str(store / "q"))
@@ -61,7 +62,8 @@ def test_commit_retrieve_audit_and_schema(spark, store):
     main(["retrieve", *_at(store / "s1"), "--questions", str(store / "q"), "--dataset", "ds", "--topk", "2", *out])
     lines = [json.loads(json.loads(line)["json"]) for line in _texts(store / "json", "*.json").splitlines()]
     assert [r["name"] for r in lines][::2] == ["info::ds::row::1", "main.old"] and "extra" not in {r["name"] for r in lines}
-    assert "[table:main.old#0]\nTable old" in _texts(store / "prompt/query_id=2", "*.txt")
+    saved = {r["query_id"]: r["prompt"] for r in map(json.loads, _texts(store / "prompt", "*.json").splitlines())}
+    assert "[table:main.old#0]\nTable old" in saved[2]
     main(["retrieve", *_at(store / "s1"), "--questions", str(store / "q")])
 
     main(["index", *_at(store / "s1"), "--cells", "2", "--out", str(store / "cells")])
@@ -71,7 +73,8 @@ def test_commit_retrieve_audit_and_schema(spark, store):
         assert found == ["info::ds::row::1", "main.old"]
 
     main(["audit", *_at(store / "s1"), "--outdir", str(store / "audit")])
-    assert json.loads(_texts(store / "audit/totals", "*.json"))["items"] == 4
+    (folder,) = (store / "audit").iterdir()
+    assert json.loads(_texts(folder / "totals", "*.json"))["items"] == 4
 
     spark.range(5).write.parquet(str(store / "t"))
     main(["schema", *_at(store / "s1"), "--table", f"numbers={store / 't'}", "--key", "numbers(id)", "--out", str(store / "s2")])

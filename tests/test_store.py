@@ -153,7 +153,7 @@ def test_prompt_text_and_json_files(spark, tmp_path):
     plain = prompts.context_prompt(ranked, None, None, cite=False, mark=False).first().prompt
     assert plain == "\nfirst\ntext\n\n\nsecond"
     files.write_prompts(made, str(tmp_path / "prompts"))
-    assert "".join(p.read_text() for p in (tmp_path / "prompts" / "query_id=7").glob("*.txt")).rstrip("\n") == want
+    assert [json.loads(x) for p in (tmp_path / "prompts").glob("*.json") for x in p.read_text().splitlines()] == [{"query_id": 7, "prompt": want}]
     files.write_json(retrieve.final_json(ranked), str(tmp_path / "json"), ["query_id", "rank"])
     first = json.loads(json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("*.json"))).splitlines()[0])["json"])
     assert first == {"item_id": 1, "kind": "info", "name": "n", "chunk_ix": 0, "chunk_text": "first\ntext", "dist": 0.1, "sim": 0.9}
@@ -173,7 +173,7 @@ def test_model_slots(spark):
 
 def test_draft_prompt_and_final_answer(spark):
     row = spark.range(1).select(
-        prompts.draft_prompt(F.lit("q"), F.lit("s"), F.lit("r" * 5000)), prompts.final_answer(F.lit(" \n")), prompts.final_answer(F.lit(" yes "))
+        prompts.draft_prompt(F.lit("q"), F.lit("s"), F.lit("r" * 5000), 4000), prompts.final_answer(F.lit(" \n")), prompts.final_answer(F.lit(" yes "))
     ).first()
     assert row[0].endswith("Question: q\nSQL: s\nRows JSON: " + "r" * 4000)
     assert (row[1], row[2]) == ("No model answer was produced.", "yes")
