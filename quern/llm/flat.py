@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: a batch is cut at row ends, a longer text is hashed piece by piece.
-PIECE_BYTES = 8 << 20
-_HASH_STEP = 1 << 20
+PIECE_BYTES = 2 << 20
+_HASH_STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CACHE: dict = {}
 
@@ -64,13 +64,13 @@ def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(batches, text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about PIECE_BYTES; a single longer text stays one run."""
+def pieces(batches, text: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about `size` bytes of text; a single longer text stays one run."""
     for batch in batches:
         _, bounds = column(batch.column(batch.schema.get_field_index(text)))
         row = 0
         while row < batch.num_rows:
-            end = int(np.searchsorted(bounds, bounds[row] + PIECE_BYTES, side="right")) - 1
+            end = int(np.searchsorted(bounds, bounds[row] + size, side="right")) - 1
             end = min(batch.num_rows, max(end, row + 1))
             yield batch.slice(row, end - row)
             row = end

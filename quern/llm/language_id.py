@@ -37,6 +37,8 @@ PIECE_MOST = 12
 WORD_MOST = 48
 FOLDS = 3
 UND = "und"
+#: Bytes of text looked at together: each distinct word of them is scored once.
+PIECE_BYTES = 4 << 20
 #: Words that a text's evidence counts as at most, for the score.
 EVIDENCE = 4.0
 
@@ -238,7 +240,7 @@ def predict_batches(pieces, languages: list[str], probabilities, text: str = "te
     """For mapInArrow: doc_id with the most likely language and its score. pieces, probabilities: broadcasts."""
 
     def run(batches):
-        for batch in flat.pieces(batches, text):
+        for batch in flat.pieces(batches, text, PIECE_BYTES):
             sums, number = text_likelihoods(pieces.value, probabilities.value, *flat.column(batch.column(text)))
             best = sums.argmax(axis=1)
             # Evidence as a mean per word, so that long texts do not all score 1.
