@@ -33,7 +33,7 @@ MOST_ROUNDS = 3
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 64
 #: Documents of one running-sum window, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Slots made from one row at once.
 SLOT_RUN = 8192
 
@@ -103,11 +103,12 @@ def slot_rows(spark, sources: list[dict], shards: int = OUTPUT_SHARDS) -> DataFr
         steps = F.array(*[F.lit(_multiplier(s["blocks"], 7 * s["source_no"] + 31 * r)).cast("long") for r in range(MOST_ROUNDS)])
         shift = F.array(*[F.lit((s["blocks"] // 3 * (r + 1) + s["source_no"]) % s["blocks"]).cast("long") for r in range(MOST_ROUNDS)])
         rows.append(F.struct(*[F.lit(s[f]).cast("long").alias(f) for f in ("source_no", "blocks", "slots")], steps.alias("steps"), shift.alias("shift")))
+    parts = max(1, min(20_000, sum(s["slots"] for s in used) // (SLOT_RUN * 4)))
     runs = (
         spark.range(1)
         .select(F.inline(F.array(*rows)))
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN))).alias("run"))
-        .repartition("source_no", "run")
+        .repartition(parts, "source_no", "run")  # a number, as the few rows stand for many slots
     )
     each = runs.select("*", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
@@ -169,7 +170,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     taken sums the words of the row over all slots that read one of its blocks.
     """
     placed, segments, slots = mix_plan(docs, block_words, shards, weights)
-    taken = segments.join(slots, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    taken = segments.join(slots.hint("shuffle_merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     empty = F.col("size") == 0
     key = placed.withColumn("_key", F.when(~empty, F.col("start")))
     out = key.join(taken.withColumnRenamed("start", "_key"), ["source_no", "_key"], "left")
@@ -185,7 +186,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     without words are not taken.
     """
     placed, segments, slots = mix_plan(docs, block_words, shards, weights)
-    uses = segments.join(slots, ["source_no", "block"]).groupBy("source_no", "start", "first", "words").agg(F.count("*").cast("int").alias("uses"))
+    uses = segments.join(slots.hint("shuffle_merge"), ["source_no", "block"]).groupBy("source_no", "start", "first", "words").agg(F.count("*").cast("int").alias("uses"))
     parts = uses.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("parts"))
     taken = placed.where("size > 0").join(parts, ["source_no", "start"])
     rounds = F.array(*[F.lit(r) for r in range(1, MOST_ROUNDS + 1)])
