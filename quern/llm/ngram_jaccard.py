@@ -195,7 +195,7 @@ def _blocks(root):
     return F.when(level < 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.pow(F.lit(2.0), level) * SAMPLED / BLOCK).cast("int")))
 
 
-def _groups(batches, columns):
+def _groups(batches):
     """The sorted rows as runs of whole (root, salt) groups: a batch's last group waits for the next batch."""
     held = None
     for batch in batches:
@@ -216,7 +216,7 @@ def _groups(batches, columns):
 
 def _matched_batches(batches):
     """Rows that another row of their group may link with by size; rows of frequent roots all stay."""
-    for table in _groups(batches, 5):
+    for table in _groups(batches):
         root, n, f = (table[c].to_numpy() for c in ("root", "n", "f"))
         follows = (root[1:] == root[:-1]) & (f[1:] != f[:-1]) & (n[:-1] >= least_size(n[1:].astype(np.int64)))
         again = (root[1:] == root[:-1]) & (f[1:] == f[:-1])
@@ -322,7 +322,7 @@ def _words_of(column) -> np.ndarray:
 
 
 def _tree_batches(batches):
-    for table in _groups(batches, 8):
+    for table in _groups(batches):
         root, salt, f, n, pos, comp = (table[c].to_numpy() for c in ("root", "salt", "f", "n", "pos", "comp"))
         n, pos, guest = n.astype(np.int64), pos.astype(np.int64), table["guest"].to_numpy(zero_copy_only=False)
         bits = _words_of(table["sig"])
