@@ -217,13 +217,15 @@ def _groups(batches):
 def _matched_batches(batches):
     """Rows that another row of their group may link with by size; rows of frequent roots all stay."""
     for table in _groups(batches):
-        root, n, f = (table[c].to_numpy() for c in ("root", "n", "f"))
-        follows = (root[1:] == root[:-1]) & (f[1:] != f[:-1]) & (n[:-1] >= least_size(n[1:].astype(np.int64)))
-        again = (root[1:] == root[:-1]) & (f[1:] == f[:-1])
+        root, f = table["root"].to_numpy(), table["f"].to_numpy()
+        first = np.ones(len(root), bool)  # the others are copies read by other tasks
+        first[1:] = (root[1:] != root[:-1]) | (f[1:] != f[:-1])
+        table = table.filter(pa.array(first))
+        root, n = table["root"].to_numpy(), table["n"].to_numpy()
+        follows = (root[1:] == root[:-1]) & (n[:-1] >= least_size(n[1:].astype(np.int64)))
         keep = root.view(np.uint64) >> np.uint64(_KEY_SHIFT) >= _FREQUENT_CLASS
         keep[1:] |= follows
         keep[:-1] |= follows
-        keep[1:] &= ~again  # a copy read by another task
         yield from table.filter(pa.array(keep)).select(["root", "f", "n", "pos"]).to_batches()
 
 

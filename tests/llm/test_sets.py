@@ -58,6 +58,14 @@ def test_groups_in_blocks(make_docs, near_texts, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.link_groups(docs).collect()} == plain.groups(near_texts)
 
 
+def test_copies_of_several_tasks_keep_their_links(make_docs):
+    """One text in every partition and one larger near copy, which stands after all its copies under a root."""
+    words = [f"w{i}" for i in range(80)]
+    texts = {0: " ".join([*words, "more"])} | {i: " ".join(words) for i in range(1, 9)}
+    docs = make_docs(list(texts.items())).repartition(9, "doc_id")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.link_groups(docs).collect()} == plain.groups(texts) == dict.fromkeys(texts, 0)
+
+
 def test_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(2)
     base = [rng.choice(10**6, 120, replace=False) for _ in range(6)]
