@@ -1,19 +1,21 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-Counted n-grams (up to three words) that make up at least LEAST_SHARE of all training tokens, and stand
-at least twice, become states and arcs: a state is a kept history of one or two words, an arc a kept next
+Counted n-grams (up to three words) that stand at least LEAST times in the training texts become states
+and arcs, at every size of the corpus: a state is a kept history of one or two words, an arc a kept next
 word with its interpolated, discounted probability, and a failure arc leads to the history without its
-first word and carries the backoff weight. One traversal from left to right carries the state over a
-text's tokens and adds up log10 probabilities; an end token closes each text.
+first word and carries the backoff weight. The score of a text is the log10 weight of the path that reads
+it, closed by an end token.
 
-The share bounds the automaton: no more than 1 / LEAST_SHARE n-grams of an order can reach it, whatever
-the corpus, so the arcs can be sent to every task. Counts of all orders are taken over all training texts
-and grow with them. Words below the share still need their exact counts: their tokens travel to the
-counts by a join on the word's hash, and only their log probabilities come back.
+The frequent part of the automaton, n-grams that make up at least SENT_SHARE of all training tokens, is sent
+to every task and traversed there; no more than 1 / SENT_SHARE n-grams of an order can reach the share. The
+rest stays in distributed tables that grow with the corpus. What a rare n-gram changes in the score of a
+text that holds it (its arc's log weight less that of the failure path, plus its own backoff weight as a
+history) does not depend on the rest of the text, so the texts' rare n-grams travel to the tables by a
+shuffled join, and the sums come back. Bit maps of fixed size pass over most n-grams that the tables lack.
 
 Null text: as an empty text, which is one end token. Empty table: empty result. No training text: every
 token has the same smoothed probability. Repeated rows and doc_ids are scored row by row and counted as
-often as they stand. Other columns are not read. Words are compared by 64-bit hashes.
+often as they stand. Other columns are not read. Words and pairs are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,16 +31,20 @@ from quern.llm.columns import remainder
 from quern.session import staged
 
 ORDER = 3
-LEAST_SHARE = 1e-6
+#: The smallest count of a kept n-gram, and the share of all tokens from which it is sent to every task.
+LEAST = 2
+SENT_SHARE = 1e-6
 DISCOUNT = 0.75
 ADDED = 0.1
 FOLDS = 10
-#: Ids take this many bits in packed n-grams; 1 / LEAST_SHARE must be below 2 ** ID_BITS.
+#: Ids take this many bits in packed n-grams; 1 / SENT_SHARE must be below 2 ** ID_BITS.
 ID_BITS = 20
 #: Counted values that a task gathers before it merges equal ones.
 MERGE_AT = 3 << 20
 #: Tokens that one lane of the traversal reads.
 LANE = 256
+#: Bits of the maps by which n-grams that are not kept are passed over.
+KEPT_BITS = 1 << 27
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -106,12 +112,87 @@ def _count(texts: DataFrame, values_of) -> DataFrame:
     return texts.mapInArrow(_counted(values_of), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
 
 
-def _fetch(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Values in rising order and their counts; the caller has bounded the rows by LEAST_SHARE."""
-    got = counts.select("v", "n").toArrow()
-    values, number = got["v"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(values)
-    return values[order], number[order]
+def _gram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a pair from those of its words, or of a triple from those of its two pairs."""
+    return flat.signed(flat.mix(flat.mix(a.view(np.uint64)) + b.view(np.uint64)))
+
+
+class _GramCounter:
+    """Equal (a, b) are merged as they come, as in _Counter."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.held, self.waiting, self.size = (none, none, none, none), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append((_gram_key(a, b), a, b, np.ones(len(a), np.int64)))
+        self.size += len(a)
+        if self.size >= MERGE_AT:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, a, b, n = (np.concatenate(x) for x in zip(self.held, *self.waiting))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        self.held = (keys[first], a[order][first], b[order][first], np.add.reduceat(n[order], first) if len(first) else n)
+        self.waiting, self.size = [], 0
+
+    def batches(self, step: int = 1 << 17):
+        self.merge()
+        _, a, b, n = self.held
+        for at in range(0, len(a), step):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + step]) for x in (a, b, n)], names=["a", "b", "n"])
+
+
+def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
+    """(a, b, n, k) of all grams that stand at least so often, k their hash; written once."""
+
+    def count(batches):
+        counter = _GramCounter()
+        for batch in flat.pieces(batches, "text"):
+            counter.add(*grams_of(batch))
+            if len(counter.held[0]) > HAND_ON // 2:
+                yield from counter.batches()
+                counter = _GramCounter()
+        yield from counter.batches()
+
+    def keyed(batches):
+        for batch in batches:
+            yield batch.append_column("k", pa.array(_gram_key(batch.column("a").to_numpy(), batch.column("b").to_numpy())))
+
+    counts = texts.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return staged(counts.mapInArrow(keyed, "a long, b long, n long, k long"), "grams")
+
+
+def _kept_map(kept: DataFrame, key: str) -> np.ndarray:
+    """A map of KEPT_BITS bits with one set for every key; others may share it."""
+    slot = F.col(key).bitwiseAND(F.lit(KEPT_BITS - 1))
+    bits = kept.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int({key} & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = bits.toArrow()  # at most KEPT_BITS / 64 rows
+    flags = np.zeros(KEPT_BITS // 64, np.int64)
+    flags[got["w"].to_numpy()] = got["b"].to_numpy()
+    return flags
+
+
+def _may_hold(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & (KEPT_BITS - 1)
+    return (flags[slot >> 6] >> (slot & 63)) & 1 > 0
+
+
+def _pairs(kept_words: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of two tokens within texts, and whether both words may be kept; nothing follows an end."""
+    words = flat.signed(tokens)
+    kept = _may_hold(kept_words, words)
+    return words, kept[:-1] & kept[1:] & (tokens[:-1] != END)
+
+
+def _triples(kept_words: np.ndarray, kept_pairs: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, which neighbours may be kept pairs, the hashes of all neighbours, and which of these in turn may be triples."""
+    words, good = _pairs(kept_words, tokens)
+    keys = _gram_key(words[:-1], words[1:])
+    good &= _may_hold(kept_pairs, keys)
+    return words, good, keys, good[:-1] & good[1:]
 
 
 def word_ids(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -119,58 +200,65 @@ def word_ids(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return flat.lookup(words, flat.signed(tokens))
 
 
-def _pairs(words: np.ndarray, batch) -> np.ndarray:
-    """Packed ids of all runs of two kept words within texts; nothing follows an end."""
-    tokens, _ = _tokens(batch)
-    ids = word_ids(words, tokens)
-    good = (ids[:-1] >= 0) & (ids[1:] >= 0) & (tokens[:-1] != END)
-    return ((ids[:-1] << ID_BITS) | ids[1:])[good]
+def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The arcs and backoff weights of all kept n-grams.
 
+    Probabilities are interpolated: (c - D) / c(history) plus the history's backoff weight times the
+    probability after the shorter history. words: v, n, p (smoothed share), fail. pairs and triples: a, b,
+    n, k, p, over (what the arc adds to the log10 weight of the failure path); pairs also have fail.
+    """
+
+    def with_fail(rows, key, longer):
+        sums = longer.groupBy("a").agg(F.sum(F.col("n") - DISCOUNT).alias("_s")).withColumnRenamed("a", key)
+        fail = F.greatest(1 - F.coalesce("_s", F.lit(0.0)) / F.col("n"), F.lit(1e-12))
+        return rows.join(sums, key, "left").withColumn("fail", fail).drop("_s")
+
+    def with_arcs(rows, shorter, key):
+        history = shorter.select(F.col(key).alias("a"), F.col("n").alias("_n"), F.col("fail").alias("_fail"))
+        lower = shorter.select(F.col(key).alias("b"), F.col("p").alias("_p"))
+        both = rows.join(history, "a").join(lower, "b").withColumn("p", (F.col("n") - DISCOUNT) / F.col("_n") + F.col("_fail") * F.col("_p"))
+        return both.withColumn("over", F.log10("p") - F.log10("_fail") - F.log10("_p")).drop("_n", "_fail", "_p")
 
-def _triples(words: np.ndarray, pairs: np.ndarray, batch) -> np.ndarray:
-    tokens, _ = _tokens(batch)
-    ids = word_ids(words, tokens)
-    if len(ids) < 3:
-        return np.zeros(0, np.int64)
-    first = flat.lookup(pairs, np.where((ids[:-1] >= 0) & (ids[1:] >= 0) & (tokens[:-1] != END), (ids[:-1] << ID_BITS) | ids[1:], -1))
-    good = (first[:-1] >= 0) & (first[1:] >= 0) & (tokens[1:-1] != END)
-    return ((first[:-1] << ID_BITS) | ids[2:])[good]
+    words = staged(with_fail(counts, "v", pairs).withColumn("p", (F.col("n") + ADDED) / F.lit(whole)), "word_weights")
+    pairs = staged(with_fail(with_arcs(pairs, words, "v"), "k", triples), "pair_weights")
+    return words, pairs, staged(with_arcs(triples, pairs, "k"), "triple_weights")
 
 
-def build_automaton(words, word_counts, pairs, pair_counts, triples, triple_counts, total: int, kinds: int) -> dict[str, np.ndarray]:
-    """Arcs and failure weights, all as log10.
+def build_automaton(words: DataFrame, pairs: DataFrame, triples: DataFrame, least: float) -> dict[str, np.ndarray]:
+    """Arcs and failure weights, all as log10, of the n-grams that stand at least so often; the caller has bounded them by SENT_SHARE.
 
-    States: 0 is the empty history, 1 + w the history of word w, 1 + W + p the history of kept pair p.
-    An arc's key is state << ID_BITS | word. Probabilities are interpolated: (c - D) / c(history) plus the
-    history's backoff weight times the probability after the shorter history.
+    States: 0 is the empty history, 1 + w the history of word w, 1 + W + p the history of pair p.
+    An arc's key is state << ID_BITS | word.
     """
-    mask = (1 << ID_BITS) - 1
-    number = len(words)
-    p1 = (word_counts + ADDED) / (total + ADDED * (kinds + 1))
-
-    def level(history, counts, history_counts, lower):
-        kept = np.bincount(history, counts - DISCOUNT, minlength=len(history_counts))
-        backoff = 1 - kept / np.maximum(history_counts, 1)
-        return (counts - DISCOUNT) / history_counts[history] + backoff[history] * lower, np.maximum(backoff, 1e-12)
-
-    first, second = pairs >> ID_BITS, pairs & mask
-    p2, fail1 = level(first, pair_counts, word_counts.astype(float), p1[second])
-    prefix, third = triples >> ID_BITS, triples & mask
-    suffix = flat.lookup(pairs, (second[prefix] << ID_BITS) | third) if len(triples) else np.zeros(0, np.int64)
-    p3, fail2 = level(prefix, triple_counts, pair_counts.astype(float), p2[suffix])
+
+    def fetch(rows, *columns):
+        got = rows.where(F.col("n") >= least).select(*columns).toArrow()
+        values = [got[c].to_numpy() for c in columns]
+        order = np.argsort(values[0])
+        return [v[order] for v in values]
+
+    word, p1, fail1 = fetch(words, "v", "p", "fail")
+    key2, a2, b2, p2, fail2 = fetch(pairs, "k", "a", "b", "p", "fail")
+    key3, a3, b3, p3 = fetch(triples, "k", "a", "b", "p")
+    first, second = flat.lookup(word, a2), flat.lookup(word, b2)
+    prefix, suffix = flat.lookup(key2, a3), flat.lookup(key2, b3)
+    number = len(word)
+    third = second[suffix] if len(suffix) else suffix
     return {
-        "words": words,
+        "words": word,
+        "pairs": key2,
+        "triples": key3,
         "root": np.log10(p1),
         "arcs": np.concatenate([((1 + first) << ID_BITS) | second, ((1 + number + prefix) << ID_BITS) | third]),
         "weights": np.log10(np.concatenate([p2, p3])),
-        "targets": np.concatenate([1 + number + np.arange(len(pairs)), 1 + number + suffix]),
+        "targets": np.concatenate([1 + number + np.arange(len(key2)), 1 + number + suffix]),
         "fail": np.concatenate([[0], np.zeros(number, np.int64), 1 + second]),
         "fail_weights": np.concatenate([[0.0], np.log10(fail1), np.log10(fail2)]),
     }
 
 
 def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Log10 probability of every text without what unkept words add; ids: word ids of the tokens, or -1.
+    """Log10 weight of every text without what rare n-grams add; ids: word ids of the tokens, or -1.
 
     Long texts are read in lanes of LANE tokens side by side; a lane first walks over the two tokens
     before it, which settles its state, as no history is longer.
@@ -213,12 +301,26 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
     return np.bincount(row, total, minlength=len(lengths)) if len(row) else np.zeros(len(lengths))
 
 
-_SCORED = "row long, n_tokens long, n_known long, base double, score double, rest array<long>"
+_SCORED = "row long, n_tokens long, n_known long, base double, score double, rest array<long>, rare_a array<long>, rare_b array<long>"
+
+
+def _rare(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, a and b of the pairs and triples that may be kept but are not in the automaton."""
+    words, good2, keys, good3 = _triples(maps[0], maps[1], tokens)
+    at2 = np.flatnonzero(good2)
+    at2 = at2[flat.lookup(automaton["pairs"], keys[at2]) < 0]
+    at3 = np.flatnonzero(good3)
+    key3 = _gram_key(keys[at3], keys[at3 + 1])
+    maybe = _may_hold(maps[2], key3)
+    at3 = at3[maybe][flat.lookup(automaton["triples"], key3[maybe]) < 0]
+    places = np.concatenate([at2, at3])
+    order = np.argsort(places, kind="stable")
+    return places[order], np.concatenate([words[at2], keys[at3]])[order], np.concatenate([words[at2 + 1], keys[at3 + 1]])[order]
 
 
 def _score_batches(model):
     def run(batches):
-        automaton = model.value
+        automaton, maps = model.value
         number = TaskContext.get().partitionId() << 40
         for batch in flat.pieces(batches, "text"):
             tokens, before = _tokens(batch)
@@ -228,11 +330,14 @@ def _score_batches(model):
             score = traverse(automaton, ids, before)
             rest = flat.signed(tokens[~known])
             offsets = np.concatenate([[0], np.cumsum(~known)])[before]
+            places, a, b = _rare(automaton, maps, tokens)
+            rare = pa.array(np.searchsorted(places, before).astype(np.int32))
             rows = np.arange(number, number + batch.num_rows)
             number += batch.num_rows
             columns = [batch.column("doc_id"), pa.array(rows), pa.array(np.diff(before)), pa.array(flat.row_sums(known.astype(np.int64), before)), pa.array(base), pa.array(score)]
             columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rest)))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
+            columns += [pa.ListArray.from_arrays(rare, pa.array(x)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest", "rare_a", "rare_b"])
 
     return run
 
@@ -241,38 +346,61 @@ def held_out(key: Column) -> Column:
     return F.coalesce(remainder(key, FOLDS) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[dict, DataFrame, int, int]:
-    """The automaton, the counts (v, n) of all words, the number of tokens and of distinct ones.
-
-    docs: text of the training documents.
-    """
+def _model(docs: DataFrame, least_share: float) -> dict:
+    """The automaton, the tables and maps of all kept n-grams, and the sizes. docs: text of the training documents."""
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select("text")
     counts = staged(_count(texts, lambda b: flat.signed(_tokens(b)[0])), "words")
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(sizes["n"] or 0), int(sizes["v"])
-    least = max(2.0, least_share * total)
-    words, word_counts = _fetch(counts.where(F.col("n") >= least))
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    pairs, pair_counts = _fetch(_count(texts, lambda b: _pairs(sent.value, b)).where(F.col("n") >= least))
-    sent2 = docs.sparkSession.sparkContext.broadcast(pairs)
-    triples, triple_counts = _fetch(_count(texts, lambda b: _triples(sent.value, sent2.value, b)).where(F.col("n") >= least))
-    return build_automaton(words, word_counts, pairs, pair_counts, triples, triple_counts, total, kinds), counts, total, kinds
+    least = max(float(LEAST), least_share * total)
+    kept_words = send(_kept_map(counts.where(F.col("n") >= least), "v"))
+
+    def pairs_of(batch):
+        words, good = _pairs(kept_words.value, _tokens(batch)[0])
+        return words[:-1][good], words[1:][good]
+
+    pairs = _count_grams(texts, pairs_of, least)
+    kept_pairs = send(_kept_map(pairs, "k"))
+
+    def triples_of(batch):
+        _, _, keys, good = _triples(kept_words.value, kept_pairs.value, _tokens(batch)[0])
+        return keys[:-1][good], keys[1:][good]
+
+    triples = _count_grams(texts, triples_of, least)
+    tables = weighted(counts, pairs, triples, total + ADDED * (kinds + 1))
+    automaton = build_automaton(*tables, max(least, SENT_SHARE * total))
+    maps = (kept_words.value, kept_pairs.value, _kept_map(triples, "k"))
+    return {"automaton": automaton, "maps": maps, "tables": tables, "counts": counts, "total": total, "kinds": kinds}
+
+
+def train(docs: DataFrame, least_share: float = 0.0) -> tuple[dict, DataFrame, int, int]:
+    """The frequent part of the automaton, the counts (v, n) of all words, the number of tokens and of distinct ones.
+
+    docs: text of the training documents. least_share: leaves out n-grams below this share of the tokens.
+    """
+    model = _model(docs, least_share)
+    return model["automaton"], model["counts"], model["total"], model["kinds"]
 
 
-def score_texts(docs: DataFrame, training: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, least_share: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    automaton, counts, total, kinds = train(training, least_share)
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    model = _model(training, least_share)
+    words, pairs, triples = model["tables"]
+    sent = docs.sparkSession.sparkContext.broadcast((model["automaton"], model["maps"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Written once: the row numbers must be those that the join below meets.
+    # Written once: the row numbers must be those that the joins below meet.
     scored = staged(docs.select("doc_id", "text").mapInArrow(_score_batches(sent), f"doc_id {kind}, {_SCORED}"), "scored")
-    whole = float(np.log10(total + ADDED * (kinds + 1)))
-    rest = scored.select("row", F.explode("rest").alias("v")).join(counts.hint("shuffle_merge"), "v", "left")
-    sums = rest.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADDED) - whole).alias("more"), F.count("n").alias("known")
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest").join(sums, "row", "left").select(
+    whole = float(np.log10(model["total"] + ADDED * (model["kinds"] + 1)))
+    rest = scored.select("row", F.explode("rest").alias("v")).join(words.select("v", "n", "fail").hint("shuffle_merge"), "v", "left")
+    smoothed = F.log10(F.coalesce("n", F.lit(0)) + ADDED) - whole
+    of_words = rest.select("row", smoothed.alias("p"), F.coalesce(F.log10("fail"), F.lit(0.0)).alias("more"), F.col("n").isNotNull().cast("long").alias("known"))
+    values = pairs.select("a", "b", (F.col("over") + F.log10("fail")).alias("more")).unionByName(triples.select("a", "b", F.col("over").alias("more")))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare_a", "rare_b")).alias("x")).select("row", F.col("x.rare_a").alias("a"), F.col("x.rare_b").alias("b"))
+    of_grams = rare.join(values.hint("shuffle_merge"), ["a", "b"]).select("row", F.lit(0.0).alias("p"), "more", F.lit(0).cast("long").alias("known"))
+    sums = of_words.unionByName(of_grams).groupBy("row").agg(F.sum("p").alias("p"), F.sum("more").alias("more"), F.sum("known").alias("known"))
+    p, more = (F.coalesce(c, F.lit(0.0)) for c in ("p", "more"))
+    return scored.drop("rest", "rare_a", "rare_b").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(model["total"]).cast("long").alias("train_tokens"), (F.col("base") + p).alias("base_score"), (F.col("score") + p + more).alias("score"),
     )

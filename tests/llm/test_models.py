@@ -158,6 +158,23 @@ def test_automaton_equals_plain_model(make_docs, monkeypatch):
         assert r["score"] == pytest.approx(score(t), rel=1e-9)
 
 
+def test_rare_ngrams_are_scored_exactly(make_docs, monkeypatch):
+    """With next to nothing sent to the tasks, every n-gram that stands twice still has its arc."""
+    monkeypatch.setattr(language_model, "SENT_SHARE", 0.02, raising=False)
+    rng = random.Random(6)
+    words, weights = [f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randrange(0, 120))) for _ in range(60)] + [None, "", "once w1 only", "W0 w0 w1"]
+    docs = make_docs(list(enumerate(texts)))
+    training = docs.where("doc_id % 3 <> 0")
+    score, base, one, total = _plain_model([t for i, t in enumerate(texts) if i % 3], 0.0)
+    automaton, _, _, _ = language_model.train(training)
+    assert 0 < len(automaton["words"]) < sum(c >= 2 for c in one.values()) and not len(automaton["triples"])
+    for r in language_model.score_texts(docs, training).collect():
+        t = texts[r["doc_id"]]
+        assert r["n_known"] == sum(one[w] > 0 for w in _tokens(t)) and r["base_score"] == pytest.approx(base(t), rel=1e-9)
+        assert r["score"] == pytest.approx(score(t), rel=1e-9)
+
+
 def test_op7(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     import zlib
