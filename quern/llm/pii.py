@@ -35,15 +35,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider patterns of the method's proposals.
 WIDE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,64}){1,5}"
 WIDE_PHONE = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+SECRET_STARTS = r"AKIA|ASIA|AIza|gh[po]_|xox[bp]-|sk-"
+SECRET_WORDS = r"(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey)"
 SECRET = (
-    r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|xoxb-|xoxp-|sk-)[A-Za-z0-9_-]{12,80}"
-    r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey) ?[=:] ?[\"']?)[^\s\"',;]{6,80}"
+    rf"(?<![A-Za-z0-9])(?:{SECRET_STARTS})[A-Za-z0-9_-]{{12,}}+"
+    rf"|(?<={SECRET_WORDS} ?[=:] ?[\"']?)[^\s\"',;]{{6,}}+"
 )
+#: What a text must hold for a secret.
+SECRET_SIGN = f"{SECRET_STARTS}|{SECRET_WORDS}"
 #: The gazetteers.
 DOMAIN_ENDS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|us|ca|au"
 CALLING_CODES = "1|7|20|27|30|31|32|33|34|39|41|43|44|45|46|47|48|49|52|55|61|81|82|86|91"
 CARD_STARTS = r"4|5[1-5]|2[2-7]|3[47]|6011|65"
-SECRET_STARTS = r"AKIA|ASIA|AIza|gh[po]_|xox[bp]-|sk-"
 CONTEXT = r"(?i)(?:mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|payment|host|server|address|login|user|password|key|token|secret)\W{0,3}$"
 CONTEXT_CHARS = 16
 ACCEPT = 0.5
@@ -129,7 +132,7 @@ def proposed_spans(text: Column, base: Column) -> Column:
         _if(text.rlike(r"(?i)[\[(]at[\])]"), _kind(spans(text, WIDE_EMAIL), "email")),
         _if(digit & text.rlike("[0-9](?:[ -]?[0-9]){11}"), _kind(spans(text, CARD), "card", lambda m: _few_digits(m, 12, 19))),
         _if(digit, _kind(spans(text, WIDE_PHONE), "phone")),
-        _if(text.rlike(r"(?i)AKIA|ASIA|AIza|gh[po]_|xox[bp]-|sk-|passw|pwd|secret|token|api.?key"), _kind(spans(text, SECRET), "secret")),
+        _if(text.rlike(SECRET_SIGN), _kind(spans(text, SECRET), "secret")),
     )
     apart = F.filter(wide, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return F.filter(apart, lambda x, i: ~F.exists(F.slice(apart, F.lit(1), i), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
@@ -162,7 +165,7 @@ def labeled(x: Column, text: Column) -> Column:
         ip=_vote(_octets(m)),
         card=_vote(luhn(digits)),
         phone=_vote(m.rlike(r"^(\+|\()") & many.between(9, 15)),
-        secret=_vote(m.rlike("(AKIA|ASIA)[A-Z0-9]{16}$|[A-Za-z0-9+/_-]{12,}$") & m.rlike("[0-9]")),
+        secret=_vote(m.rlike("(AKIA|ASIA)[A-Z0-9]{16}$|[A-Za-z0-9+/_-]{12}$") & m.rlike("[0-9]")),
     )
     known = _by_kind(
         k,
@@ -266,7 +269,7 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             F.transform(proposed_spans(F.col("_text"), base), lambda x: labeled(x, F.col("_text"))).alias("more"),
         ),
     )
-    maybe = F.col("_text").rlike(r"[0-9@]|(?i:[\[(]at[\])])|passw|pwd|secret|token")
+    maybe = F.col("_text").rlike(rf"[0-9@]|(?i:[\[(]at[\])])|{SECRET_SIGN}")
     rows = staged(body.select("doc_id", F.when(maybe, both).alias("_s")).select("doc_id", "_s.base", "_s.more"), "spans")
     each = rows.where("size(base) + size(more) > 0").select(F.explode(F.concat("base", "more")).alias("x")).select("x.*")
     patterns = staged(each.groupBy("k", *VOTES).agg(F.count("*").alias("n")), "patterns")

@@ -85,6 +85,17 @@ def test_pii_odd(odd_docs, no_docs):
     assert pii.find_pii(no_docs).count() == 0
 
 
+def test_secrets_are_proposed_whole(make_docs):
+    """Long keys and tokens to their ends; words for secrets in any case, in texts without digits."""
+    secrets = [
+        ("token: ", "eyJhbGci." * 40 + "x1"), ("", "sk-" + "aB3_" * 60), ("PASSWORD=", "correcthorse"), ("apikey: ", "abcdefgh"), ("Api_Key=", "qwertyui"), ("", "ghp_" + "abcdefghijklmnop"),
+        ("token=", "a" * 300_000 + "."),
+    ]
+    docs = make_docs([(i, f"{before}{secret} rest") for i, (before, secret) in enumerate(secrets)])
+    found = {r["doc_id"]: [(pii.KINDS[x["k"]], x["s"], x["e"]) for x in r["found"]] for r in pii.find_pii(docs, accept=0.0).collect()}
+    assert found == {i: [("secret", len(before), len(before) + len(secret))] for i, (before, secret) in enumerate(secrets)}
+
+
 def test_em_finds_the_better_labeler(spark):
     rows = [(0, 1, 1, 1, 1, 90), (0, 0, 0, -1, 0, 60), (0, 1, 0, -1, 1, 10), (0, 0, 1, -1, 0, 25), (0, 0, 1, -1, 1, 5)]
     model = pii.label_reliabilities(spark.createDataFrame(rows, "k int, strict int, known int, context int, shape int, n long"))
