@@ -1,6 +1,7 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, cut further after a full stop, question or exclamation mark and white space.
+A block is a run of lines up to an empty one, so a notice wrapped over lines is compared as a whole; it is
+cut further after a full stop, question or exclamation mark and white space.
 Its tokens are compared as a set with each template's tokens; a block meets a template when it holds at
 least `threshold` of the template's distinct tokens. The join is exact: tokens are ordered by how often
 they stand in the whole corpus, rarest first. A block that meets a template must hold one of the first
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.columns import let, whole_text
 
-#: Runs of characters that part words once A-Z are a-z, and the base phrases.
+#: Runs of characters that part words once A-Z are a-z, what parts blocks, and the base phrases.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BLOCK_ENDS = r"\n[^\S\n]*+\n|(?<=[.!?])\s+"
 PHRASES = {
     "mit": "under the mit license",
     "apache-2": "apache license version 2",
@@ -115,7 +117,7 @@ def _block_matches(text: Column, order: list[str], rows: list, index: dict, thre
         known = F.filter(F.transform(F.array_distinct(_split(block)), lambda w: vocabulary[w]), lambda r: r.isNotNull())
         return F.array_sort(known)
 
-    blocks = F.filter(F.transform(F.split(text, r"\n|(?<=[.!?])\s+"), ranks), lambda b: F.size(b) >= first_least)
+    blocks = F.filter(F.transform(F.split(text, BLOCK_ENDS), ranks), lambda b: F.size(b) >= first_least)
     return F.flatten(F.transform(blocks, of_block))
 
 

@@ -138,6 +138,22 @@ def test_license_cases(make_docs):
     assert got[5]["labels"] == "gpl-3" and got[5]["score"] < 1.0
 
 
+WRAPPED = [
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software'),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by"),
+    ("mpl-2", " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy"),
+]
+
+
+def test_wrapped_notices_are_found(make_docs):
+    parted = [(10 + i, notice.replace("\n", "\n \t\n", 1)) for i, (_, notice) in enumerate(WRAPPED)]
+    docs = make_docs([(i, f"Title\n\n{notice}\n\nEnd") for i, (_, notice) in enumerate(WRAPPED)] + parted)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i][0] for i in range(len(WRAPPED))] == [label for label, _ in WRAPPED] and all(got[i][1] >= 0.8 for i in range(len(WRAPPED)))
+    assert {got[d] for d, _ in parted} == {("", 0.0)}
+
+
 def test_license_join_is_exact(spark):
     """Every block of the small table against every template, without any filter."""
     import re
