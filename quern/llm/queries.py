@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, language_id, language_model, licenses, mixing, ngram_jaccard, pii, quality_ranking, sharding
+from quern.llm import decontamination, filter_audit, language_id, language_model, licenses, mixing, ngram_jaccard, pii, quality_ranking, sharding
 from quern.llm import quality_rules as rules
+from quern.llm import vector_codes
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -65,3 +66,59 @@ def op8(spark, sf):
 @query("op6_signature_trees")
 def op6(spark, sf):
     return ngram_jaccard.link_groups(table(spark, sf, "documents"))
+
+
+_AUDIT_SQL = """
+WITH RECURSIVE counted AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), smallest AS (
+    SELECT body, min(doc_id) AS least FROM counted GROUP BY body
+), failed AS (
+    SELECT c.doc_id, c.part,
+        [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+         100 * length(regexp_replace(c.body, '[^A-Z]', '', 'g')) > 10 * length(c.body),
+         regexp_matches(c.body, '[#$%&*|]'), coalesce(c.doc_id > s.least, false)] AS fails
+    FROM counted c JOIN smallest s ON c.body = s.body
+), marked AS (
+    SELECT part, fails, list_count(list_filter(fails, lambda f: f)) AS n_fails,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+        doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+    FROM failed
+), cells AS (
+    SELECT part, fails, n_fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM marked GROUP BY part, fails, n_fails
+), orders AS (
+    SELECT '' AS filter_order
+    UNION ALL
+    SELECT filter_order || letter FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(filter_order, letter)
+), steps AS (
+    SELECT filter_order, step, ascii(filter_order[step]) - 64 AS filter, [ascii(x) - 64 FOR x IN string_split(filter_order[1:step - 1], '') IF x <> ''] AS earlier
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(filter_order) = 5
+), seen AS (
+    SELECT c.*, s.*, fails[filter] AS fails_here, len([e FOR e IN earlier IF fails[e]]) > 0 AS gone FROM cells c, steps s
+), figures AS (
+    SELECT part, filter_order, step, filter,
+        CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (NOT gone AND fails_here), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (gone AND fails_here), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (fails_here AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (NOT gone AND fails_here), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails_here), 0) AS BIGINT) AS toxic_lost
+    FROM seen GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM figures
+"""
+
+
+@query("op11_filter_audit", _AUDIT_SQL)
+def op11(spark, sf):
+    return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_vector_codes")
+def op13(spark, sf):
+    return vector_codes.code_digests(table(spark, sf, "embeddings"))
