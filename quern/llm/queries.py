@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, filter_audit, language_id, language_model, licenses, mixing, ngram_jaccard, pii, quality_ranking, sharding
+from quern.llm import decontamination, filter_audit, language_id, language_model, licenses, mixing, ngram_jaccard, pii, quality_ranking, repeated_spans, sharding
 from quern.llm import quality_rules as rules
 from quern.llm import vector_codes
 from quern.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -119,6 +119,11 @@ def op11(spark, sf):
     return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op12_suffix_ranks")
+def op12(spark, sf):
+    return repeated_spans.span_digests(table(spark, sf, "documents"))
+
+
 @query("op13_vector_codes")
 def op13(spark, sf):
     return vector_codes.code_digests(table(spark, sf, "embeddings"))
