@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions.text import normalize, strip
 from quern.operators.ordering import dense_index, dense_index_by
+from quern.sources.quoted_csv import line_records, quoted_records
 
 
 def read_item_files(
@@ -26,26 +23,26 @@ def read_item_files(
     """(kind, row_ix, body) from the first column of each kind's file or folder of files.
 
     Rows are numbered per kind after blank rows are dropped, in file order. Files of a folder follow
-    each other by name; a shorter name comes first, so numbered part files keep their order. Without
-    quoted line feeds, ``multiline=False`` lets Spark split large files. Line ends inside a cell may be
-    read as LF, which is what a sync compares and stores.
+    each other by name; a shorter name comes first, so numbered part files keep their order. Cells may
+    hold line feeds, and large files are read by many tasks all the same, twice; ``multiline=False`` spares
+    the second reading where no cell holds one. A file that ends inside a quoted cell ends with that cell.
     """
     frames = []
     for kind, path in paths.items():
-        reader = spark.read.schema("body string").option("header", has_header).option("multiLine", multiline)
-        rows = reader.option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-        file = F.col("_metadata.file_path")
-        frames.append(
-            rows.select(
-                F.lit(kind).alias("kind"),
-                strip(F.col("body")).alias("body"),
-                F.length(file).alias("_len"),
-                file.alias("_file"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                # Rises with the reading order inside a file block, which is never split further.
-                F.monotonically_increasing_id().alias("_at"),
-            )
-        )
+        if multiline:
+            records = quoted_records(spark, path)
+            if has_header:
+                records = records.filter((F.col("rec") > 0) | (F.col("pos") > 0))
+            file, block, at = F.col("file"), F.col("block"), F.struct("rec", "pos")
+            body = F.get("cells", F.lit(0))
+        else:
+            records = spark.read.schema("body string").option("header", has_header).option("escape", '"').csv(path)
+            file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+            # Rises with the reading order inside a file block, which is never split further.
+            at = F.struct(F.monotonically_increasing_id().alias("rec"), F.lit(0).alias("pos"))
+            body = F.col("body")
+        columns = [strip(body).alias("body"), F.length(file).alias("_len"), file.alias("_file"), block.alias("_block"), at.alias("_at")]
+        frames.append(records.select(F.lit(kind).alias("kind"), *columns))
     rows = reduce(DataFrame.unionByName, frames).filter(F.length("body") > 0)
     placed = dense_index(rows, ["kind"], ["_len", "_file", "_block"], ["_at"], "row_ix")
     placed = placed.select("kind", "row_ix", "body")
@@ -65,46 +62,30 @@ def first_by_text(rows: DataFrame) -> DataFrame:
     return rows.join(places, ["kind", "row_ix"]).select("kind", F.col("_ix").alias("row_ix"), "body")
 
 
-#: A cell may be as long as its text.
-LONGEST_CELL = 2**31 - 1
+def read_ragged(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(cells array<string>, seq, closed) per non-empty record of files whose records differ in length.
 
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _records(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    csv.field_size_limit(LONGEST_CELL)
-    for batch in texts:
-        yield pd.Series([list(csv.reader(io.StringIO(text, newline=""))) for text in batch], dtype=object)
-
-
-def read_ragged(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """(cells array<string>, seq) per non-empty record of files whose records differ in length.
-
-    Spark's CSV reader needs one fixed width; here every record keeps all of its cells. Line by line
-    the files are split as usual; ``multiline`` takes a file at a time. ``seq`` rises in file order.
+    Spark's CSV reader needs one fixed width; here every record keeps all of its cells. Large files are
+    read by many tasks; ``multiline=False`` spares the second reading where no cell holds a line feed.
+    ``seq`` rises in file order. A record whose last cell is never closed has ``closed`` false.
     """
-    file = F.col("_metadata.file_path")
-    lines = spark.read.text(path, wholetext=multiline).select(
-        "value",
-        F.struct(
-            F.length(file).alias("len"),
-            file.alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-        ).alias("_place"),
-    )
-    found = lines.select("_place", F.posexplode(_records(F.col("value"))).alias("_pos", "cells"))
-    seq = F.struct("_place.len", "_place.file", "_place.block", "_place.at", F.col("_pos").alias("pos"))
-    return found.select("cells", seq.alias("seq")).filter(F.size("cells") > 0)
+    records = quoted_records(spark, path) if multiline else line_records(spark, path)
+    seq = F.struct(F.length("file").alias("len"), "file", "block", "rec", "pos")
+    return records.filter(F.size("cells") > 0).select("cells", seq.alias("seq"), "closed")
 
 
 def ragged_entries(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (kind, name, body, metadata, seq) and rejects.
+    """Entries (kind, name, body, metadata, seq) and rejects with their reason.
 
-    Cells after the third alternate metadata key and value; a repeated key keeps its last value. A
-    record that is too short, or has a key without a value, is a reject.
+    Cells after the third alternate metadata key and value; a repeated key keeps its last value. A record
+    that is too short, has a key without a value, or ends inside a quoted cell is a reject.
     """
     cells = F.col("cells")
-    fits = (F.size(cells) >= 3) & (F.size(cells) % 2 == 1)
+    reason = F.when(F.size(cells) < 3, F.lit("too few cells")).when(F.size(cells) % 2 == 0, F.lit("key without value"))
+    if "closed" in records.columns:
+        reason = F.when(~F.col("closed"), F.lit("unclosed quote")).otherwise(reason)
+    records = records.withColumn("reason", reason)
+    fits = F.col("reason").isNull()
     tail = F.slice(cells, 4, F.greatest(F.size(cells) - 3, F.lit(0)))
     keys = F.filter(tail, lambda x, i: i % 2 == 0)
     values = F.filter(tail, lambda x, i: i % 2 == 1)
