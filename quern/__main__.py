@@ -1,6 +1,7 @@
 """The jobs from a command line: ``python -m quern <job> ...``.
 
-A store is two Parquet folders, items and chunks. Jobs that change it write a new one to ``--out``.
+A store is a folder of generations (``--store``, made by the store job); jobs that change it add to it. Or
+it is two Parquet folders (``--items``, ``--chunks``), and such jobs write new ones to ``--out``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from quern.operators.chunks import embed_hashed, embed_with
 from quern.operators.nearest import CellIndex, build_cells
 from quern.plans import audit, commit, prompts, retrieve, schema_grounding, sync
 from quern.sinks.files import write_json, write_prompts
+from quern.sources import changes
 from quern.sources.catalog import session_tables
 from quern.sources.csv_items import ragged_entries, read_ragged
 from quern.sources.store import load, save_chunks, save_items
@@ -29,13 +31,15 @@ def _parser() -> argparse.ArgumentParser:
     def job(name: str, about: str, store: bool = True, out: bool = False) -> argparse.ArgumentParser:
         made = jobs.add_parser(name, help=about)
         if store:
-            made.add_argument("--items", required=True)
-            made.add_argument("--chunks", required=True)
+            made.add_argument("--store", help="folder of generations")
+            made.add_argument("--items")
+            made.add_argument("--chunks")
             made.add_argument("--model", help="module:function that loads a model for texts; hashed vectors by default")
         if out:
             made.add_argument("--out", help="folder of the new store")
         return made
 
+    job("store", "make a folder of generations from items and chunks, or from the present rows of one", out=True)
     schema = job("schema", "replace the schema items by the present tables", out=True)
     about = "a Parquet table; the session's tables when none is given"
     schema.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help=about)
@@ -46,11 +50,15 @@ def _parser() -> argparse.ArgumentParser:
     made.add_argument("--dir", default=".")
     made.add_argument("--has-header", action="store_true")
     made.add_argument("--dedupe", action="store_true")
+    single = "no cell holds a line feed, so files need one reading only"
+    made.add_argument("--single-line", action="store_true", help=single)
     made.add_argument("--apply", action="store_true")
     made.add_argument("--export-current")
     made.add_argument("--audit-json")
     made = job("commit", "add entries of a ragged CSV file", out=True)
     made.add_argument("--file", required=True)
+    made.add_argument("--single-line", action="store_true", help=single)
+    made.add_argument("--rejects", help="folder of the refused records; rejects in --out by default")
     made = job("retrieve", "ranked chunks and prompts for a table of questions")
     made.add_argument("--questions", required=True, help="Parquet with query_id and question")
     made.add_argument("--dataset")
@@ -111,6 +119,9 @@ def _schema(spark, args, items, chunks) -> None:
         keys.append(schema_grounding.Key("main", table, tuple(_names(columns))))
     tables = tables or session_tables(spark)
     embed = _embedder(args.model)
+    if args.store:
+        schema_grounding.refresh_in_store(spark, args.store, tables, keys, embed, _now())
+        return
     store = schema_grounding.refresh_schema(spark, tables, keys, items, chunks, embed, _now())
     _save(store, args.out)
 
@@ -121,16 +132,24 @@ def _sync(spark, args, items, chunks) -> None:
         spark, paths, items, chunks, args.dataset, _embedder(args.model), _now(),
         has_header=args.has_header, dedupe=args.dedupe, apply=args.apply,
         export_path=args.export_current, audit_path=args.audit_json, model=args.model or "hashed",
+        multiline=not args.single_line, store=args.store,
     )
     sync.sync_counts(plan).orderBy("kind").show()
-    if store:
+    if store and not args.store:
         _save(store, args.out)
 
 
 def _commit(spark, args, items, chunks) -> None:
-    entries, rejects = ragged_entries(read_ragged(spark, args.file, multiline=True))
-    _save(commit.commit_entries(entries, items, chunks, _embedder(args.model), _now()), args.out)
-    write_json(rejects.select("cells"), f"{args.out}/rejects")
+    entries, rejects = ragged_entries(read_ragged(spark, args.file, multiline=not args.single_line))
+    if args.store:
+        commit.commit_to_store(spark, args.store, entries, _embedder(args.model), _now())
+    else:
+        _save(commit.commit_entries(entries, items, chunks, _embedder(args.model), _now()), args.out)
+    write_json(rejects.select("cells", "reason"), args.rejects or f"{args.out}/rejects")
+
+
+def _store(spark, args, items, chunks) -> None:
+    changes.create(items, chunks, args.out)
 
 
 def _retrieve(spark, args, items, chunks) -> None:
@@ -159,18 +178,24 @@ def _index(spark, args, items, chunks) -> None:
 def main(argv: Sequence[str] | None = None) -> None:
     parser = _parser()
     args = parser.parse_args(argv)
-    if "out" in args and not args.out and not (args.job == "sync" and not args.apply):
+    stored = args.job != "feed" and args.store
+    if args.job != "feed" and not stored and not (args.items and args.chunks):
+        parser.error("--store or --items and --chunks are needed")
+    in_place = stored and args.job in ("schema", "sync", "commit")
+    if "out" in args and not args.out and not in_place and not (args.job == "sync" and not args.apply):
         parser.error("--out is needed")
+    if args.job == "commit" and not (args.out or args.rejects):
+        parser.error("--rejects is needed")
     spark = SparkSession.builder.appName("quern").getOrCreate()
     if args.job == "feed":
         keep = lambda records: records
         run_feed(spark, args.landing, args.schema, args.out, keep, _names(args.keys), _names(args.seq), _now(), args.format)
         return
-    items, chunks = load(spark, args.items), load(spark, args.chunks)
+    items, chunks = changes.read(spark, stored) if stored else (load(spark, args.items), load(spark, args.chunks))
     if args.job == "audit":
         audit.write_audit(items, chunks, args.outdir, _now())
         return
-    {"schema": _schema, "sync": _sync, "commit": _commit, "retrieve": _retrieve, "index": _index}[args.job](spark, args, items, chunks)
+    {"schema": _schema, "sync": _sync, "commit": _commit, "store": _store, "retrieve": _retrieve, "index": _index}[args.job](spark, args, items, chunks)
 
 
 if __name__ == "__main__":

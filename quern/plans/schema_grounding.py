@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quern.operators.chunks import Embed, chunk_items
 from quern.operators.keys import check_foreign_keys, check_primary_keys
 from quern.operators.upsert import ITEM_COLUMNS, assign_ids, replace_kinds
-from quern.session import durable
+from quern.session import durable, staged
+from quern.sources import changes
 from quern.sources.catalog import SYSTEM_SCHEMAS, catalog_columns
 
 SCHEMA_KINDS = ["table", "column", "key"]
@@ -154,3 +155,30 @@ def refresh_schema(
     ).select(*ITEM_COLUMNS)
     cut = chunk_items(fresh, keep_empty=True, with_kind="kind" in chunks.columns)
     return replace_kinds(items, chunks, SCHEMA_KINDS, fresh, embed(cut))
+
+
+def refresh_in_store(
+    spark: SparkSession,
+    path: str,
+    tables: Mapping[tuple[str, str], DataFrame],
+    declared: Sequence[Key],
+    embed: Embed,
+    now: Column,
+) -> int:
+    """The same as a change to a store of generations: items that stay as they are keep their ids and are not written."""
+    items, chunks = changes.read(spark, path)
+    metadata = F.to_json(F.sort_array(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))))
+    same = ["kind", "name", "_digest"]
+    mark = F.sha2(F.concat_ws("\n", F.sha2("body", 256), metadata), 256)
+    found = durable(schema_items(spark, tables, declared).withColumn("_digest", mark))
+    held = durable(items.filter(F.col("kind").isin(SCHEMA_KINDS)).select("id", "kind", "name", mark.alias("_digest")))
+    after = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = assign_ids(found.join(held, same, "left_anti").drop("_digest"), ["kind", "name"], after).select(
+        "*", F.lit(1).alias("version"), now.alias("created_at"), now.alias("updated_at")
+    )
+    fresh = staged(fresh.select(*ITEM_COLUMNS), "schema-items")
+    gone = held.join(found, same, "left_anti").select(F.col("id").alias("item_id"))
+    cut = embed(chunk_items(fresh, keep_empty=True, with_kind="kind" in chunks.columns)).select(*chunks.columns)
+    number = changes.change(spark, path, fresh, cut, gone)
+    changes.settle(spark, path)
+    return number

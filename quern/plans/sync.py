@@ -130,13 +130,15 @@ def apply_sync(
 def change_store(
     spark: SparkSession, path: str, plan: DataFrame, desired: DataFrame, dataset: str, embed: Embed, now: Column
 ) -> int:
-    """Apply a plan to a store of change folders: only changed rows are written. Returns the new generation."""
+    """Apply a plan to a store of generations: only changed rows are written. Returns the new generation."""
     items, chunks = changes.read(spark, path)
     incoming, doomed = _arrivals(plan, desired, dataset)
     _, changed = split_upsert(items, incoming, now)
     fresh = embed(chunk_items(changed, with_kind="kind" in chunks.columns)).select(*chunks.columns)
     removed = items.join(sent_if_small(doomed.distinct()), ["kind", "name"], "left_semi").select(F.col("id").alias("item_id"))
-    return changes.change(spark, path, changed, fresh, changed.select(F.col("id").alias("item_id")).union(removed))
+    number = changes.change(spark, path, changed, fresh, changed.select(F.col("id").alias("item_id")).union(removed))
+    changes.settle(spark, path)
+    return number
 
 
 def export_rows(current: DataFrame) -> DataFrame:
@@ -175,8 +177,8 @@ def run_sync(
 ) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
     """The whole job over one file or folder per kind: the plan, and the new store when applied.
 
-    A dry run reads and compares only; nothing is embedded. With ``store``, the path of a store of change
-    folders that ``items`` and ``chunks`` were read from, the changes are added there and it is read again.
+    A dry run reads and compares only; nothing is embedded. With ``store``, the path of a store of
+    generations that ``items`` and ``chunks`` were read from, the changes are added there and it is read again.
     """
     desired = staged(desired_rows(read_item_files(spark, paths, has_header, dedupe, multiline)), "desired-rows")
     current = current_rows(items_of(items, list(paths), dataset))
