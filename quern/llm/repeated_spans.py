@@ -43,7 +43,7 @@ CHOICE = SPAN - HALF + 1
 #: Different runs of a name that one task compares.
 GROUP = 4096
 #: Starts of windows handled at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Runs whose bytes are handled at once.
 SLICE = 4096
 #: Bits of the map by which documents without repeats are left out of joins.
