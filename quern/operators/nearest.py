@@ -1,8 +1,10 @@
 """Nearest chunks for a batch of questions: exact, by cells, or by hashed signs.
 
-Every form reads the chunks once and moves only survivors: each task scores its Arrow batches against
-the questions with one matrix product, keeps the best ``k`` per question, and hands on at most
-``k`` rows per question. No form pairs rows in a join.
+Every form reads the chunks where they lie and moves only survivors: each task scores its Arrow batches
+against the questions with one matrix product, keeps the best ``k`` per question, and hands on at most ``k``
+rows per question. Over very many tasks that would be too much; so pilots over a few, then ever more tasks
+find distances that the ``k`` nearest cannot exceed, and the tasks hand on only what is as near. No form
+pairs rows in a join.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,9 @@ MAX_KEPT_PAIRS = 1_000_000
 BLOCK_ROWS = 4096
 BLOCK_QUESTIONS = 1024
 PAIR_SLICE = 65_536
+# Tasks of the first pilot; how many times as many each following pass has.
+PILOT_TASKS = 64
+PILOT_GROWTH = 32
 
 SCORED = "query_id long, item_id long, chunk_ix int, dist double"
 ARROW_SCORED = pa.schema(
@@ -104,13 +110,13 @@ class _Best:
     ``k``-th kept pair of a question bounds what may still enter; the bound only ever falls.
     """
 
-    def __init__(self, n_questions: int, k: int):
+    def __init__(self, n_questions: int, k: int, bounds: np.ndarray | None = None):
         self.k = k
         self.room = max(n_questions * k, PAIR_SLICE)
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float64))
         self.parts = [empty]
         self.waiting = 0
-        self.worst = np.full(n_questions, np.inf)
+        self.worst = np.full(n_questions, np.inf) if bounds is None else bounds.copy()
         self.worst_item = np.full(n_questions, np.iinfo(np.int64).max)
         self.worst_chunk = np.full(n_questions, np.iinfo(np.int32).max, np.int32)
 
@@ -273,8 +279,8 @@ def _useful_copies(vectors: np.ndarray, items: np.ndarray, chunk_ixs: np.ndarray
     return np.delete(order, late[copies])
 
 
-def _scan(batches: Iterable[pa.RecordBatch], q_ids, q_vectors, k, metric, score, probe) -> Iterator[pa.RecordBatch]:
-    best = _Best(len(q_ids), k)
+def _scan(batches: Iterable[pa.RecordBatch], q_ids, q_vectors, k, metric, score, probe, bounds) -> Iterator[pa.RecordBatch]:
+    best = _Best(len(q_ids), k, bounds)
     asked = None
     for batch in batches:
         batch = _with_vectors(batch)
@@ -300,16 +306,45 @@ def _merge(local: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "item_id", "chunk_ix", "dist", (1 - F.col("dist")).alias("sim"), "cand_ix")
 
 
-def _sent(questions: Questions, chunks: DataFrame, k: int, metric: str, score, probe) -> DataFrame:
-    held = chunks.sparkSession.sparkContext.broadcast((questions.ids, questions.vectors, probe))
+def _sent(questions: Questions, chunks: DataFrame, k: int, metric: str, score, probe, bounds=None, tasks: int | None = None) -> DataFrame:
+    """Each task's best ``k``, no farther than the questions' bounds; of a pilot only the first tasks read."""
+    held = chunks.sparkSession.sparkContext.broadcast((questions.ids, questions.vectors, probe, bounds))
 
     def best_of_partition(batches):
-        ids, vectors, prepared = held.value
-        yield from _scan(batches, ids, vectors, k, metric, score, prepared)
+        if tasks is None or TaskContext.get().partitionId() < tasks:
+            ids, vectors, prepared, limits = held.value
+            yield from _scan(batches, ids, vectors, k, metric, score, prepared, limits)
 
     return chunks.mapInArrow(best_of_partition, SCORED)
 
 
+def _tasks(chunks: DataFrame) -> int:
+    """Tasks that read the chunks; 0 where there are so few that no pilot pays, by the size that Spark expects."""
+    size = int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per_task = chunks.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return chunks.rdd.getNumPartitions() if size // per_task >= PILOT_TASKS * PILOT_GROWTH else 0
+
+
+def survivors(questions: Questions, chunks: DataFrame, k: int, metric: str, score, probe) -> DataFrame:
+    """What all tasks hand on for one slice of questions.
+
+    The k-th distance over any part of the chunks bounds the one over all. With n tasks the passes have
+    PILOT_TASKS tasks, PILOT_GROWTH times as many, and so on up to all n; a pass hands on about
+    ``k`` times PILOT_GROWTH rows per question, however many tasks it has, and the pilots read a small
+    part of the chunks again.
+    """
+    n, tasks, bounds = _tasks(chunks), PILOT_TASKS, None
+    place = {int(q): i for i, q in enumerate(questions.ids)}
+    while len(place) == len(questions.ids) and tasks * PILOT_GROWTH <= n:
+        found = _merge(_sent(questions, chunks, k, metric, score, probe, bounds, tasks), k)
+        last = found.filter(F.col("cand_ix") == k).select("query_id", "dist").toArrow()  # one row per question of the slice
+        bounds = np.full(len(questions.ids), np.inf) if bounds is None else bounds
+        at = [place[q] for q in last.column("query_id").to_pylist()]
+        bounds[at] = np.minimum(bounds[at], last.column("dist").to_numpy())
+        tasks *= PILOT_GROWTH
+    return _sent(questions, chunks, k, metric, score, probe, bounds)
+
+
 def _slices(questions: Questions, k: int):
     """A question batch as batches of bounded size, read one after another."""
     if questions.bounded(k):
@@ -336,7 +371,7 @@ def _best(questions: Questions, chunks: DataFrame, k: int, metric: str, score, m
 
     def local(part: Questions) -> DataFrame:
         needed = chunks if only is None else only(part.vectors)
-        return _sent(part, needed, k, metric, score, make_probe(part.vectors))
+        return survivors(part, needed, k, metric, score, make_probe(part.vectors))
 
     if questions.bounded(k):
         return _merge(local(questions), k)

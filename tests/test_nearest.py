@@ -190,3 +190,20 @@ def test_any_number_of_cells_can_be_read_again(spark, tmp_path):
     rows = [(i, [float(i), 0.0]) for i in range(9000)]
     centroids = ann.centroid_matrix(spark.createDataFrame(rows, "cell int, embedding array<double>"), "cell")
     assert centroids.shape == (9000, 2) and centroids[8999, 0] == 8999.0
+
+
+def test_pilots_bound_what_tasks_hand_on(spark, monkeypatch):
+    """Over many tasks, far fewer rows than tasks times k for each question, and the same result."""
+    chunks, questions = _vectors(6000, 31, copies=500), _vectors(6, 32)
+    table = _chunks(spark, chunks).repartition(128)
+    batch = ann.prepare(_questions(spark, questions))
+    alone = ann.survivors(batch, table, 10, "l2", ann._exact_batch, None).count()
+    assert alone == 128 * 6 * 10
+    monkeypatch.setattr(ann, "PILOT_TASKS", 4)
+    monkeypatch.setattr(ann, "PILOT_GROWTH", 4)
+    bounded = ann.survivors(batch, table, 10, "l2", ann._exact_batch, None).count()
+    assert bounded < 6 * 10 * 16
+    assert _got(ann.nearest(batch, table, 10)) == _brute(chunks, questions, 10, "l2")
+    assert _got(ann.nearest(batch, table, 10, "cosine")) == _brute(chunks, questions, 10, "cosine")
+    # A pilot that finds fewer than k chunks bounds nothing.
+    assert _got(ann.nearest(batch, _chunks(spark, chunks[:40]).repartition(64), 30)) == _brute(chunks[:40], questions, 30, "l2")
