@@ -17,6 +17,9 @@ DENIED = [
 OPENERS = ["select", "with", "values", "table", "from"]
 # Functions that reach into the JVM, and file formats that can be read by path.
 DENIED_CALLS = ["reflect", "java_method", "try_reflect"]
+CALL_REFUSED = "A function of the statement is not allowed."
+PATH_REFUSED = "Reading files by path is not allowed."
+UNBALANCED = "The statement's parentheses do not match."
 PATH_FORMATS = ["parquet", "json", "csv", "orc", "text", "avro", "binaryfile", "delta", "image", "libsvm", "xml", "jdbc"]
 
 # Raw literals first: in them a backslash is no escape. The loops give nothing back, so long literals are fine.
@@ -43,25 +46,40 @@ def _words(words: list[str]) -> str:
     return rf"\b(?:{'|'.join(words)})\b"
 
 
+def balanced(plain: Column) -> Column:
+    """Whether every parenthesis is closed, and none before it was opened."""
+    step = lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("below"))
+    marks = F.split(F.regexp_replace(plain, "[^()]+", ""), "")
+    depth = lambda acc, c: acc["depth"] + step(c)
+    end = F.aggregate(marks, begin, lambda acc, c: F.struct(depth(acc, c).alias("depth"), (acc["below"] | (depth(acc, c) < 0)).alias("below")))
+    return (end["depth"] == 0) & ~end["below"]
+
+
 def refusal(sql: Column, plain: Column, named: Column) -> Column:
     """Why a cleaned statement is refused, or null when it may run.
 
     Only a query can stand where a statement is run, inside FROM; so words that begin other statements
     are refused where a statement begins, and are column names elsewhere. plain: without literals,
-    comments and quoted names; named: with quoted names.
+    comments and quoted names; named: with quoted names. What a text cannot tell for sure is left to the
+    parsed plan of an accepted statement, which is searched before it runs.
     """
     statements = F.filter(F.split(plain, ";"), lambda part: strip(part) != "")
     nested = r"\(\s*(?:insert\s+(?:into|overwrite)|delete\s+from|merge\s+into|update\s+\S+\s+set)\b"
-    formats = "|".join(PATH_FORMATS)
-    # A format before a quoted name, or a quoted class name before any name.
-    by_path = rf"(?:\b(?:{formats})`?\s*\.\s*[`'\"])|`[^`]*\.[^`]*`\s*\.\s*[`'\"]"
+    # Where a relation stands: a format before a quoted name, or a quoted class name before any name.
+    clauses = _words(["where", "group", "order", "having", "limit", "select", "on", "using", "window", "union", "except", "intersect"])
+    relation = rf"\b(?:from|join|table)\b[\s(]*(?:(?:(?!{clauses})[^();])*?,\s*)?"
+    by_path = rf"{relation}(?:`?(?:{'|'.join(PATH_FORMATS)})`?\s*\.\s*[`'\"]|`[^`]*\.[^`]*`\s*\.\s*[`'\"])"
+    script = r"\busing\s*''"
+    calls = rf"(?:\b(?:{'|'.join(DENIED_CALLS)})`?|\bidentifier)\s*\("
     return (
         F.when(F.size(statements) == 0, F.lit("The statement is empty."))
         .when(F.size(statements) > 1, F.lit("Only a single statement is allowed."))
         .when(plain.rlike(rf"^[\s(;]*{_words(DENIED)}") | plain.rlike(nested) | plain.rlike(r"\binto\b"), F.lit(REFUSED))
         .when(~plain.rlike(rf"^[\s(;]*{_words(OPENERS)}"), F.lit(REFUSED))
-        .when(named.rlike(rf"(?:\b(?:{'|'.join(DENIED_CALLS)})`?|\bidentifier)\s*\("), F.lit("A function of the statement is not allowed."))
-        .when(named.rlike(by_path), F.lit("Reading files by path is not allowed."))
+        .when(named.rlike(calls) | named.rlike(script), F.lit(CALL_REFUSED))
+        .when(named.rlike(by_path), F.lit(PATH_REFUSED))
+        .when(~balanced(plain), F.lit(UNBALANCED))
     )
 
 

@@ -8,11 +8,19 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.gate import gate
+from quern.operators.gate import CALL_REFUSED, PATH_REFUSED, REFUSED, gate
 
 # Fixed value: the row limit that a caller may ask for; without one all rows are returned.
 USUAL_LIMIT = 100
-# Expressions that reach into the JVM, however a statement names them.
+# The nodes that the plan of a parsed query may have, and expressions that reach into the JVM.
+QUERY_NODES = {
+    "Aggregate", "CTERelationRef", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join",
+    "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "PipeOperator", "Project",
+    "Repartition", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "Unpivot",
+    "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedOrdinal", "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction", "UnresolvedWith",
+    "UnresolvedQualify", "WithWindowDefinition",
+}
 DENIED_EXPRESSIONS = ["org.apache.spark.sql.catalyst.expressions.CallMethodViaReflection"]
 
 
@@ -20,20 +28,60 @@ class Refused(ValueError):
     """The statement does not pass the gate, or Spark cannot resolve it."""
 
 
+def _each(found) -> Iterator:
+    at = found.iterator()
+    while at.hasNext():
+        yield at.next()
+
+
+def plan_nodes(plan) -> Iterator:
+    """All nodes of a parsed plan, with those of its subqueries and common table expressions."""
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        for more in (node.children(), node.innerChildren(), node.subqueries()):
+            waiting.extend(_each(more))
+
+
+def parsed_relations(spark: SparkSession, text: str) -> list[list[str]]:
+    """The names of the relations that a query reads, or a refusal: what does not parse alone, and any node of no query.
+
+    Spark's own parser reads the statement, and its plan is searched node by node.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as error:
+        raise Refused(str(error)) from error
+    names = []
+    for node in plan_nodes(plan):
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind not in QUERY_NODES:
+            raise Refused(REFUSED)
+        if kind == "UnresolvedRelation":
+            names.append(list(_each(node.multipartIdentifier())))
+    return names
+
+
 def _run(spark: SparkSession, clean_sql: str, limit: int | None) -> DataFrame:
     """The rows of a statement that passed the gate.
 
-    The text is placed inside FROM, where only a query can stand, so nothing else parses; the resolved
-    query is then searched for expressions that no statement may use.
+    The text must parse as a query by itself. It is then placed inside FROM, where only a query can stand,
+    and the resolved query is searched for expressions that no statement may use. A name of several parts
+    that resolves although the catalog has no such table is a file read by its path.
     """
     text = clean_sql.rstrip().rstrip(";")
+    relations = parsed_relations(spark, text)
     try:
         rows = spark.sql(f"SELECT * FROM (\n{text}\n)")
     except (ParseException, AnalysisException) as error:
         raise Refused(str(error)) from error
     resolved = rows._jdf.queryExecution().analyzed().toJSON()
     if any(f'"class":"{name}"' in resolved for name in DENIED_EXPRESSIONS):
-        raise Refused("A function of the statement is not allowed.")
+        raise Refused(CALL_REFUSED)
+    for parts in relations:
+        if len(parts) > 1 and not spark.catalog.tableExists(".".join(f"`{p.replace('`', '``')}`" for p in parts)):
+            raise Refused(PATH_REFUSED)
     return rows if limit is None else rows.limit(limit)
 
 

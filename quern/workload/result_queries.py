@@ -53,6 +53,27 @@ def gate_statements(spark, sf):
     return judged.select("stmt_id", "clean_sql", "reason", "allowed", F.array_join("warnings", ",").alias("warnings"))
 
 
+# Statements that only their shape tells apart, one per customer: a shared expression of both dialects.
+_SHAPES = """CASE c_mktsegment
+  WHEN 'AUTOMOBILE' THEN 'SELECT 1 AS a) UNION ALL SELECT * FROM (SELECT ' || c_custkey
+  WHEN 'BUILDING' THEN 'SELECT csv.' || chr(96) || 'name' || chr(96) || ' FROM t AS csv WHERE k = ' || c_custkey
+  WHEN 'FURNITURE' THEN 'SELECT a, text.' || chr(96) || 'value' || chr(96) || ' FROM text WHERE (k = ' || c_custkey || ')'
+  WHEN 'HOUSEHOLD' THEN 'SELECT a FROM t, json.' || chr(96) || '/data/' || c_custkey || chr(96)
+  ELSE 'SELECT TRANSFORM(a) USING ' || chr(39) || 'cat ' || c_custkey || chr(39) || ' FROM t' END"""
+
+
+@query(
+    "gate_shapes",
+    f"""SELECT c_custkey AS stmt_id, {_SHAPES} AS clean_sql, c_mktsegment IN ('BUILDING', 'FURNITURE') AS allowed,
+      CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '{g.UNBALANCED.replace("'", "''")}' WHEN 'HOUSEHOLD' THEN '{_PATH}'
+        WHEN 'BUILDING' THEN NULL WHEN 'FURNITURE' THEN NULL ELSE '{_CALL}' END AS reason
+    FROM customer""",
+)
+def gate_shapes(spark, sf):
+    statements = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("stmt_id"), F.expr(_SHAPES).alias("sql"))
+    return g.gate(statements).select("stmt_id", "clean_sql", "allowed", "reason")
+
+
 def _views(spark, sf, *names):
     for name in names:
         t.table(spark, sf, name).createOrReplaceTempView(name)

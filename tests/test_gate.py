@@ -26,6 +26,11 @@ ACCEPTED = [
     "SELECT reflect FROM t -- reflect(",
     "SELECT 'csv.`x`', \"reflect('a')\"",
     "SELECT r'\\' AS a, ';' AS b",
+    "SELECT csv.`name` FROM t AS csv",
+    "SELECT text.`value` FROM text",
+    "SELECT a, json.`b` FROM t json WHERE json.`c` = 1",
+    "SELECT ')' AS a, \"((\" AS b -- (",
+    "SELECT * FROM a JOIN b USING (k)",
 ]
 REJECTED = [
     "INSERT INTO t VALUES (1)",
@@ -63,6 +68,12 @@ REJECTED = [
     "SELECT * FROM `org.apache.spark.sql.execution.datasources.csv.CSVFileFormat`.`x`",
     "SELECT 1 FROM (DELETE FROM t)",
     "SELECT /* ' */ reflect('java.lang.Math', 'abs', -3) /* ' */",
+    "SELECT 1 AS a) UNION ALL SELECT * FROM (SELECT 2",
+    "SELECT (1",
+    "SELECT * FROM t, parquet.`/etc/x`",
+    "SELECT * FROM t JOIN json.`/etc/x` USING (a)",
+    "SELECT TRANSFORM(a) USING 'cat' FROM t",
+    "SELECT TRANSFORM(a) USING\"cat\" FROM t",
 ]
 
 
@@ -119,6 +130,26 @@ def test_denied_expressions_are_found_after_resolution(spark):
     assert _run(spark, "SELECT 'org.apache.spark.sql.catalyst.expressions.CallMethodViaReflection' AS s", None).count() == 1
 
 
+def test_the_parsed_plan_decides(spark, tmp_path):
+    """What the text alone cannot tell, or a text gate would not see: statements are judged by their parsed plan."""
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    spark.range(3).withColumnRenamed("id", "value").createOrReplaceTempView("text")
+    bad = [
+        "SELECT 1 AS a) UNION ALL SELECT * FROM (SELECT 2", "SELECT TRANSFORM(value) USING 'cat' FROM text", "FROM text INSERT INTO u SELECT value",
+        f"SELECT * FROM (SELECT 1 AS a) x, parquet.`{tmp_path}/p`", f"SELECT (SELECT max(id) FROM parquet.`{tmp_path}/p`)",
+        f"WITH q AS (SELECT * FROM `parquet`.`{tmp_path}/p`) SELECT * FROM q", "SELECT * FROM IDENTIFIER('text')", "SET a = 1", "SELECT FROM",
+    ]
+    for text in bad:
+        with pytest.raises(Refused):
+            _run(spark, text, None)
+    good = ["SELECT text.`value` FROM text", "SELECT csv.`value` FROM text AS csv", "WITH q AS (SELECT value FROM text) SELECT (SELECT max(value) FROM q) FROM q", "SELECT value FROM default.kept"]
+    spark.range(3).withColumnRenamed("id", "value").write.mode("overwrite").option("path", str(tmp_path / "kept")).saveAsTable("default.kept")
+    try:
+        assert [run_guarded(spark, text)[0].count() for text in good] == [3] * len(good)
+    finally:
+        spark.sql("DROP TABLE default.kept")
+
+
 def test_run_all(spark):
     spark.range(3).createOrReplaceTempView("t")
     statements = spark.createDataFrame([(1, "SELECT count(*) AS n FROM t"), (2, "DELETE FROM t"), (3, "SELECT nope FROM t")], "stmt_id long, sql string")
