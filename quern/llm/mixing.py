@@ -1,7 +1,8 @@
 """Mixing sources to target weights by packed token blocks and permuted block indexes.
 
 The words of each source form one stream, in an order that only doc_id and text decide, and are packed
-into blocks of `block_words`. A source's target gives its number of output slots. Every slot falls into
+into blocks of `block_words`. A source's target gives its number of output slots: as many whole rounds of all its
+blocks as the target holds, then blocks for the rest, by the mean of their words. Every slot falls into
 an output shard by a hash, which makes the source counts of a shard a multinomial draw whose totals over
 all shards keep to the targets. Slot k of a source with B blocks reads block perm(k mod B) of round
 k div B, where perm is a pseudorandom affine permutation of 0..B-1 per source and round; slots and blocks
@@ -80,7 +81,9 @@ def plan_sources(sized: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGH
     out = []
     for number, (row, size, target) in enumerate(zip(rows, sizes, targets)):
         blocks = -(-size // block_words)
-        slots = min(round(target / block_words), MOST_ROUNDS * blocks)
+        rounds = min(MOST_ROUNDS, int(target // size)) if size else 0
+        rest = 0 if not size or rounds == MOST_ROUNDS else round((target - rounds * size) * blocks / size)
+        slots = rounds * blocks + rest
         out.append({"source_no": number, "source": row["source"], "source_size": size, "target": target, "blocks": blocks, "slots": slots})
     return out
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees: connected groups of texts whose shingle sets overlap.
 
-A text's set is its distinct three-word shingles; two texts link when the sets' Jaccard similarity is at
-least PERCENT / 100. The result gives every document the smallest doc_id that links lead to. It is exact:
+A text's set is its distinct shingles of a rule's words (three, or five for near copies); two texts link when
+the sets' Jaccard similarity is at least the rule's percentage. The result gives every document the smallest doc_id that links lead to. It is exact:
 
 1. Equal sets become one, by a fingerprint and the size, so copies cost one row each and no pair.
 2. The shingles of a set are ordered, presumably rare ones first. Linked sets share one among their
@@ -22,12 +22,14 @@ How rare a shingle is, is judged by a sample of the sets: by how frequent its wo
 is among the FREQUENT most frequent ones. This only orders the shingles; any order gives the same result.
 
 Null text, empty text, text without words: no shingles, linked with nothing, a group of its own. Fewer
-than three words: the whole sequence is the one shingle. Null doc_ids never name a group that has another
+words than a shingle has: the whole sequence is the one shingle. Null doc_ids never name a group that has another
 one. Repeated rows link as copies. Empty table: empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +39,6 @@ from quern.llm import flat
 from quern.llm.components import components
 from quern.session import staged
 
-WORDS = 3
-PERCENT = 90
 SIGNATURE_BITS = 1024
 #: One set in this many is counted for the order of the shingles.
 SAMPLED = 32
@@ -58,18 +58,52 @@ _KEY_SHIFT = 58
 _FREQUENT_CLASS = np.uint64(48)
 
 
-def shingles_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """What links: words of a shingle and the least Jaccard similarity in percent."""
+
+    words: int
+    percent: int
+
+    @property
+    def smallest(self) -> int:
+        """The smallest set that can link with another than an equal one, which has one shingle more."""
+        return -(-self.percent // (100 - self.percent))
+
+    def least_size(self, n):
+        """The smallest size that a set linked with one of size n can have."""
+        return (self.percent * n + 99) // 100
+
+    def least_overlap(self, a, b):
+        """The smallest overlap of linked sets of sizes a and b."""
+        whole = 100 + self.percent
+        return (self.percent * (a + b) + whole - 1) // whole
+
+    def probe_length(self, n):
+        return n - self.least_size(n) + 1
+
+    def index_length(self, n):
+        """How many of its first shingles the smaller set of a pair needs."""
+        return n - self.least_overlap(n, n) + 1
+
+
+#: What the query asks for, and what makes texts near copies.
+QUERY = Rule(3, 90)
+NEAR_COPIES = Rule(5, 80)
+
+
+def shingles_of(data: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and shingle hashes (of _KEY_SHIFT bits) of all texts, with the numbers before each text."""
     data = flat.lower_ascii(data)
     starts, ends, before = flat.word_spans(data, bounds)
     words = flat.span_hashes(data, starts, ends)
-    runs, runs_before = flat.run_hashes(words, before, WORDS, short=True)
+    runs, runs_before = flat.run_hashes(words, before, rule.words, short=True)
     return words, before, runs >> np.uint64(64 - _KEY_SHIFT), runs_before
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text in rising order, and the shingles before each text."""
-    _, _, runs, runs_before = shingles_of(data, bounds)
+    _, _, runs, runs_before = shingles_of(data, bounds, rule)
     return flat.distinct_in_rows(runs, runs_before)
 
 
@@ -85,37 +119,20 @@ def signatures(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=1)
 
 
-def least_size(n):
-    """The smallest size that a set linked with one of size n can have."""
-    return (PERCENT * n + 99) // 100
-
-
-def least_overlap(a, b):
-    """The smallest overlap of linked sets of sizes a and b."""
-    whole = 100 + PERCENT
-    return (PERCENT * (a + b) + whole - 1) // whole
-
-
-def probe_length(n):
-    return n - least_size(n) + 1
-
-
-def index_length(n):
-    """How many of its first shingles the smaller set of a pair needs."""
-    return n - least_overlap(n, n) + 1
-
+def _set_batches(rule: Rule):
+    def run(batches):
+        for batch in flat.pieces(batches, "text"):
+            words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")), rule)
+            values, before = flat.distinct_in_rows(runs, runs_before)
+            prints = fingerprints(values, before)
+            signed = signatures(values, before)
+            bits = pa.array([s.tobytes() for s in signed], pa.binary())
+            drawn = prints % SAMPLED == 0
+            samples = [_lists(values, before, drawn), _lists(words, words_before, drawn)]
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.diff(before)), pa.array(prints), bits, *samples]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "f", "sig", "sample", "words"])
 
-def _set_batches(batches):
-    for batch in flat.pieces(batches, "text"):
-        words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")))
-        values, before = flat.distinct_in_rows(runs, runs_before)
-        prints = fingerprints(values, before)
-        signed = signatures(values, before)
-        bits = pa.array([s.tobytes() for s in signed], pa.binary())
-        drawn = prints % SAMPLED == 0
-        samples = [_lists(values, before, drawn), _lists(words, words_before, drawn)]
-        columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.diff(before)), pa.array(prints), bits, *samples]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "f", "sig", "sample", "words"])
+    return run
 
 
 def _lists(values: np.ndarray, before: np.ndarray, rows: np.ndarray) -> pa.ListArray:
@@ -125,11 +142,11 @@ def _lists(values: np.ndarray, before: np.ndarray, rows: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.signed(values[np.repeat(rows, lengths)])))
 
 
-def read_sets(docs: DataFrame) -> DataFrame:
+def read_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, t (hash of the text), n (size), f (fingerprint), sig and, for sampled sets, shingles and words; written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return staged(rows.mapInArrow(_set_batches, f"doc_id {kind}, t long, n long, f long, sig binary, sample array<long>, words array<long>"), "sets")
+    return staged(rows.mapInArrow(_set_batches(rule), f"doc_id {kind}, t long, n long, f long, sig binary, sample array<long>, words array<long>"), "sets")
 
 
 def frequencies(sets: DataFrame) -> dict[str, np.ndarray]:
@@ -145,7 +162,7 @@ def frequencies(sets: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def root_keys(words, words_before, runs, runs_before, known: dict) -> np.ndarray:
+def root_keys(words, words_before, runs, runs_before, known: dict, rule: Rule) -> np.ndarray:
     """The shingles as sortable keys, presumably rare ones first: a class above the hash.
 
     The class adds up how frequent a shingle's words are; a shingle that is itself frequent stands above.
@@ -155,8 +172,9 @@ def root_keys(words, words_before, runs, runs_before, known: dict) -> np.ndarray
     lengths = np.diff(runs_before)
     first = np.repeat(words_before[:-1], lengths) + np.arange(len(runs)) - np.repeat(runs_before[:-1], lengths)
     level = np.zeros(len(runs), np.uint64)
-    for k in range(WORDS):  # of a text shorter than a shingle, the order does not matter
+    for k in range(rule.words):  # of a text shorter than a shingle, the order does not matter
         level += word_class[np.minimum(first + k, max(0, len(words) - 1))]
+    level = level * np.uint64(3) // np.uint64(rule.words)  # below the frequent classes
     maybe = np.zeros(1 << 22, bool)
     maybe[(known["sample"] >> np.uint64(_KEY_SHIFT - 22)).astype(np.int64)] = True
     some = np.flatnonzero(maybe[(runs >> np.uint64(_KEY_SHIFT - 22)).astype(np.int64)])
@@ -165,21 +183,21 @@ def root_keys(words, words_before, runs, runs_before, known: dict) -> np.ndarray
     return runs | (level << np.uint64(_KEY_SHIFT))
 
 
-def _entry_batches(frequent):
+def _entry_batches(frequent, rule: Rule):
     def run(batches):
         seen: set[int] = set()
         for batch in flat.pieces(batches, "text"):
-            words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")))
-            keys, before = flat.distinct_in_rows(root_keys(words, words_before, runs, runs_before, frequent.value), runs_before)
+            words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")), rule)
+            keys, before = flat.distinct_in_rows(root_keys(words, words_before, runs, runs_before, frequent.value, rule), runs_before)
             n = np.diff(before)
             prints = fingerprints(keys & np.uint64((1 << _KEY_SHIFT) - 1), before)
             fresh = np.zeros(len(n), bool)
-            for row in np.flatnonzero(n >= 9):  # smaller sets link with equal ones only
+            for row in np.flatnonzero(n >= rule.smallest):  # smaller sets link with equal ones only
                 if prints[row] not in seen:
                     seen.add(int(prints[row]))
                     fresh[row] = True
             rows = np.flatnonzero(fresh)
-            take = probe_length(n[rows])
+            take = rule.probe_length(n[rows])
             owner = np.repeat(np.arange(len(rows)), take)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
             roots = keys[before[:-1][rows][owner] + pos]
@@ -214,43 +232,48 @@ def _groups(batches):
         yield held.combine_chunks()
 
 
-def _matched_batches(batches):
+def _matched_batches(rule: Rule):
     """Rows that another row of their group may link with by size; rows of frequent roots all stay."""
-    for table in _groups(batches):
-        root, f = table["root"].to_numpy(), table["f"].to_numpy()
-        first = np.ones(len(root), bool)  # the others are copies read by other tasks
-        first[1:] = (root[1:] != root[:-1]) | (f[1:] != f[:-1])
-        table = table.filter(pa.array(first))
-        root, n = table["root"].to_numpy(), table["n"].to_numpy()
-        follows = (root[1:] == root[:-1]) & (n[:-1] >= least_size(n[1:].astype(np.int64)))
-        keep = root.view(np.uint64) >> np.uint64(_KEY_SHIFT) >= _FREQUENT_CLASS
-        keep[1:] |= follows
-        keep[:-1] |= follows
-        yield from table.filter(pa.array(keep)).select(["root", "f", "n", "pos"]).to_batches()
-
-
-def rooted_sets(docs: DataFrame, frequent: dict) -> DataFrame:
+
+    def run(batches):
+        for table in _groups(batches):
+            root, f = table["root"].to_numpy(), table["f"].to_numpy()
+            first = np.ones(len(root), bool)  # the others are copies read by other tasks
+            first[1:] = (root[1:] != root[:-1]) | (f[1:] != f[:-1])
+            table = table.filter(pa.array(first))
+            root, n = table["root"].to_numpy(), table["n"].to_numpy()
+            follows = (root[1:] == root[:-1]) & (n[:-1] >= rule.least_size(n[1:].astype(np.int64)))
+            keep = root.view(np.uint64) >> np.uint64(_KEY_SHIFT) >= _FREQUENT_CLASS
+            keep[1:] |= follows
+            keep[:-1] |= follows
+            yield from table.filter(pa.array(keep)).select(["root", "f", "n", "pos"]).to_batches()
+
+    return run
+
+
+def rooted_sets(docs: DataFrame, frequent: dict, rule: Rule) -> DataFrame:
     """(root, f, n, pos): the sets under each root, without those that no size matches; written once."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    entries = docs.select("text").mapInArrow(_entry_batches(sent), "root long, f long, n int, pos int")
+    entries = docs.select("text").mapInArrow(_entry_batches(sent, rule), "root long, f long, n int, pos int")
     salted = entries.withColumn("salt", F.pmod("f", _blocks(F.col("root"))).cast("int"))
     dealt = salted.repartition("root", "salt").sortWithinPartitions("root", "salt", "n", "f")
-    return staged(dealt.mapInArrow(_matched_batches, "root long, f long, n int, pos int"), "roots").distinct()
+    # Equal rows share root and salt, so a task has left one of them.
+    return staged(dealt.mapInArrow(_matched_batches(rule), "root long, f long, n int, pos int"), "roots")
 
 
-def _may_link(n_a, pos_a, n_b, pos_b):
+def _may_link(n_a, pos_a, n_b, pos_b, percent: int):
     """For the smaller set a and the larger b, sharing the shingle at these places and none before."""
-    need = F.ceil(PERCENT * (n_a + n_b) / F.lit(100 + PERCENT))
-    return (100 * n_a >= PERCENT * n_b) & (pos_a < n_a - F.ceil(2 * PERCENT * n_a / F.lit(100 + PERCENT)) + 1) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
+    need = F.ceil(percent * (n_a + n_b) / F.lit(100 + percent))
+    return (100 * n_a >= percent * n_b) & (pos_a < n_a - F.ceil(2 * percent * n_a / F.lit(100 + percent)) + 1) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
 
 
-def central_pairs(rooted: DataFrame) -> DataFrame:
+def central_pairs(rooted: DataFrame, rule: Rule) -> DataFrame:
     """(fa, fb): every set with the central one of each of its roots, the one with the fewest rarer shingles."""
     central = rooted.groupBy("root").agg(F.min(F.struct("pos", "f", "n")).alias("c"))
     both = rooted.join(central, "root").where(F.col("f") != F.col("c.f"))
     smaller = (F.col("n") < F.col("c.n")) | ((F.col("n") == F.col("c.n")) & (F.col("f") < F.col("c.f")))
     own, other = [F.col(x) for x in ("n", "pos")], [F.col(f"c.{x}") for x in ("n", "pos")]
-    good = F.when(smaller, _may_link(*own, *other)).otherwise(_may_link(*other, *own))
+    good = F.when(smaller, _may_link(*own, *other, rule.percent)).otherwise(_may_link(*other, *own, rule.percent))
     return both.where(good).select(F.least("f", "c.f").alias("fa"), F.greatest("f", "c.f").alias("fb")).distinct()
 
 
@@ -277,7 +300,7 @@ class _Tree:
             step = FAN
 
 
-def tree_pairs(n, pos, bits, comp, guest) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n, pos, bits, comp, guest, rule: Rule = QUERY) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b), a the smaller set, of all pairs under one root that the tree cannot rule out.
 
     The sets come sorted by size; pairs of one component are left out, and so are pairs of two guests.
@@ -287,16 +310,16 @@ def tree_pairs(n, pos, bits, comp, guest) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.triu_indices(len(n), 1)
     else:
         # Sets of about the same size stand together by their signature, so that nodes stay selective.
-        order = np.lexsort((*bits[:, :4].T[::-1], np.floor(np.log(n) / np.log(100 / PERCENT))))
+        order = np.lexsort((*bits[:, :4].T[::-1], np.floor(np.log(n) / np.log(100 / rule.percent))))
         tree = _Tree(n[order], bits[order], spare[order], comp[order])
         left, right = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for depth in range(len(tree.levels) - 1, -1, -1):
             low, high, node_bits, node_spare, least, most = tree.levels[depth]
-            good = (100 * high[left] >= PERCENT * low[right]) & (100 * high[right] >= PERCENT * low[left])
+            good = (100 * high[left] >= rule.percent * low[right]) & (100 * high[right] >= rule.percent * low[left])
             good &= (least[left] != most[left]) | (least[right] != most[right]) | (least[left] != least[right])
             left, right = left[good], right[good]
             most_shared = np.concatenate([possible_overlap(node_bits[left[i : i + 4096]], node_spare[left[i : i + 4096]], node_bits[right[i : i + 4096]], node_spare[right[i : i + 4096]]) for i in range(0, len(left), 4096)] or [np.zeros(0, np.int64)])
-            good = most_shared >= least_overlap(low[left], low[right])
+            good = most_shared >= rule.least_overlap(low[left], low[right])
             left, right = left[good], right[good]
             fan, size = (FAN, len(tree.levels[depth - 1][0])) if depth else (LEAF, len(n))
             left = (left[:, None, None] * fan + np.arange(fan)[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
@@ -308,8 +331,8 @@ def tree_pairs(n, pos, bits, comp, guest) -> tuple[np.ndarray, np.ndarray]:
     good = (comp[a] != comp[b]) & ~(guest[a] & guest[b])
     a, b = a[good], b[good]
     a, b = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)
-    need = least_overlap(n[a], n[b])
-    good = (n[a] >= least_size(n[b])) & (pos[a] < index_length(n[a])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
+    need = rule.least_overlap(n[a], n[b])
+    good = (n[a] >= rule.least_size(n[b])) & (pos[a] < rule.index_length(n[a])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
     a, b, need = a[good], b[good], need[good]
     good = possible_overlap(bits[a], spare[a], bits[b], spare[b]) >= need
     return a[good], b[good]
@@ -323,25 +346,28 @@ def _words_of(column) -> np.ndarray:
     return data.reshape(-1, width).view(np.uint64)
 
 
-def _tree_batches(batches):
-    for table in _groups(batches):
-        root, salt, f, n, pos, comp = (table[c].to_numpy() for c in ("root", "salt", "f", "n", "pos", "comp"))
-        n, pos, guest = n.astype(np.int64), pos.astype(np.int64), table["guest"].to_numpy(zero_copy_only=False)
-        bits = _words_of(table["sig"])
-        edges = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (salt[1:] != salt[:-1])]))
-        found = []
-        for low, high in zip(edges, np.append(edges[1:], len(root))):
-            if high - low < 2 or (comp[low:high] == comp[low]).all():
-                continue
-            a, b = tree_pairs(n[low:high], pos[low:high], bits[low:high], comp[low:high], guest[low:high])
-            if len(a):
-                found.append(np.stack([f[low + a], f[low + b]]))
-        if found:
-            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["fa", "fb"])
-
-
-def traversed_pairs(rooted: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def _tree_batches(rule: Rule):
+    def run(batches):
+        for table in _groups(batches):
+            root, salt, f, n, pos, comp = (table[c].to_numpy() for c in ("root", "salt", "f", "n", "pos", "comp"))
+            n, pos, guest = n.astype(np.int64), pos.astype(np.int64), table["guest"].to_numpy(zero_copy_only=False)
+            bits = _words_of(table["sig"])
+            edges = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (salt[1:] != salt[:-1])]))
+            found = []
+            for low, high in zip(edges, np.append(edges[1:], len(root))):
+                if high - low < 2 or (comp[low:high] == comp[low]).all():
+                    continue
+                a, b = tree_pairs(n[low:high], pos[low:high], bits[low:high], comp[low:high], guest[low:high], rule)
+                if len(a):
+                    found.append(np.stack([f[low + a], f[low + b]]))
+            if found:
+                pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["fa", "fb"])
+
+    return run
+
+
+def traversed_pairs(rooted: DataFrame, reps: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """(fa, fb): pairs of different components that the trees of all roots leave.
 
     labels: (f, comp). In a root of several blocks, sets outside its largest component are guests of the
@@ -358,26 +384,29 @@ def traversed_pairs(rooted: DataFrame, reps: DataFrame, labels: DataFrame) -> Da
     split = split.select("root", F.explode(every).alias("salt"), "f", "n", "pos", "comp", "own").withColumn("guest", F.col("salt") != F.col("own")).drop("own")
     signed = few.unionByName(split).join(reps.select("f", "sig"), "f")
     dealt = signed.repartition("root", "salt").sortWithinPartitions("root", "salt", "n", "f")
-    return dealt.mapInArrow(_tree_batches, "fa long, fb long").distinct()
+    return dealt.mapInArrow(_tree_batches(rule), "fa long, fb long").distinct()
 
 
-def _bound_batches(batches):
-    for batch in batches:
-        if batch.num_rows:
-            a, b = _words_of(batch.column("sig_a")), _words_of(batch.column("sig_b"))
-            n_a, n_b = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
-            spare = [n - np.bitwise_count(x).sum(axis=1) for n, x in ((n_a, a), (n_b, b))]
-            keep = possible_overlap(a, spare[0], b, spare[1]) >= least_overlap(n_a, n_b)
-            yield batch.select(["fa", "fb"]).filter(pa.array(keep))
+def _bound_batches(rule: Rule):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _words_of(batch.column("sig_a")), _words_of(batch.column("sig_b"))
+                n_a, n_b = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
+                spare = [n - np.bitwise_count(x).sum(axis=1) for n, x in ((n_a, a), (n_b, b))]
+                keep = possible_overlap(a, spare[0], b, spare[1]) >= rule.least_overlap(n_a, n_b)
+                yield batch.select(["fa", "fb"]).filter(pa.array(keep))
+
+    return run
 
 
-def bounded_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def bounded_pairs(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose signatures leave a link possible."""
     side = lambda x: reps.select(F.col("f").alias(f"f{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), "fa").join(side("b"), "fb").mapInArrow(_bound_batches, "fa long, fb long")
+    return pairs.join(side("a"), "fa").join(side("b"), "fb").mapInArrow(_bound_batches(rule), "fa long, fb long")
 
 
-def _wanted_batches(wanted):
+def _wanted_batches(wanted, rule: Rule):
     def run(batches):
         flags = wanted.value
         for batch in batches:
@@ -385,14 +414,14 @@ def _wanted_batches(wanted):
             slot = key & (WANTED_BITS - 1)
             keep = (flags[slot >> 6] >> (slot & 63)) & 1 > 0
             for some in flat.pieces([batch.filter(pa.array(keep))], "text"):
-                values, before = shingle_sets(*flat.column(some.column("text")))
+                values, before = shingle_sets(*flat.column(some.column("text")), rule)
                 lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(flat.signed(values)))
                 yield pa.RecordBatch.from_arrays([pa.array(fingerprints(values, before)), lists], names=["f", "shingles"])
 
     return run
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(f, shingles) of the wanted sets; written once. wanted: f and k, the hash of a doc_id that has it.
 
     A bit map of fixed size passes over the texts that are not wanted; what it lets through beside them
@@ -404,31 +433,34 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     flags = np.zeros(WANTED_BITS // _WORD_BITS, np.int64)
     flags[got["w"].to_numpy()] = got["b"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(flags)
-    found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_wanted_batches(sent), "f long, shingles array<long>")
+    found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_wanted_batches(sent, rule), "f long, shingles array<long>")
     return staged(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
 
 
-def _verify_cell(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The pairs of a cell that link; sets: f, shingles of all sets that the pairs name."""
-    lists = sets["shingles"].combine_chunks() if sets.num_rows else None
-    place = {f: i for i, f in enumerate(sets["f"].to_pylist())}
-    held: dict[int, np.ndarray] = {}
+def _verify_cell(rule: Rule):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """The pairs of a cell that link; sets: f, shingles of all sets that the pairs name."""
+        lists = sets["shingles"].combine_chunks() if sets.num_rows else None
+        place = {f: i for i, f in enumerate(sets["f"].to_pylist())}
+        held: dict[int, np.ndarray] = {}
 
-    def of(f: int) -> np.ndarray:
-        if f not in held:
-            held[f] = lists[place[f]].values.to_numpy()
-        return held[f]
+        def of(f: int) -> np.ndarray:
+            if f not in held:
+                held[f] = lists[place[f]].values.to_numpy()
+            return held[f]
 
-    found = []
-    for fa, fb in zip(pairs["fa"].to_pylist(), pairs["fb"].to_pylist()):
-        a, b = of(fa), of(fb)
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
-            found.append((fa, fb))
-    return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+        found = []
+        for fa, fb in zip(pairs["fa"].to_pylist(), pairs["fb"].to_pylist()):
+            a, b = of(fa), of(fb)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * shared >= rule.percent * (len(a) + len(b) - shared):
+                found.append((fa, fb))
+        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(u, v): the pairs that link, by their whole sets. pairs: fa, fb.
 
     The pairs are dealt into a square of cells by the hashes of both sides, about CELL_PAIRS to a cell, and
@@ -437,43 +469,43 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).distinct().join(reps.select("f", "k"), "f")
-    sets = whole_sets(docs, wanted)
+    sets = whole_sets(docs, wanted, rule)
     side = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5))
     cell = [F.pmod(F.xxhash64(c), F.lit(side)).cast("int").alias(n) for c, n in (("fa", "row"), ("fb", "col"))]
     dealt = pairs.select("fa", "fb", *cell)
     named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
     held = named.join(sets.hint("shuffle_merge"), "f").select("r", "c", "f", "shingles")
-    links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell, "u long, v long")
+    links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell(rule), "u long, v long")
     return staged(links, "links")
 
 
-def grouped_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The sets of read_sets, and (f, n, group): a label for every distinct set, equal within a group."""
-    sets = read_sets(docs)
+    sets = read_sets(docs, rule)
     reps = staged(sets.where("n > 0").groupBy("f", "n").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).withColumn("k", F.xxhash64("least")), "reps")
-    rooted = rooted_sets(docs, frequencies(sets))
-    first = verified(bounded_pairs(central_pairs(rooted), reps), docs, reps)
+    rooted = rooted_sets(docs, frequencies(sets), rule)
+    first = verified(bounded_pairs(central_pairs(rooted, rule), reps, rule), docs, reps, rule)
     labels = components(first).select(F.col("v").alias("f"), F.col("label").alias("comp"))
-    second = verified(traversed_pairs(rooted, reps, labels), docs, reps)
+    second = verified(traversed_pairs(rooted, reps, labels, rule), docs, reps, rule)
     labels = components(first.unionByName(second)).select(F.col("v").alias("f"), F.col("label").alias("group"))
     return sets, reps.select("f", "n", "least").join(labels, "f", "left").withColumn("group", F.coalesce("group", "f"))
 
 
-def link_groups(docs: DataFrame) -> DataFrame:
+def link_groups(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    sets, grouped = grouped_sets(docs)
+    sets, grouped = grouped_sets(docs, rule)
     least = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
     named = grouped.join(least, "group").select("f", "n", "group_id")
     out = sets.select("doc_id", "n", "f").join(named, ["f", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, all columns as they are.
 
     Texts without words are groups of their own. Rows that are equal in doc_id and text are one document.
     """
-    sets, grouped = grouped_sets(docs)
+    sets, grouped = grouped_sets(docs, rule)
     member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     of_groups = sets.where("n > 0").join(grouped.select("f", "n", "group"), ["f", "n"]).groupBy("group").agg(F.min(member).alias("m")).select("m.doc_id", "m.t")
     kept = of_groups.unionByName(sets.where("n = 0").select("doc_id", "t"))

@@ -64,9 +64,9 @@ def shingles(text, size=3):
     return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def groups(texts, percent=90):
+def groups(texts, percent=90, size=3):
     """{doc_id: smallest linked doc_id} over {doc_id: text}, by comparing all pairs that share a shingle."""
-    sets = {d: shingles(t) for d, t in texts.items()}
+    sets = {d: shingles(t, size) for d, t in texts.items()}
     parent = {d: d for d in sets}
 
     def top(x):

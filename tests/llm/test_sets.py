@@ -50,6 +50,20 @@ def test_groups_match_all_pairs(make_docs, near_texts, monkeypatch):
     assert {d: r["n_shingles"] for d, r in got.items()} == {d: len(plain.shingles(t)) for d, t in near_texts.items()}
 
 
+@pytest.mark.parametrize("words,percent", [(5, 80), (2, 60)])
+def test_groups_by_another_rule(make_docs, near_texts, monkeypatch, words, percent):
+    monkeypatch.setattr(ngram_jaccard, "SAMPLED", 2)
+    found = ngram_jaccard.link_groups(make_docs(list(near_texts.items())), ngram_jaccard.Rule(words, percent))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == plain.groups(near_texts, percent, words)
+
+
+def test_smallest_sets_that_link():
+    for percent, smallest in ((90, 9), (80, 4), (50, 1), (85, 6)):
+        rule = ngram_jaccard.Rule(3, percent)
+        linked = [n for n in range(1, 40) if 100 * n >= percent * (n + 1)]
+        assert rule.smallest == smallest == linked[0]
+
+
 def test_groups_in_blocks(make_docs, near_texts, monkeypatch):
     """Small blocks, so that frequent roots are dealt out and guests are needed."""
     for name, value in (("SAMPLED", 1), ("BLOCK", 4), ("LEAF", 2), ("FAN", 2)):
@@ -260,7 +274,7 @@ def test_op10(spark):
     texts = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op10_mix_sources"](spark, SF).collect()
     assert {r["doc_id"]: r["size"] for r in got} == {d: len(plain.words(t)) for d, t, _ in texts}
-    _check_mix(got, texts, 3 * mixing.BLOCK_WORDS)
+    _check_mix(got, texts, mixing.BLOCK_WORDS)
     again = QUERIES["op10_mix_sources"](spark, SF).collect()
     assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in got}
 
@@ -271,7 +285,16 @@ def test_mix_of_uneven_sources(make_docs):
     assert len(got) == len(rows)
     _check_mix(got, [(r[0], r[1], r[3]) for r in rows], 3 * 8)
     small = [r for r in got if 1000 <= r["doc_id"] < 1005]
-    assert {r["target"] for r in small} == {450.0} and sum(r["taken"] for r in small) >= 450 - 24
+    assert {r["target"] for r in small} == {450.0} and sum(r["taken"] for r in small) == 450
+
+
+def test_mix_of_small_sources(make_docs):
+    """Sources far below a block reach their targets too: all words as often as the target holds them."""
+    rows = [(0, "w " * 10_000, "en", "z")] + [(i, "s " * n, "en", f"small{i}") for i, n in enumerate((10, 10, 20, 70, 1), 1)]
+    got = {r["doc_id"]: r for r in mixing.mix_documents(make_docs(rows)).collect()}
+    assert {i: got[i]["target"] for i in range(1, 6)} == {1: 30.0, 2: 30.0, 3: 60.0, 4: 210.0, 5: 3.0}
+    assert all(got[i]["taken"] == got[i]["target"] for i in range(1, 6))
+    assert abs(got[0]["taken"] - got[0]["target"]) <= mixing.BLOCK_WORDS
 
 
 def test_permutations_reach_every_block(spark):
@@ -311,7 +334,7 @@ def test_pipeline(spark):
     good = {r["doc_id"] for r in queries["op5_quality_ranking"](spark, SF).where("predicted = 1").collect()}
     kept = corpus_pipeline.quality(spark, docs, SF)
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == good
-    groups = plain.groups({d: texts[d] for d in good})
+    groups = plain.groups({d: texts[d] for d in good}, 80, 5)
     single = corpus_pipeline.near_copies(spark, kept, SF)
     assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(groups.values()))
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
