@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,3 +74,48 @@ def complete_with(
             yield frame.assign(**{out: [str(r).strip() for r in model(frame["prompt"].tolist())]})
 
     return prompts.mapInPandas(replies, schema)
+
+
+#: Whole prompts that a model is given at once: so many, and so many characters of them.
+AT_ONCE = 64
+AT_ONCE_CHARS = 8 << 20
+
+
+def reads_parts(load_model: Callable) -> Callable:
+    """Marks a model that takes one prompt as an iterator of its parts, and so may read texts of any length."""
+    load_model.reads_parts = True
+    return load_model
+
+
+def complete_parts(parts: DataFrame, load_model: Callable[[], Callable] = stand_in_model, out: str = "reply") -> DataFrame:
+    """(query_id, reply) for prompts given as parts: query_id, segment (their order), text.
+
+    A query's parts reach one task in order. A model that reads parts gets them one by one as they come;
+    any other gets whole prompts, a few at once.
+    """
+    kind = parts.schema["query_id"].dataType.simpleString()
+    by_part = getattr(load_model, "reads_parts", False)
+
+    def replies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load_model()
+
+        def answered(ids: list, texts: list[str]) -> pd.DataFrame:
+            return pd.DataFrame({"query_id": ids, out: [str(r).strip() for r in model(texts)]})
+
+        rows = (row for frame in frames for row in zip(frame["query_id"], frame["text"]))
+        ids, prompts = [], []
+        for query_id, own in groupby(rows, key=lambda row: row[0]):
+            texts = (text for _, text in own)
+            if by_part:
+                yield pd.DataFrame({"query_id": [query_id], out: [str(model(texts)).strip()]})
+                continue
+            ids.append(query_id)
+            prompts.append("".join(texts))
+            if len(ids) == AT_ONCE or sum(map(len, prompts)) > AT_ONCE_CHARS:
+                yield answered(ids, prompts)
+                ids, prompts = [], []
+        if ids:
+            yield answered(ids, prompts)
+
+    dealt = parts.select("query_id", "segment", "text").repartition("query_id").sortWithinPartitions("query_id", "segment")
+    return dealt.mapInPandas(replies, f"query_id {kind}, {out} string")

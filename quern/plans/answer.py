@@ -9,12 +9,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.chunks import complete_with, stand_in_model
+from quern.operators.chunks import complete_parts, complete_with, stand_in_model
 from quern.operators.gate import gate
 from quern.operators.nearest import prepare
 from quern.plans import prompts, results, retrieve
 from quern.plans.guarded import run_all
-from quern.session import durable, scratch_path
+from quern.session import durable, scratch_path, staged
 
 
 def contexts(
@@ -48,6 +48,8 @@ def propose(grounded: DataFrame, schema_text: str | None, load_model=stand_in_mo
 _ROWS = "clean_sql string, headers array<string>, row_ix long, cells array<string>, block string, json string"
 #: Statements that run side by side.
 AT_ONCE = 4
+#: The longest text of rows that is put together for a model that takes whole prompts.
+MOST_PROMPT_BYTES = 16 << 20
 
 
 def run_statements(spark: SparkSession, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,29 +85,37 @@ def run_statements(spark: SparkSession, accepted: DataFrame) -> tuple[DataFrame,
     return spark.read.schema(_ROWS).parquet(path), refused
 
 
-def worded(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """(clean_sql, rows_text, draft) of every statement that ran; rows: as of run_statements.
+def drafts(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(clean_sql, n, draft) of every statement that ran; rows: as of run_statements.
 
-    The draft counts all rows and shows the first. The text words all rows, or the first ``limit`` where the
-    caller bounds what a model is to read; the draft then says so. Texts are put together in parts of
-    TEXT_PART_ROWS rows.
+    The draft counts all rows and shows the first. Where the caller bounds what a model is to read, it says so.
     """
     counts = rows.groupBy("clean_sql").agg(
         F.count_if(F.col("row_ix") > 0).alias("n"), F.min_by("json", F.when(F.col("row_ix") > 0, F.col("row_ix"))).alias("first")
     )
-    shown = rows.filter("row_ix > 0" if limit is None else f"row_ix BETWEEN 1 AND {int(limit)}")
-    part = F.floor((F.col("row_ix") - 1) / results.TEXT_PART_ROWS).alias("part")
-    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), "")
-    parts = shown.groupBy("clean_sql", part).agg(joined("block", "row_ix").alias("text"))
-    texts = parts.groupBy("clean_sql").agg(joined("text", "part").alias("text"))
     number = F.col("n").cast("string")
     if limit is not None:
         number = F.when(F.col("n") > limit, F.concat(F.lit(f"first {limit} of "), number)).otherwise(number)
-    return counts.join(texts, "clean_sql", "left").select(
-        "clean_sql",
-        F.when(F.col("n") == 0, F.lit(results.NO_DATA)).otherwise(F.concat(F.lit(results.ROWS_HEAD), F.coalesce("text", F.lit("")))).alias("rows_text"),
-        F.concat(F.lit("Found "), number, F.lit(" rows. Example: "), F.coalesce("first", F.lit("{}"))).alias("draft"),
-    )
+    draft = F.concat(F.lit("Found "), number, F.lit(" rows. Example: "), F.coalesce("first", F.lit("{}")))
+    return counts.select("clean_sql", "n", draft.alias("draft"))
+
+
+def row_segments(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(clean_sql, segment, start, stop, text): the text of all rows, or of the first ``limit``, in bounded segments."""
+    shown = rows.filter("row_ix > 0" if limit is None else f"row_ix BETWEEN 1 AND {int(limit)}")
+    return results.text_segments(shown.select("clean_sql", "row_ix", "block"), ["clean_sql"])
+
+
+def prompt_parts(asked: DataFrame, segments: DataFrame) -> DataFrame:
+    """(query_id, segment, text): the prompts for answers, whose rows come in segments.
+
+    asked: query_id, question, answer_context, clean_sql and n, the statement's rows.
+    """
+    shown = F.when(F.col("n") > 0, F.lit(results.ROWS_HEAD)).otherwise(F.lit(results.NO_DATA))
+    head = asked.select("query_id", F.lit(-1).cast("long").alias("segment"), F.concat(prompts.answer_head(F.col("question")), shown).alias("text"))
+    tail = asked.select("query_id", F.lit(2**62).alias("segment"), prompts.answer_tail(F.col("answer_context")).alias("text"))
+    body = asked.select("query_id", "clean_sql").join(segments, "clean_sql").select("query_id", "segment", "text")
+    return head.unionByName(body).unionByName(tail)
 
 
 def answer_with_rows(proposed: DataFrame, load_model=stand_in_model, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -114,17 +124,24 @@ def answer_with_rows(proposed: DataFrame, load_model=stand_in_model, limit: int
     answers: (query_id, question, clean_sql, reason, warnings, draft, answer) for every proposed statement.
     Equal statements run once. A statement that is refused, by the gate or by Spark, has a reason and
     no answer. ``limit`` bounds the rows that a model reads, not those that are run, counted and returned.
+    The rows' text is kept in segments: a model that reads parts gets them one by one, whatever their number,
+    and one that takes whole prompts is not asked about rows of more than MOST_PROMPT_BYTES.
     """
     spark = proposed.sparkSession
     # Kept, so that the model is asked once.
     kept = durable(proposed)
     accepted = kept.filter("allowed").select(F.col("clean_sql").alias("stmt_id"), F.col("clean_sql").alias("sql")).distinct()
     rows, refused = run_statements(spark, accepted)
-    outcomes = worded(rows, limit).join(refused, "clean_sql", "full")
-    known = kept.join(outcomes, "clean_sql", "left").withColumn("reason", F.coalesce("reason", "refusal"))
-    prompt = prompts.answer_prompt(F.col("question"), F.col("rows_text"), F.col("answer_context"))
-    asked = known.filter(F.col("reason").isNull()).withColumn("prompt", prompt)
-    answered = complete_with(asked.select("query_id", "prompt"), load_model, "answer").select("query_id", "answer")
+    segments = staged(row_segments(rows, limit), "row-segments")
+    sizes = segments.groupBy("clean_sql").agg(F.max("stop").alias("_size"))
+    outcomes = drafts(rows, limit).join(sizes, "clean_sql", "left").join(refused, "clean_sql", "full")
+    reason = F.coalesce("reason", "refusal")
+    if not getattr(load_model, "reads_parts", False):
+        too_long = F.concat(F.lit("The text of the rows has "), F.col("_size").cast("string"), F.lit(" bytes, more than a model takes at once."))
+        reason = F.coalesce(reason, F.when(F.col("_size") > MOST_PROMPT_BYTES, too_long))
+    known = kept.join(outcomes, "clean_sql", "left").withColumn("reason", reason)
+    asked = known.filter(F.col("reason").isNull())
+    answered = complete_parts(prompt_parts(asked, segments), load_model, "answer")
     final = known.join(answered, "query_id", "left").select(
         "query_id",
         "question",

@@ -75,15 +75,18 @@ def sql_prompt(question: Column, schema_text: Column, context: Column) -> Column
     )
 
 
+def answer_head(question: Column) -> Column:
+    """What stands before the rows' text in the prompt for an answer."""
+    return F.concat(F.lit(ANSWER_INSTRUCTIONS + "Question: "), question, F.lit("\nSQL return statement: "))
+
+
+def answer_tail(context: Column) -> Column:
+    """What stands behind it."""
+    return F.concat(F.lit("\nContext: "), _or(context, NOTHING))
+
+
 def answer_prompt(question: Column, rows_text: Column, context: Column) -> Column:
-    return F.concat(
-        F.lit(ANSWER_INSTRUCTIONS + "Question: "),
-        question,
-        F.lit("\nSQL return statement: "),
-        rows_text,
-        F.lit("\nContext: "),
-        _or(context, NOTHING),
-    )
+    return F.concat(answer_head(question), rows_text, answer_tail(context))
 
 
 def draft_prompt(question: Column, sql: Column, rows_json: Column, chars: int | None = None) -> Column:

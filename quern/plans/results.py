@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quern.functions.text import csv_cell
 from quern.operators.ordering import number_returned, number_rows
@@ -18,6 +19,12 @@ from quern.sinks.files import flat
 # Wording of the texts.
 NO_DATA = "No data found for the query."
 TEXT_PART_ROWS = 1000
+#: A segment of a text begins within so many bytes; it ends with its last piece of so many characters.
+SEGMENT_BYTES = 256 << 10
+PIECE_CHARS = 16 << 10
+#: Rows whose sizes one window adds up, and runs of them that the next one does.
+RUN_ROWS = 1024
+RUNS_ADDED = 4096
 ROWS_HEAD = "The following data was retrieved from the database:\n\n"
 
 
@@ -62,6 +69,38 @@ def rows_text(rows: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
     return texts.unionByName(empty.select(F.lit(0).cast("long").alias("part"), F.lit(NO_DATA).alias("rows_text")))
 
 
+def text_segments(blocks: DataFrame, groups: Sequence[str], size: int = SEGMENT_BYTES) -> DataFrame:
+    """(groups, segment, start, stop, text): the texts of the groups' rows, one after another, cut into segments.
+
+    blocks: groups, row_ix, block. ``start`` and ``stop`` are bytes of the group's whole text, which is never
+    put together: a segment has at most ``size`` bytes and one piece, however many rows and however long cells
+    a result has. A long row is cut into pieces; the segments, read in order, are the text.
+    """
+    groups = list(groups)
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("block") / PIECE_CHARS).cast("int") - 1)),
+        lambda i: F.substring(F.col("block"), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)),
+    )
+    pieces = blocks.select(*groups, "row_ix", F.posexplode(cut).alias("_piece", "text")).withColumns(
+        {"_bytes": F.octet_length("text").cast("long"), "_run": F.floor(F.col("row_ix") / RUN_ROWS), "_span": F.floor(F.col("row_ix") / (RUN_ROWS * RUNS_ADDED))}
+    )
+
+    def before(total: str, over: Sequence[str], order: Sequence[str]) -> Column:
+        window = W.partitionBy(*over).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(total).over(window), F.lit(0))
+
+    runs = pieces.groupBy(*groups, "_span", "_run").agg(F.sum("_bytes").alias("_of_run"))
+    spans = runs.groupBy(*groups, "_span").agg(F.sum("_of_run").alias("_of_span")).withColumn("_to_span", before("_of_span", groups, ["_span"]))
+    runs = runs.withColumn("_to_run", before("_of_run", [*groups, "_span"], ["_run"])).join(spans, [*groups, "_span"])
+    offset = F.col("_to_span") + F.col("_to_run") + before("_bytes", [*groups, "_span", "_run"], ["row_ix", "_piece"])
+    placed = pieces.join(runs.select(*groups, "_span", "_run", "_to_run", "_to_span"), [*groups, "_span", "_run"]).withColumn("_at", offset)
+    listed = F.array_sort(F.collect_list(F.struct("_at", "text")))
+    segments = placed.groupBy(*groups, F.floor(F.col("_at") / size).alias("segment")).agg(
+        F.min("_at").alias("start"), F.max(F.col("_at") + F.col("_bytes")).alias("stop"), listed.alias("_texts")
+    )
+    return segments.select(*groups, "segment", "start", "stop", F.array_join(F.transform("_texts", lambda x: x["text"]), "").alias("text"))
+
+
 def draft_answer(rows: DataFrame) -> DataFrame:
     """One row: the number of rows, and the first row as JSON."""
     first = F.min_by(F.to_json(F.struct(*_values(rows))), F.col("row_ix"))

@@ -291,11 +291,32 @@ def answer_rows(spark, sf):
         t.table(spark, sf, name).createOrReplaceTempView(name)
     statements = spark.createDataFrame([(m[0], m[0]) for m in _MANY], "stmt_id string, sql string")
     rows, _ = answering.run_statements(spark, statements)
-    drafts = answering.worded(rows).select("clean_sql", "draft")
+    drafts = answering.drafts(rows).select("clean_sql", "draft")
     shown = rows.filter("row_ix > 0").select("clean_sql", "row_ix", F.array_join("cells", "|").alias("cells"))
     return shown.join(drafts, "clean_sql")
 
 
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate"
+
+
+@query(
+    "answer_segments",
+    f"""WITH blocks AS (
+      SELECT row_ix, '--- Row ' || row_ix || ' ---' || chr(10) || 'l_orderkey: ' || l_orderkey || chr(10) || 'l_linenumber: ' || l_linenumber || chr(10)
+        || 'l_partkey: ' || l_partkey || chr(10) || 'l_shipdate: ' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) AS block
+      FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) AS row_ix FROM lineitem)),
+    placed AS (SELECT *, strlen(block) AS size, sum(strlen(block)) OVER (ORDER BY row_ix) - strlen(block) AS begins FROM blocks)
+    SELECT CAST(floor(begins / {results.SEGMENT_BYTES}) AS BIGINT) AS segment, CAST(min(begins) AS BIGINT) AS start, CAST(max(begins + size) AS BIGINT) AS stop,
+      md5(string_agg(block, '' ORDER BY row_ix)) AS digest
+    FROM placed GROUP BY 1""",
+)
+def answer_segments(spark, sf):
+    """The text of all lines of all orders as a model reads it, in segments with their places."""
+    t.table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    rows, _ = answering.run_statements(spark, spark.createDataFrame([(_LINES, _LINES)], "stmt_id string, sql string"))
+    return answering.row_segments(rows).select("segment", "start", "stop", F.md5("text").alias("digest"))
+
+
 # --- approximate forms ---------------------------------------------------------------------------
 
 PROBES = 4
