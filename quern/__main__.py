@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.chunks import embed_hashed, embed_with
+from quern.operators.chunks import embed_hashed, embed_known, embed_with
 from quern.operators.nearest import CellIndex, build_cells
 from quern.plans import audit, commit, prompts, retrieve, schema_grounding, sync
 from quern.sinks.files import write_json, write_prompts
@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
             made.add_argument("--items")
             made.add_argument("--chunks")
             made.add_argument("--model", help="module:function that loads a model for texts; hashed vectors by default")
+            made.add_argument("--vectors", help="folder that keeps vectors by text, so that a model sees a text once")
         if out:
             made.add_argument("--out", help="folder of the new store")
         return made
@@ -87,7 +88,7 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _embedder(model: str | None):
+def _embedder(model: str | None, vectors: str | None = None):
     if not model:
         return embed_hashed
     module, name = model.split(":")
@@ -95,6 +96,8 @@ def _embedder(model: str | None):
     def load_model():
         return getattr(importlib.import_module(module), name)()
 
+    if vectors:
+        return lambda df, text="chunk_text": embed_known(df, lambda new: embed_with(new, load_model), vectors, model, text)
     return lambda df, text="chunk_text": embed_with(df, load_model, text)
 
 
@@ -118,7 +121,7 @@ def _schema(spark, args, items, chunks) -> None:
         table, columns = key.rstrip(")").split("(")
         keys.append(schema_grounding.Key("main", table, tuple(_names(columns))))
     tables = tables or session_tables(spark)
-    embed = _embedder(args.model)
+    embed = _embedder(args.model, args.vectors)
     if args.store:
         schema_grounding.refresh_in_store(spark, args.store, tables, keys, embed, _now())
         return
@@ -129,7 +132,7 @@ def _schema(spark, args, items, chunks) -> None:
 def _sync(spark, args, items, chunks) -> None:
     paths = {kind: f"{args.dir}/{kind}_items.csv" for kind in _names(args.desired)}
     plan, store = sync.run_sync(
-        spark, paths, items, chunks, args.dataset, _embedder(args.model), _now(),
+        spark, paths, items, chunks, args.dataset, _embedder(args.model, args.vectors), _now(),
         has_header=args.has_header, dedupe=args.dedupe, apply=args.apply,
         export_path=args.export_current, audit_path=args.audit_json, model=args.model or "hashed",
         multiline=not args.single_line, store=args.store,
@@ -142,9 +145,9 @@ def _sync(spark, args, items, chunks) -> None:
 def _commit(spark, args, items, chunks) -> None:
     entries, rejects = ragged_entries(read_ragged(spark, args.file, multiline=not args.single_line))
     if args.store:
-        commit.commit_to_store(spark, args.store, entries, _embedder(args.model), _now())
+        commit.commit_to_store(spark, args.store, entries, _embedder(args.model, args.vectors), _now())
     else:
-        _save(commit.commit_entries(entries, items, chunks, _embedder(args.model), _now()), args.out)
+        _save(commit.commit_entries(entries, items, chunks, _embedder(args.model, args.vectors), _now()), args.out)
     write_json(rejects.select("cells", "reason"), args.rejects or f"{args.out}/rejects")
 
 
@@ -158,7 +161,7 @@ def _retrieve(spark, args, items, chunks) -> None:
         per_item_cap=args.per_item_cap, lam=args.mmr, min_sim=args.min_sim, metric=args.metric,
         probes=args.ivf_probes, sign_tables=args.sign_tables,
     )
-    questions = _embedder(args.model)(spark.read.parquet(args.questions), "question")
+    questions = _embedder(args.model, args.vectors)(spark.read.parquet(args.questions), "question")
     index = CellIndex.load(spark, args.index) if args.index else None
     ranked = retrieve.retrieve(questions, items, chunks, knobs, index)
     if args.save_json:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import CHUNK_CHARS, pieces
 from quern.functions.vectors import hash_embedding
+from quern.operators.sizes import sent_if_small
+from quern.session import staged
 
 
 # Adds ``embedding`` to chunks.
@@ -54,6 +57,38 @@ def embed_with(
     return df.withColumn(out, vectors(F.col(text)))
 
 
+def embed_known(df: DataFrame, embed: Embed, path: str, model: str, text: str = "chunk_text") -> DataFrame:
+    """``embed`` for texts that no earlier call has seen: vectors are kept by the model's name and the text's digest.
+
+    ``path`` is a folder that grows by the vectors of each call's new texts, one row per text and model, so
+    equal and unchanged texts reach a model once. Digests of all texts are compared; only texts without a
+    vector move, once each. A call that runs again finds what it has written. Keeps every column of ``df``;
+    a null text has no vector.
+    """
+    spark = df.sparkSession
+    kept = f"{path}/model={hashlib.sha256(model.encode()).hexdigest()[:16]}"
+    digest = F.sha2(F.col(text), 256)
+    held = _vectors(spark, kept)
+    keys = df.select(digest.alias("_digest")).where("_digest is not null").distinct()
+    new = staged(keys if held is None else keys.join(held, "_digest", "left_anti"), "new-texts")
+    if not new.isEmpty():
+        texts = df.select(digest.alias("_digest"), F.col(text).alias("chunk_text")).join(sent_if_small(new), "_digest", "left_semi")
+        first = texts.groupBy("_digest").agg(F.first("chunk_text").alias("chunk_text"))
+        embed(first).select("_digest", "embedding").write.mode("append").parquet(kept)
+        held = _vectors(spark, kept)
+    if held is None:
+        return df.withColumn("embedding", F.lit(None).cast("array<float>"))
+    own = [c for c in df.columns if c != "embedding"]
+    vectors = held.groupBy("_digest").agg(F.first("embedding").alias("embedding"))  # two calls side by side may both have written one
+    return df.select(*own, digest.alias("_digest")).join(vectors, "_digest", "left").select(*own, "embedding")
+
+
+def _vectors(spark, path: str) -> DataFrame | None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if files.exists(hadoop.suffix("/_SUCCESS")) else None
+
+
 # Fixed value: the constant reply of the stand-in model.
 STAND_IN_REPLY = "SELECT name FROM users WHERE country = 'USA'"
 

@@ -46,8 +46,11 @@ def _files(spark: SparkSession, path: str):
 
 def create(items: DataFrame, chunks: DataFrame, path: str) -> None:
     """A new store whose base are the given rows."""
-    save_items(items, _folder(path, "items", (0, 0)))
-    save_chunks(chunks, _folder(path, "chunks", (0, 0)))
+    for rows, save, part in ((items, save_items, "items"), (chunks, save_chunks, "chunks")):
+        if rows.isEmpty():  # cut into folders, no row would leave no schema
+            rows.write.parquet(_folder(path, part, (0, 0)))
+        else:
+            save(rows, _folder(path, part, (0, 0)))
     items.select(F.col("id").alias("item_id")).limit(0).write.parquet(_folder(path, "gone", (0, 0)))
 
 
