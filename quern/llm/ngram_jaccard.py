@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import flat
 from quern.llm.components import components
-from quern.session import staged
+from quern.session import discard, staged
 
 SIGNATURE_BITS = 1024
 #: One set in this many is counted for the order of the shingles.
@@ -53,6 +53,11 @@ CELL_PAIRS = 512
 #: Bits of the map by which texts that no pair needs are passed over.
 WANTED_BITS = 1 << 26
 
+#: Slots of the map of roots, which is built in so many buckets; roots of a task that are packed at once.
+ROOT_SLOTS = 1 << 27
+ROOT_BUCKETS = 512
+PACKED_ROOTS = 1 << 22
+
 _WORD_BITS = 64
 _KEY_SHIFT = 58
 _FREQUENT_CLASS = np.uint64(48)
@@ -183,25 +188,105 @@ def root_keys(words, words_before, runs, runs_before, known: dict, rule: Rule) -
     return runs | (level << np.uint64(_KEY_SHIFT))
 
 
-def _entry_batches(frequent, rule: Rule):
+def _entries(batches, known: dict, rule: Rule):
+    """(roots, fingerprint, size and place of each) of a task's texts, one text of equal ones."""
+    seen: set[int] = set()
+    for batch in flat.pieces(batches, "text"):
+        words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")), rule)
+        keys, before = flat.distinct_in_rows(root_keys(words, words_before, runs, runs_before, known, rule), runs_before)
+        n = np.diff(before)
+        prints = fingerprints(keys & np.uint64((1 << _KEY_SHIFT) - 1), before)
+        fresh = np.zeros(len(n), bool)
+        for row in np.flatnonzero(n >= rule.smallest):  # smaller sets link with equal ones only
+            if prints[row] not in seen:
+                seen.add(int(prints[row]))
+                fresh[row] = True
+        rows = np.flatnonzero(fresh)
+        take = rule.probe_length(n[rows])
+        owner = np.repeat(np.arange(len(rows)), take)
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
+        yield keys[before[:-1][rows][owner] + pos], prints[rows][owner], n[rows][owner], pos
+
+
+def _slots(roots: np.ndarray) -> np.ndarray:
+    return (flat.mix(roots) % np.uint64(ROOT_SLOTS)).astype(np.int64)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Rising numbers as their steps, low halves first, which compress well."""
+    steps = np.diff(values, prepend=0).astype(np.uint32)
+    return steps.astype("<u2").tobytes() + (steps >> 16).astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    halves = np.frombuffer(data, "<u2").astype(np.int64).reshape(2, -1)
+    return np.cumsum(halves[0] + (halves[1] << 16))
+
+
+def _slot_batches(frequent, rule: Rule):
+    """(bucket, slots): the slots of a task's roots, packed."""
+    width = ROOT_SLOTS // ROOT_BUCKETS
+
+    def packed(slots: np.ndarray):
+        slots = np.sort(slots)
+        edges = np.searchsorted(slots, np.arange(ROOT_BUCKETS + 1) * width)
+        used = np.flatnonzero(np.diff(edges))
+        data = [_packed(slots[edges[b] : edges[b + 1]] - b * width) for b in used]
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "slots"])
+
     def run(batches):
-        seen: set[int] = set()
-        for batch in flat.pieces(batches, "text"):
-            words, words_before, runs, runs_before = shingles_of(*flat.column(batch.column("text")), rule)
-            keys, before = flat.distinct_in_rows(root_keys(words, words_before, runs, runs_before, frequent.value, rule), runs_before)
-            n = np.diff(before)
-            prints = fingerprints(keys & np.uint64((1 << _KEY_SHIFT) - 1), before)
-            fresh = np.zeros(len(n), bool)
-            for row in np.flatnonzero(n >= rule.smallest):  # smaller sets link with equal ones only
-                if prints[row] not in seen:
-                    seen.add(int(prints[row]))
-                    fresh[row] = True
-            rows = np.flatnonzero(fresh)
-            take = rule.probe_length(n[rows])
-            owner = np.repeat(np.arange(len(rows)), take)
-            pos = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
-            roots = keys[before[:-1][rows][owner] + pos]
-            columns = [pa.array(flat.signed(roots)), pa.array(prints[rows][owner]), pa.array(n[rows][owner].astype(np.int32)), pa.array(pos.astype(np.int32))]
+        held, count = [], 0
+        for roots, _, _, _ in _entries(batches, frequent.value, rule):
+            held.append(_slots(roots))
+            count += len(roots)
+            if count > PACKED_ROOTS:
+                yield packed(np.concatenate(held))
+                held, count = [], 0
+        if count:
+            yield packed(np.concatenate(held))
+
+    return run
+
+
+def _shared_batches(batches):
+    """(bucket, bits): the slots of a bucket that stand twice or more, as a bit map."""
+    width = ROOT_SLOTS // ROOT_BUCKETS
+    now, once, more = None, None, None
+    for batch in batches:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("slots").to_pylist()):
+            if bucket != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()])], names=["bucket", "bits"])
+                now, once, more = bucket, np.zeros(width, bool), np.zeros(width, bool)
+            slots, counts = np.unique(_unpacked(data), return_counts=True)
+            more[slots[once[slots] | (counts > 1)]] = True
+            once[slots] = True
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()])], names=["bucket", "bits"])
+
+
+def shared_roots(docs: DataFrame, frequent, rule: Rule) -> np.ndarray:
+    """A bit map of fixed size: the slots of roots that may stand under two sets.
+
+    A root whose slot is not in it stands under one set, links nothing and need not be shuffled. With more roots
+    than slots it lets most of them through, which costs room but changes nothing.
+    """
+    packed = docs.select("text").mapInArrow(_slot_batches(frequent, rule), "bucket int, slots binary")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    width = ROOT_SLOTS // ROOT_BUCKETS // 8
+    bits = np.zeros((ROOT_BUCKETS, width), np.uint8)
+    for row in dealt.mapInArrow(_shared_batches, "bucket int, bits binary").toLocalIterator():  # ROOT_BUCKETS rows
+        bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def _entry_batches(frequent, shared, rule: Rule):
+    def run(batches):
+        bits = shared.value
+        for roots, prints, n, pos in _entries(batches, frequent.value, rule):
+            slot = _slots(roots)
+            keep = (bits[slot >> 3] >> (7 - (slot & 7))) & 1 > 0
+            columns = [pa.array(flat.signed(roots[keep])), pa.array(prints[keep]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["root", "f", "n", "pos"])
 
     return run
@@ -253,8 +338,10 @@ def _matched_batches(rule: Rule):
 
 def rooted_sets(docs: DataFrame, frequent: dict, rule: Rule) -> DataFrame:
     """(root, f, n, pos): the sets under each root, without those that no size matches; written once."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    entries = docs.select("text").mapInArrow(_entry_batches(sent, rule), "root long, f long, n int, pos int")
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(frequent)
+    shared = context.broadcast(shared_roots(docs, sent, rule))
+    entries = docs.select("text").mapInArrow(_entry_batches(sent, shared, rule), "root long, f long, n int, pos int")
     salted = entries.withColumn("salt", F.pmod("f", _blocks(F.col("root"))).cast("int"))
     dealt = salted.repartition("root", "salt").sortWithinPartitions("root", "salt", "n", "f")
     # Equal rows share root and salt, so a task has left one of them.
@@ -373,7 +460,10 @@ def traversed_pairs(rooted: DataFrame, reps: DataFrame, labels: DataFrame, rule:
     labels: (f, comp). In a root of several blocks, sets outside its largest component are guests of the
     blocks that are not their own.
     """
-    rows = rooted.join(labels, "f", "left").withColumn("comp", F.coalesce("comp", "f")).withColumn("blocks", _blocks(F.col("root")))
+    rows = rooted.join(labels, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
+    # Most roots hold sets of one component only, which need neither a tree nor their signatures.
+    mixed = rows.groupBy("root").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("root")
+    rows = staged(rows.join(mixed, "root", "left_semi"), "mixed").withColumn("blocks", _blocks(F.col("root")))
     few = rows.where("blocks = 1").select("root", F.lit(0).alias("salt"), "f", "n", "pos", "comp", F.lit(False).alias("guest"))
     many = rows.where("blocks > 1")
     sizes = many.groupBy("root", "comp").agg(F.count("*").alias("c"))
@@ -476,7 +566,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) ->
     named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
     held = named.join(sets.hint("shuffle_merge"), "f").select("r", "c", "f", "shingles")
     links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell(rule), "u long, v long")
-    return staged(links, "links")
+    links = staged(links, "links")
+    discard(pairs, sets)
+    return links
 
 
 def grouped_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -487,6 +579,7 @@ def grouped_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     first = verified(bounded_pairs(central_pairs(rooted, rule), reps, rule), docs, reps, rule)
     labels = components(first).select(F.col("v").alias("f"), F.col("label").alias("comp"))
     second = verified(traversed_pairs(rooted, reps, labels, rule), docs, reps, rule)
+    discard(rooted)
     labels = components(first.unionByName(second)).select(F.col("v").alias("f"), F.col("label").alias("group"))
     return sets, reps.select("f", "n", "least").join(labels, "f", "left").withColumn("group", F.coalesce("group", "f"))
 
