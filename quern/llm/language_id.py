@@ -7,7 +7,8 @@ pieces too, so every word can be cut.
 
 Piece probabilities are fitted by expectation-maximisation (forward-backward counts) on the words of about
 SAMPLE_DOCS labeled documents per language, chosen by a hash of doc_id, with the TRAIN_WORDS most frequent
-words of each language; that bounded word list is all that reaches the driver. Scoring reads every whole
+words of each language; that bounded word list is all that reaches the driver. Whole runs of letters are
+learned from, cut as they are for scoring. Scoring reads every whole
 text, each distinct word of a batch once.
 
 Null text or a text without a letter: `und` with score 0. No labeled documents: `und` for all. Empty
@@ -32,9 +33,11 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 1000
 TRAIN_WORDS = 30_000
 ROUNDS = 4
-#: Pieces of more bytes are not used; longer words are cut at this many bytes.
+#: Pieces of more bytes are not used. Longer runs of letters, as in scripts without spaces, are words of about
+#: WORD_STEP bytes each, cut between characters, so that WORD_MOST bytes hold one and the space before it.
 PIECE_MOST = 12
 WORD_MOST = 48
+WORD_STEP = WORD_MOST - 4
 FOLDS = 3
 UND = "und"
 #: Bytes of text looked at together: each distinct word of them is scored once.
@@ -162,8 +165,18 @@ def expected_counts(pieces: dict, p: np.ndarray, weights: np.ndarray, data, star
     return out
 
 
-def _word_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [b" " + t.encode()[: WORD_MOST - 1] for t in texts]
+def cut_run(word: bytes) -> list[bytes]:
+    """A run of letters as the words that it is read as; cut_words does the same to many."""
+    marks = list(range(WORD_STEP, len(word), WORD_STEP))
+    for i, at in enumerate(marks):
+        while word[at] & 0xC0 == 0x80:
+            at -= 1
+        marks[i] = at
+    return [word[a:b] for a, b in zip([0, *marks], [*marks, len(word)])]
+
+
+def _word_bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [b" " + word for word in words]
     ends = np.cumsum([len(p) for p in parts]) if parts else np.zeros(0, np.int64)
     return flat.lower_ascii(np.frombuffer(b"".join(parts), np.uint8)), ends - np.array([len(p) for p in parts], np.int64), ends
 
@@ -174,8 +187,9 @@ def fit(word_counts: dict[str, list[tuple[str, int]]], pieces: dict, rounds: int
     out = np.zeros((int(pieces["number"]), len(languages)))
     for column, language in enumerate(languages):
         listed = sorted(word_counts[language])
-        data, starts, ends = _word_bytes([w for w, _ in listed])
-        weights = np.array([n for _, n in listed], float)
+        read = [(part, n) for word, n in listed for part in cut_run(word.encode())]
+        data, starts, ends = _word_bytes([w for w, _ in read])
+        weights = np.array([n for _, n in read], float)
         p = np.full(int(pieces["number"]), 1.0 / int(pieces["number"]))
         for _ in range(rounds):
             counts = expected_counts(pieces, p, weights, data, starts, ends) + 0.01
@@ -186,7 +200,7 @@ def fit(word_counts: dict[str, list[tuple[str, int]]], pieces: dict, rounds: int
 
 def train(docs: DataFrame, pieces: dict, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray] | None:
     """docs: doc_id, text, lang; rows that may be learned from."""
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''")
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -204,15 +218,19 @@ def train(docs: DataFrame, pieces: dict, sample_docs: int = SAMPLE_DOCS) -> tupl
 
 
 def cut_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray):
-    """Words of more than WORD_MOST - 1 bytes as several words."""
-    most = WORD_MOST - 1
-    number = -(-(ends - starts) // most)
+    """Runs of letters of more than WORD_STEP bytes as several words, cut between characters."""
+    number = -(-(ends - starts) // WORD_STEP)
     if not len(starts) or number.max() == 1:
         return starts, ends, before
     owner = np.repeat(np.arange(len(starts)), number)
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-    new = starts[owner] + turn * most
-    return new, np.minimum(new + most, ends[owner]), np.concatenate([[0], np.cumsum(number)])[before]
+    new = starts[owner] + turn * WORD_STEP
+    for _ in range(3):
+        new -= (turn > 0) & (data[new] & 0xC0 == 0x80)
+    stop = np.append(new[1:], 0)
+    last = np.append(owner[1:] != owner[:-1], True)
+    stop[last] = ends[owner[last]]
+    return new, stop, np.concatenate([[0], np.cumsum(number)])[before]
 
 
 def text_likelihoods(pieces: dict, probabilities: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

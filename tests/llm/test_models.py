@@ -30,12 +30,12 @@ def test_forward_sums_all_segmentations():
         return sum(p[index[word[:k]], column] * every(word[k:], column) for k in range(1, len(word) + 1) if word[:k] in index)
 
     words = ["abcab", "a", "zabc", "abcabcabc"]
-    data, starts, ends = language_id._word_bytes(words)
+    data, starts, ends = language_id._word_bytes([w.encode() for w in words])
     got = language_id.word_log_likelihoods(table, p, data, starts, ends)
     for i, w in enumerate(words):
         for c in range(2):
             assert got[i, c] == pytest.approx(math.log(every(b" " + w.encode(), c)))
-    counts = language_id.expected_counts(table, p[:, 0], np.array([2.0]), *language_id._word_bytes(["ab"]))
+    counts = language_id.expected_counts(table, p[:, 0], np.array([2.0]), *language_id._word_bytes([b"ab"]))
     whole = every(b" ab", 0)
     assert counts[index[b" ab"]] == pytest.approx(2 * p[index[b" ab"], 0] / whole)
 
@@ -50,6 +50,36 @@ def test_op4(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.98
 
 
+def test_runs_are_cut_between_characters():
+    runs = ["x" * 200, "漢字" * 40, "Привет" * 15, "é" * 44, "a" + "é" * 60, "short", "a" * 44, "😀" * 30]
+    data = np.frombuffer("".join(runs).encode(), np.uint8)
+    ends = np.cumsum([len(r.encode()) for r in runs])
+    starts = np.concatenate([[0], ends[:-1]])
+    new, stop, before = language_id.cut_words(data, starts, ends, np.arange(len(runs) + 1))
+    for i, run in enumerate(runs):
+        parts = [bytes(data[a:b]) for a, b in zip(new[before[i] : before[i + 1]], stop[before[i] : before[i + 1]])]
+        assert parts == language_id.cut_run(run.encode()) and "".join(p.decode() for p in parts) == run
+        assert max(map(len, parts)) < language_id.WORD_MOST
+
+
+def test_scripts_without_spaces_and_a_nameless_language(make_docs):
+    """Chinese and Japanese are told apart by what stands deep in their clauses; '' is a language like others."""
+    rng = random.Random(3)
+    shared, own = [chr(0x4E00 + i) for i in range(60)], {"zh": [chr(0x5100 + i) for i in range(30)], "ja": [chr(0x3041 + i) for i in range(30)]}
+    kinds = {"ru": "привет это простой русский текст", "": "qux zot blip vorp snag", "uk": "привіт це простий український текст"}
+
+    def text(lang):
+        if lang in own:  # the first 20 characters of a clause tell nothing
+            return " ".join("".join(rng.choices(shared, k=20) + rng.choices(own[lang], k=15)) for _ in range(6))
+        return " ".join(rng.choices(kinds[lang].split(), k=30))
+
+    langs = [*own, *kinds]
+    rows = [(i, text(langs[i % 5]), langs[i % 5]) for i in range(400)]
+    got = {r["doc_id"]: r for r in language_id.identify(make_docs(rows)).collect()}
+    held = [(d, lang) for d, _, lang in rows if got[d]["held_out"]]
+    assert len(held) > 80 and sum(got[d]["lang_pred"] == lang for d, lang in held) > 0.97 * len(held)
+
+
 def test_op4_odd(odd_docs, no_docs, spark):
     got = language_id.identify(odd_docs.withColumn("score", F.lit("clash"))).collect()
     assert len(got) == 11
