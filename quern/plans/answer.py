@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quern.operators.chunks import complete_parts, complete_with, stand_in_model
 from quern.operators.gate import gate
@@ -48,6 +49,8 @@ def propose(grounded: DataFrame, schema_text: str | None, load_model=stand_in_mo
 _ROWS = "clean_sql string, headers array<string>, row_ix long, cells array<string>, block string, json string"
 #: Statements that run side by side.
 AT_ONCE = 4
+#: Rows whose JSON one run adds up for a draft.
+DRAFT_RUN = 16
 #: The longest text of rows that is put together for a model that takes whole prompts.
 MOST_PROMPT_BYTES = 16 << 20
 
@@ -106,6 +109,29 @@ def row_segments(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return results.text_segments(shown.select("clean_sql", "row_ix", "block"), ["clean_sql"])
 
 
+def draft_prompts(asked: DataFrame, rows: DataFrame, chars: int = prompts.DRAFT_CHARS) -> DataFrame:
+    """asked (query_id, question, clean_sql) with the prompt for a draft answer, which shows ``chars`` of the rows' JSON.
+
+    Only as many rows are gathered as may stand in so many characters.
+    """
+    few = rows.filter(f"row_ix BETWEEN 1 AND {int(chars)}").select("clean_sql", "row_ix", F.substring("json", 1, chars).alias("json"))
+    sized = few.withColumn("_run", F.floor(F.col("row_ix") / DRAFT_RUN))
+    # A run begins too late when the runs before it, with a comma a row, have filled the characters.
+    runs = sized.groupBy("clean_sql", "_run").agg(F.sum(F.length("json") + 1).alias("_n"))
+    before = W.partitionBy("clean_sql").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)  # at most chars / DRAFT_RUN rows
+    first = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < chars)
+    listed = F.array_sort(F.collect_list(F.struct("row_ix", "json")))
+    shown = sized.join(first, ["clean_sql", "_run"]).groupBy("clean_sql").agg(F.array_join(F.transform(listed, lambda x: x["json"]), ",").alias("_json"))
+    held = F.concat(F.lit("["), F.coalesce("_json", F.lit("")), F.lit("]"))
+    prompt = prompts.draft_prompt(F.col("question"), F.col("clean_sql"), held, chars)
+    return asked.join(shown, "clean_sql", "left").select(*asked.columns, prompt.alias("prompt"))
+
+
+def draft_with_model(asked: DataFrame, rows: DataFrame, load_model=stand_in_model, chars: int = prompts.DRAFT_CHARS) -> DataFrame:
+    """asked with a model's draft of each answer, in place of the count and first row that drafts() gives."""
+    return complete_with(draft_prompts(asked, rows, chars), load_model, "draft").drop("prompt")
+
+
 def prompt_parts(asked: DataFrame, segments: DataFrame) -> DataFrame:
     """(query_id, segment, text): the prompts for answers, whose rows come in segments.
 

@@ -89,6 +89,10 @@ def answer_prompt(question: Column, rows_text: Column, context: Column) -> Colum
     return F.concat(answer_head(question), rows_text, answer_tail(context))
 
 
+# Fixed value: so many characters of the rows' JSON stand in the prompt for a draft.
+DRAFT_CHARS = 4000
+
+
 def draft_prompt(question: Column, sql: Column, rows_json: Column, chars: int | None = None) -> Column:
     """The prompt for a draft answer; ``chars`` bounds the rows' JSON where a model takes no more."""
     return F.concat(

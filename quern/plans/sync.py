@@ -74,19 +74,30 @@ def sync_record(plan: DataFrame, dataset: str, stamp: Column, model: str, applie
     )
 
 
-def sync_actions(plan: DataFrame, desired: DataFrame, dataset: str, applied: bool, size: int = CHUNK_CHARS) -> DataFrame:
-    """(kind, row_ix, name, action, chunks) for every position that changes, as the audit lists them."""
+def sync_actions(
+    plan: DataFrame, desired: DataFrame, dataset: str, applied: bool, size: int = CHUNK_CHARS, current: DataFrame | None = None
+) -> DataFrame:
+    """(kind, row_ix, name, action, chunks) for every position that changes, as the audit lists them.
+
+    With ``current``, the rows that the store held before, applied deletes have the number of items that went in ``rows``.
+    """
     suffix = "_APPLIED" if applied else ""
     changes = plan.filter(F.col("action") != KEEP)
     lengths = desired.select("kind", "row_ix", F.length("body").alias("_length"))
     listed = changes.join(lengths, ["kind", "row_ix"], "left")
     upserted = F.col("action") != DELETE
+    more = []
+    if current is not None:
+        held = current.groupBy("kind", "row_ix").agg(F.count(F.lit(1)).alias("_held"))
+        listed = listed.join(held, ["kind", "row_ix"], "left")
+        more = [F.when(~upserted & F.lit(applied), F.coalesce("_held", F.lit(0))).alias("rows")]
     return listed.select(
         "kind",
         "row_ix",
         row_name(F.col("kind"), F.lit(dataset), F.col("row_ix")).alias("name"),
         F.when(upserted, F.lit(f"UPSERT{suffix}")).otherwise(F.lit(f"DELETE{suffix}")).alias("action"),
         F.when(upserted, F.ceil(F.col("_length") / size).cast("int")).alias("chunks"),
+        *more,
     )
 
 
@@ -187,7 +198,7 @@ def run_sync(
     plan = durable(plan_sync(desired, current))
     if audit_path:
         record = sync_record(plan, dataset, utc_time(now), model, apply)
-        write_sync_audit(record, sync_actions(plan, desired, dataset, apply), audit_path)
+        write_sync_audit(record, sync_actions(plan, desired, dataset, apply, current=current), audit_path)
     if not apply:
         return plan, None
     if store is not None:

@@ -23,7 +23,8 @@ def flat(df: DataFrame) -> DataFrame:
 def write_audit_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Header and rows; no header when there are no rows."""
     rows = flat(df).orderBy(*order)
-    rows.write.option("header", not df.isEmpty()).option("escape", '"').csv(path)
+    as_they_are = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.option("header", not df.isEmpty()).options(**as_they_are).csv(path)
 
 
 def write_json(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

@@ -14,6 +14,7 @@ from quern.plans.retrieve import Knobs
 from quern.plans.schema_grounding import ddl_snapshot
 from quern.sources.catalog import catalog_columns
 from quern.session import scratch_path, staged
+from quern.sinks.files import write_json, write_prompts
 from quern.workload import tables as t
 from quern.workload.registry import query
 from quern.workload.schema_queries import sql_catalog
@@ -317,6 +318,49 @@ def answer_segments(spark, sf):
     return answering.row_segments(rows).select("segment", "start", "stop", F.md5("text").alias("digest"))
 
 
+def _sql_draft(sql: str, key: str, value: str, source: str, order: str) -> str:
+    head = f"{prompts.DRAFT_INSTRUCTIONS}Question: how many\nSQL: {sql}\nRows JSON: ".replace("'", "''")
+    return f"""SELECT '{sql}' AS clean_sql, md5('{head}' || substr('[' || coalesce(string_agg('{{"{key}":' || {key} || ',"{value}":"' || {value} || '"}}', ',' ORDER BY {order}), '') || ']', 1, {prompts.DRAFT_CHARS})) AS digest
+    FROM {source}"""
+
+
+@query("draft_prompts", " UNION ALL ".join(f"SELECT * FROM ({_sql_draft(*m)})" for m in _MANY))
+def draft_prompts(spark, sf):
+    """Prompts for drafts over statements with many rows: as much of the rows' JSON as stands in them."""
+    for name in ("customer", "orders", "part"):
+        t.table(spark, sf, name).createOrReplaceTempView(name)
+    rows, _ = answering.run_statements(spark, spark.createDataFrame([(m[0], m[0]) for m in _MANY], "stmt_id string, sql string"))
+    asked = spark.createDataFrame([(i, "how many", m[0]) for i, m in enumerate(_MANY)], "query_id long, question string, clean_sql string")
+    return answering.draft_prompts(asked, rows).select("clean_sql", F.md5("prompt").alias("digest"))
+
+
+@query(
+    "prompts_file",
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()}, {t.sql_mmr()}, {SQL_PROMPT}
+    SELECT query_id, md5(prompt) AS digest FROM prompts""",
+)
+def prompts_file(spark, sf):
+    """The prompts of all questions as the file that is saved of them, read back."""
+    path = scratch_path(spark, "prompts")
+    write_prompts(retrieve.retrieve_prompts(t.questions(spark, sf), t.items(spark, sf), t.chunks(spark, sf)), path)
+    return spark.read.schema("query_id long, prompt string").json(path).select("query_id", F.md5("prompt").alias("digest"))
+
+
+@query(
+    "final_json_file",
+    f"""WITH {t.SQL_TEXT_STORE}, {t.SQL_QUESTIONS}, {t.sql_candidates()}, {t.sql_mmr()}
+    SELECT f.query_id, CAST(f.rank AS INTEGER) AS rank, f.item_id, f.chunk_ix, md5(k.chunk_text) AS digest
+    FROM final f JOIN chunks k ON k.item_id = f.item_id AND k.chunk_ix = f.chunk_ix""",
+)
+def final_json_file(spark, sf):
+    """The final chunks of all questions as JSON documents in a file, read back field by field."""
+    path = scratch_path(spark, "final")
+    write_json(retrieve.final_json(retrieve.retrieve(t.questions(spark, sf), t.items(spark, sf), t.chunks(spark, sf))), path, ["query_id", "rank"])
+    found = spark.read.schema("query_id long, rank int, json string").json(path)
+    fields = F.from_json("json", "item_id long, chunk_ix int, chunk_text string").alias("j")
+    return found.select("query_id", "rank", fields).select("query_id", "rank", "j.item_id", "j.chunk_ix", F.md5("j.chunk_text").alias("digest"))
+
+
 # --- approximate forms ---------------------------------------------------------------------------
 
 PROBES = 4

@@ -11,9 +11,10 @@ from quern.operators.ordering import dense_index_by, spread_out
 from quern.plans import audit, sync
 from quern.plans.commit import commit_entries
 from quern.session import durable, scratch_path, staged
-from quern.sinks.files import write_item_files
+from quern.sinks.files import write_audit_csv, write_item_files
 from quern.sources import changes
 from quern.sources.csv_items import first_by_text, ragged_entries, read_item_files, read_ragged
+from quern.sources.quoted_csv import quoted_records
 from quern.sources.store import items_of, load, save_items
 from quern.workload import tables as t
 from quern.workload.registry import query
@@ -125,6 +126,19 @@ def sync_actions(spark, sf):
     return sync.sync_actions(sync.plan_sync(desired, current), desired, DATASET, False)
 
 
+@query(
+    "sync_actions_applied",
+    f"""WITH {SQL_SIDES} SELECT kind, row_ix, kind || '::{DATASET}::row::' || row_ix AS name,
+      CASE WHEN action = 'DELETE' THEN 'DELETE_APPLIED' ELSE 'UPSERT_APPLIED' END AS action,
+      CASE WHEN action <> 'DELETE' THEN CAST(ceil(length(want) / 1500.0) AS INTEGER) END AS chunks,
+      CASE WHEN action = 'DELETE' THEN 1 END AS rows
+    FROM plan WHERE action <> 'KEEP'""",
+)
+def sync_actions_applied(spark, sf):
+    desired, _, current = sides(spark, sf)
+    return sync.sync_actions(sync.plan_sync(desired, current), desired, DATASET, True, current=current)
+
+
 def applied(spark, sf):
     """The store after one sync: the plan is kept, then applied to the saved items it was made from."""
     path = scratch_path(spark, "items")
@@ -393,6 +407,17 @@ def audit_chunks(spark, sf):
     return audit.chunk_listing(audited(spark, sf)[1])
 
 
+@query("audit_csv_file", f"WITH {SQL_AUDITED} SELECT item_id, chunk_ix, md5(chunk_text) AS digest, length(chunk_text) AS chars FROM chunks")
+def audit_csv_file(spark, sf):
+    """The listing of chunks as the audit's CSV file, read back record by record."""
+    path = scratch_path(spark, "audit")
+    write_audit_csv(audit.chunk_listing(audited(spark, sf)[1]), path, ["item_id", "chunk_ix"])
+    cells = F.col("cells")
+    return quoted_records(spark, path).where("rec > 0").select(  # a file's first record is its header
+        cells[0].cast("long").alias("item_id"), cells[1].cast("int").alias("chunk_ix"), F.md5(cells[2]).alias("digest"), cells[3].cast("int").alias("chars")
+    )
+
+
 @query("audit_missing", f"WITH {SQL_AUDITED} SELECT id, kind, name FROM items WHERE id NOT IN (SELECT item_id FROM chunks)")
 def audit_missing(spark, sf):
     return audit.missing_items(*audited(spark, sf))
