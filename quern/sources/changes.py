@@ -54,14 +54,11 @@ def create(items: DataFrame, chunks: DataFrame, path: str) -> None:
     items.select(F.col("id").alias("item_id")).limit(0).write.parquet(_folder(path, "gone", (0, 0)))
 
 
-def spans(spark: SparkSession, path: str) -> list[Span]:
-    """The first and last number of the generations that hold the store, oldest first.
-
-    A folder whose ids are not all written is not counted, and neither is one that a merged one replaces.
-    """
-    files, gone = _files(spark, f"{path}/gone")
+def folder_spans(spark: SparkSession, path: str) -> list[Span]:
+    """The first and last number of the finished generations in a folder, without those that a merged one replaces."""
+    files, top = _files(spark, path)
     found = []
-    for status in files.listStatus(gone):
+    for status in files.listStatus(top) if files.exists(top) else []:
         folder = status.getPath()
         if folder.getName().startswith(f"{GEN}=") and files.exists(_files(spark, f"{folder}/_SUCCESS")[1]):
             first, _, last = folder.getName().split("=")[1].partition("-")
@@ -70,6 +67,11 @@ def spans(spark: SparkSession, path: str) -> list[Span]:
     return sorted(s for s in found if not any(within(s, other) for other in found))
 
 
+def spans(spark: SparkSession, path: str) -> list[Span]:
+    """The generations that hold the store, oldest first; a folder whose ids are not all written is not counted."""
+    return folder_spans(spark, f"{path}/gone")
+
+
 def generations(spark: SparkSession, path: str) -> list[int]:
     """The last number of each generation."""
     return [last for _, last in spans(spark, path)]
@@ -161,18 +163,23 @@ def merge(spark: SparkSession, path: str, first: int, last: int) -> None:
     _write(path, (held[0][0], held[-1][1]), items, by_id, gone.limit(0) if held[0][0] == 0 else gone)
 
 
-def _sizes(spark: SparkSession, path: str, held: list[Span]) -> list[int]:
-    """The size of each generation, in powers of FANOUT."""
+def sizes_of(spark: SparkSession, generations: list[list[str]]) -> list[int]:
+    """The size of each generation, given by its folders, in powers of FANOUT."""
     out = []
-    for span in held:
+    for folders in generations:
         total = 0
-        for part in PARTS:
-            files, folder = _files(spark, _folder(path, part, span))
+        for name in folders:
+            files, folder = _files(spark, name)
             total += files.getContentSummary(folder).getLength()
         out.append(max(0, int(log(max(total, 1) / SMALLEST_BYTES, FANOUT)) + 1) if total > SMALLEST_BYTES else 0)
     return out
 
 
+def due(sizes: list[int]) -> bool:
+    """Whether the latest FANOUT generations are of about one size."""
+    return len(sizes) >= FANOUT and sizes[-FANOUT] <= max(sizes[1 - FANOUT :])
+
+
 def settle(spark: SparkSession, path: str) -> int:
     """Merge the latest generations as long as FANOUT of them are of about one size; the number that are left.
 
@@ -180,8 +187,7 @@ def settle(spark: SparkSession, path: str) -> int:
     """
     while True:
         held = spans(spark, path)
-        sizes = _sizes(spark, path, held)
-        if len(held) < FANOUT or sizes[-FANOUT] > max(sizes[1 - FANOUT :]):
+        if not due(sizes_of(spark, [[_folder(path, part, s) for part in PARTS] for s in held])):
             return len(held)
         merge(spark, path, held[-FANOUT][0], held[-1][1])
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from quern.functions.text import to_int
 from quern.operators.ordering import first_per_key
-from quern.plans import feed
+from quern.plans import feed, newest
 from quern.session import scratch_path
 from quern.sources.payload import coerce_rows, read_landing
 from quern.streaming.feed_stream import run_feed
@@ -140,3 +140,20 @@ def latest_per_entity(spark, sf):
     order = [F.col(c) for c in SEQ]
     latest = first_per_key(t.table(spark, sf, "events"), KEYS, order, latest=True)
     return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+BATCHES = 5
+
+
+@query(
+    "newest_kept",
+    f"""SELECT user_id, event_id, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % {BATCHES} DESC, ts DESC, event_id DESC) = 1""",
+)
+def newest_kept(spark, sf):
+    """The newest event of every user as it is kept over five batches, merged where they are of one size."""
+    path, events = scratch_path(spark, "kept"), t.table(spark, sf, "events")
+    for batch in range(BATCHES):
+        newest.add_batch(events.filter(F.col("event_id") % BATCHES == batch), batch, path, KEYS, SEQ)
+        newest.settle(spark, path, KEYS, SEQ)
+    return newest.read_newest(spark, path, KEYS, SEQ).select("user_id", "event_id", "event_type", "value")

@@ -1,4 +1,5 @@
 import json
+import random
 import os
 
 import pytest
@@ -96,3 +97,32 @@ def test_a_compacted_feed_goes_on(spark, tmp_path):
     assert {r.batch_id: r.n for r in feed.batch_totals(spark, small).collect()} == {-1: 2, 1: 2}
     feed.ingest_batch(spark.createDataFrame([(1, 9, "z")], SCHEMA), 0, _typed, small, ["k"], ["seq"], now())
     assert _present(spark, small)[0] == (1, 9, "Z")
+
+
+def test_the_newest_record_of_a_key_is_kept(spark, tmp_path):
+    """Over many batches the kept table equals the newest of all records, from a few generations; a replay changes nothing."""
+    from quern.plans import feed, newest
+    from quern.sources.changes import FANOUT, folder_spans
+
+    path, rng, rows = str(tmp_path / "feed"), random.Random(1), []
+    for batch in range(11):
+        own = [(rng.randrange(30), rng.randrange(100), f"{batch}:{i}") for i in range(40)]
+        frame = spark.createDataFrame(own, "k long, n long, v string")
+        for _ in range(2 if batch in (3, 7) else 1):
+            newest.add_batch(frame, batch, path, ["k"], ["n", "v"])
+            newest.settle(spark, path, ["k"], ["n", "v"])
+        rows += [(k, batch, n, v) for k, n, v in own]
+        if batch % 5 == 0:
+            want = {}
+            for k, b, n, v in sorted(rows):
+                want[k] = (n, v)
+            assert {r.k: (r.n, r.v) for r in newest.read_newest(spark, path, ["k"], ["n", "v"]).collect()} == want
+    assert len(folder_spans(spark, f"{path}/newest")) < FANOUT
+
+    (tmp_path / "landing").mkdir()
+    for step, text in enumerate(('{"k":1,"n":1}\n{"k":1,"n":2}\n', '{"k":1,"n":0}\n{"k":2,"n":1}\n')):
+        (tmp_path / f"landing/{step}.json").write_text(text)
+        run_feed(spark, str(tmp_path / "landing"), "k long, n long", str(tmp_path / "out"), lambda r: r, ["k"], ["n"], F.current_timestamp(), "json", keep_newest=True)
+    kept = newest.read_newest(spark, str(tmp_path / "out"), ["k"], ["n"])
+    assert sorted(map(tuple, kept.select("k", "n").collect())) == [(1, 0), (2, 1)]
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, feed.read_feed(spark, str(tmp_path / "out"), "typed", ["k"], ["n"]).collect()))
