@@ -553,21 +553,28 @@ def _verify_cell(rule: Rule):
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(u, v): the pairs that link, by their whole sets. pairs: fa, fb.
 
-    The pairs are dealt into a square of cells by the hashes of both sides, about CELL_PAIRS to a cell, and
-    each set is sent once to every cell that names it. So a set with very many pairs is sent to one row and
-    one column of cells, not once per pair.
+    A pair is verified in a cell of its set with more pairs, about CELL_PAIRS to a cell, and each set is sent once
+    to every cell that names it: one with many pairs to a few cells of its own, the others to it. So about one
+    set is sent per pair, at every number of pairs.
     """
     pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).distinct().join(reps.select("f", "k"), "f")
-    sets = whole_sets(docs, wanted, rule)
-    side = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5))
-    cell = [F.pmod(F.xxhash64(c), F.lit(side)).cast("int").alias(n) for c, n in (("fa", "row"), ("fb", "col"))]
-    dealt = pairs.select("fa", "fb", *cell)
+    degrees = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).groupBy("f").agg(F.count("*").alias("d"))
+    degrees = staged(degrees, "degrees")
+    sets = whole_sets(docs, degrees.select("f").join(reps.select("f", "k"), "f"), rule)
+    cells = max(1, pairs.count() // CELL_PAIRS)
+    known = pairs
+    for side in ("a", "b"):
+        known = known.join(degrees.select(F.col("f").alias(f"f{side}"), F.col("d").alias(f"d{side}")), f"f{side}")
+    own, other = F.greatest("da", "db"), F.when(F.col("da") > F.col("db"), F.col("fb")).when(F.col("da") < F.col("db"), F.col("fa")).otherwise(F.least("fa", "fb"))
+    key = F.when(other == F.col("fa"), F.col("fb")).otherwise(F.col("fa"))
+    row = F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("row")
+    col = F.pmod(F.xxhash64(other), F.ceil(own / CELL_PAIRS)).cast("int").alias("col")
+    dealt = known.select("fa", "fb", row, col)
     named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
     held = named.join(sets.hint("shuffle_merge"), "f").select("r", "c", "f", "shingles")
     links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell(rule), "u long, v long")
     links = staged(links, "links")
-    discard(pairs, sets)
+    discard(pairs, sets, degrees)
     return links
 
 
