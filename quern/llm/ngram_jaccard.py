@@ -345,7 +345,10 @@ def rooted_sets(docs: DataFrame, frequent: dict, rule: Rule) -> DataFrame:
     salted = entries.withColumn("salt", F.pmod("f", _blocks(F.col("root"))).cast("int"))
     dealt = salted.repartition("root", "salt").sortWithinPartitions("root", "salt", "n", "f")
     # Equal rows share root and salt, so a task has left one of them.
-    return staged(dealt.mapInArrow(_matched_batches(rule), "root long, f long, n int, pos int"), "roots")
+    found = staged(dealt.mapInArrow(_matched_batches(rule), "root long, f long, n int, pos int"), "roots")
+    sent.destroy()
+    shared.destroy()
+    return found
 
 
 def _may_link(n_a, pos_a, n_b, pos_b, percent: int):
@@ -524,7 +527,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     flags[got["w"].to_numpy()] = got["b"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(flags)
     found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_wanted_batches(sent, rule), "f long, shingles array<long>")
-    return staged(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
+    kept = staged(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
+    sent.destroy()
+    return kept
 
 
 def _verify_cell(rule: Rule):
