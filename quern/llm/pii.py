@@ -14,11 +14,14 @@ are bounded whatever the corpus; counts cover all spans of all documents.
 Null text: as an empty text, with no spans. Empty table: empty result. A corpus without proposals: the
 classifier has nothing to accept. Rows are handled one by one, so repeated rows and doc_ids give a row
 each. A span of equal kind and place is listed once; a proposal that overlaps a base span or an earlier
-accepted kind's span is dropped. Other columns are not read.
+proposed kind's span is dropped. The work on a text with many matches grows with their number, not its
+square. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,26 +52,60 @@ CALLING_CODES = "1|7|20|27|30|31|32|33|34|39|41|43|44|45|46|47|48|49|52|55|61|81
 CARD_STARTS = r"4|5[1-5]|2[2-7]|3[47]|6011|65"
 CONTEXT = r"(?i)(?:mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|payment|host|server|address|login|user|password|key|token|secret)\W{0,3}$"
 CONTEXT_CHARS = 16
+#: Matches of a text whose places are summed up in one run.
+RUN = 256
 ACCEPT = 0.5
 ROUNDS = 12
 VOTES = ("strict", "known", "context", "shape")
 TRAITS = ("kind", "length", "digits", "classes", "before", "after")
 
 
+def _starts(both: Column) -> Column:
+    """Where each match starts, from (g, m) gaps and matches: sums within runs of RUN matches, then over the runs.
+
+    An array that grows by a concat is copied each time, so none here grows beyond RUN or a RUN-th of the matches.
+    """
+    none = F.array().cast("array<int>")
+    length = lambda x: F.char_length(x["g"]) + F.char_length(x["m"])
+
+    def running(items: Column, lengths, at: Column, place) -> Column:
+        first = F.struct(at.alias("at"), none.alias("out"))
+        return F.aggregate(items, first, lambda a, x: F.struct((a["at"] + lengths(x)).alias("at"), F.concat(a["out"], F.array(place(a["at"], x))).alias("out")), lambda a: a["out"])
+
+    def of_runs(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + length(x)))
+        before = running(sums, lambda n: n, F.lit(0), lambda at, n: at)
+        return let(before, lambda b: F.flatten(F.transform(runs, lambda r, i: running(r, length, F.get(b, i), lambda at, x: at + F.char_length(x["g"])))))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(both) - 1) / RUN).cast("int"))
+    return F.when(F.size(both) == 0, none).otherwise(let(F.transform(cuts, lambda k: F.slice(both, k * RUN + 1, RUN)), of_runs))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All leftmost matches as struct(s, e, m): places in code points, end exclusive, and the match."""
+    """All leftmost matches as struct(s, e, m, before, after).
 
-    def placed(parts: Column) -> Column:
-        gaps, found = parts["gaps"], parts["found"]
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    s and e: places in code points, end exclusive; m: the match; before: up to CONTEXT_CHARS characters in front of
+    it; after: the next character. These come from the neighbouring gaps and matches, as a cut from the whole
+    text would read it from its start for every match.
+    """
+    tail = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+    def listed(both: Column, starts: Column, last: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            s = F.get(starts, i)
+            near = F.transform(F.slice(both, F.greatest(i - CONTEXT_CHARS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_CHARS))), lambda y: tail(F.concat(tail(y["g"]), y["m"])))
+            before = F.when(F.char_length(x["g"]) >= CONTEXT_CHARS, tail(x["g"])).otherwise(tail(F.concat(F.array_join(near, ""), x["g"])))
+            following = F.get(both, i + 1)
+            after = F.coalesce(F.concat(F.substring(following["g"], 1, 1), F.substring(following["m"], 1, 1)), last)
+            return F.struct(s.alias("s"), (s + F.char_length(x["m"])).alias("e"), x["m"].alias("m"), before.alias("before"), F.substring(after, 1, 1).alias("after"))
 
-        def add(a: Column, x: Column) -> Column:
-            start = a["at"] + F.char_length(x["g"])
-            end = start + F.char_length(x["m"])
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
+        return F.transform(both, one)
 
+    def placed(parts: Column) -> Column:
+        gaps, found = parts["gaps"], parts["found"]
         both = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("g"), m.alias("m")))
-        return F.aggregate(both, first, add, lambda a: a["out"])
+        last = F.substring(F.element_at(gaps, -1), 1, 1)
+        return let(both, lambda b: let(F.struct(_starts(b).alias("starts"), last.alias("last")), lambda x: listed(b, x["starts"], x["last"])))
 
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
 
@@ -100,10 +137,10 @@ def _octets(m: Column) -> Column:
 
 def _kind(found: Column, kind: str, keep=None) -> Column:
     good = found if keep is None else F.filter(found, lambda x: keep(x["m"]))
-    return F.transform(good, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.transform(good, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), *[x[c].alias(c) for c in ("s", "e", "m", "before", "after")]))
 
 
-_SPANS = "array<struct<k:int,s:int,e:int,m:string>>"
+_SPANS = "array<struct<k:int,s:int,e:int,m:string,before:string,after:string>>"
 
 
 def _if(test: Column, value: Column) -> Column:
@@ -125,17 +162,41 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _overlaps(x: Column, others: Column) -> Column:
+    """Whether x overlaps one of others, which are by start and do not overlap each other; found by halving.
+
+    The last one that starts before x ends is the only one that has to be looked at.
+    """
+    steps = F.transform(F.sequence(F.length(F.bin(F.size(others))).cast("int") - 1, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    at = F.aggregate(steps, F.lit(0), lambda a, n: F.when(F.coalesce(F.get(others, a + n - 1)["s"] < x["e"], F.lit(False)), a + n).otherwise(a))
+    return F.coalesce(F.get(others, at - 1)["e"] > x["s"], F.lit(False))
+
+
 def proposed_spans(text: Column, base: Column) -> Column:
-    """Further spans for the classifier, none of them overlapping a base span."""
+    """Further spans for the classifier, none of them overlapping a base span or one proposed for an earlier kind."""
     digit = text.rlike("[0-9]")
-    wide = F.concat(
+    wide = [
         _if(text.rlike(r"(?i)[\[(]at[\])]"), _kind(spans(text, WIDE_EMAIL), "email")),
         _if(digit & text.rlike("[0-9](?:[ -]?[0-9]){11}"), _kind(spans(text, CARD), "card", lambda m: _few_digits(m, 12, 19))),
         _if(digit, _kind(spans(text, WIDE_PHONE), "phone")),
         _if(text.rlike(SECRET_SIGN), _kind(spans(text, SECRET), "secret")),
-    )
-    apart = F.filter(wide, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.filter(apart, lambda x, i: ~F.exists(F.slice(apart, F.lit(1), i), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    ]
+    of_kind = lambda k: F.filter(base, lambda b: b["k"] == k)
+    base_kinds = [of_kind(k) for k in range(KINDS.index("secret"))]
+
+    def apart(spans_: Column, rows: Column, lists: list[str]) -> Column:
+        return F.filter(spans_, lambda x: ~reduce(lambda found, name: found | _overlaps(x, rows[name]), lists, F.lit(False)))
+
+    def kept(rows: Column) -> Column:
+        """What overlaps no base span of any kind."""
+        names = [f"b{k}" for k in range(len(base_kinds))]
+        return F.struct(*[apart(rows[f"w{i}"], rows, names).alias(f"w{i}") for i in range(len(wide))])
+
+    def first(rows: Column) -> Column:
+        return F.concat(*[apart(rows[f"w{i}"], rows, [f"w{j}" for j in range(i)]) for i in range(len(wide))])
+
+    every = F.struct(*[b.alias(f"b{k}") for k, b in enumerate(base_kinds)], *[w.alias(f"w{i}") for i, w in enumerate(wide)])
+    return let(let(every, kept), first)
 
 
 def _vote(test: Column) -> Column:
@@ -150,12 +211,9 @@ def _by_kind(kind: Column, **columns: Column) -> Column:
     return out
 
 
-def labeled(x: Column, text: Column) -> Column:
+def labeled(x: Column) -> Column:
     """A span with its votes (1 for, 0 against, -1 none) and its traits."""
-    k, m = x["k"], x["m"]
-    start = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, start + 1, x["s"] - start)
-    next_char = F.substring(text, x["e"] + 1, F.lit(1))
+    k, m, before, next_char = x["k"], x["m"], x["before"], x["after"]
     digits = _digits(m)
     many = F.char_length(digits)
     letters = m.rlike("[A-Za-z]")
@@ -265,8 +323,8 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     both = let(
         base_spans(F.col("_text")),
         lambda base: F.struct(
-            F.transform(base, lambda x: labeled(x, F.col("_text"))).alias("base"),
-            F.transform(proposed_spans(F.col("_text"), base), lambda x: labeled(x, F.col("_text"))).alias("more"),
+            F.transform(base, labeled).alias("base"),
+            F.transform(proposed_spans(F.col("_text"), base), labeled).alias("more"),
         ),
     )
     maybe = F.col("_text").rlike(rf"[0-9@]|(?i:[\[(]at[\])])|{SECRET_SIGN}")

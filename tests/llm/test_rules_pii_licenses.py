@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,40 @@ def test_license_odd(odd_docs, no_docs):
     got = licenses.scan_licenses(odd_docs.withColumn("labels", F.lit("clash")))
     assert got.count() == 11 and got.where("n_base > 0").count() == 0
     assert licenses.scan_licenses(no_docs).count() == 0
+
+
+def test_context_of_spans_is_that_of_the_text(make_docs):
+    """before and after equal cuts from the text, also where matches touch, stand close or lie at an end; runs of places join up."""
+    cases = ["a@b.co", "x a@b.co", "a@b.co\U0001f600", "漢" * 20 + "a@b.co c@d.eu,e@f.org" + "é" * 3, "k@l.mn " * 700, "no match", ""]
+    docs = make_docs(list(enumerate(cases)))
+    got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", pii.spans(F.col("text"), pii.EMAIL).alias("x")).collect()}
+    for i, text in enumerate(cases):
+        want = [(s, e, text[s:e], text[max(0, s - 16) : s], text[e : e + 1]) for k, s, e in plain.pii(text) if k == "email"]
+        assert [tuple(x) for x in got[i]] == want
+
+
+def test_proposals_apart_from_base_and_earlier_kinds(make_docs):
+    """The dropped and kept proposals of texts in which the kinds overlap each other, against all pairs."""
+    cases = [
+        "token=555-123-4567 secret: 4111111111111112 password=(316) 555-2121", "pwd=me(at)home(dot)org 4111 1111 1111 1112", "secret=a@b.co token=1.2.3.4 x",
+        "1234 5678 9012 3456-7 555-123-4567 token: +49 30 1234567", "apikey=4111111111111111 4111111111111112 " * 9,
+    ]
+    docs = make_docs(list(enumerate(cases)))
+    rows = docs.withColumn("base", pii.base_spans(F.col("text")))
+    wide = [("WIDE_EMAIL", 0), ("CARD", 2), ("WIDE_PHONE", 3), ("SECRET", 4)]
+    rows = rows.select("doc_id", "base", pii.proposed_spans(F.col("text"), F.col("base")).alias("more"), *[pii.spans(F.col("text"), getattr(pii, n)).alias(n) for n, _ in wide])
+    for r in rows.collect():
+        base = [(b["s"], b["e"]) for b in r["base"]]
+        free = [(k, x["s"], x["e"]) for n, k in wide for x in r[n] if k != 2 or 12 <= sum(c.isdigit() for c in x["m"]) <= 19]
+        free = [x for x in free if not any(s < x[2] and x[1] < e for s, e in base)]
+        want = [x for i, x in enumerate(free) if not any(y[1] < x[2] and x[1] < y[2] for y in free[:i])]
+        assert [(x["k"], x["s"], x["e"]) for x in r["more"]] == want
+
+
+def test_many_matches_in_one_text(make_docs):
+    """Work grows with the matches of a text, not with their square."""
+    began = time.monotonic()
+    text = "a1@b.co 555-123-4567 " * 40_000
+    row = pii.find_pii(make_docs([(1, text)])).select(F.size("base").alias("n"), F.element_at("base", -1).alias("x")).first()
+    assert (row["n"], row["x"]["s"], row["x"]["e"]) == (40_000, 21 * 39_999, 21 * 39_999 + 7)
+    assert time.monotonic() - began < 60
