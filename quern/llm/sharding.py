@@ -3,8 +3,8 @@
 Records are ordered by (hash of the text, hash of doc_id). Keys are sampled with a chance in proportion
 to their size; weighted quantiles of the sample cut the order into ranges, and each range whose exact
 row count or byte count is too high is cut again from a sample of its own. With exact totals per range,
-a running sum inside each range gives every record its byte position, and the position its shard. So a
-window holds one range, never a shard, and a group of copies that is larger than a range is cut by
+a running sum inside each range gives every record its byte position, and the middle of it its shard: each
+boundary lies within half a record of its even place. So a window holds one range, never a shard, and a group of copies that is larger than a range is cut by
 doc_id like any other run of keys. A group below GROUP_SHARE of a shard stays whole.
 
 Null text: 0 bytes of text; null texts count as equal. Null doc_id and repeated rows: placed like any
@@ -132,7 +132,9 @@ def place(rows: DataFrame, bounds, totals: dict[int, tuple[int, int]], shards: i
         .withColumns({"_group": F.sum("size").over(group), "_first": F.min("_run").over(group)})
         .join(before, "_range")
     )
-    position = F.col("_bytes") + F.when(F.col("_group") <= GROUP_SHARE * share, F.col("_first")).otherwise(F.col("_run"))
+    # By the middle of the record or of its group, so that a boundary errs by half of it at most, to either side.
+    whole_group = F.col("_first") + F.col("_group") / 2
+    position = F.col("_bytes") + F.when(F.col("_group") <= GROUP_SHARE * share, whole_group).otherwise(F.col("_run") + F.col("size") / 2)
     return placed.withColumns({
         "shard": F.least(F.floor(position / share), F.lit(shards - 1)).cast("int"),
         "_row": F.col("_rows") + F.col("_no") - 1,

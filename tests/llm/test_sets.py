@@ -225,6 +225,15 @@ def test_shards_of_a_hot_group(make_docs, monkeypatch):
     assert len({r["shard"] for r in got if r["doc_id"] < 900}) > 1
 
 
+def test_boundaries_lie_within_half_a_record(spark):
+    """The bytes up to the end of every shard are off their even share by half of the largest record or less."""
+    rows = QUERIES["op3_sampled_splitters"](spark, "/root/testdata/sf0.01").collect()
+    share, most, seen = sum(r["size"] for r in rows) / 40, max(r["size"] for r in rows), 0
+    for s in range(39):
+        seen += sum(r["size"] for r in rows if r["shard"] == s)
+        assert abs(seen - (s + 1) * share) <= most / 2 + 1
+
+
 def test_written_shards(make_docs, spark, tmp_path):
     docs = make_docs([(i, "word " * (i % 17)) for i in range(300)])
     sharding.write_shards(docs, str(tmp_path / "shards"), 5)
