@@ -10,16 +10,20 @@ The frequent part of the automaton, n-grams that make up at least SENT_SHARE of
 to every task and traversed there; no more than 1 / SENT_SHARE n-grams of an order can reach the share. The
 rest stays in distributed tables that grow with the corpus. What a rare n-gram changes in the score of a
 text that holds it (its arc's log weight less that of the failure path, plus its own backoff weight as a
-history) does not depend on the rest of the text, so the texts' rare n-grams travel to the tables by a
-shuffled join, and the sums come back. Bit maps of fixed size pass over most n-grams that the tables lack.
+history) does not depend on the rest of the text, so the hashes of the texts' rare n-grams travel to the
+tables by one shuffled join, each text's own figures among them, and the sums come back; nothing is written
+before. Bit maps of fixed size pass over most n-grams that the tables lack. Tables and broadcasts go as soon as
+nothing reads them, since the disk they take grows with the kept n-grams.
 
 Null text: as an empty text, which is one end token. Empty table: empty result. No training text: every
 token has the same smoothed probability. Repeated rows and doc_ids are scored row by row and counted as
-often as they stand. Other columns are not read. Words and pairs are compared by 64-bit hashes.
+often as they stand. Other columns are not read. Words, pairs and triples are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import flat
 from quern.llm.columns import remainder
-from quern.session import staged
+from quern.session import discard, staged
 
 ORDER = 3
 #: The smallest count of a kept n-gram, and the share of all tokens from which it is sent to every task.
@@ -45,6 +49,8 @@ MERGE_AT = 3 << 20
 LANE = 256
 #: Bits of the maps by which n-grams that are not kept are passed over.
 KEPT_BITS = 1 << 27
+#: What a row on its way to the tables is: a word, a pair or triple, or the figures of its text.
+WORD, GRAM, TEXT = 0, 1, 2
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -122,27 +128,42 @@ class _GramCounter:
 
     def __init__(self):
         none = np.zeros(0, np.int64)
-        self.held, self.waiting, self.size = (none, none, none, none), [], 0
+        self.held, self.waiting, self.size = (none, none, none, np.zeros(0, np.int32)), [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.waiting.append((_gram_key(a, b), a, b, np.ones(len(a), np.int64)))
+        self.waiting.append((a, b))
         self.size += len(a)
-        if self.size >= MERGE_AT:
+        if self.size >= MERGE_AT // 2:  # a gram takes the room of two values
             self.merge()
 
-    def merge(self) -> None:
-        keys, a, b, n = (np.concatenate(x) for x in zip(self.held, *self.waiting))
+    @staticmethod
+    def _merged(parts: list[list[np.ndarray]]) -> tuple:
+        """The rows of parts (columns key, a, b, n) with equal keys added up; takes the columns out of parts one by one, to hold few at a time."""
+        keys = np.concatenate([x.pop(0) for x in parts])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-        self.held = (keys[first], a[order][first], b[order][first], np.add.reduceat(n[order], first) if len(first) else n)
-        self.waiting, self.size = [], 0
+        keys, chosen = keys[first], order[first]
+        a, b = (np.concatenate([x.pop(0) for x in parts])[chosen] for _ in range(2))
+        n = np.concatenate([x.pop(0) for x in parts])
+        return keys, a, b, np.add.reduceat(n[order], first) if len(first) else n
+
+    def merge(self) -> None:
+        waiting, self.waiting, self.size = self.waiting, [], 0
+        if not waiting:
+            return
+        a, b = (np.concatenate([x[i] for x in waiting]) for i in range(2))
+        del waiting
+        new = [_gram_key(a, b), a, b, np.ones(len(a), np.int32)]
+        del a, b
+        held, self.held = list(self.held), ()
+        self.held = self._merged([held, new])
 
     def batches(self, step: int = 1 << 17):
         self.merge()
         _, a, b, n = self.held
         for at in range(0, len(a), step):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + step]) for x in (a, b, n)], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + step].astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
 
 
 def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
@@ -200,14 +221,19 @@ def word_ids(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return flat.lookup(words, flat.signed(tokens))
 
 
-def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: float, sent_from: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The arcs and backoff weights of all kept n-grams.
 
     Probabilities are interpolated: (c - D) / c(history) plus the history's backoff weight times the
-    probability after the shorter history. words: v, n, p (smoothed share), fail. pairs and triples: a, b,
-    n, k, p, over (what the arc adds to the log10 weight of the failure path); pairs also have fail.
+    probability after the shorter history. words: v, n, p (smoothed share), fail. pairs and triples: k, n, p,
+    over (what the arc adds to the log10 weight of the failure path), and a and b of those that stand at least
+    sent_from times; pairs also have fail.
     """
 
+    def slim(rows, *columns):
+        often = F.col("n") >= sent_from
+        return rows.select("k", "n", "over", *columns, *[F.when(often, F.col(c)).alias(c) for c in ("a", "b")])
+
     def with_fail(rows, key, longer):
         sums = longer.groupBy("a").agg(F.sum(F.col("n") - DISCOUNT).alias("_s")).withColumnRenamed("a", key)
         fail = F.greatest(1 - F.coalesce("_s", F.lit(0.0)) / F.col("n"), F.lit(1e-12))
@@ -220,8 +246,21 @@ def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: flo
         return both.withColumn("over", F.log10("p") - F.log10("_fail") - F.log10("_p")).drop("_n", "_fail", "_p")
 
     words = staged(with_fail(counts, "v", pairs).withColumn("p", (F.col("n") + ADDED) / F.lit(whole)), "word_weights")
-    pairs = staged(with_fail(with_arcs(pairs, words, "v"), "k", triples), "pair_weights")
-    return words, pairs, staged(with_arcs(triples, pairs, "k"), "triple_weights")
+    pairs = staged(slim(with_fail(with_arcs(pairs, words, "v"), "k", triples), "p", "fail"), "pair_weights")
+    often = F.when(F.col("n") >= sent_from, F.col("p")).alias("p")
+    return words, pairs, staged(slim(with_arcs(triples, pairs, "k"), often), "triple_weights")
+
+
+def rare_values(tables: tuple[DataFrame, DataFrame, DataFrame], sent_from: float) -> DataFrame:
+    """(part, k, n, more): what each kept n-gram that is not in the automaton adds to a score; n of words only; written once."""
+    words, pairs, triples = (rows.where(F.col("n") < sent_from) for rows in tables)
+
+    def part(rows, number, key, n, more):
+        return rows.select(F.lit(number).cast("byte").alias("part"), F.col(key).alias("k"), n.cast("long").alias("n"), more.alias("more"))
+
+    of_words = part(words, WORD, "v", F.col("n"), F.log10("fail"))
+    of_pairs = part(pairs, GRAM, "k", F.lit(None), F.col("over") + F.log10("fail"))
+    return staged(of_words.unionByName(of_pairs).unionByName(part(triples, GRAM, "k", F.lit(None), F.col("over"))), "values")
 
 
 def build_automaton(words: DataFrame, pairs: DataFrame, triples: DataFrame, least: float) -> dict[str, np.ndarray]:
@@ -301,26 +340,37 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
     return np.bincount(row, total, minlength=len(lengths)) if len(row) else np.zeros(len(lengths))
 
 
-_SCORED = "row long, n_tokens long, n_known long, base double, score double, rest array<long>, rare_a array<long>, rare_b array<long>"
+#: The key comes last: what stands before it is mostly as in the row before, so a shuffled row takes little more than its key.
+_SENT = "n_tokens long, n_known long, base double, score double, row long, part byte, k long"
 
 
-def _rare(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, a and b of the pairs and triples that may be kept but are not in the automaton."""
-    words, good2, keys, good3 = _triples(maps[0], maps[1], tokens)
+def _rare(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the pairs and triples that may be kept but are not in the automaton."""
+    _, good2, keys, good3 = _triples(maps[0], maps[1], tokens)
     at2 = np.flatnonzero(good2)
     at2 = at2[flat.lookup(automaton["pairs"], keys[at2]) < 0]
     at3 = np.flatnonzero(good3)
     key3 = _gram_key(keys[at3], keys[at3 + 1])
     maybe = _may_hold(maps[2], key3)
-    at3 = at3[maybe][flat.lookup(automaton["triples"], key3[maybe]) < 0]
-    places = np.concatenate([at2, at3])
-    order = np.argsort(places, kind="stable")
-    return places[order], np.concatenate([words[at2], keys[at3]])[order], np.concatenate([words[at2 + 1], keys[at3 + 1]])[order]
+    at3, key3 = at3[maybe], key3[maybe]
+    new = flat.lookup(automaton["triples"], key3) < 0
+    return np.concatenate([at2, at3[new]]), np.concatenate([keys[at2], key3[new]])
+
+
+def _packed_map(flags: np.ndarray) -> bytes:
+    return zlib.compress(flags.tobytes(), 1)
+
+
+def _unpacked_map(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
 
 
 def _score_batches(model):
+    """Rows for the join with the tables: the words and n-grams that the automaton lacks, and a row of each text's figures."""
+
     def run(batches):
-        automaton, maps = model.value
+        automaton, packed = model.value
+        maps = tuple(_unpacked_map(x) for x in packed)
         number = TaskContext.get().partitionId() << 40
         for batch in flat.pieces(batches, "text"):
             tokens, before = _tokens(batch)
@@ -328,16 +378,19 @@ def _score_batches(model):
             known = ids >= 0
             base = flat.row_sums(np.where(known, automaton["root"][ids] if len(automaton["root"]) else 0.0, 0.0), before)
             score = traverse(automaton, ids, before)
-            rest = flat.signed(tokens[~known])
-            offsets = np.concatenate([[0], np.cumsum(~known)])[before]
-            places, a, b = _rare(automaton, maps, tokens)
-            rare = pa.array(np.searchsorted(places, before).astype(np.int32))
-            rows = np.arange(number, number + batch.num_rows)
+            places, grams = _rare(automaton, maps, tokens)
+            rest = np.flatnonzero(~known)
+            own = np.arange(batch.num_rows)
+            row = np.concatenate([np.searchsorted(before, x, side="right") - 1 for x in (rest, places)] + [own])
+            key = np.concatenate([flat.signed(tokens[rest]), grams, flat.signed(flat.mix((number + own).astype(np.uint64)))])
+            part = np.repeat(np.array([WORD, GRAM, TEXT], np.int8), [len(rest), len(places), len(own)])
+            # Rows of a text stand together, so that a shuffle compresses them well.
+            order = np.argsort(row, kind="stable")
+            text = pa.array(np.where(part == TEXT, row, 0)[order].astype(np.int32), mask=part[order] != TEXT)
+            figures = [batch.column("doc_id"), *(pa.array(x) for x in (np.diff(before), flat.row_sums(known.astype(np.int64), before), base, score))]
+            columns = [*(x.take(text) for x in figures), *(pa.array(x[order]) for x in (number + row, part, key))]
             number += batch.num_rows
-            columns = [batch.column("doc_id"), pa.array(rows), pa.array(np.diff(before)), pa.array(flat.row_sums(known.astype(np.int64), before)), pa.array(base), pa.array(score)]
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rest)))
-            columns += [pa.ListArray.from_arrays(rare, pa.array(x)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest", "rare_a", "rare_b"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base", "score", "row", "part", "k"])
 
     return run
 
@@ -354,24 +407,30 @@ def _model(docs: DataFrame, least_share: float) -> dict:
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(sizes["n"] or 0), int(sizes["v"])
     least = max(float(LEAST), least_share * total)
-    kept_words = send(_kept_map(counts.where(F.col("n") >= least), "v"))
+    word_map = _kept_map(counts.where(F.col("n") >= least), "v")
+    kept_words = send(word_map)
 
     def pairs_of(batch):
         words, good = _pairs(kept_words.value, _tokens(batch)[0])
         return words[:-1][good], words[1:][good]
 
     pairs = _count_grams(texts, pairs_of, least)
-    kept_pairs = send(_kept_map(pairs, "k"))
+    pair_map = _kept_map(pairs, "k")
+    kept_pairs = send(pair_map)
 
     def triples_of(batch):
         _, _, keys, good = _triples(kept_words.value, kept_pairs.value, _tokens(batch)[0])
         return keys[:-1][good], keys[1:][good]
 
     triples = _count_grams(texts, triples_of, least)
-    tables = weighted(counts, pairs, triples, total + ADDED * (kinds + 1))
-    automaton = build_automaton(*tables, max(least, SENT_SHARE * total))
-    maps = (kept_words.value, kept_pairs.value, _kept_map(triples, "k"))
-    return {"automaton": automaton, "maps": maps, "tables": tables, "counts": counts, "total": total, "kinds": kinds}
+    kept_words.destroy()
+    kept_pairs.destroy()
+    maps = tuple(_packed_map(x) for x in (word_map, pair_map, _kept_map(triples, "k")))
+    sent_from = max(least, SENT_SHARE * total)
+    tables = weighted(counts, pairs, triples, total + ADDED * (kinds + 1), sent_from)
+    discard(pairs, triples)
+    automaton = build_automaton(*tables, sent_from)
+    return {"automaton": automaton, "maps": maps, "tables": tables, "counts": counts, "total": total, "kinds": kinds, "sent_from": sent_from}
 
 
 def train(docs: DataFrame, least_share: float = 0.0) -> tuple[dict, DataFrame, int, int]:
@@ -386,21 +445,17 @@ def train(docs: DataFrame, least_share: float = 0.0) -> tuple[dict, DataFrame, i
 def score_texts(docs: DataFrame, training: DataFrame, least_share: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     model = _model(training, least_share)
-    words, pairs, triples = model["tables"]
+    values = rare_values(model["tables"], model["sent_from"])
+    discard(model["counts"], *model["tables"])
     sent = docs.sparkSession.sparkContext.broadcast((model["automaton"], model["maps"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Written once: the row numbers must be those that the joins below meet.
-    scored = staged(docs.select("doc_id", "text").mapInArrow(_score_batches(sent), f"doc_id {kind}, {_SCORED}"), "scored")
+    rows = docs.select("doc_id", "text").mapInArrow(_score_batches(sent), f"doc_id {kind}, {_SENT}")
     whole = float(np.log10(model["total"] + ADDED * (model["kinds"] + 1)))
-    rest = scored.select("row", F.explode("rest").alias("v")).join(words.select("v", "n", "fail").hint("shuffle_merge"), "v", "left")
-    smoothed = F.log10(F.coalesce("n", F.lit(0)) + ADDED) - whole
-    of_words = rest.select("row", smoothed.alias("p"), F.coalesce(F.log10("fail"), F.lit(0.0)).alias("more"), F.col("n").isNotNull().cast("long").alias("known"))
-    values = pairs.select("a", "b", (F.col("over") + F.log10("fail")).alias("more")).unionByName(triples.select("a", "b", F.col("over").alias("more")))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare_a", "rare_b")).alias("x")).select("row", F.col("x.rare_a").alias("a"), F.col("x.rare_b").alias("b"))
-    of_grams = rare.join(values.hint("shuffle_merge"), ["a", "b"]).select("row", F.lit(0.0).alias("p"), "more", F.lit(0).cast("long").alias("known"))
-    sums = of_words.unionByName(of_grams).groupBy("row").agg(F.sum("p").alias("p"), F.sum("more").alias("more"), F.sum("known").alias("known"))
-    p, more = (F.coalesce(c, F.lit(0.0)) for c in ("p", "more"))
-    return scored.drop("rest", "rare_a", "rare_b").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model["total"]).cast("long").alias("train_tokens"), (F.col("base") + p).alias("base_score"), (F.col("score") + p + more).alias("score"),
+    smoothed = F.when(F.col("part") == WORD, F.log10(F.coalesce("n", F.lit(0)) + ADDED) - whole)
+    met = rows.join(values.hint("shuffle_hash"), ["part", "k"], "left").withColumns({"p": smoothed, "known": F.col("n").isNotNull().cast("long")})
+    of_text = [F.max("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "score"))]
+    sums = met.groupBy("row").agg(*of_text, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("p", "more", "known")))
+    return sums.select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"),
+        F.lit(model["total"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("p")).alias("base_score"), (F.col("score") + F.col("p") + F.col("more")).alias("score"),
     )

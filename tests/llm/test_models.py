@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import flat, language_id, language_model, quality_ranking
 from quern.llm.queries import QUERIES
+from quern.session import checkpoint_root
 
 from . import plain
 
@@ -205,6 +207,28 @@ def test_rare_ngrams_are_scored_exactly(make_docs, monkeypatch):
         assert r["score"] == pytest.approx(score(t), rel=1e-9)
 
 
+def test_scoring_leaves_only_what_it_reads(make_docs, spark):
+    folder = Path(checkpoint_root(spark).removeprefix("file:"))
+    docs = make_docs([(i, f"some words stand here and there {i % 3} and some words stand again") for i in range(20)])
+    before = set(folder.iterdir())
+    assert language_model.score_texts(docs, docs).count() == 20
+    left = [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before]
+    assert left == ["values"]
+
+
+def test_gram_counts_at_any_merge(monkeypatch):
+    monkeypatch.setattr(language_model, "MERGE_AT", 64)
+    rng = np.random.default_rng(3)
+    counter, want = language_model._GramCounter(), Counter()
+    assert not list(counter.batches())
+    for _ in range(30):
+        a, b = rng.integers(0, 9, 10), rng.integers(0, 9, 10)
+        counter.add(a, b)
+        want.update(zip(a.tolist(), b.tolist()))
+    got = [row for batch in counter.batches() for row in zip(*(c.to_pylist() for c in batch.columns))]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
 def test_op7(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     import zlib
