@@ -63,6 +63,12 @@ _KEY_SHIFT = 58
 _FREQUENT_CLASS = np.uint64(48)
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """The join by shuffles at every size. Small sides would else pass through the driver, and over the many joins
+    of a run their hash tables and copies take more of its memory than anything else."""
+    return left.join(right.hint("shuffle_merge"), on, how)
+
+
 @dataclass(frozen=True)
 class Rule:
     """What links: words of a shingle and the least Jaccard similarity in percent."""
@@ -360,7 +366,7 @@ def _may_link(n_a, pos_a, n_b, pos_b, percent: int):
 def central_pairs(rooted: DataFrame, rule: Rule) -> DataFrame:
     """(fa, fb): every set with the central one of each of its roots, the one with the fewest rarer shingles."""
     central = rooted.groupBy("root").agg(F.min(F.struct("pos", "f", "n")).alias("c"))
-    both = rooted.join(central, "root").where(F.col("f") != F.col("c.f"))
+    both = _met(rooted, central, "root").where(F.col("f") != F.col("c.f"))
     smaller = (F.col("n") < F.col("c.n")) | ((F.col("n") == F.col("c.n")) & (F.col("f") < F.col("c.f")))
     own, other = [F.col(x) for x in ("n", "pos")], [F.col(f"c.{x}") for x in ("n", "pos")]
     good = F.when(smaller, _may_link(*own, *other, rule.percent)).otherwise(_may_link(*other, *own, rule.percent))
@@ -463,19 +469,19 @@ def traversed_pairs(rooted: DataFrame, reps: DataFrame, labels: DataFrame, rule:
     labels: (f, comp). In a root of several blocks, sets outside its largest component are guests of the
     blocks that are not their own.
     """
-    rows = rooted.join(labels, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
+    rows = _met(rooted, labels, "f", "left").withColumn("comp", F.coalesce("comp", "f"))
     # Most roots hold sets of one component only, which need neither a tree nor their signatures.
     mixed = rows.groupBy("root").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("root")
-    rows = staged(rows.join(mixed, "root", "left_semi"), "mixed").withColumn("blocks", _blocks(F.col("root")))
+    rows = staged(_met(rows, mixed, "root", "left_semi"), "mixed").withColumn("blocks", _blocks(F.col("root")))
     few = rows.where("blocks = 1").select("root", F.lit(0).alias("salt"), "f", "n", "pos", "comp", F.lit(False).alias("guest"))
     many = rows.where("blocks > 1")
     sizes = many.groupBy("root", "comp").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("root").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
     own = F.pmod("f", F.col("blocks")).cast("int")
-    split = many.join(largest, "root").withColumn("own", own)
+    split = _met(many, largest, "root").withColumn("own", own)
     every = F.when(F.col("comp") == F.col("largest"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = split.select("root", F.explode(every).alias("salt"), "f", "n", "pos", "comp", "own").withColumn("guest", F.col("salt") != F.col("own")).drop("own")
-    signed = few.unionByName(split).join(reps.select("f", "sig"), "f")
+    signed = _met(few.unionByName(split), reps.select("f", "sig"), "f")
     dealt = signed.repartition("root", "salt").sortWithinPartitions("root", "salt", "n", "f")
     return dealt.mapInArrow(_tree_batches(rule), "fa long, fb long").distinct()
 
@@ -496,7 +502,7 @@ def _bound_batches(rule: Rule):
 def bounded_pairs(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose signatures leave a link possible."""
     side = lambda x: reps.select(F.col("f").alias(f"f{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), "fa").join(side("b"), "fb").mapInArrow(_bound_batches(rule), "fa long, fb long")
+    return _met(_met(pairs, side("a"), "fa"), side("b"), "fb").mapInArrow(_bound_batches(rule), "fa long, fb long")
 
 
 def _wanted_batches(wanted, rule: Rule):
@@ -527,7 +533,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     flags[got["w"].to_numpy()] = got["b"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(flags)
     found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_wanted_batches(sent, rule), "f long, shingles array<long>")
-    kept = staged(found.join(wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
+    kept = staged(_met(found, wanted.select("f"), "f", "left_semi").dropDuplicates(["f"]), "shingles")
     sent.destroy()
     return kept
 
@@ -565,18 +571,18 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) ->
     pairs = staged(pairs, "pairs")
     degrees = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).groupBy("f").agg(F.count("*").alias("d"))
     degrees = staged(degrees, "degrees")
-    sets = whole_sets(docs, degrees.select("f").join(reps.select("f", "k"), "f"), rule)
+    sets = whole_sets(docs, _met(reps.select("f", "k"), degrees.select("f"), "f"), rule)
     cells = max(1, pairs.count() // CELL_PAIRS)
     known = pairs
     for side in ("a", "b"):
-        known = known.join(degrees.select(F.col("f").alias(f"f{side}"), F.col("d").alias(f"d{side}")), f"f{side}")
+        known = _met(known, degrees.select(F.col("f").alias(f"f{side}"), F.col("d").alias(f"d{side}")), f"f{side}")
     own, other = F.greatest("da", "db"), F.when(F.col("da") > F.col("db"), F.col("fb")).when(F.col("da") < F.col("db"), F.col("fa")).otherwise(F.least("fa", "fb"))
     key = F.when(other == F.col("fa"), F.col("fb")).otherwise(F.col("fa"))
     row = F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("row")
     col = F.pmod(F.xxhash64(other), F.ceil(own / CELL_PAIRS)).cast("int").alias("col")
     dealt = known.select("fa", "fb", row, col)
     named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
-    held = named.join(sets.hint("shuffle_merge"), "f").select("r", "c", "f", "shingles")
+    held = _met(named, sets, "f").select("r", "c", "f", "shingles")
     links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell(rule), "u long, v long")
     links = staged(links, "links")
     discard(pairs, sets, degrees)
@@ -593,15 +599,15 @@ def grouped_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     second = verified(traversed_pairs(rooted, reps, labels, rule), docs, reps, rule)
     discard(rooted)
     labels = components(first.unionByName(second)).select(F.col("v").alias("f"), F.col("label").alias("group"))
-    return sets, reps.select("f", "n", "least").join(labels, "f", "left").withColumn("group", F.coalesce("group", "f"))
+    return sets, _met(reps.select("f", "n", "least"), labels, "f", "left").withColumn("group", F.coalesce("group", "f"))
 
 
 def link_groups(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     sets, grouped = grouped_sets(docs, rule)
     least = grouped.groupBy("group").agg(F.min("least").alias("group_id"))
-    named = grouped.join(least, "group").select("f", "n", "group_id")
-    out = sets.select("doc_id", "n", "f").join(named, ["f", "n"], "left")
+    named = _met(grouped, least, "group").select("f", "n", "group_id")
+    out = _met(sets.select("doc_id", "n", "f"), named, ["f", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -612,9 +618,9 @@ def drop_near_copies(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
     """
     sets, grouped = grouped_sets(docs, rule)
     member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
-    of_groups = sets.where("n > 0").join(grouped.select("f", "n", "group"), ["f", "n"]).groupBy("group").agg(F.min(member).alias("m")).select("m.doc_id", "m.t")
+    of_groups = _met(sets.where("n > 0"), grouped.select("f", "n", "group"), ["f", "n"]).groupBy("group").agg(F.min(member).alias("m")).select("m.doc_id", "m.t")
     kept = of_groups.unionByName(sets.where("n = 0").select("doc_id", "t"))
     kept = staged(kept.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "kept")
     keyed = docs.withColumns({"_doc": F.col("doc_id"), "_text": F.xxhash64("text")})
-    found = keyed.join(kept.hint("shuffle_merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
+    found = _met(keyed, kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
     return found.dropDuplicates(["_doc", "_text"]).select(*[found[f"`{c}`"] for c in docs.columns])

@@ -365,3 +365,13 @@ def test_pipeline_odd(odd_docs, no_docs, spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             docs.count()
+
+
+def test_joins_of_near_copies_do_not_pass_through_the_driver(spark):
+    rooted = spark.createDataFrame([(1, 10, 20, 0), (1, 11, 20, 1)], "root long, f long, n int, pos int")
+    reps = spark.createDataFrame([(10, 20, b"x"), (11, 20, b"y")], "f long, n long, sig binary")
+    pairs = ngram_jaccard.central_pairs(rooted, ngram_jaccard.QUERY)
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    for frame in (pairs, ngram_jaccard.bounded_pairs(pairs, reps, ngram_jaccard.QUERY), components._large_star(edges)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {(r["v"], r["label"]) for r in components.components(edges).collect()} == {(1, 1), (2, 1), (3, 1)}
