@@ -43,8 +43,8 @@ ADDED = 0.1
 FOLDS = 10
 #: Ids take this many bits in packed n-grams; 1 / SENT_SHARE must be below 2 ** ID_BITS.
 ID_BITS = 20
-#: Counted values that a task gathers before it merges equal ones.
-MERGE_AT = 3 << 20
+#: Counted values that a task gathers before it merges equal ones; with HAND_ON, this sets the memory of a counting task.
+MERGE_AT = 1 << 20
 #: Tokens that one lane of the traversal reads.
 LANE = 256
 #: Bits of the maps by which n-grams that are not kept are passed over.
@@ -97,8 +97,8 @@ class _Counter:
             yield pa.RecordBatch.from_arrays([pa.array(self.values[at : at + step]), pa.array(self.counts[at : at + step])], names=["v", "n"])
 
 
-#: A task hands on what it has counted once it holds this many distinct values.
-HAND_ON = 4 << 20
+#: A task hands on what it has counted once it holds this many distinct values; Spark adds up its parts before the shuffle.
+HAND_ON = 1 << 20
 
 
 def _counted(values_of):
@@ -166,10 +166,8 @@ class _GramCounter:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + step].astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
 
 
-def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
-    """(a, b, n, k) of all grams that stand at least so often, k their hash; written once."""
-
-    def count(batches):
+def _counted_grams(grams_of):
+    def run(batches):
         counter = _GramCounter()
         for batch in flat.pieces(batches, "text"):
             counter.add(*grams_of(batch))
@@ -178,11 +176,17 @@ def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
                 counter = _GramCounter()
         yield from counter.batches()
 
+    return run
+
+
+def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
+    """(a, b, n, k) of all grams that stand at least so often, k their hash; written once."""
+
     def keyed(batches):
         for batch in batches:
             yield batch.append_column("k", pa.array(_gram_key(batch.column("a").to_numpy(), batch.column("b").to_numpy())))
 
-    counts = texts.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = texts.mapInArrow(_counted_grams(grams_of), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return staged(counts.mapInArrow(keyed, "a long, b long, n long, k long"), "grams")
 
 

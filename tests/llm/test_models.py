@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +231,18 @@ def test_gram_counts_at_any_merge(monkeypatch):
     assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
 
 
+def test_a_counting_task_holds_little():
+    """All grams differ, so nothing that is merged gets smaller."""
+    rng = np.random.default_rng(5)
+    texts = (pa.RecordBatch.from_pydict({"text": ["a"]}) for _ in range(50))
+    counting = language_model._counted_grams(lambda batch: (rng.integers(0, 1 << 60, 80_000), rng.integers(0, 1 << 60, 80_000)))(texts)
+    tracemalloc.start()
+    rows = sum(batch.num_rows for batch in counting)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 50 * 80_000 and peak < 120 << 20
+
+
 def test_op7(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     import zlib
