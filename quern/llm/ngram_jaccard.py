@@ -569,9 +569,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) ->
     set is sent per pair, at every number of pairs.
     """
     pairs = staged(pairs, "pairs")
-    degrees = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).groupBy("f").agg(F.count("*").alias("d"))
-    degrees = staged(degrees, "degrees")
-    sets = whole_sets(docs, _met(reps.select("f", "k"), degrees.select("f"), "f"), rule)
+    degrees = staged(pairs.select(F.explode(F.array("fa", "fb")).alias("f")).groupBy("f").agg(F.count("*").alias("d")), "degrees")
     cells = max(1, pairs.count() // CELL_PAIRS)
     known = pairs
     for side in ("a", "b"):
@@ -580,12 +578,17 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) ->
     key = F.when(other == F.col("fa"), F.col("fb")).otherwise(F.col("fa"))
     row = F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("row")
     col = F.pmod(F.xxhash64(other), F.ceil(own / CELL_PAIRS)).cast("int").alias("col")
-    dealt = known.select("fa", "fb", row, col)
+    # Written, as both sides of the cells read it and would else hold the joins before it twice.
+    dealt = staged(known.select("fa", "fb", row, col), "dealt")
+    discard(pairs)
+    wanted = staged(_met(reps.select("f", "k"), degrees.select("f"), "f"), "wanted")
+    discard(degrees)
+    sets = whole_sets(docs, wanted, rule)
     named = dealt.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(F.array("fa", "fb")).alias("f")).distinct()
     held = _met(named, sets, "f").select("r", "c", "f", "shingles")
     links = dealt.groupBy("row", "col").cogroup(held.groupBy("r", "c")).applyInArrow(_verify_cell(rule), "u long, v long")
     links = staged(links, "links")
-    discard(pairs, sets, degrees)
+    discard(dealt, sets, wanted)
     return links
 
 
@@ -598,7 +601,9 @@ def grouped_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     labels = components(first).select(F.col("v").alias("f"), F.col("label").alias("comp"))
     second = verified(traversed_pairs(rooted, reps, labels, rule), docs, reps, rule)
     discard(rooted)
-    labels = components(first.unionByName(second)).select(F.col("v").alias("f"), F.col("label").alias("group"))
+    # The first links count by the stars they have become, which need no rounds of their own.
+    known = labels.select(F.col("f").alias("u"), F.col("comp").alias("v"))
+    labels = components(known.unionByName(second)).select(F.col("v").alias("f"), F.col("label").alias("group"))
     return sets, _met(reps.select("f", "n", "least"), labels, "f", "left").withColumn("group", F.coalesce("group", "f"))
 
 

@@ -116,6 +116,20 @@ def test_components(spark):
     assert got == {x: top(x) for x in parent if any(x in e for e in edges if e[0] != e[1])}
 
 
+def test_components_ask_little_of_the_driver(spark, monkeypatch):
+    """A round's plan shuffles few times, stars take no round, and a chain takes few."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    plan = components._small_star(components._large_star(edges)).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 7
+    written, staged = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, label: written.append(label) or staged(df, label))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (4, 5), (5, 4), (6, 6)], "u long, v long")
+    assert {(r["v"], r["label"]) for r in components.components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert len(written) == 1
+    assert components.components(stars.limit(0)).count() == 0
+    assert {(r["v"], r["label"]) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_op6_odd(odd_docs, no_docs):
     got = ngram_jaccard.link_groups(odd_docs.withColumn("n", F.lit("clash"))).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter(
