@@ -11,9 +11,10 @@ to every task and traversed there; no more than 1 / SENT_SHARE n-grams of an ord
 rest stays in distributed tables that grow with the corpus. What a rare n-gram changes in the score of a
 text that holds it (its arc's log weight less that of the failure path, plus its own backoff weight as a
 history) does not depend on the rest of the text, so the hashes of the texts' rare n-grams travel to the
-tables by one shuffled join, each text's own figures among them, and the sums come back; nothing is written
-before. Bit maps of fixed size pass over most n-grams that the tables lack. Tables and broadcasts go as soon as
-nothing reads them, since the disk they take grows with the kept n-grams.
+tables by shuffled joins and the sums come back: first those of the triples, whose sums become a value of their
+text, then those of words and pairs, each text's own figures among them. So at no time do more than about half
+of them lie on disk. Bit maps of fixed size pass over most n-grams that the tables lack. Tables and broadcasts go
+as soon as nothing reads them, since the disk they take grows with the kept n-grams.
 
 Null text: as an empty text, which is one end token. Empty table: empty result. No training text: every
 token has the same smoothed probability. Repeated rows and doc_ids are scored row by row and counted as
@@ -49,8 +50,6 @@ MERGE_AT = 1 << 20
 LANE = 256
 #: Bits of the maps by which n-grams that are not kept are passed over.
 KEPT_BITS = 1 << 27
-#: What a row on its way to the tables is: a word, a pair or triple, or the figures of its text.
-WORD, GRAM, TEXT = 0, 1, 2
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -194,7 +193,9 @@ def _kept_map(kept: DataFrame, key: str) -> np.ndarray:
     """A map of KEPT_BITS bits with one set for every key; others may share it."""
     slot = F.col(key).bitwiseAND(F.lit(KEPT_BITS - 1))
     bits = kept.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int({key} & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = bits.toArrow()  # at most KEPT_BITS / 64 rows
+    bits = staged(bits, "map")  # at most KEPT_BITS / 64 rows; written, so that the shuffle files go
+    got = bits.toArrow()
+    discard(bits)
     flags = np.zeros(KEPT_BITS // 64, np.int64)
     flags[got["w"].to_numpy()] = got["b"].to_numpy()
     return flags
@@ -226,7 +227,7 @@ def word_ids(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: float, sent_from: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The arcs and backoff weights of all kept n-grams.
+    """The arcs and backoff weights of all kept n-grams; pairs and triples are discarded as soon as they are read.
 
     Probabilities are interpolated: (c - D) / c(history) plus the history's backoff weight times the
     probability after the shorter history. words: v, n, p (smoothed share), fail. pairs and triples: k, n, p,
@@ -246,25 +247,31 @@ def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: flo
     def with_arcs(rows, shorter, key):
         history = shorter.select(F.col(key).alias("a"), F.col("n").alias("_n"), F.col("fail").alias("_fail"))
         lower = shorter.select(F.col(key).alias("b"), F.col("p").alias("_p"))
-        both = rows.join(history, "a").join(lower, "b").withColumn("p", (F.col("n") - DISCOUNT) / F.col("_n") + F.col("_fail") * F.col("_p"))
+        met = rows.join(history, "a").withColumn("a", F.when(F.col("n") >= sent_from, F.col("a")))  # nothing else reads it
+        both = met.join(lower, "b").withColumn("p", (F.col("n") - DISCOUNT) / F.col("_n") + F.col("_fail") * F.col("_p"))
         return both.withColumn("over", F.log10("p") - F.log10("_fail") - F.log10("_p")).drop("_n", "_fail", "_p")
 
     words = staged(with_fail(counts, "v", pairs).withColumn("p", (F.col("n") + ADDED) / F.lit(whole)), "word_weights")
-    pairs = staged(slim(with_fail(with_arcs(pairs, words, "v"), "k", triples), "p", "fail"), "pair_weights")
+    arcs = staged(slim(with_arcs(pairs, words, "v"), "p"), "arcs")  # written between, so that shuffle files go
+    discard(pairs)
+    pairs = staged(with_fail(arcs, "k", triples), "pair_weights")
+    discard(arcs)
     often = F.when(F.col("n") >= sent_from, F.col("p")).alias("p")
-    return words, pairs, staged(slim(with_arcs(triples, pairs, "k"), often), "triple_weights")
+    longest = staged(slim(with_arcs(triples, pairs, "k"), often), "triple_weights")
+    discard(triples)
+    return words, pairs, longest
 
 
-def rare_values(tables: tuple[DataFrame, DataFrame, DataFrame], sent_from: float) -> DataFrame:
-    """(part, k, n, more): what each kept n-gram that is not in the automaton adds to a score; n of words only; written once."""
-    words, pairs, triples = (rows.where(F.col("n") < sent_from) for rows in tables)
+def rare_values(words: DataFrame, pairs: DataFrame, sums: DataFrame, sent_from: float) -> DataFrame:
+    """(k, n, more): what each kept word and pair that is not in the automaton, and a text's triples, add to a score; n of words only; written once."""
 
-    def part(rows, number, key, n, more):
-        return rows.select(F.lit(number).cast("byte").alias("part"), F.col(key).alias("k"), n.cast("long").alias("n"), more.alias("more"))
+    def value(rows, key, n, more):
+        return rows.select(F.col(key).alias("k"), n.cast("long").alias("n"), more.alias("more"))
 
-    of_words = part(words, WORD, "v", F.col("n"), F.log10("fail"))
-    of_pairs = part(pairs, GRAM, "k", F.lit(None), F.col("over") + F.log10("fail"))
-    return staged(of_words.unionByName(of_pairs).unionByName(part(triples, GRAM, "k", F.lit(None), F.col("over"))), "values")
+    rare = F.col("n") < sent_from
+    of_words = value(words.where(rare), "v", F.col("n"), F.log10("fail"))
+    of_pairs = value(pairs.where(rare), "k", F.lit(None), F.col("over") + F.log10("fail"))
+    return staged(of_words.unionByName(of_pairs).unionByName(value(sums, "t", F.lit(None), F.col("more"))), "values")
 
 
 def build_automaton(words: DataFrame, pairs: DataFrame, triples: DataFrame, least: float) -> dict[str, np.ndarray]:
@@ -344,21 +351,26 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
     return np.bincount(row, total, minlength=len(lengths)) if len(row) else np.zeros(len(lengths))
 
 
-#: The key comes last: what stands before it is mostly as in the row before, so a shuffled row takes little more than its key.
-_SENT = "n_tokens long, n_known long, base double, score double, row long, part byte, k long"
+def _rare_pairs(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the pairs that may be kept but are not in the automaton."""
+    words, good = _pairs(maps[0], tokens)
+    at = np.flatnonzero(good)
+    keys = _gram_key(words[at], words[at + 1])
+    rare = _may_hold(maps[1], keys)
+    at, keys = at[rare], keys[rare]
+    new = flat.lookup(automaton["pairs"], keys) < 0
+    return at[new], keys[new]
 
 
-def _rare(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the pairs and triples that may be kept but are not in the automaton."""
-    _, good2, keys, good3 = _triples(maps[0], maps[1], tokens)
-    at2 = np.flatnonzero(good2)
-    at2 = at2[flat.lookup(automaton["pairs"], keys[at2]) < 0]
-    at3 = np.flatnonzero(good3)
-    key3 = _gram_key(keys[at3], keys[at3 + 1])
-    maybe = _may_hold(maps[2], key3)
-    at3, key3 = at3[maybe], key3[maybe]
-    new = flat.lookup(automaton["triples"], key3) < 0
-    return np.concatenate([at2, at3[new]]), np.concatenate([keys[at2], key3[new]])
+def _rare_triples(sent: np.ndarray, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the triples that may be kept but are not among those sent."""
+    _, _, keys, good = _triples(maps[0], maps[1], tokens)
+    at = np.flatnonzero(good)
+    keys = _gram_key(keys[at], keys[at + 1])
+    maybe = _may_hold(maps[2], keys)
+    at, keys = at[maybe], keys[maybe]
+    new = flat.lookup(sent, keys) < 0
+    return at[new], keys[new]
 
 
 def _packed_map(flags: np.ndarray) -> bytes:
@@ -369,8 +381,32 @@ def _unpacked_map(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.int64)
 
 
-def _score_batches(model):
-    """Rows for the join with the tables: the words and n-grams that the automaton lacks, and a row of each text's figures."""
+#: The key comes last: what stands before it is mostly as in the row before, so a shuffled row takes little more than its key.
+_TRIPLE_ROWS = "t long, row long, k long"
+
+
+def _triple_batches(model):
+    """Rows for the join with the table of triples: those that the automaton lacks."""
+
+    def run(batches):
+        sent, packed = model.value
+        maps = tuple(_unpacked_map(x) for x in packed)
+        number = TaskContext.get().partitionId() << 40
+        for batch in flat.pieces(batches, "text"):
+            tokens, before = _tokens(batch)
+            places, grams = _rare_triples(sent, maps, tokens)
+            row = np.searchsorted(before, places, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(row)), pa.array(number + row), pa.array(grams)], names=["t", "row", "k"])
+            number += batch.num_rows
+
+    return run
+
+
+def _score_batches(model, unseen: float):
+    """Rows for the join with the values: the words and pairs that the automaton lacks, and a row of each text's figures.
+
+    unseen: log10 of the smoothed share of a word that does not stand in the training texts.
+    """
 
     def run(batches):
         automaton, packed = model.value
@@ -380,21 +416,20 @@ def _score_batches(model):
             tokens, before = _tokens(batch)
             ids = word_ids(automaton["words"], tokens)
             known = ids >= 0
-            base = flat.row_sums(np.where(known, automaton["root"][ids] if len(automaton["root"]) else 0.0, 0.0), before)
-            score = traverse(automaton, ids, before)
-            places, grams = _rare(automaton, maps, tokens)
+            base = flat.row_sums(np.where(known, automaton["root"][ids] if len(automaton["root"]) else 0.0, unseen), before)
+            score = traverse(automaton, ids, before) + unseen * flat.row_sums((~known).astype(np.int64), before)
+            places, grams = _rare_pairs(automaton, maps, tokens)
             rest = np.flatnonzero(~known)
-            own = np.arange(batch.num_rows)
-            row = np.concatenate([np.searchsorted(before, x, side="right") - 1 for x in (rest, places)] + [own])
-            key = np.concatenate([flat.signed(tokens[rest]), grams, flat.signed(flat.mix((number + own).astype(np.uint64)))])
-            part = np.repeat(np.array([WORD, GRAM, TEXT], np.int8), [len(rest), len(places), len(own)])
+            row = np.concatenate([np.searchsorted(before, x, side="right") - 1 for x in (rest, places)])
+            key = np.concatenate([flat.signed(tokens[rest]), grams])
             # Rows of a text stand together, so that a shuffle compresses them well.
             order = np.argsort(row, kind="stable")
-            text = pa.array(np.where(part == TEXT, row, 0)[order].astype(np.int32), mask=part[order] != TEXT)
             figures = [batch.column("doc_id"), *(pa.array(x) for x in (np.diff(before), flat.row_sums(known.astype(np.int64), before), base, score))]
-            columns = [*(x.take(text) for x in figures), *(pa.array(x[order]) for x in (number + row, part, key))]
+            figures = pa.StructArray.from_arrays(figures, names=["doc_id", "n_tokens", "n_known", "base", "score"])
+            own = number + np.arange(batch.num_rows)
+            for text, rows, keys in ((pa.nulls(len(row), figures.type), number + row[order], key[order]), (figures, own, batch.column("t"))):
+                yield pa.RecordBatch.from_arrays([text, pa.array(rows), pa.array(keys)], names=["text", "row", "k"])
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base", "score", "row", "part", "k"])
 
     return run
 
@@ -432,7 +467,6 @@ def _model(docs: DataFrame, least_share: float) -> dict:
     maps = tuple(_packed_map(x) for x in (word_map, pair_map, _kept_map(triples, "k")))
     sent_from = max(least, SENT_SHARE * total)
     tables = weighted(counts, pairs, triples, total + ADDED * (kinds + 1), sent_from)
-    discard(pairs, triples)
     automaton = build_automaton(*tables, sent_from)
     return {"automaton": automaton, "maps": maps, "tables": tables, "counts": counts, "total": total, "kinds": kinds, "sent_from": sent_from}
 
@@ -446,20 +480,34 @@ def train(docs: DataFrame, least_share: float = 0.0) -> tuple[dict, DataFrame, i
     return model["automaton"], model["counts"], model["total"], model["kinds"]
 
 
+def _triple_sums(texts: DataFrame, triples: DataFrame, sent) -> DataFrame:
+    """(t, more): what the rare triples of each text add to its score; written once."""
+    rows = texts.select("text", "t").mapInArrow(_triple_batches(sent), _TRIPLE_ROWS)
+    met = rows.join(triples.select("k", "over").hint("shuffle_hash"), "k")
+    sums = staged(met.groupBy("t", "row").agg(F.sum("over").alias("more")).groupBy("t").agg(F.max("more").alias("more")), "sums")
+    sent.destroy()
+    return sums
+
+
 def score_texts(docs: DataFrame, training: DataFrame, least_share: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     model = _model(training, least_share)
-    values = rare_values(model["tables"], model["sent_from"])
-    discard(model["counts"], *model["tables"])
-    sent = docs.sparkSession.sparkContext.broadcast((model["automaton"], model["maps"]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_score_batches(sent), f"doc_id {kind}, {_SENT}")
+    words, pairs, triples = model["tables"]
+    send = docs.sparkSession.sparkContext.broadcast
+    # Rows that are equal in doc_id and text have one t, and one sum of triples.
+    texts = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("t"))
+    sums = _triple_sums(texts, triples.where(F.col("n") < model["sent_from"]), send((model["automaton"]["triples"], model["maps"])))
+    values = rare_values(words, pairs, sums, model["sent_from"])
+    discard(sums, model["counts"], *model["tables"])
     whole = float(np.log10(model["total"] + ADDED * (model["kinds"] + 1)))
-    smoothed = F.when(F.col("part") == WORD, F.log10(F.coalesce("n", F.lit(0)) + ADDED) - whole)
-    met = rows.join(values.hint("shuffle_hash"), ["part", "k"], "left").withColumns({"p": smoothed, "known": F.col("n").isNotNull().cast("long")})
-    of_text = [F.max("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "score"))]
-    sums = met.groupBy("row").agg(*of_text, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("p", "more", "known")))
-    return sums.select(
+    figures = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},n_tokens:long,n_known:long,base:double,score:double>"
+    sent = send((model["automaton"], model["maps"][:2]))
+    rows = texts.mapInArrow(_score_batches(sent, float(np.log10(ADDED)) - whole), f"text {figures}, row long, k long")
+    seen = F.log10(F.col("n") + ADDED) - F.log10(F.lit(ADDED))  # over a word that was not seen
+    met = rows.join(values.hint("shuffle_hash"), "k", "left").withColumns({"p": seen, "known": F.col("n").isNotNull().cast("long")})
+    of_text = [F.max(f"text.{c}").alias(c) for c in ("doc_id", "n_tokens", "n_known", "base", "score")]
+    met = met.groupBy("row").agg(*of_text, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("p", "more", "known")))
+    return met.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"),
         F.lit(model["total"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("p")).alias("base_score"), (F.col("score") + F.col("p") + F.col("more")).alias("score"),
     )

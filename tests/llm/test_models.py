@@ -218,6 +218,26 @@ def test_scoring_leaves_only_what_it_reads(make_docs, spark):
     assert left == ["values"]
 
 
+def test_triples_travel_apart_from_words_and_pairs(make_docs, monkeypatch):
+    """What the last join reads holds one value for the triples of a text, also of a repeated one."""
+    monkeypatch.setattr(language_model, "SENT_SHARE", 0.02, raising=False)
+    written, staged = {}, language_model.staged
+
+    def counted(df, label):
+        kept = staged(df, label)
+        written[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(language_model, "staged", counted)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(100)) for _ in range(20)]
+    docs = make_docs([*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[3])])
+    got = language_model.score_texts(docs, docs.where("doc_id is not null")).collect()
+    score = _plain_model([*texts, texts[3], texts[3]], 0.0)[0]
+    assert len(got) == 23 and all(r["score"] == pytest.approx(score(texts[3 if r["doc_id"] is None else r["doc_id"]]), rel=1e-9) for r in got)
+    assert written["triple_weights"] > 200 and written["values"] <= written["word_weights"] + written["pair_weights"] + 21
+
+
 def test_gram_counts_at_any_merge(monkeypatch):
     monkeypatch.setattr(language_model, "MERGE_AT", 64)
     rng = np.random.default_rng(3)
