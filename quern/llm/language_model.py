@@ -16,6 +16,9 @@ text, then those of words and pairs, each text's own figures among them. So at n
 of them lie on disk. Bit maps of fixed size pass over most n-grams that the tables lack. Tables and broadcasts go
 as soon as nothing reads them, since the disk they take grows with the kept n-grams.
 
+Tasks merge equal n-grams before they hand them on, so Spark moves them as arrays, a row for each range of their hashes, and a
+group merges the arrays of its range. The number of ranges grows with the tokens, so that a group stays small.
+
 Null text: as an empty text, which is one end token. Empty table: empty result. No training text: every
 token has the same smoothed probability. Repeated rows and doc_ids are scored row by row and counted as
 often as they stand. Other columns are not read. Words, pairs and triples are compared by 64-bit hashes.
@@ -27,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +51,7 @@ ID_BITS = 20
 #: Counted values that a task gathers before it merges equal ones; with HAND_ON, this sets the memory of a counting task.
 MERGE_AT = 1 << 20
 #: Tokens that one lane of the traversal reads.
-LANE = 256
+LANE = 128
 #: Bits of the maps by which n-grams that are not kept are passed over.
 KEPT_BITS = 1 << 27
 
@@ -62,7 +66,7 @@ def _tokens(batch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     rows = len(bounds) - 1
     out = np.full(len(starts) + rows, END, np.uint64)
     at = np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(before))
-    out[at] = flat.span_hashes(data, starts, ends)
+    out[at] = flat.short_hashes(data, starts, ends)
     return out, before + np.arange(rows + 1)
 
 
@@ -139,7 +143,7 @@ class _GramCounter:
     def _merged(parts: list[list[np.ndarray]]) -> tuple:
         """The rows of parts (columns key, a, b, n) with equal keys added up; takes the columns out of parts one by one, to hold few at a time."""
         keys = np.concatenate([x.pop(0) for x in parts])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)  # in any order among equal keys, as their a and b are equal too
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
         keys, chosen = keys[first], order[first]
@@ -178,22 +182,60 @@ def _counted_grams(grams_of):
     return run
 
 
-def _count_grams(texts: DataFrame, grams_of, least: float) -> DataFrame:
-    """(a, b, n, k) of all grams that stand at least so often, k their hash; written once."""
+#: Grams are merged in groups of about so many occurrences, so a group stays small at every size of the corpus.
+GROUP_GRAMS = 1 << 18
 
-    def keyed(batches):
-        for batch in batches:
-            yield batch.append_column("k", pa.array(_gram_key(batch.column("a").to_numpy(), batch.column("b").to_numpy())))
 
-    counts = texts.mapInArrow(_counted_grams(grams_of), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return staged(counts.mapInArrow(keyed, "a long, b long, n long, k long"), "grams")
+def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each key, out of equal ranges of keys; rising keys have rising groups."""
+    return (((keys >> 32) + (1 << 31)) * groups) >> 32
+
+
+def _grouped(batches, groups: int):
+    """(a, b, n) of rising keys as one row for each group, its columns arrays: Spark moves them at a small part of what single rows cost."""
+    for batch in batches:
+        columns = [x.to_numpy() for x in batch.columns]
+        group = _group_of(_gram_key(*columns[:2]), groups)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        bounds = pa.array(np.append(first, len(group)), pa.int32())
+        columns[2] = columns[2].astype(np.int32)  # no task counts more of a gram before it hands on
+        yield pa.RecordBatch.from_arrays([pa.array(group[first]), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in columns)], names=["g", "a", "b", "n"])
+
+
+def _count_grams(texts: DataFrame, grams_of, least: float, total: int) -> DataFrame:
+    """(a, b, n, k) of all grams that stand at least so often, k their hash; written once. total: the tokens of all texts."""
+    groups = max(1, min(-(-total // GROUP_GRAMS), 1 << 30))
+
+    def rows(batches):
+        yield from _grouped(_counted_grams(grams_of)(batches), groups)
+
+    def merged(table: pa.Table) -> pa.Table:
+        a, b, n = (pc.list_flatten(table.column(c)).to_numpy() for c in "abn")
+        k, a, b, n = _GramCounter._merged([[_gram_key(a, b), a, b, n.astype(np.int64)]])
+        often = n >= least
+        return pa.table({c: x[often] for c, x in (("a", a), ("b", b), ("n", n), ("k", k))})
+
+    packed = texts.mapInArrow(rows, "g long, a array<long>, b array<long>, n array<int>")
+    return staged(packed.groupBy("g").applyInArrow(merged, "a long, b long, n long, k long"), "grams")
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """The bit of each key in a map, by its first bits: rising keys have rising slots from 0 on, those below 0 after them."""
+    return (keys >> (65 - KEPT_BITS.bit_length())) & (KEPT_BITS - 1)
 
 
 def _kept_map(kept: DataFrame, key: str) -> np.ndarray:
-    """A map of KEPT_BITS bits with one set for every key; others may share it."""
-    slot = F.col(key).bitwiseAND(F.lit(KEPT_BITS - 1))
-    bits = kept.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int({key} & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = staged(bits, "map")  # at most KEPT_BITS / 64 rows; written, so that the shuffle files go
+    """A map of KEPT_BITS bits with one set for every key; others may share it. Grams stand by their groups, so most share a word of bits with their neighbours."""
+
+    def words_of_bits(batches):
+        for batch in batches:
+            slot = np.sort(_slot(batch.column(0).to_numpy()))
+            word = slot >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            bits = np.bitwise_or.reduceat(np.left_shift(1, slot & 63), first) if len(first) else word
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(bits)], names=["w", "b"])
+
+    bits = staged(kept.select(key).mapInArrow(words_of_bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")), "map")  # at most KEPT_BITS / 64 rows; written, so that the shuffle files go
     got = bits.toArrow()
     discard(bits)
     flags = np.zeros(KEPT_BITS // 64, np.int64)
@@ -202,7 +244,7 @@ def _kept_map(kept: DataFrame, key: str) -> np.ndarray:
 
 
 def _may_hold(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & (KEPT_BITS - 1)
+    slot = _slot(keys)
     return (flags[slot >> 6] >> (slot & 63)) & 1 > 0
 
 
@@ -221,9 +263,9 @@ def _triples(kept_words: np.ndarray, kept_pairs: np.ndarray, tokens: np.ndarray)
     return words, good, keys, good[:-1] & good[1:]
 
 
-def word_ids(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+def word_ids(words: flat.Places, tokens: np.ndarray) -> np.ndarray:
     """The id of every token among the kept words (sorted hashes), or -1."""
-    return flat.lookup(words, flat.signed(tokens))
+    return words.find(flat.signed(tokens))
 
 
 def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: float, sent_from: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -242,13 +284,13 @@ def weighted(counts: DataFrame, pairs: DataFrame, triples: DataFrame, whole: flo
     def with_fail(rows, key, longer):
         sums = longer.groupBy("a").agg(F.sum(F.col("n") - DISCOUNT).alias("_s")).withColumnRenamed("a", key)
         fail = F.greatest(1 - F.coalesce("_s", F.lit(0.0)) / F.col("n"), F.lit(1e-12))
-        return rows.join(sums, key, "left").withColumn("fail", fail).drop("_s")
+        return rows.join(sums.hint("shuffle_hash"), key, "left").withColumn("fail", fail).drop("_s")
 
     def with_arcs(rows, shorter, key):
         history = shorter.select(F.col(key).alias("a"), F.col("n").alias("_n"), F.col("fail").alias("_fail"))
         lower = shorter.select(F.col(key).alias("b"), F.col("p").alias("_p"))
-        met = rows.join(history, "a").withColumn("a", F.when(F.col("n") >= sent_from, F.col("a")))  # nothing else reads it
-        both = met.join(lower, "b").withColumn("p", (F.col("n") - DISCOUNT) / F.col("_n") + F.col("_fail") * F.col("_p"))
+        met = rows.join(history.hint("shuffle_hash"), "a").withColumn("a", F.when(F.col("n") >= sent_from, F.col("a")))  # nothing else reads it
+        both = met.join(lower.hint("shuffle_hash"), "b").withColumn("p", (F.col("n") - DISCOUNT) / F.col("_n") + F.col("_fail") * F.col("_p"))
         return both.withColumn("over", F.log10("p") - F.log10("_fail") - F.log10("_p")).drop("_n", "_fail", "_p")
 
     words = staged(with_fail(counts, "v", pairs).withColumn("p", (F.col("n") + ADDED) / F.lit(whole)), "word_weights")
@@ -278,7 +320,7 @@ def build_automaton(words: DataFrame, pairs: DataFrame, triples: DataFrame, leas
     """Arcs and failure weights, all as log10, of the n-grams that stand at least so often; the caller has bounded them by SENT_SHARE.
 
     States: 0 is the empty history, 1 + w the history of word w, 1 + W + p the history of pair p.
-    An arc's key is state << ID_BITS | word.
+    An arc's key is state << ID_BITS | word; arcs are sorted by it.
     """
 
     def fetch(rows, *columns):
@@ -294,21 +336,23 @@ def build_automaton(words: DataFrame, pairs: DataFrame, triples: DataFrame, leas
     prefix, suffix = flat.lookup(key2, a3), flat.lookup(key2, b3)
     number = len(word)
     third = second[suffix] if len(suffix) else suffix
+    arcs = np.concatenate([((1 + first) << ID_BITS) | second, ((1 + number + prefix) << ID_BITS) | third])
+    keyed = np.argsort(arcs)
     return {
         "words": word,
         "pairs": key2,
         "triples": key3,
         "root": np.log10(p1),
-        "arcs": np.concatenate([((1 + first) << ID_BITS) | second, ((1 + number + prefix) << ID_BITS) | third]),
-        "weights": np.log10(np.concatenate([p2, p3])),
-        "targets": np.concatenate([1 + number + np.arange(len(key2)), 1 + number + suffix]),
+        "arcs": arcs[keyed],
+        "weights": np.log10(np.concatenate([p2, p3]))[keyed],
+        "targets": np.concatenate([1 + number + np.arange(len(key2)), 1 + number + suffix])[keyed],
         "fail": np.concatenate([[0], np.zeros(number, np.int64), 1 + second]),
         "fail_weights": np.concatenate([[0.0], np.log10(fail1), np.log10(fail2)]),
     }
 
 
-def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Log10 weight of every text without what rare n-grams add; ids: word ids of the tokens, or -1.
+def traverse(automaton: dict, arcs: flat.Places, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Log10 weight of every text without what rare n-grams add; arcs: of the automaton; ids: word ids of the tokens, or -1.
 
     Long texts are read in lanes of LANE tokens side by side; a lane first walks over the two tokens
     before it, which settles its state, as no history is longer.
@@ -323,9 +367,7 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
     order = np.argsort(at - last, kind="stable")
     at, first, last, row = at[order], first[order], last[order], row[order]
     state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
-    arcs, number = automaton["arcs"], len(automaton["words"])
-    keyed = np.argsort(arcs)
-    arcs, weights, targets = arcs[keyed], automaton["weights"][keyed], automaton["targets"][keyed]
+    weights, targets = automaton["weights"], automaton["targets"]
     for step in range(int((last - at).max()) if len(at) else 0):
         active = int(np.searchsorted(at - last, -step, side="left"))
         here = at[:active] + step
@@ -335,7 +377,7 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
         new[word >= 0] = 1 + word[word >= 0]
         open_ = np.flatnonzero(now > 0)
         while len(open_):
-            found = np.where(word[open_] >= 0, flat.lookup(arcs, (now[open_] << ID_BITS) | np.maximum(word[open_], 0)), -1)
+            found = np.where(word[open_] >= 0, arcs.find((now[open_] << ID_BITS) | np.maximum(word[open_], 0)), -1)
             hit = open_[found >= 0]
             gained[hit] += weights[found[found >= 0]]
             new[hit] = targets[found[found >= 0]]
@@ -351,25 +393,25 @@ def traverse(automaton: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray
     return np.bincount(row, total, minlength=len(lengths)) if len(row) else np.zeros(len(lengths))
 
 
-def _rare_pairs(automaton: dict, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the pairs that may be kept but are not in the automaton."""
+def _rare_pairs(sent: flat.Places, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the pairs that may be kept but are not among those sent."""
     words, good = _pairs(maps[0], tokens)
     at = np.flatnonzero(good)
     keys = _gram_key(words[at], words[at + 1])
     rare = _may_hold(maps[1], keys)
     at, keys = at[rare], keys[rare]
-    new = flat.lookup(automaton["pairs"], keys) < 0
+    new = sent.find(keys) < 0
     return at[new], keys[new]
 
 
-def _rare_triples(sent: np.ndarray, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rare_triples(sent: flat.Places, maps: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the triples that may be kept but are not among those sent."""
     _, _, keys, good = _triples(maps[0], maps[1], tokens)
     at = np.flatnonzero(good)
     keys = _gram_key(keys[at], keys[at + 1])
     maybe = _may_hold(maps[2], keys)
     at, keys = at[maybe], keys[maybe]
-    new = flat.lookup(sent, keys) < 0
+    new = sent.find(keys) < 0
     return at[new], keys[new]
 
 
@@ -390,7 +432,7 @@ def _triple_batches(model):
 
     def run(batches):
         sent, packed = model.value
-        maps = tuple(_unpacked_map(x) for x in packed)
+        sent, maps = flat.Places(sent), tuple(_unpacked_map(x) for x in packed)
         number = TaskContext.get().partitionId() << 40
         for batch in flat.pieces(batches, "text"):
             tokens, before = _tokens(batch)
@@ -410,15 +452,16 @@ def _score_batches(model, unseen: float):
 
     def run(batches):
         automaton, packed = model.value
+        words, pairs, arcs = (flat.Places(automaton[x]) for x in ("words", "pairs", "arcs"))
         maps = tuple(_unpacked_map(x) for x in packed)
         number = TaskContext.get().partitionId() << 40
         for batch in flat.pieces(batches, "text"):
             tokens, before = _tokens(batch)
-            ids = word_ids(automaton["words"], tokens)
+            ids = word_ids(words, tokens)
             known = ids >= 0
             base = flat.row_sums(np.where(known, automaton["root"][ids] if len(automaton["root"]) else 0.0, unseen), before)
-            score = traverse(automaton, ids, before) + unseen * flat.row_sums((~known).astype(np.int64), before)
-            places, grams = _rare_pairs(automaton, maps, tokens)
+            score = traverse(automaton, arcs, ids, before) + unseen * flat.row_sums((~known).astype(np.int64), before)
+            places, grams = _rare_pairs(pairs, maps, tokens)
             rest = np.flatnonzero(~known)
             row = np.concatenate([np.searchsorted(before, x, side="right") - 1 for x in (rest, places)])
             key = np.concatenate([flat.signed(tokens[rest]), grams])
@@ -453,7 +496,7 @@ def _model(docs: DataFrame, least_share: float) -> dict:
         words, good = _pairs(kept_words.value, _tokens(batch)[0])
         return words[:-1][good], words[1:][good]
 
-    pairs = _count_grams(texts, pairs_of, least)
+    pairs = _count_grams(texts, pairs_of, least, total)
     pair_map = _kept_map(pairs, "k")
     kept_pairs = send(pair_map)
 
@@ -461,7 +504,7 @@ def _model(docs: DataFrame, least_share: float) -> dict:
         _, _, keys, good = _triples(kept_words.value, kept_pairs.value, _tokens(batch)[0])
         return keys[:-1][good], keys[1:][good]
 
-    triples = _count_grams(texts, triples_of, least)
+    triples = _count_grams(texts, triples_of, least, total)
     kept_words.destroy()
     kept_pairs.destroy()
     maps = tuple(_packed_map(x) for x in (word_map, pair_map, _kept_map(triples, "k")))

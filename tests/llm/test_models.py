@@ -263,6 +263,72 @@ def test_a_counting_task_holds_little():
     assert rows == 50 * 80_000 and peak < 120 << 20
 
 
+def test_grams_travel_in_groups(make_docs, monkeypatch):
+    """Counted grams cross the shuffle as arrays, merged by group, in place of a row for each gram."""
+    monkeypatch.setattr(language_model, "GROUP_GRAMS", 50, raising=False)
+    monkeypatch.setattr(language_model, "HAND_ON", 64)
+    monkeypatch.setattr(language_model, "MERGE_AT", 32)
+    plans, staged = [], language_model.staged
+
+    def planned(df, label):
+        if label == "grams":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(language_model, "staged", planned)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 60))) for _ in range(80)] + ["a b " * 300, None, ""]
+    docs = make_docs([*enumerate(texts), (0, texts[0])]).repartition(5)
+    score, _, _, _ = _plain_model([*texts, texts[0]], 0.0)
+    got = language_model.score_texts(docs, docs).collect()
+    assert len(got) == len(texts) + 1 and all(r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-9) for r in got)
+    assert len(plans) == 2 and all("FlatMapGroupsInArrow" in p and "Aggregate" not in p for p in plans)
+
+
+def test_groups_hold_every_gram_once():
+    rng = np.random.default_rng(7)
+    a, b, n = rng.integers(-(1 << 62), 1 << 62, 5000), rng.integers(0, 1 << 62, 5000), rng.integers(1, 99, 5000)
+    order = np.argsort(language_model._gram_key(a, b))
+    a, b, n = a[order], b[order], n[order]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 1300]) for x in (a, b, n)], names=["a", "b", "n"]) for i in range(0, 5000, 1300)]
+    for groups in (1, 7, 40):
+        rows = [r for batch in language_model._grouped(batches, groups) for r in batch.to_pylist()]
+        assert len(rows) <= groups + len(batches) and {r["g"] for r in rows} == set(range(groups))
+        assert [x for r in rows for x in zip(r["a"], r["b"], r["n"])] == list(zip(a.tolist(), b.tolist(), n.tolist()))
+        for r in rows:
+            assert set(language_model._group_of(language_model._gram_key(np.array(r["a"]), np.array(r["b"])), groups).tolist()) == {r["g"]}
+
+
+@pytest.mark.parametrize("bits", [2, 22])
+def test_places_are_those_of_lookup(monkeypatch, bits):
+    monkeypatch.setattr(flat.Places, "SLOT_BITS", bits)
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 2, 3, 1000):
+        keys = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, size), np.arange(size)])[:size])
+        wanted = np.concatenate([keys, keys + 1, keys - 1, rng.integers(-(1 << 63), (1 << 63) - 1, 500), [0, -1, -2]])
+        assert (flat.Places(keys).find(wanted) == flat.lookup(keys, wanted)).all()
+        assert not len(flat.Places(keys).find(wanted[:0]))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 27])
+def test_maps_hold_every_key(spark, monkeypatch, bits):
+    """Each batch of keys is merged before Spark adds the batches up, and no key is lost at any size of the map."""
+    monkeypatch.setattr(language_model, "KEPT_BITS", bits)
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 3000)), [0, -1, 1, (1 << 63) - 1, -(1 << 63)]])
+    kept = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(3)
+    flags = language_model._kept_map(kept, "k")
+    assert len(flags) == bits // 64 and language_model._may_hold(flags, keys).all()
+    assert sum(int(x).bit_count() for x in flags.view(np.uint64)) == len(set(language_model._slot(keys).tolist()))
+    assert not language_model._kept_map(kept.limit(0), "k").any()
+
+
+def test_arcs_are_sorted_once(make_docs):
+    docs = make_docs([(i, "some words stand here and some words stand again") for i in range(5)])
+    arcs = language_model.train(docs)[0]["arcs"]
+    assert len(arcs) > 5 and (np.diff(arcs) > 0).all()
+
+
 def test_op7(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     import zlib
@@ -303,3 +369,25 @@ def test_long_words_hash_alike():
     starts, ends, _ = flat.word_spans(data, np.array([0, len(data)]))
     a, b, c = flat.span_hashes(data, starts, ends)
     assert a == b != c
+
+
+def test_short_hashes_tell_words_apart():
+    """At every length, wherever a word stands and whatever follows it."""
+    rng = random.Random(5)
+    words = [b"a", b"a\x00", b"\x00", b"\x00\x00", *(bytes(rng.choices(b"ab", k=n)) for n in range(1, 150) for _ in range(6)), "Привет".encode()]
+    spans = words + words[::-1]
+    data = np.frombuffer(b"".join(w + rng.choice([b" ", b"\n\n", b"\xff"]) for w in spans)[:-1], np.uint8)
+    starts, at = [], 0
+    for w in spans:
+        at = bytes(data).index(w, at)
+        starts.append(at)
+        at += len(w)
+    got = flat.short_hashes(data, np.array(starts), np.array([s + len(w) for s, w in zip(starts, spans)])).tolist()
+    assert len(set(zip(spans, got))) == len(set(got)) == len(set(spans))
+    none = np.zeros(0, np.int64)
+    assert not len(flat.short_hashes(np.zeros(0, np.uint8), none, none))
+
+
+def test_lower_ascii_at_every_byte():
+    every = np.arange(256, dtype=np.uint8)
+    assert bytes(flat.lower_ascii(every)) == bytes(every).lower() and not len(flat.lower_ascii(every[:0]))
