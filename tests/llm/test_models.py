@@ -126,6 +126,38 @@ def test_pairs_are_ranked():
     assert abs((s < quality_ranking.CUT).mean() - (labels == 0).mean()) < 0.01
 
 
+def test_op5_learns_from_all_labels(spark):
+    n = 24_000
+    text = "concat(repeat(concat('Word', id % 97, ' and '), 3 + id * 31 % 41), if(id % 7 = 3, repeat(concat('#! ', id % 13, '$ '), 1 + id % 29), 'more. It ends here.'))"
+    docs = spark.range(n).selectExpr("id AS doc_id", f"{text} AS text").unionAll(spark.createDataFrame([(None, "x"), (n, "y")], "doc_id long, text string"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 7 <> 3 OR id % 5 = 0) AS quality")
+    texts = [r["text"] for r in docs.where(f"doc_id < {n}").orderBy("doc_id").collect()]
+    x = quality_ranking.features(*flat.column(pa.array(texts)))
+    y = np.array([int(i % 7 != 3 or i % 5 == 0) for i in range(n)])
+    order = sorted(range(n), key=lambda i: (y[i], x[i].tolist()))
+    want, got = quality_ranking.fit(y[order], x[order]), quality_ranking.train(docs, labels)
+    for name in ("mean", "scale", "w", "threshold"):
+        assert np.allclose(got[name], want[name], rtol=1e-7, atol=1e-9), name
+    u = np.sort(np.clip((x - want["mean"]) / want["scale"], -8, 8) @ want["w"])
+    assert abs(want["threshold"] - u[(y == 0).sum() - 1 :][:2].mean()) < 1e-12
+    again = quality_ranking.train(docs.repartition(7), labels.repartition(3))
+    assert all(np.array_equal(got[k], again[k]) for k in got)
+
+
+@pytest.mark.parametrize(("good", "bad"), [(1, 1), (1, 20_000), (20_000, 1), (7919, 1000), (9000, 700), (5, 3)])
+def test_every_label_is_in_a_pair(good, bad, spark):
+    each, step = quality_ranking.rivals(good, bad)
+    assert each >= 8 and set((np.arange(bad * each) * step % good).tolist()) == set(range(good))
+    if max(good, bad) == 20_000:
+        docs = spark.range(good + bad).selectExpr("id AS doc_id", "concat(repeat('some words ', 1 + id % 50), id * 7919 % 1000) AS text")
+        labels = spark.range(good + bad).selectExpr("id AS doc_id", f"int(id < {good}) AS quality")
+        rows = docs.orderBy("doc_id").collect()
+        x = quality_ranking.features(*flat.column(pa.array([r["text"] for r in rows])))
+        order = sorted(range(good + bad), key=lambda i: (i < good, x[i].tolist()))
+        want = quality_ranking.fit(np.array(order) < good, x[order])
+        assert np.allclose(quality_ranking.train(docs, labels)["w"], want["w"], rtol=1e-6, atol=1e-9)
+
+
 def _tokens(text):
     return plain.words(plain.lower(text)) + ["\n"]
 
